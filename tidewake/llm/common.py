@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few fixed-width columns is broadcast (about 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a table of a few fixed-width columns is broadcast (under 64 MB as a hash table).
+BROADCAST_ROWS = 500_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
