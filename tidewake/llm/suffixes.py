@@ -34,9 +34,11 @@ from . import kernels
 from .common import broadcast_if_small, groups_by_size, materialize, utf8
 
 LENGTH = 200
-GRAM = 16
+GRAM = 48
+BLOCK = 16
 BATCHES = 4
 _CHUNK = 1 << 19
+_CODE = 64  # codes of blocks: segment * _CODE + block
 _POSITION = np.uint64((1 << 22) - 1)
 
 
@@ -67,9 +69,9 @@ def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(texts: list[bytes], length: int = LENGTH):
-    """For each text: arrays (first start, last start, key) of the runs of windows that share an anchor."""
+    """For each text: arrays (first start, last start, key, anchor) of the runs of windows that share an anchor."""
     none = np.zeros(0, dtype=np.int64)
-    out: list = [(none, none, none.view(np.uint64))] * len(texts)
+    out: list = [(none, none, none.view(np.uint64), none)] * len(texts)
 
     def runs(data, starts):
         """Of the windows at starts (ascending): (first, last, anchor, key) of each run."""
@@ -91,20 +93,20 @@ def segments(texts: list[bytes], length: int = LENGTH):
                     f, e, p, k = f[1:], e[1:], p[1:], k[1:]
                 if len(f):
                     parts.append((f, e, p, k))
-            f, e, _, k = (np.concatenate(x) for x in zip(*parts, strict=True))
-            out[lo] = (f, e, k)
+            f, e, p, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out[lo] = (f, e, k, p)
             continue
         data = np.frombuffer(b"\0".join(texts[lo:hi]), dtype=np.uint8)
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
         starts = [np.arange(a, b - length) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > length]
         if not starts:
             continue
-        f, e, _, k = runs(data, np.concatenate(starts))
+        f, e, p, k = runs(data, np.concatenate(starts))
         doc = np.searchsorted(bounds, f, side="right") - 1
         cut = np.searchsorted(doc, np.arange(hi - lo + 1))
         for i in range(hi - lo):
             a, b = cut[i], cut[i + 1]
-            out[lo + i] = (f[a:b] - bounds[i], e[a:b] - bounds[i], k[a:b])
+            out[lo + i] = (f[a:b] - bounds[i], e[a:b] - bounds[i], k[a:b], p[a:b] - bounds[i])
     return out
 
 
@@ -114,18 +116,18 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(ids.alias("doc_id"), text.alias("text"), F.xxhash64(ids, text, F.col("text").isNull()).alias("rid"))
 
 
-def entries(named: DataFrame, length: int = LENGTH) -> DataFrame:
+def entries(named: DataFrame) -> DataFrame:
     """(key, whole, rid, seg): the sparse suffixes of each row; whole: digest of the segment's bytes."""
 
     def scan(batches):
         for batch in batches:
             texts, rid = utf8(batch.column("text")), batch.column("rid").to_numpy()
             for lo, hi in groups_by_size(texts, 8 * _CHUNK):
-                found = segments(texts[lo:hi], length)
-                sizes = [len(f) for f, _, _ in found]
-                whole = np.array([xxhash.xxh3_64_intdigest(t[a : b + length]) for t, (f, e, _) in zip(texts[lo:hi], found, strict=True) for a, b in zip(f.tolist(), e.tolist(), strict=True)], dtype=np.uint64)
+                found = segments(texts[lo:hi])
+                sizes = [len(f) for f, _, _, _ in found]
+                whole = np.array([xxhash.xxh3_64_intdigest(t[a : b + LENGTH]) for t, (f, e, _, _) in zip(texts[lo:hi], found, strict=True) for a, b in zip(f.tolist(), e.tolist(), strict=True)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([k for _, _, k in found]).view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.repeat(rid[lo:hi], sizes)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))],
+                    [pa.array(np.concatenate([k for _, _, k, _ in found]).view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.repeat(rid[lo:hi], sizes)), pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))],
                     names=["key", "whole", "rid", "seg"],
                 )
 
@@ -158,68 +160,123 @@ class LogIndex:
         return out.distinct()
 
 
-def marks(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """The named rows, and (rid, segs, starts): segments that go as a whole, and starts of further windows that go."""
+def classify(rows: DataFrame, outer: str, whole: str, ids: list[str], tag: str) -> DataFrame:
+    """ids, goes, asks of rows that share ``outer`` with another: goes, if another row is the same as a whole; asks,
+    if a row of another kind shares outer, and this one is the only, or the first, of its kind."""
+    kinds = materialize(rows.groupBy(outer, whole).agg(F.count("*").alias("n"), F.min(F.struct(*ids)).alias("one")), f"{tag}-kinds")
+    mixed = kinds.groupBy(outer).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds = kinds.join(mixed, outer, "left").select(outer, whole, "n", "one", F.col("kinds").isNotNull().alias("mixed"))
+    kinds = materialize(kinds.filter("n > 1 or mixed"), f"{tag}-shared")
+    judged = rows.join(kinds, [outer, whole])
+    judged = judged.select(*ids, (F.col("n") > 1).alias("goes"), (F.col("mixed") & ((F.col("n") == 1) | (F.struct(*ids) == F.col("one")))).alias("asks"))
+    return materialize(judged.filter("goes or asks").distinct(), f"{tag}-judged")
+
+
+def _ask(named: DataFrame, asking: DataFrame, code, rows_of, schema: str, tag: str) -> DataFrame:
+    """What rows_of makes of each (text, segments, codes asked) of the rows that ask."""
+    asked = materialize(asking.groupBy("rid").agg(F.collect_list(code).alias("codes")), f"{tag}-asking")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def expand(batches):
+        for batch in batches:
+            texts, rid, codes = utf8(batch.column("text")), batch.column("rid").to_pylist(), batch.column("codes").to_pylist()
+            for lo, hi in groups_by_size(texts, _CHUNK):
+                out = []
+                for i, found in zip(range(lo, hi), segments(texts[lo:hi]), strict=True):
+                    out += rows_of(rid[i], texts[i], [x.tolist() for x in found], codes[i])
+                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    rows = named.select("rid", "text").join(broadcast_if_small(asked, 200_000), "rid").select("rid", "text", "codes")
+    return materialize(rows.mapInArrow(expand, schema), tag)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _offsets(found, code: int) -> tuple[int, int, int, int]:
+    """Anchor, block, and smallest and largest distance of the block's windows before the anchor."""
+    seg, block = divmod(code, _CODE)
+    first, last, _, anchor = (x[seg] for x in found)
+    return anchor, block, max(anchor - last, BLOCK * block), min(anchor - first, BLOCK * block + BLOCK - 1)
+
+
+def _blocks(rid: int, text: bytes, found, segs: list[int]):
+    """Rows (core, whole, rid, code) of the blocks of windows of the segments asked for.
+
+    Blocks are of windows BLOCK * j to BLOCK * j + BLOCK - 1 bytes before the anchor. core digests the
+    bytes that all windows of such a block share; whole those of the block's part within the segment.
+    """
+    one = xxhash.xxh3_64_intdigest
+    for seg in segs:
+        first, last, anchor = found[0][seg], found[1][seg], found[3][seg]
+        for j in range((anchor - last) // BLOCK, (anchor - first) // BLOCK + 1):
+            p, _, near, far = _offsets(found, seg * _CODE + j)
+            core = p - BLOCK * j
+            yield _signed(one(text[core : core + LENGTH - BLOCK + 1], j)), _signed(one(text[p - far : p - near + LENGTH], j)), rid, seg * _CODE + j
+
+
+def _windows(rid: int, text: bytes, found, codes: list[int]):
+    """Rows (h, rid, start) of the windows of the blocks asked for."""
+    one = xxhash.xxh3_64_intdigest
+    for code in codes:
+        p, _, near, far = _offsets(found, code)
+        for start in range(p - far, p - near + 1):
+            yield _signed(one(text[start : start + LENGTH])), rid, start
+
+
+def marks(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """The named rows, and (rid, segs, codes, starts): segments, blocks and single windows that go."""
     named = _named(docs)
-    every = materialize(entries(named, length).withColumn("batch", F.pmod("rid", F.lit(batches)).cast("int")), "entries")
+    every = materialize(entries(named).withColumn("batch", F.pmod("rid", F.lit(batches)).cast("int")), "entries")
     index = LogIndex()
     for b in range(batches):
         index.add(every.filter(F.col("batch") == b))
     keys = materialize(index.repeated(), "repeated")
     again = materialize(every.drop("batch").join(broadcast_if_small(keys), "key", "left_semi"), "again")
-    kinds = materialize(again.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "seg")).alias("one")), "kinds")
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    kinds = materialize(kinds.join(mixed, "key", "left").select("key", "whole", "n", "one", F.col("kinds").isNotNull().alias("mixed")), "kinds")
-    judged = again.join(kinds, ["key", "whole"]).select("rid", "seg", (F.col("n") > 1).alias("goes"), (F.col("mixed") & ((F.col("n") == 1) | (F.struct("rid", "seg") == F.col("one")))).alias("asks"))
-    judged = materialize(judged.filter("goes or asks").distinct(), "judged")
-    asking = materialize(judged.filter("asks").groupBy("rid").agg(F.collect_list("seg").alias("segs")), "asking")
-
-    def expand(rows):
-        for batch in rows:
-            texts, rid, asked = utf8(batch.column("text")), batch.column("rid").to_numpy(), batch.column("segs").to_pylist()
-            for lo, hi in groups_by_size(texts, _CHUNK):
-                hashes, at, who = [], [], []
-                for i, (f, e, _) in zip(range(lo, hi), segments(texts[lo:hi], length), strict=True):
-                    data = np.frombuffer(texts[i], dtype=np.uint8)
-                    for s in asked[i]:
-                        a, b = int(f[s]), int(e[s])
-                        hashes.append(_strings(data[a : b + length], length))
-                        at.append(np.arange(a, b + 1))
-                        who.append(np.full(b - a + 1, rid[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(at))], names=["h", "rid", "start"])
-
-    asked = named.select("rid", "text").join(broadcast_if_small(asking, 500_000), "rid").select("rid", "text", "segs")
-    spread = materialize(asked.mapInArrow(expand, "h bigint, rid bigint, start bigint"), "windows")
+    by_segment = classify(again, "key", "whole", ["rid", "seg"], "segments")
+    blocks = _ask(named, by_segment.filter("asks"), "seg", _blocks, "core bigint, whole bigint, rid bigint, code bigint", "blocks")
+    by_block = classify(blocks, "core", "whole", ["rid", "code"], "blocks")
+    spread = _ask(named, by_block.filter("asks"), "code", _windows, "h bigint, rid bigint, start bigint", "windows")
     shared = materialize(spread.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
     starts = spread.join(broadcast_if_small(shared), "h", "left_semi").select("rid", "start").distinct()
-    both = judged.filter("goes").select("rid", "seg", F.lit(None).cast("bigint").alias("start")).unionByName(starts.select("rid", F.lit(None).cast("int").alias("seg"), "start"))
-    return named, materialize(both.groupBy("rid").agg(F.collect_list("seg").alias("segs"), F.collect_list("start").alias("starts")), "marks")
+    none = F.lit(None).cast("bigint")
+    both = by_segment.filter("goes").select("rid", F.col("seg").cast("bigint").alias("seg"), none.alias("code"), none.alias("start"))
+    both = both.unionByName(by_block.filter("goes").select("rid", none.alias("seg"), "code", none.alias("start")))
+    both = both.unionByName(starts.select("rid", none.alias("seg"), none.alias("code"), "start"))
+    return named, materialize(both.groupBy("rid").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("seg", "code", "start")]), "marks")
 
 
-def covered(text: bytes, found, segs, starts, length: int) -> list[tuple[int, int]]:
+def covered(found, segs: list[int], codes: list[int], starts: list[int]) -> list[tuple[int, int]]:
     """The maximal removed byte runs of one text."""
-    first, last, _ = found
-    s = np.array(sorted(segs), dtype=np.int64)
-    a = np.concatenate([first[s], np.array(sorted(starts), dtype=np.int64)]).astype(np.int64)
-    b = np.concatenate([last[s] + length, np.array(sorted(starts), dtype=np.int64) + length]).astype(np.int64)
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], np.maximum.accumulate(b[order]) if len(a) else b
-    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]])) if len(a) else np.zeros(0, dtype=np.int64)
-    return [(int(a[i]), int(b[j])) for i, j in zip(new, [*(new[1:] - 1), len(a) - 1], strict=False)]
+    found = [x.tolist() for x in found]
+    gone = [(found[0][s], found[1][s] + LENGTH) for s in segs]
+    for code in codes:
+        p, _, near, far = _offsets(found, code)
+        gone.append((p - far, p - near + LENGTH))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([*gone, *((s, s + LENGTH) for s in starts)]):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (removed byte runs) of each row."""
-    named, found = marks(docs, length, batches)
+    named, found = marks(docs, batches)
 
     def cut(rows):
         kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         for batch in rows:
-            texts, segs, starts = utf8(batch.column("text")), batch.column("segs").to_pylist(), batch.column("starts").to_pylist()
+            texts = utf8(batch.column("text"))
+            segs, codes, starts = (batch.column(c).to_pylist() for c in ("segs", "codes", "starts"))
             for lo, hi in groups_by_size(texts, _CHUNK):
                 kept, spans = [], []
-                for i, x in zip(range(lo, hi), segments(texts[lo:hi], length), strict=True):
-                    gone, at, left = covered(texts[i], x, segs[i], starts[i], length), 0, []
+                for i, x in zip(range(lo, hi), segments(texts[lo:hi]), strict=True):
+                    gone, at, left = covered(x, segs[i], codes[i], starts[i]), 0, []
                     for a, b in gone:
                         left.append(texts[i][at:a])
                         at = b
@@ -229,13 +286,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
     schema = "doc_id bigint, n_bytes bigint, kept binary, spans array<struct<s: bigint, e: bigint>>"
     rids = broadcast_if_small(found.select("rid"))
-    touched = named.join(rids, "rid", "left_semi").join(found, "rid").select("doc_id", "text", "segs", "starts").mapInArrow(cut, schema)
+    touched = named.join(rids, "rid", "left_semi").join(found, "rid").select("doc_id", "text", "segs", "codes", "starts").mapInArrow(cut, schema)
     whole = named.join(rids, "rid", "left_anti").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.encode("text", "utf-8").alias("kept"), F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("spans"))
     return touched.unionByName(whole)
 
 
-def report(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    out = remove_repeats(docs, length, batches)
+def report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    out = remove_repeats(docs, batches)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
