@@ -1,4 +1,414 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, and the SQL that must give the same rows.
+
+Members are documents of even id. Code operators run on ``pages.html`` and on the inline samples below,
+which the SQL repeats as VALUES.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import data, elements, learned, lm, metrics, perturb, registry, report, scores
+from ..sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    return f"{root}/tidewake-{uuid.uuid4().hex}"
+
+
+# --- samples
+
+SAMPLES = "samples AS (SELECT text, CAST(doc_id AS VARCHAR) AS blob_id, CAST(1 - doc_id % 2 AS INTEGER) AS label FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0)"
+
+
+def collection(spark, d, label: int) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.filter(F.pmod("doc_id", F.lit(2)) == 1 - label).select(F.col("text").alias("content"), F.col("doc_id").cast("string").alias("blob_id"))
+
+
+def samples(spark, d) -> DataFrame:
+    return data.samples(collection(spark, d, 1), 1).unionByName(data.samples(collection(spark, d, 0), 0))
+
+
+def members(spark, d) -> DataFrame:
+    return data.samples(collection(spark, d, 1), 1)
+
+
+def model(spark, d) -> lm.NGramLM:
+    return lm.NGramLM(members(spark, d))
+
+
+query("src_parquet_scan", "SELECT text AS content, CAST(doc_id AS VARCHAR) AS blob_id FROM documents")(lambda s, d: table(s, d, "documents").select(F.col("text").alias("content"), F.col("doc_id").cast("string").alias("blob_id")))
+query("filter_nonblank", f"WITH {SAMPLES} SELECT blob_id FROM samples")(lambda s, d: samples(s, d).select("blob_id"))
+query("proj_sample", f"WITH {SAMPLES} SELECT * FROM samples")(samples)
+query("union_all", f"WITH {SAMPLES} SELECT label, count(*) AS n, count(DISTINCT text) AS texts FROM samples GROUP BY label")(lambda s, d: samples(s, d).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")))
+query("proj_label", f"WITH {SAMPLES} SELECT blob_id, label FROM samples")(lambda s, d: samples(s, d).select("blob_id", "label"))
+query("blob_id_fallback", "SELECT CASE WHEN doc_id % 3 = 0 OR doc_id = 0 THEN sha1(text) ELSE CAST(doc_id AS VARCHAR) END AS blob_id FROM documents")(
+    lambda s, d: table(s, d, "documents").select(data.blob_id(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")), F.col("text")).alias("blob_id"))
+)
+query("take_n", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 1000")(lambda s, d: files.take_n(table(s, d, "documents").select("doc_id"), 1000, "doc_id"))
+query("preview_parquet", "SELECT '<unknown>' AS name, CAST(doc_id AS VARCHAR) AS blob_id, CAST(length(text) AS INTEGER) AS n_chars, substr(text, 1, 40) AS head FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 10")(
+    lambda s, d: files.preview(table(s, d, "documents").select(F.col("text").alias("content"), F.col("doc_id").cast("string").alias("blob_id")), 10, prefix=40)
+)
+query("agg_nonempty_count", f"WITH {SAMPLES} SELECT (SELECT count(*) FROM documents) AS rows, count(*) AS nonblank FROM samples")(lambda s, d: files.row_counts(table(s, d, "documents"), "text"))
+
+
+def _part(purpose: str) -> str:
+    return f"{SAMPLES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|{purpose}|' || blob_id || '|' || text), blob_id, text) AS r, count(*) OVER (PARTITION BY label) AS c, count(*) OVER () AS t FROM samples)"
+
+
+query("sample_exact", f"WITH {_part('sample')} SELECT blob_id, label FROM ranked WHERE r <= greatest(1, floor(c * 0.3::DOUBLE))")(lambda s, d: data.sample_exact(samples(s, d), 0.3).select("blob_id", "label"))
+_QUOTA = """, q AS (SELECT label, c, t, floor(t * 0.8::DOUBLE) AS size FROM (SELECT DISTINCT label, c, t FROM ranked)),
+e AS (SELECT label, floor(size * c / t) AS low, round(size * c / t - floor(size * c / t), 9) AS rest, size FROM q),
+n AS (SELECT label, low + CASE WHEN row_number() OVER (ORDER BY rest DESC, label) <= size - sum(low) OVER () THEN 1 ELSE 0 END AS n FROM e)"""
+_SPLIT = f"{_part('split')}{_QUOTA}, split AS (SELECT text, blob_id, label, CASE WHEN r <= n THEN 'train' ELSE 'test' END AS split FROM ranked JOIN n USING (label))"
+query("stratified_split", f"WITH {_SPLIT} SELECT blob_id, label, split FROM split")(lambda s, d: data.stratified_split(samples(s, d)).select("blob_id", "label", "split"))
+query("agg_label_counts", f"WITH {_SPLIT} SELECT split, sum(label)::BIGINT AS members, sum(1 - label)::BIGINT AS others FROM split GROUP BY split")(lambda s, d: data.label_counts(data.stratified_split(samples(s, d))))
+_VAL = _QUOTA.replace("floor(t * 0.8::DOUBLE)", "t - ceil(t * 0.5::DOUBLE)")
+query("val_split", f"WITH {_part('val')}{_VAL} SELECT blob_id, CASE WHEN r <= n THEN 'fit' ELSE 'val' END AS split FROM ranked JOIN n USING (label)")(lambda s, d: data.val_split(samples(s, d)).select("blob_id", "split"))
+query("anti_duplicates", f"WITH {SAMPLES} SELECT blob_id FROM samples WHERE label = 0 AND text NOT IN (SELECT text FROM samples WHERE label = 1)")(
+    lambda s, d: data.without_seen(data.samples(collection(s, d, 0), 0), members(s, d)).select("blob_id")
+)
+
+# --- acquisition, on inline rows
+
+_ACQ = [
+    (1, [("a1", "Python", None, "x/a.txt"), ("a2", "C", None, "x/b.c"), None]),
+    (2, [("a3", None, "PYTHON", None), ("a4", None, None, "y/Main.PY"), ("a5", "Go", "python", "z.py.bak")]),
+    (3, None),
+    (4, []),
+]
+_FILE = "struct<blob_id:string,language:string,lang:string,path:string>"
+_ACQ_SQL = "f(row_id, blob_id, language, lang, path) AS (VALUES (1, 'a1', 'Python', NULL, 'x/a.txt'), (1, 'a2', 'C', NULL, 'x/b.c'), (2, 'a3', NULL, 'PYTHON', NULL), (2, 'a4', NULL, NULL, 'y/Main.PY'), (2, 'a5', 'Go', 'python', 'z.py.bak'))"
+
+
+def acquired(spark) -> DataFrame:
+    return spark.createDataFrame(_ACQ, f"row_id bigint, files array<{_FILE}>")
+
+
+query("explode_files", f"WITH {_ACQ_SQL} SELECT blob_id, language, lang, path FROM f")(lambda s, d: files.explode_files(acquired(s)))
+
+
+@query("filter_python_file", f"WITH {_ACQ_SQL} SELECT blob_id FROM f WHERE lower(coalesce(language, lang, '')) = 'python' OR lower(coalesce(path, '')) LIKE '%.py'")
+def _python_files(s, d):
+    rows = files.explode_files(acquired(s))
+    return rows.filter(files.is_python_file(rows)).select("blob_id")
+
+
+_FLAGS = [(i, e, n) for i, (e, n) in enumerate((e, n) for e in (True, False, None) for n in (True, False, None))]
+_FLAGS_SQL = "flags(id, e, n) AS (VALUES " + ", ".join(f"({i}, {'NULL' if e is None else e}, {'NULL' if n is None else n})" for i, e, n in _FLAGS) + ")"
+
+
+@query("filter_non_duplicates", f"WITH {_FLAGS_SQL} SELECT CAST(id AS BIGINT) AS id FROM flags WHERE NOT coalesce(CAST(e AS BOOLEAN), FALSE) AND NOT coalesce(CAST(n AS BOOLEAN), FALSE)")
+def _non_duplicates(s, d):
+    rows = s.createDataFrame(_FLAGS, "id bigint, exact_duplicates_stackv2 boolean, near_duplicates_stackv2 boolean")
+    return rows.filter(files.not_duplicate(rows)).select("id")
+
+
+query("filter_fetch_ok", "SELECT blob_id FROM (VALUES ('a', 'x', NULL), ('b', NULL, 404), ('c', NULL, NULL), ('d', '', NULL)) v(blob_id, content, status_code) WHERE status_code IS NULL AND content IS NOT NULL")(
+    lambda s, d: files.fetch_ok(s.createDataFrame([("a", "x", None), ("b", None, 404), ("c", None, None), ("d", "", None)], "blob_id string, content string, status_code int")).select("blob_id")
+)
+
+
+@query("fetch_content")
+def _fetch(s, d):
+    replies = {"a": (200, "é".encode("latin-1")), "b": (404, b""), "c": (429, b"")}
+    rows = s.createDataFrame([("a", "latin-1"), ("b", None), ("c", None), (None, None)], "blob_id string, src_encoding string")
+    return files.fetch_content(rows, replies.__getitem__, retries=1, wait=0.0)
+
+
+# --- scalar functions
+
+_WORDS = [("hello world", "hallo wrld"), ("kitten", "sitting"), (" same ", "same"), ("", ""), ("", "abc"), ("ñandú", "nandu")]
+query("py_strip", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", tx.py_strip("text").alias("stripped")))
+query("py_splitlines", "SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS INTEGER) AS lines FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C]') AS l FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(tx.py_splitlines("text")).alias("lines")))
+query("sha1_hex", "SELECT doc_id, sha1(text) AS h FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.sha1("text").alias("h")))
+query("slice_len_find", "SELECT doc_id, substr(text, 6, 10) AS part, CAST(length(text) AS INTEGER) AS n, CAST(strpos(text, ' ') - 1 AS INTEGER) AS at FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", tx.py_slice("text", F.lit(5), F.lit(15)).alias("part"), F.length("text").alias("n"), tx.find_from("text", " ", 0).alias("at"))
+)
+query("fuzz_ratio", "SELECT * FROM (VALUES ('hello world', 'hallo wrld', 86), ('kitten', 'sitting', 62), (' same ', 'same', 100), ('', '', 100), ('', 'abc', 0), ('ñandú', 'nandu', 60)) v(a, b, ratio)")(
+    lambda s, d: s.createDataFrame(_WORDS, "a string, b string").select("a", "b", tx.fuzz_ratio("a", "b").alias("ratio"))
+)
+query("cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity([x::DOUBLE for x in a.embedding], [x::DOUBLE for x in b.embedding]), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
+    lambda s, d: (lambda e: e.select(F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x")).join(e.select(F.col("vec_id").alias("b"), F.col("embedding").cast("array<double>").alias("y")), F.col("b") == F.col("a") + 1).select("a", "b", F.round(tx.cosine("x", "y"), 6).alias("cos")))(table(s, d, "embeddings"))
+)
+query("draws", "SELECT doc_id, CAST('0x' || substr(md5('42|d|' || doc_id), 1, 8) AS BIGINT) AS draw FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", tx.draw_int(42, "d", "doc_id").alias("draw")))
+
+# --- bigram model and scores
+
+_LM = f"""{SAMPLES}, tok AS (SELECT blob_id, label, regexp_extract_all(text, '[^ \\t-\\r]+') AS t FROM samples),
+pos AS (SELECT blob_id, label, i AS pos, t[i] AS prev, t[i + 1] AS token FROM (SELECT blob_id, label, t, unnest(generate_series(1, len(t) - 1)) AS i FROM tok)),
+c2 AS (SELECT prev, token, count(*) AS c2 FROM pos WHERE label = 1 GROUP BY ALL), c1 AS (SELECT prev, sum(c2) AS c1 FROM c2 GROUP BY prev),
+v AS (SELECT count(DISTINCT w) AS v FROM (SELECT unnest(t) AS w FROM tok WHERE label = 1)),
+lp AS (SELECT blob_id, label, pos, token, ln((coalesce(c2, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + 0.1::DOUBLE * v)) AS lp FROM pos LEFT JOIN c2 USING (prev, token) LEFT JOIN c1 USING (prev), v)"""
+_CUT = f"{_LM}, lpc AS (SELECT * FROM lp WHERE pos < 2048), rk AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY lp) AS low, count(*) OVER (PARTITION BY blob_id) AS n FROM lpc)"
+_SCORED = "SELECT s.blob_id, s.label, round(score, 6) AS score FROM samples s LEFT JOIN x USING (blob_id)"
+_LOSS = f"{_LM}, x AS (SELECT blob_id, avg(lp) AS score FROM lp WHERE pos < 2048 GROUP BY blob_id)"
+_MKP = f"{_CUT}, x AS (SELECT blob_id, avg(lp) AS score FROM rk WHERE low <= greatest(1, floor(n * 0.3::DOUBLE)) GROUP BY blob_id)"
+_PD = f"""{_CUT}, w AS (SELECT *, least(5, n) AS f, least(30, n) AS m FROM rk), w2 AS (SELECT *, CASE WHEN f + m > n THEN greatest(1, floor(m * (n::DOUBLE / (f + m)))) ELSE m END AS m2, CASE WHEN f + m > n THEN greatest(1, floor(f * (n::DOUBLE / (f + m)))) ELSE f END AS f2 FROM w),
+x AS (SELECT blob_id, avg(CASE WHEN n - low < f2 THEN lp END) - avg(CASE WHEN low <= m2 THEN lp END) AS score FROM w2 GROUP BY blob_id)"""
+_r = lambda df: df.withColumn("score", F.round("score", 6))
+
+query("lm_token_logprobs", f"WITH {_LM} SELECT blob_id, CAST(pos AS INTEGER) AS pos, token, round(lp, 6) AS lp FROM lp")(lambda s, d: model(s, d).token_logprobs(samples(s, d)).select("blob_id", "pos", "token", F.round("lp", 6).alias("lp")))
+query("win_prev_token", f"WITH {_LM} SELECT blob_id, CAST(pos AS INTEGER) AS pos, prev, token FROM pos")(lambda s, d: lm.positions(samples(s, d)))
+query("lm_truncate", f"WITH {_LM} SELECT blob_id, array_to_string(t[1:16], ' ') AS head, array_to_string(t[greatest(1, len(t) - 15):], ' ') AS tail FROM tok")(
+    lambda s, d: samples(s, d).select("blob_id", F.array_join(lm.truncate(lm.tokenize("text"), 16), " ").alias("head"), F.array_join(lm.truncate(lm.tokenize("text"), 16, keep_end=True), " ").alias("tail"))
+)
+query("lookup_token_logprob", f"WITH {_LM} SELECT prev, token, round(ln((coalesce(c2, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + 0.1::DOUBLE * v)), 6) AS lp FROM (SELECT DISTINCT prev, token FROM pos) LEFT JOIN c2 USING (prev, token) LEFT JOIN c1 USING (prev), v")(
+    lambda s, d: model(s, d).pair_logprobs(lm.positions(samples(s, d))).select("prev", "token", F.round("lp", 6).alias("lp"))
+)
+query("agg_mean_logprob", f"WITH {_LOSS} {_SCORED}")(lambda s, d: _r(scores.loss_attack(model(s, d), samples(s, d))))
+query("attack_loss", f"WITH {_LOSS} {_SCORED}")(QUERIES["agg_mean_logprob"])
+query("agg_min_k", f"WITH {_MKP} {_SCORED}")(lambda s, d: _r(scores.min_k_attack(model(s, d), samples(s, d))))
+query("attack_mkp", f"WITH {_MKP} {_SCORED}")(QUERIES["agg_min_k"])
+query("win_rank_logprob", f"WITH {_CUT} SELECT blob_id, CAST(low AS INTEGER) AS low, round(lp, 6) AS lp FROM rk WHERE low <= 5")(lambda s, d: scores._ranked(model(s, d).token_logprobs(samples(s, d), 2048), ("blob_id",)).filter("low <= 5").select("blob_id", "low", F.round("lp", 6).alias("lp")))
+query("agg_polarized_distance", f"WITH {_PD} SELECT blob_id, round(score, 6) AS score FROM x")(lambda s, d: _r(scores.polarized_distance(model(s, d).token_logprobs(samples(s, d), 2048))))
+query("win_token_chunks", f"WITH {_LM} SELECT blob_id, CAST(floor(pos / 64) AS INTEGER) AS chunk, count(*) AS scored FROM pos WHERE pos % 64 <> 0 GROUP BY ALL")(lambda s, d: lm.chunked_positions(samples(s, d), 64).groupBy("blob_id", "chunk").agg(F.count("*").alias("scored")))
+query("token_swap")(lambda s, d: scores.swap_tokens(samples(s, d).select("blob_id", "text")).select("blob_id", "variant", F.sha1("text").alias("h")))
+query("attack_pac")(lambda s, d: scores.swap_attack(model(s, d), samples(s, d)))
+query("agg_pac", "WITH v AS (SELECT user_id, CAST(event_id % 6 AS INTEGER) AS variant, avg(value) AS score FROM events GROUP BY ALL) SELECT CAST(user_id AS VARCHAR) AS blob_id, round(CASE WHEN count(*) FILTER (variant > 0) = 0 THEN 0.0 ELSE max(CASE WHEN variant = 0 THEN score END) - avg(CASE WHEN variant > 0 THEN score END) END, 6) AS score FROM v GROUP BY user_id")(
+    lambda s, d: _r(scores.combine_mutants(table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("blob_id"), (F.col("event_id") % 6).cast("int").alias("variant")).agg(F.avg("value").alias("score"))))
+)
+query("ppl_text", f"WITH {_LM}, m AS (SELECT blob_id, avg(lp) AS m FROM lp GROUP BY blob_id) SELECT s.blob_id, round(ln(CASE WHEN m IS NULL THEN 1e6::DOUBLE ELSE exp(-m) END), 6) AS log_ppl FROM samples s LEFT JOIN m USING (blob_id)")(
+    lambda s, d: lm.perplexity(model(s, d), samples(s, d)).select("blob_id", F.round(F.log("ppl"), 6).alias("log_ppl"))
+)
+query("lm_successors", f"WITH {_LM} SELECT prev, token FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY c2 DESC, token) AS r FROM c2) WHERE r = 1")(lambda s, d: model(s, d).successors())
+query("lm_generate")(lambda s, d: model(s, d).generate(samples(s, d).select("blob_id", "text"), 50).select("blob_id", "output"))
+
+# --- evaluation
+
+_ROC = """sc AS (%s), g AS (SELECT score, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM sc GROUP BY score),
+k AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM g),
+pt AS (SELECT fp / n::DOUBLE AS fpr, tp / p::DOUBLE AS tpr, score FROM k UNION ALL SELECT 0.0, 0.0, NULL)"""
+_TPR = "(SELECT coalesce((SELECT lt + (rt - lt) * (%s::DOUBLE - lf) / (rf - lf) FROM (SELECT fpr AS rf, tpr AS rt FROM pt WHERE fpr > %s ORDER BY fpr, tpr LIMIT 1)), lt) FROM (SELECT fpr AS lf, tpr AS lt FROM pt WHERE fpr <= %s ORDER BY fpr DESC, tpr DESC LIMIT 1))"
+_METRICS = f"""SELECT 'roc auc' AS metric, round((SELECT sum((fpr - pf) * (tpr + pt_)) / 2 FROM (SELECT fpr, tpr, lag(fpr) OVER (ORDER BY fpr, tpr) AS pf, lag(tpr) OVER (ORDER BY fpr, tpr) AS pt_ FROM pt)), 6) AS value
+UNION ALL SELECT 'TPR @ 1% FPR', round({_TPR % ((0.01,) * 3)}, 6) UNION ALL SELECT 'TPR @ 0.1% FPR', round({_TPR % ((0.001,) * 3)}, 6)"""
+_m = lambda df: metrics.metrics(df).withColumn("value", F.round("value", 6))
+_EVENTS = "SELECT round(value, 1) AS score, CAST(user_id % 2 AS INTEGER) AS label FROM events"
+
+
+def event_scores(s, d) -> DataFrame:
+    return table(s, d, "events").select(F.round("value", 1).alias("score"), (F.col("user_id") % 2).cast("int").alias("label"))
+
+
+def line_scores(s, d) -> DataFrame:
+    return table(s, d, "lineitem").select(F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") % 2).cast("int").alias("label"))
+
+
+_curve = lambda df: metrics.roc_curve(df).select(F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+query("agg_roc_curve", f"WITH {_ROC % _EVENTS} SELECT round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM pt")(lambda s, d: _curve(event_scores(s, d)))
+query("win_cumulative_roc", f"WITH {_ROC % _EVENTS} SELECT score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM k")(lambda s, d: metrics.roc_counts(event_scores(s, d)).select("score", "tp", "fp"))
+query("agg_roc_auc", f"WITH {_ROC % _EVENTS}, r AS ({_METRICS}) SELECT * FROM r WHERE metric = 'roc auc'")(lambda s, d: _m(event_scores(s, d)).filter("metric = 'roc auc'"))
+query("agg_tpr_at_fpr", f"WITH {_ROC % _EVENTS}, r AS ({_METRICS}) SELECT * FROM r WHERE metric <> 'roc auc'")(lambda s, d: _m(event_scores(s, d)).filter("metric <> 'roc auc'"))
+query("roc_metrics_lineitem", f"WITH {_ROC % 'SELECT l_extendedprice AS score, CAST(l_orderkey % 2 AS INTEGER) AS label FROM lineitem'} {_METRICS}")(lambda s, d: _m(line_scores(s, d)))
+query("attack_loss_metrics", f"WITH {_LOSS}, {_ROC % 'SELECT round(coalesce(score, -100.0), 6) AS score, s.label FROM samples s LEFT JOIN x USING (blob_id)'} {_METRICS}")(lambda s, d: _m(_r(scores.loss_attack(model(s, d), samples(s, d)).fillna(-100.0, ["score"]))))
+query("metrics_undefined", "SELECT * FROM (VALUES ('roc auc', NULL::DOUBLE), ('TPR @ 1% FPR', NULL), ('TPR @ 0.1% FPR', NULL)) v(metric, value)")(lambda s, d: _m(event_scores(s, d).filter("label = 1")))
+
+
+@query("src_predictions_csv", f"SELECT CAST(event_id AS VARCHAR) AS blob_id, label, score FROM (SELECT event_id, round(value, 1) AS score, CAST(user_id % 2 AS INTEGER) AS label FROM events)")
+def _predictions(s, d):
+    path = scratch(s)
+    files.write_csv(table(s, d, "events").select(F.col("event_id").cast("string").alias("blob_id"), (F.col("user_id") % 2).cast("int").alias("label"), F.round("value", 1).alias("score")), path)
+    return files.read_predictions(s, path)
+
+
+query("recompute_metrics", f"WITH {_ROC % _EVENTS} {_METRICS}")(lambda s, d: _m(_predictions(s, d)))
+
+# --- runs
+
+_RUNS = [
+    ("loss_1", 0, "roc auc", "0.5"), ("loss_1", 1, "TPR @ 1% FPR", "n/a"), ("loss_2", 0, "roc auc", "0.7"), ("loss_2", 1, "roc auc", "0.9"),
+    ("bow_a_b", 0, "roc auc", "0.99"), ("bow_a_b", 1, None, "1"), ("bow", 0, "TPR @ 1% FPR", "0.25"),
+]
+_RUNS_SQL = "runs(run_folder, row_idx, metric, value) AS (VALUES " + ", ".join(f"('{a}', {b}, {'NULL' if c is None else repr(c)}, '{v}')" for a, b, c, v in _RUNS) + """),
+last AS (SELECT run_folder, metric, arg_max(value, row_idx) AS raw FROM runs WHERE metric IS NOT NULL GROUP BY ALL),
+uni AS (SELECT run_folder, string_split(run_folder, '_')[1] AS attack_name, metric, try_cast(raw AS DOUBLE) AS value FROM last)"""
+
+
+def runs(s) -> DataFrame:
+    return s.createDataFrame(_RUNS, "run_folder string, row_idx bigint, metric string, value string")
+
+
+@query("src_metrics_csv", f"WITH {_RUNS_SQL} SELECT run_folder, metric, raw AS value FROM last")
+def _run_folders(s, d):
+    root = scratch(s)
+    for folder in sorted({r[0] for r in _RUNS}):
+        part = runs(s).filter(F.col("run_folder") == folder).orderBy("row_idx").select("metric", "value").coalesce(1)
+        part.write.option("header", True).csv(f"{root}/{folder}/metrics.csv")
+    raw = s.read.schema(files.METRICS).csv(f"{root}/*/metrics.csv", header=True)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.csv/", 1)
+    rows = raw.select(folder.alias("run_folder"), F.monotonically_increasing_id().alias("row_idx"), "metric", "value")
+    return report.last_metrics(rows)
+
+
+query("src_run_folders", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder FROM runs")(lambda s, d: _run_folders(s, d).select("run_folder").distinct())
+query("split_attack_and_id", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder, CASE WHEN strpos(run_folder, '_') > 0 THEN substr(run_folder, 1, strpos(run_folder, '_') - 1) ELSE run_folder END AS attack, CASE WHEN strpos(run_folder, '_') > 0 THEN substr(run_folder, strpos(run_folder, '_') + 1) ELSE '' END AS id FROM runs")(
+    lambda s, d: runs(s).select("run_folder", *[c.alias(n) for c, n in zip(report.split_run(F.col("run_folder")), ("attack", "id"), strict=True)]).distinct()
+)
+query("union_metric_columns", f"WITH {_RUNS_SQL} SELECT attack_name, run_folder, max(CASE WHEN metric = 'TPR @ 1% FPR' THEN value END) AS \"TPR @ 1% FPR\", max(CASE WHEN metric = 'roc auc' THEN value END) AS \"roc auc\" FROM uni GROUP BY ALL")(lambda s, d: report.unify_wide(runs(s)))
+query("agg_attack_mean", f"WITH {_RUNS_SQL} SELECT metric, attack_name, round(avg(value), 9) AS mean FROM uni WHERE value IS NOT NULL GROUP BY ALL")(lambda s, d: report.attack_means(runs(s)).withColumn("mean", F.round("mean", 9)))
+query("pred_not_numeric", f"WITH {_RUNS_SQL} SELECT run_folder, metric, value FROM uni WHERE value IS NOT NULL")(lambda s, d: report.unify_long(runs(s)).filter("value is not null").select("run_folder", "metric", "value"))
+query("sink_dashboard")(lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s))),)], "page string"))
+
+# --- code elements
+
+CODE = [
+    (1, '"""Top doc."""\nimport os\n\n# a note\nclass Foo(Base):\n    def run(self, x):\n        y = x + 1  # inline\n        return "text"\n'),
+    (2, "def outer(\n    a,\n    b=2,\n):\n    z: int = a\n    w = q = 3\n    s = 'one' + \"two\"\n    return z\n"),
+    (3, "class A:\n    pass\nclass B(A):\n    '''inner\n    lines'''\n    k = ''\n#\nn = n = 4\n"),
+    (4, ""),
+    (5, "def (\nclass\n"),
+    (6, "x = 1\nif x == 2:\n    print('deux', \"zwei\")\n"),
+]
+_CODE_SQL = "code(code_id, code) AS (VALUES " + ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in CODE) + ")"
+_ID = "[a-zA-Z_][a-zA-Z0-9_]*"
+_RE2 = {"comments": ("\\s*#(.*)", 1), "function_names": (f"def\\s+({_ID})\\s*\\(([\\s\\S]*?)\\)", 1), "class_names": (f"class\\s+({_ID})\\s*(?:\\(([\\s\\S]*?)\\))?", 1), "variable_names": (f"({_ID})(?:\\s*:\\s*[^=]*?)?\\s*=", 1)}
+
+
+def code(s) -> DataFrame:
+    return s.createDataFrame(CODE, "code_id bigint, text string").withColumn("blob_id", F.col("code_id").cast("string"))
+
+
+def _values(level: str, source: str, ident: str, text: str) -> str:
+    pattern, group = _RE2[level]
+    return f"SELECT CAST({ident} AS VARCHAR) AS blob_id, CAST(i - 1 AS INTEGER) AS ord, v[i] AS value, TRUE AS exact FROM (SELECT {ident}, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT {ident}, regexp_extract_all({text}, '{pattern}', {group}) AS v FROM {source}))"
+
+
+def _quoted(marks: tuple, body: str, source: str, ident: str, text: str) -> str:
+    both = "|".join(f"{m}{body}{m}" for m in marks).replace("'", "''")
+    n = len(marks[0])
+    return f"SELECT CAST({ident} AS VARCHAR) AS blob_id, CAST(i - 1 AS INTEGER) AS ord, substr(v[i], {n + 1}, length(v[i]) - {2 * n}) AS value, TRUE AS exact FROM (SELECT {ident}, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT {ident}, regexp_extract_all({text}, '{both}') AS v FROM {source}))"
+
+
+def _extract(level: str, pages: bool):
+    def run(s, d):
+        rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text")) if pages else code(s)
+        found = rows.select("blob_id", "text", F.posexplode(elements.elements_of(level, F.col("text"))).alias("ord", "e"))
+        same = F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")) == F.col("e.value")
+        return found.select("blob_id", "ord", F.col("e.value").alias("value"), same.alias("exact"))
+
+    return run
+
+
+for _name, _level in (("ext_comments", "comments"), ("ext_functions", "function_names"), ("ext_classes", "class_names"), ("ext_variables", "variable_names")):
+    query(_name, f"WITH {_CODE_SQL} " + _values(_level, "code", "code_id", "code"))(_extract(_level, False))
+query("ext_docstrings", f"WITH {_CODE_SQL} " + _quoted(('"""', "'''"), "[\\s\\S]*?", "code", "code_id", "code"))(_extract("docstrings", False))
+query("ext_strings", f"WITH {_CODE_SQL} " + _quoted(('"', "'"), ".+?", "code", "code_id", "code"))(_extract("strings", False))
+query("ext_variables_pages", _values("variable_names", "pages", "page_id", "html"))(_extract("variable_names", True))
+query("ext_strings_pages", _quoted(('"', "'"), ".+?", "pages", "page_id", "html"))(_extract("strings", True))
+_VARS = f"v AS ({_values('variable_names', 'pages', 'page_id', 'html')})"
+
+
+def page_variables(s, d) -> DataFrame:
+    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text"))
+    return elements.extract(rows).filter("level = 'variable_names'")
+
+
+query("cap_elements", f"WITH {_VARS} SELECT blob_id, ord, value FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY md5('42|cap|' || blob_id || '|variable_names|' || ord), ord) AS r FROM v) WHERE r <= 20")(lambda s, d: elements.cap(page_variables(s, d)).select("blob_id", "ord", "value"))
+query("pred_short_element", f"WITH {_VARS} SELECT blob_id, ord FROM v WHERE length(trim(value)) >= 2")(lambda s, d: page_variables(s, d).filter(elements.long_enough()).select("blob_id", "ord"))
+
+
+@query("fim_prompt")
+def _fim(s, d):
+    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text"))
+    return elements.prompts(rows, elements.cap(page_variables(s, d))).select("blob_id", "ord", "prompt")
+
+
+@query("win_char_context", f"WITH {_CODE_SQL}, at AS (SELECT code_id, code, strpos(code, 'return') - 1 AS a FROM code WHERE strpos(code, 'return') > 0) SELECT CAST(code_id AS VARCHAR) AS blob_id, substr(code, 1, a) AS prefix, substr(code, a + 7, 3000) AS suffix, '<file_sep><fim_prefix>' || substr(code, 1, a) || '<fim_suffix>' || substr(code, a + 7, 3000) || '<fim_middle>' AS prompt FROM at")
+def _context(s, d):
+    at = code(s).withColumn("start", F.locate("return", "text") - 1).filter("start >= 0").withColumn("end", F.col("start") + 6)
+    return elements.prompts(code(s).select("blob_id", "text"), at.select("blob_id", "start", "end")).select("blob_id", "prefix", "suffix", "prompt")
+
+
+_CUTS = [("p<fim_middle> abc: d", "class_names", None), ("p<fim_middle>name (x", "function_names", None), ("p<fim_middle>v = 1", "variable_names", None), ("p<fim_middle>it's", "strings", "'"), ("q<fim_middle>one\ntwo", "comments", None), ("none<file_sep>", "strings", '"')]
+query("infill_truncate", "SELECT * FROM (VALUES ('abc'), ('name'), ('v'), ('it'), ('one'), ('none')) t(cut)")(lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select(elements.cut_infill(F.col("o"), elements.stops()).alias("cut")))
+_HITS = [("class_names", "Foo", " foo "), ("function_names", "run", "runs"), ("strings", "hello world", "hallo wrld"), ("comments", "kitten", "sitting"), ("docstrings", "abc", "too_many_tokens"), ("variable_names", "x1", None)]
+query("hit_exact", "SELECT * FROM (VALUES ('class_names', 1), ('function_names', 0), ('variable_names', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
+query("hit_fuzzy", "SELECT * FROM (VALUES ('strings', 1), ('comments', 0), ('docstrings', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(~F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
+query("agg_hit_ratio", "SELECT CAST(user_id AS VARCHAR) AS blob_id, coalesce(avg(CASE WHEN event_id % 2 = 0 THEN (event_id % 3 = 0)::INT END), 0.0) AS strings_hits, count(CASE WHEN event_id % 2 = 0 THEN 1 END)::DOUBLE AS strings_total, coalesce(avg(CASE WHEN event_id % 2 = 1 THEN (event_id % 3 = 0)::INT END), 0.0) AS comments_hits, count(CASE WHEN event_id % 2 = 1 THEN 1 END)::DOUBLE AS comments_total FROM events GROUP BY user_id")(
+    lambda s, d: (lambda e: elements.features(e.select("blob_id").distinct(), e).select("blob_id", "strings_hits", "strings_total", "comments_hits", "comments_total"))(
+        table(s, d, "events").select(F.col("user_id").cast("string").alias("blob_id"), F.when(F.col("event_id") % 2 == 0, "strings").otherwise("comments").alias("level"), (F.col("event_id") % 3 == 0).cast("int").alias("hit"))
+    )
+)
+query("trawic_features")(lambda s, d: elements.features(samples(s, d), elements.infill_hits(model(s, d), samples(s, d).select("blob_id", "text"))))
+query("attack_trawic")(lambda s, d: registry.run_attack("trawic", samples(s, d), model=model(s, d)))
+
+# --- perturbations and stability
+
+_LINES = f"WITH {_CODE_SQL}, n AS (SELECT CAST(code_id AS VARCHAR) AS blob_id, code, len(string_split(code, chr(10))) - CASE WHEN code = '' OR ends_with(code, chr(10)) THEN 1 ELSE 0 END AS n FROM code)"
+_GROWTH = {1: 2, 2: 2, 3: 1, 4: 1, 7: 1, 8: 1, 9: 2, 10: 2, 11: 2}
+
+
+@query("perturb_line_growth", _LINES + " SELECT blob_id, CAST(variant AS INTEGER) AS variant, CAST(n + g AS INTEGER) AS lines FROM n, (VALUES " + ", ".join(f"({k}, {g})" for k, g in _GROWTH.items()) + ") g(variant, g) WHERE n > 0")
+def _growth(s, d):
+    rows = perturb.variants(code(s).select("blob_id", "text"), "text").filter(F.col("variant").isin(*_GROWTH) & (F.col("text") != ""))
+    return rows.select("blob_id", F.col("variant").cast("int").alias("variant"), F.size(tx.py_splitlines("code")).alias("lines"))
+
+
+for _k, _f in perturb.VARIANTS.items():
+    query(_k)(lambda s, d, f=_f: code(s).select("blob_id", f(F.col("text")).alias("code")))
+query("false_loop_while", _LINES + ", l AS (SELECT *, string_split(code, chr(10))[1:n] AS l, CAST('0x' || substr(md5('42|p10|' || blob_id), 1, 8) AS BIGINT) % (n + 1) AS at, CAST('0x' || substr(md5('42|p10c|' || blob_id), 1, 8) AS BIGINT) % 2 AS c FROM n) SELECT blob_id, array_to_string(list_concat(list_concat(l[1:at], [CASE WHEN c = 0 THEN 'while False:' ELSE 'while \"key\" != \"key\":' END, '    pass']), l[at + 1:]), chr(10)) AS code FROM l")(QUERIES["false_loop_while"])
+_U = "CAST('0x' || substr(md5('42|prefix|' || blob_id), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE"
+query("prefix_split", f"WITH {SAMPLES}, a AS (SELECT blob_id, text, CAST(floor(length(text) * (0.4::DOUBLE + 0.2::DOUBLE * ({_U}))) AS BIGINT) AS at FROM samples) SELECT blob_id, sha1(substr(text, 1, at)) AS prefix, sha1(substr(text, at + 1)) AS gt FROM a")(lambda s, d: perturb.prefix_split(samples(s, d)).select("blob_id", F.sha1("prefix").alias("prefix"), F.sha1("gt").alias("gt")))
+_SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events WHERE event_id < 960)"
+
+
+def event_sims(s, d) -> DataFrame:
+    return table(s, d, "events").filter("event_id < 960").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
+
+
+query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
+query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, round(avg((r.ppl - b.ppl) / b.ppl), 6) AS m, round(stddev_pop((r.ppl - b.ppl) / b.ppl), 6) AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 WHERE r.variant > 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
+query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, round(sum(sim), 6) AS sims FROM r GROUP BY blob_id")(
+    lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
+)
+query("standard_scaler", "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END, 6) AS std FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) GROUP BY i")(
+    lambda s, d: learned.scaler(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))).select("i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+)
+query("attack_miaadv")(lambda s, d: registry.run_attack("miaadv", samples(s, d), model=model(s, d)))
+
+# --- bag of words
+
+_W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+_BOW = f"""{SAMPLES}, w AS (SELECT blob_id, {_W} AS w FROM samples), g AS (SELECT blob_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM w),
+tf AS (SELECT blob_id, term, count(*) AS tf FROM g GROUP BY ALL), vo AS (SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 50000),
+ti AS (SELECT blob_id, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM samples)) / (1 + df)) + 1) AS w FROM tf JOIN vo USING (term))"""
+query("win_ngrams", f"WITH {_BOW} SELECT blob_id, term, tf FROM tf")(lambda s, d: learned.ngram_counts(samples(s, d)))
+query("agg_vocab", f"WITH {_BOW} SELECT term, cf, df FROM vo")(lambda s, d: learned.vocabulary(learned.ngram_counts(samples(s, d))).select("term", "cf", "df"))
+query("vocab_top_50k", f"WITH {_BOW} SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS idx FROM vo")(lambda s, d: learned.vocabulary(learned.ngram_counts(samples(s, d))).select("term", "idx"))
+
+
+@query("tfidf", f"WITH {_BOW} SELECT blob_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY blob_id)), 6) AS w FROM ti")
+def _tfidf(s, d):
+    rows = samples(s, d)
+    counts = learned.ngram_counts(rows)
+    return learned.tfidf(counts, learned.vocabulary(counts), rows.count()).select("blob_id", "term", F.round("w", 6).alias("w"))
+
+
+query("attack_bow")(lambda s, d: registry.run_attack("bow", samples(s, d)))
+query("topk_features")(lambda s, d: learned.BagOfWords().fit(samples(s, d)).top_features())
