@@ -114,7 +114,7 @@ def stability_features(lm: NGramLM, scorer: NGramLM, docs: DataFrame) -> DataFra
     rows = perturb.variants(perturb.prefix_split(docs.select("blob_id", "label", "text")), "prefix")
     ends = tokenize("code")
     out = lm.generate(rows.select("blob_id", "label", "variant", "gt", F.array_join(F.slice(ends, F.greatest(F.size(ends) - PROMPT_TOKENS + 1, F.lit(1)), PROMPT_TOKENS), " ").alias("text")), GEN_TOKENS)
-    out = out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text"))
+    out = out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text")).persist()  # read by three branches
     ppl = perplexity(scorer, out, ("blob_id", "variant"))
     truth = docs.select("blob_id").join(out.filter("variant = 0").select("blob_id", embed("gt").alias("truth")), "blob_id")
     sims = out.withColumn("e", embed("text")).join(truth, "blob_id").select("blob_id", "label", "variant", cosine("e", "truth").alias("sim"))

@@ -6,8 +6,11 @@ served language model behind ``mapInPandas``.
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import Protocol, runtime_checkable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 
 ALPHA = 0.1
 TOKEN = r"[^ \t-\r]+"
+_TOKENS = re.compile(TOKEN)
 
 
 @runtime_checkable
@@ -121,14 +125,13 @@ def chunked_positions(docs: DataFrame, width: int = 2048) -> DataFrame:
 
 
 def embed(text: str | Column, width: int = 64) -> Column:
-    """Hashed bag of lower-cased tokens, scaled to length 1: the default text embedding."""
-    t = tokenize(F.lower(text))
-    counts = F.aggregate(
-        t,
-        F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda _: F.lit(0.0)),
-        lambda acc, w: F.transform(acc, lambda v, i: v + F.when(F.pmod(F.crc32(w.cast("binary")), F.lit(width)) == i, 1.0).otherwise(0.0)),
-    )
-    return counts
+    """Counts of lower-cased tokens by crc32 modulo ``width``: the default text embedding."""
+
+    @F.pandas_udf("array<double>")
+    def counts(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.bincount([zlib.crc32(w.encode()) % width for w in _TOKENS.findall((t or "").lower())], minlength=width).astype(float) for t in texts], dtype=object)
+
+    return counts(text)
 
 
 def lagged(tokens: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:

@@ -18,7 +18,7 @@ def roc_counts(scored: DataFrame) -> DataFrame:
     """
     by = scored.groupBy("score").agg(F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg"))
     lo_hi = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    band = F.coalesce(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(0))
+    band = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * 4096), F.lit(0))
     banded = by.crossJoin(F.broadcast(lo_hi)).withColumn("band", band)  # one row
     sums = banded.groupBy("band").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4097 rows
@@ -32,7 +32,7 @@ def roc_curve(scored: DataFrame) -> DataFrame:
     """fpr, tpr, score of each vertex; (0, 0) has a null score."""
     counts = roc_counts(scored)
     totals = scored.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    points = counts.crossJoin(F.broadcast(totals)).select((F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"), "score")
+    points = counts.crossJoin(F.broadcast(totals)).select(F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"), "score")
     origin = scored.sparkSession.createDataFrame([(0.0, 0.0, None)], "fpr double, tpr double, score double")
     return origin.unionByName(points)
 
@@ -44,17 +44,17 @@ def metrics(scored: DataFrame) -> DataFrame:
     # a vertex's trapezoid needs only its own counts: (neg) * (tp before + tp) / 2
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double") / 2
     points = counts.crossJoin(F.broadcast(state))
-    fpr, tpr = F.col("fp") / F.col("n"), F.col("tp") / F.col("p")
+    fpr, tpr = F.try_divide("fp", "n"), F.try_divide("tp", "p")
     found = [area.alias("area"), F.first("p").alias("p"), F.first("n").alias("n"), F.first("bad").alias("bad")]
     for i, x in enumerate(RATES):
         found.append(F.max(F.when(fpr <= x, F.struct(fpr.alias("f"), tpr.alias("t")))).alias(f"left{i}"))
         found.append(F.min(F.when(fpr > x, F.struct(fpr.alias("f"), tpr.alias("t")))).alias(f"right{i}"))
     one = points.agg(*found)
     sound = (F.col("bad") == 0) & (F.col("p") > 0) & (F.col("n") > 0)
-    values = [F.when(sound, F.col("area") / (F.col("p") * F.col("n")))]
+    values = [F.when(sound, F.try_divide(F.col("area"), F.col("p") * F.col("n")))]
     for i, x in enumerate(RATES):
         lf, lt = F.coalesce(F.col(f"left{i}.f"), F.lit(0.0)), F.coalesce(F.col(f"left{i}.t"), F.lit(0.0))
         rf, rt = F.col(f"right{i}.f"), F.col(f"right{i}.t")
-        values.append(F.when(sound, F.when(rf.isNull(), lt).otherwise(lt + (rt - lt) * (x - lf) / (rf - lf))))
+        values.append(F.when(sound, F.when(rf.isNull(), lt).otherwise(lt + F.try_divide((rt - lt) * (F.lit(x) - lf), rf - lf))))
     rows = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in zip(NAMES, values, strict=True)])
     return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import draw_below
-from .lm import NGramLM, tokenize
+from .lm import TOKEN, NGramLM
 
 LOSS_TOKENS, MIN_K_TOKENS, SWAP_TOKENS = 2048, 2048, 4096
 K = 0.3
+_TOKENS = re.compile(TOKEN)
 NEAR, FAR = 30, 5
 SWAP_RATIO, MUTANTS = 0.3, 5
 
@@ -44,23 +49,32 @@ def polarized_distance(lps: DataFrame, near: int = NEAR, far: int = FAR, keys: t
 
 
 def swap_tokens(docs: DataFrame, seed: int = 42, ratio: float = SWAP_RATIO, mutants: int = MUTANTS) -> DataFrame:
-    """docs with variant 0 (the text) and 1 .. mutants: int(ratio * n) swaps of random distinct places, one after another."""
-    rows = docs.withColumn("_t", tokenize("text")).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(mutants))))
-    n = F.size("_t")
-    swaps = F.when(F.col("variant") > 0, F.floor(n * F.lit(float(ratio))).cast("int")).otherwise(F.lit(0))
-    draws = F.when(swaps > 0, F.transform(F.sequence(F.lit(1), swaps), lambda d: F.struct(draw_below(n, seed, "swap-a", "blob_id", "variant", d).alias("a"), draw_below(n - 1, seed, "swap-b", "blob_id", "variant", d).alias("b"))))
-    # the state is the permutation as a map of moved places, so a swap costs what has moved, not the text
-    def swap(state, d):
-        a = d["a"]
-        b = F.when(d["b"] >= a, d["b"] + 1).otherwise(d["b"])
-        at = lambda i: F.coalesce(F.try_element_at(state, i), i)
-        kept = F.map_filter(state, lambda k, _: (k != a) & (k != b))
-        return F.map_concat(kept, F.create_map(a, at(b), b, at(a)))
-
-    moved = F.aggregate(F.coalesce(draws, F.array().cast("array<struct<a:int,b:int>>")), F.create_map().cast("map<int,int>"), lambda s, d: swap(s, d).cast("map<int,int>"))
-    rows = rows.withColumn("_m", moved)
-    text = F.array_join(F.transform("_t", lambda _, i: F.get(F.col("_t"), F.coalesce(F.try_element_at(F.col("_m"), i), i))), " ")
-    return rows.withColumn("text", F.when(F.col("variant") > 0, text).otherwise(F.col("text"))).drop("_t", "_m")
+    """docs with variant 0 (the text) and 1 .. mutants: int(ratio * n) swaps of random distinct places, one after another.
+
+    A swap changes what the next one finds, so the text is changed in place, in Arrow batches; the
+    draws come from a generator seeded by (seed, blob_id, variant).
+    """
+
+    @F.pandas_udf("string")
+    def swapped(text: pd.Series, blob: pd.Series, variant: pd.Series) -> pd.Series:
+        out = []
+        for t, b, v in zip(text, blob, variant, strict=True):
+            tokens = _TOKENS.findall(t or "")
+            n = len(tokens)
+            m = int(ratio * n)
+            if v == 0 or not m:
+                out.append(t if v == 0 else " ".join(tokens))
+                continue
+            r = np.random.default_rng(int(hashlib.md5(f"{seed}|swap|{b}|{v}".encode()).hexdigest()[:16], 16))
+            first, second = r.integers(0, n, m), r.integers(0, n - 1, m)
+            second += second >= first
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                tokens[i], tokens[j] = tokens[j], tokens[i]
+            out.append(" ".join(tokens))
+        return pd.Series(out, dtype=object)
+
+    rows = docs.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(mutants))))
+    return rows.withColumn("text", swapped("text", F.coalesce("blob_id", F.lit("")), "variant"))
 
 
 def combine_mutants(distances: DataFrame) -> DataFrame:

@@ -339,7 +339,7 @@ def _fim(s, d):
     return elements.prompts(rows, elements.cap(page_variables(s, d))).select("blob_id", "ord", "prompt")
 
 
-@query("win_char_context", f"WITH {_CODE_SQL}, at AS (SELECT code_id, code, strpos(code, 'return') - 1 AS a FROM code WHERE strpos(code, 'return') > 0) SELECT CAST(code_id AS VARCHAR) AS blob_id, substr(code, 1, a) AS prefix, substr(code, a + 7, 3000) AS suffix, '<file_sep><fim_prefix>' || substr(code, 1, a) || '<fim_suffix>' || substr(code, a + 7, 3000) || '<fim_middle>' AS prompt FROM at")
+@query("win_char_context", f"WITH {_CODE_SQL}, hit AS (SELECT code_id, code, strpos(code, 'return') - 1 AS a FROM code WHERE strpos(code, 'return') > 0) SELECT CAST(code_id AS VARCHAR) AS blob_id, substr(code, 1, a) AS prefix, substr(code, a + 7, 3000) AS suffix, '<file_sep><fim_prefix>' || substr(code, 1, a) || '<fim_suffix>' || substr(code, a + 7, 3000) || '<fim_middle>' AS prompt FROM hit")
 def _context(s, d):
     at = code(s).withColumn("start", F.locate("return", "text") - 1).filter("start >= 0").withColumn("end", F.col("start") + 6)
     return elements.prompts(code(s).select("blob_id", "text"), at.select("blob_id", "start", "end")).select("blob_id", "prefix", "suffix", "prompt")
@@ -372,9 +372,9 @@ def _growth(s, d):
 
 for _k, _f in perturb.VARIANTS.items():
     query(_k)(lambda s, d, f=_f: code(s).select("blob_id", f(F.col("text")).alias("code")))
-query("false_loop_while", _LINES + ", l AS (SELECT *, string_split(code, chr(10))[1:n] AS l, CAST('0x' || substr(md5('42|p10|' || blob_id), 1, 8) AS BIGINT) % (n + 1) AS at, CAST('0x' || substr(md5('42|p10c|' || blob_id), 1, 8) AS BIGINT) % 2 AS c FROM n) SELECT blob_id, array_to_string(list_concat(list_concat(l[1:at], [CASE WHEN c = 0 THEN 'while False:' ELSE 'while \"key\" != \"key\":' END, '    pass']), l[at + 1:]), chr(10)) AS code FROM l")(QUERIES["false_loop_while"])
+query("false_loop_while", _LINES + ", l AS (SELECT *, string_split(code, chr(10))[1:n] AS l, CAST('0x' || substr(md5('42|p10|' || blob_id), 1, 8) AS BIGINT) % (n + 1) AS k, CAST('0x' || substr(md5('42|p10c|' || blob_id), 1, 8) AS BIGINT) % 2 AS c FROM n) SELECT blob_id, array_to_string(list_concat(list_concat(l[1:k], [CASE WHEN c = 0 THEN 'while False:' ELSE 'while \"key\" != \"key\":' END, '    pass']), l[k + 1:]), chr(10)) AS code FROM l")(QUERIES["false_loop_while"])
 _U = "CAST('0x' || substr(md5('42|prefix|' || blob_id), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE"
-query("prefix_split", f"WITH {SAMPLES}, a AS (SELECT blob_id, text, CAST(floor(length(text) * (0.4::DOUBLE + 0.2::DOUBLE * ({_U}))) AS BIGINT) AS at FROM samples) SELECT blob_id, sha1(substr(text, 1, at)) AS prefix, sha1(substr(text, at + 1)) AS gt FROM a")(lambda s, d: perturb.prefix_split(samples(s, d)).select("blob_id", F.sha1("prefix").alias("prefix"), F.sha1("gt").alias("gt")))
+query("prefix_split", f"WITH {SAMPLES}, a AS (SELECT blob_id, text, CAST(floor(length(text) * (0.4::DOUBLE + 0.2::DOUBLE * ({_U}))) AS BIGINT) AS k FROM samples) SELECT blob_id, sha1(substr(text, 1, k)) AS prefix, sha1(substr(text, k + 1)) AS gt FROM a")(lambda s, d: perturb.prefix_split(samples(s, d)).select("blob_id", F.sha1("prefix").alias("prefix"), F.sha1("gt").alias("gt")))
 _SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events WHERE event_id < 960)"
 
 
