@@ -176,7 +176,11 @@ def _written(array):
 
 def report(docs: DataFrame) -> DataFrame:
     out = spans(docs.select("doc_id", "text"), ["doc_id"])
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["k"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
+
+    def count(code):
+        return F.size(F.filter("spans", lambda x: x["k"] == code)).cast("bigint")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     return out.select("doc_id", *counts, F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
