@@ -164,7 +164,7 @@ def classify(rows: DataFrame, outer: str, whole: str, ids: list[str], tag: str)
     """ids, goes, asks of rows that share ``outer`` with another: goes, if another row is the same as a whole; asks,
     if a row of another kind shares outer, and this one is the only, or the first, of its kind."""
     kinds = materialize(rows.groupBy(outer, whole).agg(F.count("*").alias("n"), F.min(F.struct(*ids)).alias("one")), f"{tag}-kinds")
-    mixed = kinds.groupBy(outer).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = materialize(kinds.groupBy(outer).agg(F.count("*").alias("kinds")).filter("kinds > 1"), f"{tag}-mixed")  # so that the join can split a hot key
     kinds = kinds.join(mixed, outer, "left").select(outer, whole, "n", "one", F.col("kinds").isNotNull().alias("mixed"))
     kinds = materialize(kinds.filter("n > 1 or mixed"), f"{tag}-shared")
     judged = rows.join(kinds, [outer, whole])
