@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import materialize
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "localphone", "ssn", "hiddenmail")
@@ -187,12 +187,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, each span in the text replaced by its kind in angle brackets."""
-    (name,) = fresh(docs, "spans")
-    out = spans(docs, docs.columns).withColumnRenamed("spans", name)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column clashes with those made here
+    out = spans(packed, ["row"]).withColumn("text", F.col("row.text"))
     marks = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     # pieces between spans; of overlapping spans the first is named and the union goes
     fold = F.aggregate(
-        F.col(name),
+        F.col("spans"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast("struct<at:int,out:array<string>>"),
         lambda a, x: F.struct(
             F.greatest(a["at"], x["e"]).alias("at"),
@@ -200,5 +200,5 @@ def redact(docs: DataFrame) -> DataFrame:
         ).cast("struct<at:int,out:array<string>>"),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    text = F.when(F.size(name) == 0, F.col("text")).otherwise(fold)
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(fold)
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
