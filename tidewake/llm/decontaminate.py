@@ -3,8 +3,9 @@
 Texts are lower-cased (A-Z) and cut into words; a window is ``size`` consecutive words of a
 benchmark item, or the whole of an item with fewer. Training token windows are hashed and probed
 in the set; every hit is verified against the window's own words. Windows travel in blocks of at
-most ``block`` windows: each block is one more pass over the documents, so a benchmark of any size
-is matched exactly with bounded broadcasts, and no document is shuffled.
+most ``block`` windows: each block is one more pass over the documents, written before the next one
+starts, so a benchmark of any size is matched exactly with bounded broadcasts, one at a time, and no
+document is shuffled.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has no windows;
 an item with a null id marks words but is not listed; repeated items and documents count as they are
@@ -164,6 +165,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.array(made[k], t) for k, t in arrow_kinds.items())], names=[*keep, *names.values()])
 
         out = out.mapInArrow(pass_over, schema)
+        if not last:
+            out = materialize(out, "decon-pass")  # so that a task holds one block at a time
+            known.destroy()
         rows, step = later, step + 1
     return out, names
 
