@@ -6,7 +6,8 @@ candidate gives a lower bound (unread components at the list's worst end) and an
 components at the list's current position). When few candidates can still reach the k-th best lower
 bound, reading stops and the survivors' scores are resolved; ties survive, so the result is exact.
 The bounds of all queries of a block are advanced together as matrix products; the k-th best so far
-carries over from shard to shard within a task. Queries travel in blocks of bounded size.
+carries over from shard to shard within a task. Queries travel in blocks of bounded size, of which
+the driver and a task hold one at a time.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id
 take no part; vectors of different lengths are compared as if padded by zeros; rows with the query's
@@ -143,10 +144,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["q", "query_id", "vec_id", "score"])
 
-        part = vectors.mapInArrow(scan, "q int, query_id bigint, vec_id bigint, score bigint").withColumn("block", F.lit(p))
+        by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+        part = vectors.mapInArrow(scan, "q int, query_id bigint, vec_id bigint, score bigint").withColumn("rank", F.row_number().over(by))
+        part = part.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if parts > 1:
+            part = materialize(part, "topk-block")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
-    by = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
