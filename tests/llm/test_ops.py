@@ -418,6 +418,34 @@ def test_redaction(spark):
     assert sorted(r["text"] for r in out) == ["ip <ip>, card <card>.", "mail <email> now", "plain"]
 
 
+def test_redaction_cuts_by_spans_over_chunks_and_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    monkeypatch.setattr(pii, "PIECE", 7)
+    parts = ["\U0001f600 é", "a.b@c.org", "+49 170 1234567", "1.2.3.4", "4111 1111 1111 1111", "123-45-6789", "x\ny", "password=abcDEF123456789xyz", "joe [at] web [dot] com"]
+    rng = random.Random(3)
+    texts = [None, "", "a.b@c.org", *(" ".join(rng.choices(parts, k=k)) for k in (1, 7, 8, 30, 200))]
+    rows = docs(spark, texts).cache()
+    spans = {r["doc_id"]: r["spans"] for r in pii.spans(rows, ["doc_id"]).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    for i, t in enumerate(texts):
+        at, out = 0, []
+        for x in spans[i]:
+            if x["s"] >= at:
+                out += [t[at : x["s"]], f"<{pii.KINDS[x['k']]}>"]
+            at = max(at, x["e"])
+        assert got[i] == (None if t is None else "".join(out) + t[at:])
+        base = [x for x in spans[i] if x["k"] < len(pii.BASE)]
+        assert not any(x["s"] < b["e"] and b["s"] < x["e"] for x in spans[i] if x["k"] >= len(pii.BASE) for b in base)
+
+
+def test_pii_of_a_long_text(spark):
+    text = " ".join(f"bob{i}@ex{i % 7}.org ssn 123-45-{6000 + i % 999}" for i in range(3000))
+    (r,) = pii.report(docs(spark, [text])).collect()
+    found = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert r["n_email"] == 3000 and r["base_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    assert r["spans"].count("ssn:") == 3000
+
+
 # --- plumbing
 
 

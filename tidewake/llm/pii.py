@@ -54,6 +54,9 @@ GAZETTEER = {
 }
 ROUNDS = 12
 _ROW = "struct<s:int,e:int,m:string,l:string,r:string>"
+_CANDIDATE = "struct<k:int,s:int,e:int,cell:string>"
+#: Rows that a fold gathers at a time, and code points of the pieces that texts are cut from.
+CHUNK, PIECE = 128, 1024
 
 
 def _valid(kind: str):
@@ -71,17 +74,48 @@ def _valid(kind: str):
     return "true"
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL: body, in which name stands for value, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(items: str, zero: str, state: str, step: str, row: str, finish: str = "flatten(b.out)") -> str:
+    """SQL: a running fold of items; step maps (a.st, x) to a struct of the next st and the rows `out` that x gives.
+
+    Rows are gathered by chunks, so that the cost of appending stays near linear in very long arrays.
+    """
+    inner = f"struct<st:{state},out:array<{row}>>"
+    outer = f"struct<st:{state},out:array<array<{row}>>>"
+    one = _bind(step, "n", f"cast(named_struct('st', n.st, 'out', concat(a.out, n.out)) as {inner})")
+    chunk = f"aggregate(slice({items}, c, {CHUNK}), cast(named_struct('st', b.st, 'out', array()) as {inner}), (a, x) -> {one})"
+    whole = _bind(chunk, "r", f"cast(named_struct('st', r.st, 'out', concat(b.out, array(r.out))) as {outer})")
+    at = f"if(size({items}) > 0, sequence(1, greatest(size({items}), 1), {CHUNK}), cast(array() as array<int>))"
+    return f"aggregate({at}, cast(named_struct('st', {zero}, 'out', array()) as {outer}), (b, c) -> {whole}, b -> {finish})"
+
+
 def _matches(kind: str) -> str:
     """SQL: array of the matches of a kind in the column `clean`, with positions and neighbourhood."""
     marked = f"regexp_replace(clean, r'{PATTERNS[kind]}', '\\u0001$0\\u0002')"
     if kind in NEEDS:
         marked = f"if(contains(clean, '{NEEDS[kind]}'), {marked}, '')"
     m = "substring_index(x, '\\u0002', 1)"
-    rest = f"substring(x, length({m}) + 2)"
-    state = f"struct<pos:int,prev:string,out:array<{_ROW}>>"
-    step = f"cast(named_struct('pos', a.pos + length(x) - 1, 'prev', {rest}, 'out', concat(a.out, array(named_struct('s', a.pos, 'e', a.pos + length({m}), 'm', {m}, 'l', substring(a.prev, -24, 24), 'r', substring({rest}, 1, 1))))) as {state})"
-    zero = f"cast(named_struct('pos', length(p[0]), 'prev', p[0], 'out', array()) as {state})"
-    return f"aggregate(transform(array(split({marked}, '\\u0001')), p -> if(size(p) < 2, cast(array() as array<{_ROW}>), aggregate(slice(p, 2, size(p)), {zero}, (a, x) -> {step}, a -> a.out))), cast(array() as array<{_ROW}>), (o, y) -> y)"
+    rest = "substring(x, length(m) + 2)"
+    row = "named_struct('s', a.st.pos, 'e', a.st.pos + length(m), 'm', m, 'l', substring(a.st.prev, -24, 24), 'r', substring(rest, 1, 1))"
+    step = _bind(m, "m", _bind(rest, "rest", f"named_struct('st', named_struct('pos', a.st.pos + length(x) - 1, 'prev', rest), 'out', array({row}))"))
+    scan = _scan("later", "named_struct('pos', length(p[0]), 'prev', p[0])", "struct<pos:int,prev:string>", step, _ROW)
+    return _bind(f"split({marked}, '\\u0001')", "p", _bind("slice(p, 2, size(p))", "later", scan))
+
+
+def _apart(base: str, more: str) -> str:
+    """SQL: the rows of more that overlap none of base.
+
+    Base by start and the others by end, in one order: a row overlaps if a base span that starts
+    before its end reaches beyond its start.
+    """
+    first = f"transform({base}, x -> named_struct('at', x.s, 'rank', 1, 'row', x))"
+    second = f"transform({more}, x -> named_struct('at', x.e, 'rank', 0, 'row', x))"
+    step = "named_struct('st', if(x.rank = 1, greatest(a.st, x.row.e), a.st), 'out', if(x.rank = 0 and a.st <= x.row.s, array(x.row), array()))"
+    return _bind(f"array_sort(concat({first}, {second}))", "items", _scan("items", "0", "int", step, _CANDIDATE))
 
 
 def _cell(kind: str, found: str) -> str:
@@ -105,7 +139,7 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     base = F.expr("concat(" + ", ".join(_cell(k, _matches(k)) for k in BASE) + ")")
     more = F.expr("concat(" + ", ".join(_cell(k, _matches(k)) for k in KINDS[len(BASE) :]) + ")")
     rows = rows.select(*keep, base.alias("base"), more.alias("more"))
-    return rows.select(*keep, F.expr("concat(base, filter(more, x -> not exists(base, y -> x.s < y.e and y.s < x.e)))").alias("found"))
+    return rows.select(*keep, F.expr(f"concat(base, {_apart('base', 'more')})").alias("found"))
 
 
 def reliabilities(cells: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict]:
@@ -189,16 +223,15 @@ def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns, each span in the text replaced by its kind in angle brackets."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column clashes with those made here
     out = spans(packed, ["row"]).withColumn("text", F.col("row.text"))
-    marks = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    # pieces between spans; of overlapping spans the first is named and the union goes
-    fold = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast("struct<at:int,out:array<string>>"),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(F.col("text"), a["at"] + 1, x["s"] - a["at"]), F.element_at(marks, x["k"] + 1)))).alias("out"),
-        ).cast("struct<at:int,out:array<string>>"),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
+    marks = "array(" + ", ".join(f"'<{k}>'" for k in KINDS) + ")"
+
+    def between(lo: str, hi: str) -> str:
+        return f"substring(array_join(slice(pieces, {lo} div {PIECE} + 1, {hi} div {PIECE} - {lo} div {PIECE} + 1), ''), {lo} % {PIECE} + 1, {hi} - {lo})"
+
+    # text between spans; of overlapping spans the first is named and the union goes
+    step = f"named_struct('st', greatest(a.st, x.e), 'out', if(x.s < a.st, cast(array() as array<string>), array({between('a.st', 'x.s')}, element_at({marks}, x.k + 1))))"
+    tail = f"concat(array_join(flatten(b.out), ''), {between('b.st', 'size')})"
+    fold = _bind(f"regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0)", "pieces", _bind("length(text)", "size", _scan("spans", "0", "int", step, "string", tail)))
+    fold = F.expr(fold)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(fold)
     return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
