@@ -125,11 +125,15 @@ def features(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return out.select("blob_id", *cols)
 
 
+def too_long(prompt: str | Column = "prompt") -> Column:
+    """Whether a prompt and its infill exceed what the model reads; a null prompt does not."""
+    return F.coalesce(F.regexp_count(prompt, F.lit(r"[^ \t-\r]+")), F.lit(0)) + NEW_TOKENS > MODEL_TOKENS
+
+
 def infill_hits(model, docs: DataFrame, seed: int = 42, max_new: int = 1) -> DataFrame:
     """blob_id, level, ord, hit of the capped, long enough elements, restored by the model from their prefix."""
     chosen = prompts(docs, cap(extract(docs), seed=seed).filter(long_enough()))
-    n_tokens = F.regexp_count("prompt", F.lit(r"[^ \t-\r]+"))
     out = model.generate(chosen.withColumn("text", F.col("prefix")), max_new)
     cut = cut_infill(F.concat("prompt", "output"), stops())
-    found = F.when(n_tokens + NEW_TOKENS > MODEL_TOKENS, F.lit(TOO_LONG)).otherwise(cut)
+    found = F.when(too_long(), F.lit(TOO_LONG)).otherwise(cut)
     return out.select("blob_id", "level", "ord", hit(F.col("level"), F.col("value"), found).alias("hit"))

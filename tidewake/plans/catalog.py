@@ -347,6 +347,12 @@ def _context(s, d):
 
 _CUTS = [("p<fim_middle> abc: d", "class_names", None), ("p<fim_middle>name (x", "function_names", None), ("p<fim_middle>v = 1", "variable_names", None), ("p<fim_middle>it's", "strings", "'"), ("q<fim_middle>one\ntwo", "comments", None), ("none<file_sep>", "strings", '"')]
 query("infill_truncate", "SELECT * FROM (VALUES ('abc'), ('name'), ('v'), ('it'), ('one'), ('none')) t(cut)")(lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select(elements.cut_infill(F.col("o"), elements.stops()).alias("cut")))
+query("stop_strings", "SELECT * FROM (VALUES ('class_names', ':|('), ('function_names', '('), ('variable_names', '='), ('strings', ''''), ('comments', chr(10)), ('strings', '\"')) t(level, stops)")(
+    lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select("level", F.array_join(elements.stops(), "|").alias("stops"))
+)
+query("too_long_guard", r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) + 50 > 16000 AS too_long FROM documents")(
+    lambda s, d: table(s, d, "documents").select("doc_id", elements.too_long(F.col("text")).alias("too_long"))
+)
 _HITS = [("class_names", "Foo", " foo "), ("function_names", "run", "runs"), ("strings", "hello world", "hallo wrld"), ("comments", "kitten", "sitting"), ("docstrings", "abc", "too_many_tokens"), ("variable_names", "x1", None)]
 query("hit_exact", "SELECT * FROM (VALUES ('class_names', 1), ('function_names', 0), ('variable_names', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
 query("hit_fuzzy", "SELECT * FROM (VALUES ('strings', 1), ('comments', 0), ('docstrings', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(~F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
