@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, utf8
+from .common import broadcast_if_small, fresh, materialize, utf8
 from .components import components
+from .similar import row_name, similar
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LIMIT = 2048
@@ -184,16 +185,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each component: that of its smallest id stays.
+    """The documents without all but one row of each component of ``similar``: that of its smallest id stays.
 
-    Rows without an id, which no decision can name, stay; of rows that repeat an id, one stays.
+    Rows without an id, which no decision can name, stay; of equal rows (id and text), one stays.
     """
-    found = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
-    found = materialize(found.filter("n > 1 or doc_id <> component_id"), "sim-found")
-    drop = found.filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(broadcast_if_small(drop), "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("doc_id = component_id").select("doc_id")
+    rows = materialize(similar(docs).filter("doc_id is not null"), "near-named")
+    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
+    names = rows.groupBy("doc_id", "rid", "root").agg(F.count("*").alias("n"))
+    found = names.join(least, "root").select("rid", "n", (F.col("least.rid") != F.col("rid")).alias("drop"))
+    found = materialize(found.filter("drop or n > 1"), "near-found")
+    (rid,) = fresh(docs, "rid")
+    kept = docs.withColumn(rid, row_name())
+    kept = kept.join(broadcast_if_small(found.filter("drop").select(F.col("rid").alias(rid))), rid, "left_anti")
+    again = found.filter("not drop").select(F.col("rid").alias(rid))
     if not again.limit(1).count():
-        return kept
+        return kept.select(*docs.columns)
     again = broadcast_if_small(again)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    once = kept.join(again, rid, "left_semi").dropDuplicates([rid])
+    return kept.join(again, rid, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
