@@ -384,8 +384,12 @@ query("prefix_split", f"WITH {SAMPLES}, a AS (SELECT blob_id, text, CAST(floor(l
 _SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events WHERE event_id < 960)"
 
 
+def all_event_sims(s, d) -> DataFrame:
+    return table(s, d, "events").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
+
+
 def event_sims(s, d) -> DataFrame:
-    return table(s, d, "events").filter("event_id < 960").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
+    return all_event_sims(s, d).filter(F.col("blob_id").cast("bigint") < 80)
 
 
 query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
@@ -393,6 +397,14 @@ query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, round(avg((r.ppl - b.ppl
 query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, round(sum(sim), 6) AS sims FROM r GROUP BY blob_id")(
     lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
 )
+
+# The same over all events; what the last group's missing variants leave undefined is null.
+_ALL_SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events)"
+query("agg_sim_stats_all", f"WITH {_ALL_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
+query("agg_ppl_stats_all", f"WITH {_ALL_SIMS} SELECT r.blob_id, CASE WHEN count(*) = 12 THEN round(avg((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS m, CASE WHEN count(*) = 12 THEN round(stddev_pop((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
+query("adv_features_all", f"WITH {_ALL_SIMS} SELECT blob_id, 27 AS n, CASE WHEN count(*) = 12 THEN round(sum(sim), 6) END AS sims FROM r GROUP BY blob_id")(
+    lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
+)
 query("standard_scaler", "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END, 6) AS std FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) GROUP BY i")(
     lambda s, d: learned.scaler(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))).select("i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 )
