@@ -1,8 +1,9 @@
-"""Registered jobs over whole tables."""
+"""Registered jobs over whole tables, and infills of full length."""
 
 import duckdb
 import pytest
 
+from tidewake.operators import elements, lm
 from tidewake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,9 @@ def test_all_events(spark, name):
     got = {r[0]: tuple(r)[1:] for r in catalog.QUERIES[name](spark, SF).collect()}
     assert len(got) == -(-spark.read.parquet(f"{SF}/events.parquet").count() // 12) > 80 and got.keys() == want.keys()
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-6) for k in got for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_infills_of_several_words(spark):
+    known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
+    hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()
+    assert [r["hit"] for r in hits] == [1]

@@ -130,7 +130,7 @@ def too_long(prompt: str | Column = "prompt") -> Column:
     return F.coalesce(F.regexp_count(prompt, F.lit(r"[^ \t-\r]+")), F.lit(0)) + NEW_TOKENS > MODEL_TOKENS
 
 
-def infill_hits(model, docs: DataFrame, seed: int = 42, max_new: int = 1) -> DataFrame:
+def infill_hits(model, docs: DataFrame, seed: int = 42, max_new: int = NEW_TOKENS) -> DataFrame:
     """blob_id, level, ord, hit of the capped, long enough elements, restored by the model from their prefix."""
     chosen = prompts(docs, cap(extract(docs), seed=seed).filter(long_enough()))
     out = model.generate(chosen.withColumn("text", F.col("prefix")), max_new)
