@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nonblank
+from .scratch import file_system
 
 PREDICTIONS = "blob_id string, label int, score double"
 METRICS = "metric string, value string"
@@ -18,8 +21,7 @@ METRICS = "metric string, value string"
 
 def first_parquet(spark: SparkSession, folder: str) -> str:
     """The alphabetically first parquet file of a folder in any store that Spark reads."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = file_system(spark, folder)
     if not fs.exists(path):
         raise FileNotFoundError(f"no folder {folder}")
     names = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName().endswith(".parquet"))
@@ -38,9 +40,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """run_folder, row_idx, metric and value (text) of every run folder's metrics.csv; folders without one are skipped."""
+    """run_folder, row_idx, metric and value (text) of every run folder's metrics.csv, a file or a folder of part files; folders without one are skipped."""
     raw = spark.read.schema(METRICS).csv(f"{root}/*/metrics.csv", header=True, enforceSchema=False)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.csv$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.csv(?:/[^/]*)?$", 1)
     return raw.select(F.url_decode(folder).alias("run_folder"), F.monotonically_increasing_id().alias("row_idx"), "metric", "value")
 
 
@@ -124,5 +126,19 @@ def write_parquet(df: DataFrame, folder: str, stem: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; small results (metrics) come as one file."""
+    """CSV with a header, as a folder of part files."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_small_csv(df: DataFrame, path: str) -> None:
+    """A few rows (metrics, a summary) as a single CSV file in any store that Spark writes to; nulls are empty cells."""
+    text = io.StringIO()
+    rows = csv.writer(text, lineterminator="\n")
+    rows.writerow(df.columns)
+    rows.writerows(tuple(r) for r in df.collect())
+    fs, at = file_system(df.sparkSession, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.getvalue().encode()))
+    finally:
+        out.close()
