@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Flags under which Java's regular expressions read text as Python's do: only \n ends a line, classes are Unicode.
 PY = "(?dU)"
+#: A character of a word, as Python's re has it.
+WORD = r"[\p{L}\p{N}_]"
 _SPACE = r"[\s\x1c-\x1f]"
 _BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\u0085\u2028\u2029]"
 
@@ -45,31 +48,40 @@ def find_from(x, part, start) -> Column:
     return F.locate(part, x, start + 1) - 1 if isinstance(start, int) else F.call_function("locate", _c(part), _c(x), _c(start) + 1) - 1
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a whole number holds a row of the dynamic programme in its bits."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        met = row & places.get(ch, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def lcs_length(a, b) -> Column:
-    """Length of the longest common subsequence, by rows of the dynamic programme."""
-    x, y = F.split(_c(a), ""), F.split(_c(b), "")
-    zero = F.transform(F.sequence(F.lit(0), F.length(_c(b))), lambda _: F.lit(0))
+    """Length of the longest common subsequence of two texts, in Arrow batches; null for null."""
 
-    def row(before, ch):
-        cells = F.aggregate(
-            F.sequence(F.lit(1), F.length(_c(b))),
-            F.array(F.lit(0)),
-            lambda now, j: F.concat(
-                now,
-                F.array(F.when(F.element_at(y, j) == ch, F.element_at(before, j) + 1).otherwise(F.greatest(F.element_at(before, j + 1), F.element_at(now, -1)))),
-            ),
-        )
-        return cells
+    @F.pandas_udf("int")
+    def length(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else _common(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
-    full = F.aggregate(x, zero, row, lambda last: F.element_at(last, -1))
-    return F.when((F.length(_c(a)) == 0) | (F.length(_c(b)) == 0), F.lit(0)).otherwise(full)
+    return length(_c(a), _c(b))
 
 
 def fuzz_ratio(a, b) -> Column:
     """round(100 * 2 LCS / (len a + len b)) of the stripped texts; two empty texts are alike."""
     x, y = py_strip(a), py_strip(b)
     total = F.length(x) + F.length(y)
-    return F.when(total == 0, F.lit(100)).otherwise(F.round(F.lit(200.0) * lcs_length(x, y) / total).cast("int"))
+    return F.when(total == 0, F.lit(100)).otherwise(F.round(F.try_divide(F.lit(200.0) * lcs_length(x, y), total)).cast("int"))
+
+
+def fuzz_at_most(a, b) -> Column:
+    """What fuzz_ratio cannot exceed, by the lengths alone."""
+    x, y = F.length(py_strip(a)), F.length(py_strip(b))
+    return F.when(x + y == 0, F.lit(100)).otherwise(F.round(F.try_divide(F.lit(200.0) * F.least(x, y), x + y)).cast("int"))
 
 
 def cosine(a, b) -> Column:
@@ -81,7 +93,7 @@ def cosine(a, b) -> Column:
 
 def rename_word(code, name, new) -> Column:
     """Every whole word ``name`` in ``code`` replaced."""
-    return F.when(_c(name).isNull(), _c(code)).otherwise(F.call_function("regexp_replace", _c(code), F.concat(F.lit(r"(?U)\b"), _c(name), F.lit(r"\b")), _c(new)))
+    return F.when(_c(name).isNull(), _c(code)).otherwise(F.call_function("regexp_replace", _c(code), F.concat(F.lit(f"(?<!{WORD})"), _c(name), F.lit(f"(?!{WORD})")), _c(new)))
 
 
 def order_key(seed: int, purpose: str, *cols) -> Column:

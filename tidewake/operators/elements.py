@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import PY, fuzz_ratio, order_key, py_strip, py_upper_eq
+from ..functions.folds import bind, scan
+from ..functions.text import PY, fuzz_at_most, fuzz_ratio, order_key, py_strip, py_upper_eq
 
 # Names, patterns, thresholds and limits that results depend on.
 IDENT = "[a-zA-Z_][a-zA-Z0-9_]*"
@@ -44,19 +44,39 @@ def _inner(level: str, m: Column) -> tuple[Column, Column, Column]:
     return F.regexp_extract(m, rf"{PY}^{word}\s+({IDENT})", 1), F.length(head), none
 
 
+_KIND = "struct<value:string,start:int,end:int,quote_char:string>"
+
+
+def _element(level: str, m: Column, at: Column) -> Column:
+    value, skip, quote = _inner(level, m)
+    return F.struct(value.alias("value"), (at + skip).cast("int").alias("start"), (at + skip + F.length(value)).cast("int").alias("end"), quote.alias("quote_char"))
+
+
 def elements_of(level: str, code: Column) -> Column:
-    """Array of (value, start, end, quote_char) in order; offsets in code points, half-open."""
-    kind = "array<struct<value:string,start:int,end:int,quote_char:string>>"
-    found = F.regexp_extract_all(code, F.lit(PY + LEVELS[level]), F.lit(0))
+    """Array of (value, start, end, quote_char) in order; offsets in code points, half-open.
+
+    Matches are wrapped in two control characters, and offsets are running lengths of the pieces
+    between them. Texts that hold these characters have their matches located one after the other.
+    """
+    pattern, none = PY + LEVELS[level], F.array().cast(f"array<{_KIND}>")
+
+    def wrapped(x: Column) -> Column:
+        parts = F.split(F.regexp_replace(x, pattern, "\x01$0\x02"), "\x01")
+
+        def step(at: Column, piece: Column) -> Column:
+            m = F.substring_index(piece, "\x02", 1)
+            return F.struct((at + F.length(piece) - 1).cast("int").alias("st"), F.array(_element(level, m, at)).alias("out"))
+
+        return bind(parts, lambda p: scan(F.slice(p, F.lit(2), F.size(p)), F.length(F.get(p, F.lit(0))), step, "int", _KIND))
+
+    def located(x: Column) -> Column:
+        def step(at: Column, m: Column) -> Column:
+            here = F.call_function("locate", m, x, at + 1) - 1
+            return F.struct((here + F.length(m)).cast("int").alias("st"), F.array(_element(level, m, here)).alias("out"))
 
-    def step(state, m):
-        at = F.call_function("locate", m, code, state["pos"]) - 1
-        value, skip, quote = _inner(level, m)
-        one = F.struct(value.alias("value"), (at + skip).cast("int").alias("start"), (at + skip + F.length(value)).cast("int").alias("end"), quote.alias("quote_char"))
-        return F.struct((at + F.length(m) + 1).cast("int").alias("pos"), F.concat(state["out"], F.array(one)).cast(kind).alias("out"))
+        return scan(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.lit(0), step, "int", _KIND)
 
-    zero = F.struct(F.lit(1).alias("pos"), F.array().cast(kind).alias("out"))
-    return F.coalesce(F.aggregate(found, zero, step, lambda s: s["out"]), F.array().cast(kind))
+    return F.coalesce(F.when(code.rlike("[\x01\x02]"), located(code)).otherwise(wrapped(code)), none)
 
 
 def extract(df: DataFrame, code: str = "text", keys: tuple = ("blob_id",)) -> DataFrame:
@@ -72,23 +92,45 @@ def elements_map(code: str | Column) -> Column:
     return F.create_map(*[x for level in LEVELS for x in (F.lit(level), elements_of(level, c))])
 
 
-def cap(elements: DataFrame, n: int = CAP, seed: int = 42) -> DataFrame:
-    """At most n elements of each text and level, drawn without replacement."""
-    by = Window.partitionBy("blob_id", "level").orderBy(order_key(seed, "cap", "blob_id", "level", "ord"), "ord")
-    return elements.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= n).drop("_r")
+def capped(level: str, found: Column, n: int = CAP, seed: int = 42) -> Column:
+    """Array of (ord, e): at most n elements of a level, drawn without replacement within the row of ``blob_id``."""
+    keyed = F.transform(found, lambda e, i: F.struct(order_key(seed, "cap", F.col("blob_id"), F.lit(level), i).alias("k"), i.alias("ord"), e.alias("e")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda x: F.struct(x["ord"].alias("ord"), x["e"].alias("e")))
 
 
-def long_enough(value: str = "value") -> Column:
-    return F.coalesce(F.length(py_strip(value)) >= 2, F.lit(False))
+def cap(df: DataFrame, level: str, n: int = CAP, seed: int = 42, code: str = "text") -> DataFrame:
+    """blob_id, ord, value, start, end, quote_char of at most n elements of a level of each text."""
+    rows = df.select("blob_id", F.explode(capped(level, elements_of(level, F.col(code)), n, seed)).alias("x"))
+    return rows.select("blob_id", "x.ord", "x.e.*")
 
 
-def prompts(df: DataFrame, elements: DataFrame, code: str = "text", path: str = "") -> DataFrame:
-    """elements with prefix, suffix and the fill-in-the-middle prompt around each."""
-    met = elements.join(df.select("blob_id", code), "blob_id")
-    low = F.greatest(F.lit(0), F.col("start") - CONTEXT)
-    met = met.withColumn("prefix", F.substring(F.col(code), low + 1, F.col("start") - low)).withColumn("suffix", F.substring(F.col(code), F.col("end") + 1, F.lit(CONTEXT)))
+def long_enough(value: str | Column = "value", shortest: int = 2) -> Column:
+    return F.coalesce(F.length(py_strip(value)) >= shortest, F.lit(False))
+
+
+def _around(code: Column, start: Column, end: Column, path: str = "") -> dict[str, Column]:
+    """Prefix, suffix and the fill-in-the-middle prompt around a range of a text."""
+    low = F.greatest(F.lit(0), start - CONTEXT)
+    prefix, suffix = F.substring(code, low + 1, start - low), F.substring(code, end + 1, F.lit(CONTEXT))
     head = F.when(low == 0, F.lit("<file_sep><fim_prefix>" + (path + "\n" if path else ""))).otherwise(F.lit("<fim_prefix>"))
-    return met.withColumn("prompt", F.concat(head, "prefix", F.lit("<fim_suffix>"), "suffix", F.lit("<fim_middle>"))).drop(code)
+    return {"prefix": prefix, "suffix": suffix, "prompt": F.concat(head, prefix, F.lit("<fim_suffix>"), suffix, F.lit("<fim_middle>"))}
+
+
+def prompts(rows: DataFrame, code: str = "text", path: str = "") -> DataFrame:
+    """rows (with their text, start and end) with prefix, suffix and prompt in place of the text."""
+    return rows.withColumns(_around(F.col(code), F.col("start"), F.col("end"), path)).drop(code)
+
+
+def infills(docs: DataFrame, seed: int = 42, shortest: int = 2) -> DataFrame:
+    """blob_id, level, ord, value, quote_char, prefix, suffix, prompt of the elements to be restored: of each level
+    at most CAP, of those the long enough ones. All is cut in the row that has the text, so no text moves."""
+    text = F.col("text")
+
+    def of(level: str) -> Column:
+        chosen = F.filter(capped(level, elements_of(level, text), CAP, seed), lambda x: long_enough(x["e"]["value"], shortest))
+        return F.transform(chosen, lambda x: F.struct(F.lit(level).alias("level"), x["ord"].alias("ord"), x["e"]["value"].alias("value"), x["e"]["quote_char"].alias("quote_char"), *[c.alias(k) for k, c in _around(text, x["e"]["start"], x["e"]["end"]).items()]))
+
+    return docs.select("blob_id", F.explode(F.concat(*[of(level) for level in LEVELS])).alias("x")).select("blob_id", "x.*")
 
 
 def stops(level: str = "level", quote: str = "quote_char") -> Column:
@@ -110,8 +152,13 @@ def cut_infill(output: Column, ends: Column) -> Column:
 
 
 def hit(level: Column, value: Column, found: Column) -> Column:
-    """1 where an infill restores the element: equal ignoring case for names, at least HIT alike for texts."""
-    same = F.when(level.isin(*EXACT), py_upper_eq(py_strip(value), py_strip(found))).otherwise(fuzz_ratio(value, found) >= HIT)
+    """1 where an infill restores the element: equal ignoring case for names, at least HIT alike for texts.
+
+    Only texts whose lengths allow such a likeness are compared.
+    """
+    may = fuzz_at_most(value, found) >= HIT
+    alike = fuzz_ratio(F.when(may & ~level.isin(*EXACT), value), F.when(may & ~level.isin(*EXACT), found)) >= HIT
+    same = F.when(level.isin(*EXACT), py_upper_eq(py_strip(value), py_strip(found))).otherwise(alike)
     return F.coalesce(F.when(found == TOO_LONG, F.lit(False)).otherwise(same), F.lit(False)).cast("int")
 
 
@@ -131,9 +178,7 @@ def too_long(prompt: str | Column = "prompt") -> Column:
 
 
 def infill_hits(model, docs: DataFrame, seed: int = 42, max_new: int = NEW_TOKENS) -> DataFrame:
-    """blob_id, level, ord, hit of the capped, long enough elements, restored by the model from their prefix."""
-    chosen = prompts(docs, cap(extract(docs), seed=seed).filter(long_enough()))
-    out = model.generate(chosen.withColumn("text", F.col("prefix")), max_new)
-    cut = cut_infill(F.concat("prompt", "output"), stops())
-    found = F.when(too_long(), F.lit(TOO_LONG)).otherwise(cut)
+    """blob_id, level, ord, hit of the elements to be restored, as the model fills them in."""
+    out = model.infill(infills(docs, seed), max_new)
+    found = F.when(too_long(), F.lit(TOO_LONG)).otherwise(cut_infill(F.concat("prompt", "output"), stops()))
     return out.select("blob_id", "level", "ord", hit(F.col("level"), F.col("value"), found).alias("hit"))

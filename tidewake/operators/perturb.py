@@ -1,26 +1,35 @@
 """Eleven source perturbations as column functions, and the prefix split.
 
 Every draw is an md5 key over (seed, kind, blob_id), so variants do not depend on partitioning.
-Results are lines joined by newlines; renames keep the text otherwise as it is.
+Results are lines joined by newlines; renames keep the text otherwise as it is. A null text gives
+null; a text without lines is treated as an empty list of lines.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import draw_below, draw_uniform, order_key, py_splitlines, py_strip, rename_word
+from ..functions.text import WORD, draw_below, draw_uniform, order_key, py_splitlines, py_strip, rename_word
 
 SEED = 42
-# Fragments that the variants insert, reserved words, and default names.
+# Fragments that the variants insert, reserved words, default names and ranges of numbers.
 CONDITIONS = ('if "key" != "key":', "if False:")
 BODIES = ("    void_array = [''] * 50", "    void_array[10] = 'A'")
 LOOPS = ("while False:", 'while "key" != "key":')
+LOOP_BODIES = ('    print("Debug: Entering loop")', "    pass")
+ENTERING = ('print("Debug: Entering method ', '()")')
+SHOWING = ('print("Debug: Variable ', ' = ", ', ")")
 RESERVED = (
     "False None True and as assert async await break class continue def del elif else except finally for from global "
     "if import in is lambda nonlocal not or pass raise return try while with yield"
 ).split()
 METHOD, VARIABLE = "foo", "x"
+CHARACTERS = string.ascii_letters + string.digits + string.punctuation
+CONSTANT_LENGTH = 12
+NUMBERS = 10_000
 
 
 def _pick(options: Column, purpose: str, seed: int) -> Column:
@@ -36,10 +45,16 @@ def _number(purpose: str, seed: int) -> Column:
     return (F.lit(1000) + draw_below(F.lit(9000), seed, purpose, "blob_id")).cast("string")
 
 
+def _is_word(purpose: str, seed: int) -> Column:
+    return draw_below(F.lit(2), seed, purpose + "-kind", "blob_id") == 1
+
+
 def _constant(purpose: str, seed: int) -> Column:
-    """A number up to 9999 or a quoted string of 12 characters, half each."""
-    word = F.concat(F.lit("'"), F.substring(order_key(seed, purpose + "-word", "blob_id"), 1, 12), F.lit("'"))
-    return F.when(draw_below(F.lit(2), seed, purpose + "-kind", "blob_id") == 0, draw_below(F.lit(10000), seed, purpose, "blob_id").cast("string")).otherwise(word)
+    """A number below NUMBERS or a quoted string of random characters, half each."""
+    key = order_key(seed, purpose + "-word", "blob_id")
+    pair = lambda i: F.conv(F.substring(key, 2 * i + 1, 2), 16, 10).cast("int")
+    word = F.concat(F.lit("'"), *[F.substring(F.lit(CHARACTERS), pair(i) % len(CHARACTERS) + 1, F.lit(1)) for i in range(CONSTANT_LENGTH)], F.lit("'"))
+    return F.when(_is_word(purpose, seed), word).otherwise(draw_below(F.lit(NUMBERS), seed, purpose, "blob_id").cast("string"))
 
 
 def _insert(lines: Column, at: Column, new: Column) -> Column:
@@ -51,21 +66,24 @@ def _anywhere(lines: Column, purpose: str, seed: int) -> Column:
     return draw_below(F.size(lines) + 1, seed, purpose, "blob_id")
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0))
+
+
 def variables(code: Column) -> Column:
     """Sorted distinct identifiers that are not reserved and start in lower case or with an underscore."""
-    found = F.regexp_extract_all(code, F.lit(r"(?U)\b[_a-zA-Z][_a-zA-Z0-9]*\b"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t.rlike("^[_a-z]") & ~t.isin(*RESERVED))))
+    return F.array_sort(F.array_distinct(F.filter(_words(code), lambda t: t.rlike("^[_a-z][_a-zA-Z0-9]*$") & ~t.isin(*RESERVED))))
 
 
 def methods(code: Column) -> Column:
-    """Names after a def at the start of a line, in order."""
-    names = F.regexp_extract_all(code, F.lit(r"(?dUm)^\s*def\s+([_a-zA-Z][_a-zA-Z0-9]*)"), F.lit(1))
-    return F.filter(names, lambda t: ~t.isin(*RESERVED) & ~t.rlike("^[A-Z]"))
+    """Names after a def at the start of a line, in order; not reserved, nor in upper case at the start of a line of their own."""
+    reserved = "|".join(RESERVED)
+    return F.regexp_extract_all(code, F.lit(rf"(?dUm)^\s*def\s+((?!(?:{reserved})\b)(?!^[A-Z])[_a-zA-Z][_a-zA-Z0-9]*)"), F.lit(1))
 
 
 def _first_line(lines: Column, name: Column) -> Column:
     """Index of the first line that has the name as a whole word, or null."""
-    found = F.filter(F.transform(lines, lambda x, i: F.when(F.call_function("regexp_like", x, F.concat(F.lit(r"(?U)\b"), name, F.lit(r"\b"))), i)), lambda i: i.isNotNull())
+    found = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains(_words(x), name), i)), lambda i: i.isNotNull())
     return F.get(found, F.lit(0))
 
 
@@ -81,15 +99,19 @@ def false_if_random(code: Column, seed: int = SEED) -> Column:
     return _insert(lines, _anywhere(lines, "p2", seed), F.array(_choose(CONDITIONS, "p2c", seed), body))
 
 
-def unused_var_existing(code: Column, seed: int = SEED, faithful: bool = False) -> Column:
-    """Assign an existing variable (else a constant) before its first line; without such a line at the top,
-    or, with faithful, code, declaration and code once more."""
+def unused_var_existing(code: Column, seed: int = SEED) -> Column:
+    """Assign an existing variable (else a constant) before the first line that has it as a word.
+
+    Without such a line the lines come twice, around the assignment. No line is taken to hold a drawn
+    string constant.
+    """
     lines = py_splitlines(code)
-    name = F.coalesce(_pick(variables(code), "p3", seed), _constant("p3k", seed))
-    new = F.array(F.concat(F.lit("unused_"), _number("p3n", seed), F.lit(" = "), name))
-    found = F.get(F.filter(F.transform(lines, lambda x, i: F.when(F.contains(x, name), i)), lambda i: i.isNotNull()), F.lit(0))
-    missing = F.array_join(F.concat(lines, new, lines), "\n") if faithful else _insert(lines, F.lit(0), new)
-    return F.when(found.isNull(), missing).otherwise(_insert(lines, F.coalesce(found, F.lit(0)), new))
+    known = _pick(variables(code), "p3", seed)
+    value = F.coalesce(known, _constant("p3k", seed))
+    new = F.array(F.concat(F.lit("unused_"), _number("p3n", seed), F.lit(" = "), value))
+    found = _first_line(lines, value)
+    twice = F.array_join(F.concat(lines, new, lines), "\n")
+    return F.when(found.isNull(), twice).otherwise(_insert(lines, F.coalesce(found, F.lit(0)), new))
 
 
 def unused_var_random(code: Column, seed: int = SEED) -> Column:
@@ -105,40 +127,46 @@ def rename_method(code: Column, seed: int = SEED) -> Column:
     return rename_word(code, _pick(methods(code), "p6", seed), F.concat(F.lit("method_"), _number("p6n", seed)))
 
 
-def _print_after(code: Column, name: Column, message: Column) -> Column:
-    lines = py_splitlines(code)
-    at = F.coalesce(_first_line(lines, name), F.lit(0))
-    indent = F.regexp_extract(F.coalesce(F.get(lines, at), F.lit("")), r"(?dU)^(\s*)", 1)
-    return F.when(F.size(lines) == 0, code).otherwise(_insert(lines, at + 1, F.array(F.concat(indent, message))))
+def _print_after(lines: Column, name: Column, message: Column) -> Column:
+    """The message, indented as the first line with the name, after that line; else after the first line."""
+    found = _first_line(lines, name)
+    indent = F.when(found.isNull(), F.lit("")).otherwise(F.regexp_extract(F.get(lines, found), r"(?dU)^(\s*)", 1))
+    return _insert(lines, F.least(F.coalesce(found, F.lit(0)) + 1, F.size(lines)), F.array(F.concat(indent, message)))
 
 
 def print_enter(code: Column, seed: int = SEED) -> Column:
     name = F.coalesce(_pick(methods(code), "p7", seed), F.lit(METHOD))
-    return _print_after(code, name, F.concat(F.lit('print("enter '), name, F.lit('")')))
+    return _print_after(py_splitlines(code), name, F.concat(F.lit(ENTERING[0]), name, F.lit(ENTERING[1])))
 
 
 def print_variable(code: Column, seed: int = SEED) -> Column:
+    lines = py_splitlines(code)
     name = F.coalesce(_pick(variables(code), "p8", seed), F.lit(VARIABLE))
-    return _print_after(code, name, F.concat(F.lit('print("'), name, F.lit(' =", '), name, F.lit(")")))
+    message = F.concat(F.lit(SHOWING[0]), name, F.lit(SHOWING[1]), name, F.lit(SHOWING[2]))
+    return F.when(F.size(lines) == 0, code).otherwise(_print_after(lines, name, message))
+
+
+def _empty_range(purpose: str, seed: int) -> Column:
+    """A for loop from the larger of two drawn numbers to the smaller."""
+    x, y = (draw_below(F.lit(NUMBERS), seed, purpose + end, "blob_id") for end in ("x", "y"))
+    return F.concat(F.lit("for _ in range("), F.greatest(x, y).cast("string"), F.lit(", "), F.least(x, y).cast("string"), F.lit("):"))
 
 
 def false_loop_for(code: Column, seed: int = SEED) -> Column:
     lines = py_splitlines(code)
-    end = draw_below(F.lit(100), seed, "p9e", "blob_id")
-    start = end + draw_below(F.lit(100), seed, "p9s", "blob_id")
-    body = _choose(("    pass", '    print("never")'), "p9b", seed)
-    return _insert(lines, _anywhere(lines, "p9", seed), F.array(F.concat(F.lit("for _ in range("), start.cast("string"), F.lit(", "), end.cast("string"), F.lit("):")), body))
+    return _insert(lines, _anywhere(lines, "p9", seed), F.array(_empty_range("p9", seed), _choose(LOOP_BODIES, "p9b", seed)))
 
 
 def false_loop_while(code: Column, seed: int = SEED) -> Column:
     lines = py_splitlines(code)
-    return _insert(lines, _anywhere(lines, "p10", seed), F.array(_choose(LOOPS, "p10c", seed), F.lit("    pass")))
+    return _insert(lines, _anywhere(lines, "p10", seed), F.array(_choose(LOOPS, "p10c", seed), _choose(LOOP_BODIES, "p10b", seed)))
 
 
 def unused_var_loop(code: Column, seed: int = SEED) -> Column:
+    """An empty loop whose body, a constant's assignment, is not indented."""
     lines = py_splitlines(code)
-    body = F.concat(F.lit("    unused_"), _number("p11n", seed), F.lit(" = "), _constant("p11k", seed))
-    return _insert(lines, _anywhere(lines, "p11", seed), F.array(F.lit("for _ in range(0):"), body))
+    body = F.concat(F.lit("unused_"), _number("p11n", seed), F.lit(" = "), _constant("p11k", seed))
+    return _insert(lines, _anywhere(lines, "p11", seed), F.array(_empty_range("p11", seed), body))
 
 
 #: In the order of variants 1 .. 11.
