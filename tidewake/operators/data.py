@@ -37,7 +37,7 @@ def take_per_group(df: DataFrame, group: str, key: Column, quota: DataFrame) ->
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(quota, group)
     cut = sizes.filter("_before < n").groupBy(group).agg(F.max("_b").alias("_cut"), F.max("_before").alias("_below"), F.first("n").alias("_quota"))
-    met = keyed.join(F.broadcast(cut), group)  # one row per group; groups are labels
+    met = keyed.join(cut, group)  # one row per group: adaptive execution broadcasts it by its size
     whole = met.filter(F.col("_b") < F.col("_cut")).select(*df.columns)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_k", "blob_id", "text"))
     edge = met.filter(F.col("_b") == F.col("_cut")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_quota") - F.col("_below")).select(*df.columns)
@@ -88,7 +88,7 @@ def _split(df: DataFrame, quota: DataFrame, key: Column, one: str, other: str) -
     first = take_per_group(keyed, "label", F.col("_k"), quota)
     edge = first.groupBy("label").agg(F.max(F.struct("_k", "blob_id", "text")).alias("_edge"))  # all before it are in
     here = F.struct("_k", "blob_id", "text")
-    marked = keyed.join(F.broadcast(edge), "label", "left")
+    marked = keyed.join(edge, "label", "left")  # one row per label
     return marked.select(*df.columns, F.when(here <= F.col("_edge"), one).otherwise(other).alias("split"))
 
 

@@ -14,8 +14,9 @@ from pyspark.sql.window import Window
 
 from . import elements, perturb
 from .data import val_split
-from .lm import NGramLM, embed, perplexity, tokenize
+from .lm import CountFeatures, FeatureModel, TargetModel, tokenize
 from ..functions.text import cosine
+from ..sources.scratch import written
 
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
@@ -60,6 +61,9 @@ class BagOfWords:
 
     requires_model = False
 
+    def __init__(self, model: TargetModel | None = None, seed: int = SEED, **options) -> None:
+        pass
+
     def fit(self, docs: DataFrame) -> BagOfWords:
         counts = ngram_counts(docs)
         self.n = docs.count()
@@ -90,15 +94,15 @@ class ElementHits:
     requires_model = True
     columns = [f"{x}_{y}" for x in elements.FEATURE_ORDER for y in ("hits", "total")]
 
-    def __init__(self, model: NGramLM) -> None:
-        self.lm = model
+    def __init__(self, model: TargetModel, seed: int = SEED, **options) -> None:
+        self.lm, self.seed = model, seed
 
     def features(self, docs: DataFrame) -> DataFrame:
-        found = elements.features(docs, elements.infill_hits(self.lm, docs.select("blob_id", "text"), SEED))
+        found = elements.features(docs, elements.infill_hits(self.lm, docs.select("blob_id", "text"), self.seed))
         return VectorAssembler(inputCols=self.columns, outputCol="features").transform(docs.select("blob_id", "label").join(found, "blob_id"))
 
     def fit(self, docs: DataFrame) -> ElementHits:
-        self.model = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", impurity="gini", seed=42, featuresCol="features", labelCol="label").fit(self.features(docs))
+        self.model = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", impurity="gini", seed=self.seed, featuresCol="features", labelCol="label").fit(self.features(docs))
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -108,16 +112,17 @@ class ElementHits:
 # --- stability under perturbation
 
 
-def stability_features(lm: NGramLM, scorer: NGramLM, docs: DataFrame) -> DataFrame:
+def stability_features(model: TargetModel, measure: FeatureModel, docs: DataFrame, seed: int = SEED) -> DataFrame:
     """blob_id, label and 27 features: similarities of twelve outputs to the truth with mean and deviation,
-    relative perplexities of eleven outputs with mean and deviation. Each text is embedded once."""
-    rows = perturb.variants(perturb.prefix_split(docs.select("blob_id", "label", "text")), "prefix")
+    relative perplexities of eleven outputs with mean and deviation. Outputs are written once and end before
+    a line end; each text is embedded once."""
+    rows = perturb.variants(perturb.prefix_split(docs.select("blob_id", "label", "text"), seed), "prefix", seed)
     ends = tokenize("code")
-    out = lm.generate(rows.select("blob_id", "label", "variant", "gt", F.array_join(F.slice(ends, F.greatest(F.size(ends) - PROMPT_TOKENS + 1, F.lit(1)), PROMPT_TOKENS), " ").alias("text")), GEN_TOKENS)
-    out = out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text")).persist()  # read by three branches
-    ppl = perplexity(scorer, out, ("blob_id", "variant"))
-    truth = docs.select("blob_id").join(out.filter("variant = 0").select("blob_id", embed("gt").alias("truth")), "blob_id")
-    sims = out.withColumn("e", embed("text")).join(truth, "blob_id").select("blob_id", "label", "variant", cosine("e", "truth").alias("sim"))
+    out = model.generate(rows.select("blob_id", "label", "variant", "gt", F.array_join(F.slice(ends, F.greatest(F.size(ends) - PROMPT_TOKENS + 1, F.lit(1)), PROMPT_TOKENS), " ").alias("text")), GEN_TOKENS, "\n")
+    out = written(out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text")), "stability")
+    ppl = measure.perplexity(out, ("blob_id", "variant"))
+    truth = out.filter("variant = 0").select("blob_id", measure.embed(F.col("gt")).alias("truth"))
+    sims = out.withColumn("e", measure.embed(F.col("text"))).join(truth, "blob_id").select("blob_id", "label", "variant", cosine("e", "truth").alias("sim"))
     return feature_vectors(sims.join(ppl, ["blob_id", "variant"]))
 
 
@@ -146,7 +151,9 @@ class Mlp:
     def __init__(self, seed: int = SEED, hidden: int = 512, epochs: int = 25, batch: int = 32, rate: float = 1e-3, dropout: float = 0.1) -> None:
         self.seed, self.hidden, self.epochs, self.batch, self.rate, self.dropout = seed, hidden, epochs, batch, rate, dropout
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Mlp:
+    def fit(self, x: np.ndarray, y: np.ndarray, val: tuple[np.ndarray, np.ndarray] | None = None) -> Mlp:
+        """Train on (x, y); ``history`` holds evaluate(*val) after every epoch, which decides nothing."""
+        self.history: list[tuple[float, float]] = []
         r = np.random.default_rng(self.seed)
         sizes = [x.shape[1], self.hidden, self.hidden, self.hidden, 2]
         self.w = [r.standard_normal((a, b)) * np.sqrt(2 / a) for a, b in zip(sizes, sizes[1:], strict=False)]
@@ -177,6 +184,8 @@ class Mlp:
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.001 * (g * g - v[k])
                     q -= self.rate * 0.1 ** (epoch // 10) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            if val is not None and len(val[0]):
+                self.history.append(self.evaluate(*val))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -185,21 +194,34 @@ class Mlp:
         logit = x @ self.w[3] + self.b[3]
         return 1 / (1 + np.exp(logit[:, 0] - logit[:, 1]))
 
+    def evaluate(self, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Mean cross-entropy and accuracy."""
+        p = self.predict(x)
+        right = np.where(y == 1, p, 1 - p)
+        with np.errstate(divide="ignore"):
+            return float(-np.log(right).mean()), float(((p > 0.5) == (y == 1)).mean())
+
 
 class Stability:
-    """The perceptron over stability features; it trains on half of at most ``limit`` rows of the training split."""
+    """The perceptron over stability features; it trains on half of at most ``limit`` rows of each half of the training split."""
 
     requires_model = True
 
-    def __init__(self, lm: NGramLM, scorer: NGramLM, limit: int = 20_000) -> None:
-        self.lm, self.scorer, self.limit = lm, scorer, limit
+    def __init__(self, model: TargetModel, seed: int = SEED, features: FeatureModel | None = None, limit: int = 20_000, **options) -> None:
+        self.lm, self.seed, self.limit = model, seed, limit
+        self.measure = features or CountFeatures(model)
 
     def fit(self, docs: DataFrame) -> Stability:
-        rows = stability_features(self.lm, self.scorer, docs).withColumn("text", F.lit(""))
-        fit = val_split(rows, 0.5).filter("split = 'fit'").orderBy(F.xxhash64("blob_id"), "blob_id").limit(self.limit).select("features", "label").collect()
-        x, y = np.array([r["features"] for r in fit], dtype=float), np.array([r["label"] for r in fit])
+        rows = written(stability_features(self.lm, self.measure, docs, self.seed).withColumn("text", F.lit("")), "stability-fit")
+        parts = val_split(rows, 0.5, self.seed)
+
+        def half(name: str) -> tuple[np.ndarray, np.ndarray]:
+            held = parts.filter(F.col("split") == name).orderBy(F.xxhash64("blob_id"), "blob_id").limit(self.limit).select("features", "label").collect()
+            return np.array([r["features"] for r in held], dtype=float).reshape(len(held), -1), np.array([r["label"] for r in held])
+
+        (x, y), (x_val, y_val) = half("fit"), half("val")
         self.mean, self.std = x.mean(0), np.where(x.std(0) == 0, 1.0, x.std(0))
-        self.net = Mlp().fit((x - self.mean) / self.std, y)
+        self.net = Mlp(self.seed).fit((x - self.mean) / self.std, y, ((x_val - self.mean) / self.std, y_val) if len(x_val) else None)
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
@@ -210,6 +232,4 @@ class Stability:
             net, mean, std = sent.value
             return pd.Series(net.predict((np.stack(features.to_numpy()) - mean) / std)) if len(features) else pd.Series([], dtype=float)
 
-        return stability_features(self.lm, self.scorer, docs).select("blob_id", "label", predict("features").alias("score"))
-
-
+        return stability_features(self.lm, self.measure, docs, self.seed).select("blob_id", "label", predict("features").alias("score"))

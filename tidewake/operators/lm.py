@@ -1,7 +1,7 @@
 """Target models. The built-in one is a count-based bigram model made of DataFrames.
 
-A target model tokenises, scores tokens and generates; anything that does can stand in, such as a
-served language model behind ``mapInPandas``.
+A target model scores tokens, continues prompts and fills gaps; anything that does can stand in.
+``served`` has an adapter for models that live in the workers.
 """
 
 from __future__ import annotations
@@ -16,16 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 ALPHA = 0.1
 TOKEN = r"[^ \t-\r]+"
 _TOKENS = re.compile(TOKEN)
+#: Rows of a table of counts, or of paths, that are broadcast at most.
+HOT, PATHS = 500_000, 30_000
 
 
 @runtime_checkable
 class TargetModel(Protocol):
-    def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None) -> DataFrame: ...
+    def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
+        """keys, pos, token, lp of every scored token of docs (keys, text); with outer a row of nulls for a text without any."""
+
+    def generate(self, prompts: DataFrame, max_new: int, stop: str | None = None) -> DataFrame:
+        """prompts with ``output``, a continuation of ``text`` that ends before stop."""
 
-    def generate(self, prompts: DataFrame, max_new: int) -> DataFrame: ...
+    def infill(self, prompts: DataFrame, max_new: int) -> DataFrame:
+        """prompts with ``output``, what the gap of ``prompt`` (between ``prefix`` and ``suffix``) is filled with."""
 
 
 def require_model(model) -> TargetModel:
@@ -46,77 +55,107 @@ def truncate(tokens: str | Column, limit: int, keep_end: bool = False) -> Column
     return F.slice(c, F.greatest(F.size(c) - limit + 1, F.lit(1)), limit) if keep_end else F.slice(c, 1, limit)
 
 
-def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",)) -> DataFrame:
-    """keys, pos, prev, token of every token but the first."""
+def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
+    """keys, pos, prev, token of every token but the first; with outer also a row of nulls for a text of fewer than two."""
     t = tokenize("text")
     if max_tokens:
         t = truncate(t, max_tokens)
     pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(i.alias("pos"), F.get("t", i - 1).alias("prev"), F.get("t", i).alias("token")))
-    return docs.select(*keys, t.alias("t")).filter(F.size("t") > 1).select(*keys, F.inline(pairs))
+    rows = docs.select(*keys, t.alias("t"))
+    if outer:
+        return rows.select(*keys, F.inline_outer(F.when(F.size("t") > 1, pairs)))
+    return rows.filter(F.size("t") > 1).select(*keys, F.inline(pairs))
 
 
-class NGramLM:
-    """Bigram model with additive smoothing: ln((c(prev, token) + ALPHA) / (c(prev) + ALPHA * V))."""
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, weight: str, hot: int) -> DataFrame:
+    """rows with the value of table (unique keys), null where it has none, without a shuffle of frequent keys.
 
-    def __init__(self, docs: DataFrame, alpha: float = ALPHA) -> None:
-        self.alpha = alpha
-        pairs = positions(docs).groupBy("prev", "token").agg(F.count("*").alias("c2"))
-        self.bigrams = pairs
-        self.contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
-        self.vocabulary = docs.select(F.explode(tokenize("text")).alias("token")).agg(F.count_distinct("token").alias("v"))
+    A table of at most ``hot`` rows is broadcast. Of a larger one its ``hot`` rows of greatest weight
+    are, and only the rows that they do not settle meet the table in a shuffled join.
+    """
+    known = table.select(*keys, value)
+    if table.limit(hot + 1).count() <= hot:
+        return rows.join(F.broadcast(known), keys, "left")
+    top = written(table.orderBy(F.desc(weight), *keys).limit(hot).select(*keys, value), "lm-hot")
+    met = rows.join(F.broadcast(top), keys, "left")
+    settled = F.col(value).isNotNull() | F.greatest(*[F.col(k).isNull().cast("int") for k in [*keys, keys[0]]]).cast("boolean")
+    return met.filter(settled).unionByName(met.filter(~settled).drop(value).join(known, keys, "left"))
 
-    def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",)) -> DataFrame:
-        """keys, pos, token, lp. Distinct pairs are scored once; positions then look them up."""
-        at = positions(docs, max_tokens, keys)
-        return at.join(self.pair_logprobs(at), ["prev", "token"]).select(*keys, "pos", "token", "lp")
+
+class NGramLM:
+    """Bigram model with additive smoothing: ln((c(prev, token) + ALPHA) / (c(prev) + ALPHA * V)).
+
+    The counts are written once, when the model is made. Without any token all log-probabilities are null.
+    """
+
+    def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT) -> None:
+        self.hot, self._paths = hot, {}
+        pairs = written(positions(docs).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
+        contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
+        v = docs.select(F.explode(tokenize("text")).alias("token")).agg(F.count_distinct("token")).first()[0]
+        a, lp = F.lit(float(alpha)), lambda c2, c1: F.log(F.try_divide(c2 + F.lit(float(alpha)), c1 + F.lit(float(alpha * v))))
+        self.contexts = written(contexts.select("prev", "c1", lp(F.lit(0), F.col("c1")).alias("unseen")), "lm-contexts")
+        self.bigrams = written(pairs.join(self.contexts, "prev").select("prev", "token", "c2", lp(F.col("c2"), F.col("c1")).alias("seen")), "lm-bigrams")
+        self.nothing = F.log(F.try_divide(a, F.lit(float(alpha * v))))
+
+    def scored(self, at: DataFrame) -> DataFrame:
+        """at (with prev and token) with lp."""
+        met = _looked_up(at, self.bigrams, ["prev", "token"], "seen", "c2", self.hot)
+        met = _looked_up(met, self.contexts, ["prev"], "unseen", "c1", self.hot)
+        return met.withColumn("lp", F.when(F.col("token").isNotNull(), F.coalesce("seen", "unseen", self.nothing))).drop("seen", "unseen")
+
+    def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
+        """keys, pos, token, lp; tokens stay in the partitions of their texts while the counts are few enough to be sent there."""
+        return self.scored(positions(docs, max_tokens, keys, outer)).select(*keys, "pos", "token", "lp")
 
     def pair_logprobs(self, at: DataFrame) -> DataFrame:
-        asked = at.select("prev", "token").distinct()
-        scored = asked.join(self.bigrams, ["prev", "token"], "left").join(self.contexts, "prev", "left").crossJoin(F.broadcast(self.vocabulary))  # one row
-        a = F.lit(self.alpha)
-        lp = F.log((F.coalesce("c2", F.lit(0)) + a) / (F.coalesce("c1", F.lit(0)) + a * F.col("v")))
-        return scored.select("prev", "token", lp.alias("lp"))
+        """prev, token, lp of each distinct pair."""
+        return self.scored(at.select("prev", "token").distinct()).select("prev", "token", "lp")
 
     def successors(self) -> DataFrame:
         """prev, token: the most frequent successor (ties: the smaller token)."""
         best = F.min(F.struct((-F.col("c2")).alias("c"), F.col("token").alias("t")))
         return self.bigrams.groupBy("prev").agg(best.alias("b")).select("prev", F.col("b.t").alias("token"))
 
-    def generate(self, prompts: DataFrame, max_new: int = 50, broadcast_rows: int = 1_000_000) -> DataFrame:
-        """prompts with ``output``: greedy continuation of the last token of ``text``, at most max_new tokens.
+    def paths(self, max_new: int) -> DataFrame:
+        """prev, path: the greedy continuation of each token, at most max_new tokens.
 
-        The successor table goes to the workers while it is counted small; beyond, each step is a join.
+        Paths double in length with each join of the table of paths with itself, so their cost follows
+        the vocabulary and the logarithm of max_new, not the number of prompts.
         """
-        step = self.successors()
-        last = F.element_at(tokenize("text"), -1)
-        last = F.when(F.size(tokenize("text")) > 0, last)
-        if step.limit(broadcast_rows + 1).count() <= broadcast_rows:
-            rows = step.collect()
-            known = prompts.sparkSession.sparkContext.broadcast(dict((r["prev"], r["token"]) for r in rows))
-
-            @F.pandas_udf("string")
-            def walk(prev: pd.Series) -> pd.Series:
-                def one(p):
-                    out = []
-                    while len(out) < max_new and (p := known.value.get(p)) is not None:
-                        out.append(p)
-                    return " ".join(out)
-
-                return prev.map(one)
-
-            return prompts.withColumn("output", walk(last))
-        out = prompts.withColumn("_at", last).withColumn("output", F.lit(""))
-        for _ in range(max_new):
-            nxt = step.select(F.col("prev").alias("_at"), F.col("token").alias("_next"))
-            out = out.join(nxt, "_at", "left").withColumn("output", F.concat_ws(" ", F.nullif("output", F.lit("")), "_next")).drop("_at").withColumnRenamed("_next", "_at")
-        return out.drop("_at")
-
-
-def perplexity(model: NGramLM, docs: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
-    """keys, ppl = exp(-mean log-probability); 100 for empty texts, 1e6 where there is nothing to average."""
-    lp = model.token_logprobs(docs, keys=keys).groupBy(*keys).agg(F.avg("lp").alias("m"))
-    value = F.when(F.length(F.coalesce("text", F.lit(""))) == 0, F.lit(100.0)).when(F.col("m").isNull(), F.lit(1e6)).otherwise(F.exp(-F.col("m")))
-    return docs.join(lp, list(keys), "left").select(*keys, value.alias("ppl"))
+        if max_new not in self._paths:
+            now, have = written(self.successors().select("prev", F.array("token").alias("path")), "lm-paths"), 1
+            while have < max_new:
+                more = now.select(F.col("prev").alias("end"), F.col("path").alias("more"))
+                both = now.withColumn("end", F.element_at("path", -1)).join(more, "end", "left")
+                longer = F.concat("path", F.coalesce("more", F.array().cast("array<string>")))
+                now, have = written(both.select("prev", F.slice(longer, 1, max_new).alias("path")), "lm-paths"), 2 * have
+            self._paths[max_new] = now
+        return self._paths[max_new]
+
+    def generate(self, prompts: DataFrame, max_new: int = 50, stop: str | None = None, text: str = "text", broadcast_rows: int = PATHS) -> DataFrame:
+        """prompts with ``output``: the greedy continuation of the last token of the text, empty where there is none.
+
+        Tokens hold no white space, so a line end as stop never cuts anything here.
+        """
+        paths = self.paths(max_new).select(F.col("prev").alias("_last_token"), F.col("path").alias("_path"))
+        paths = F.broadcast(paths) if paths.limit(broadcast_rows + 1).count() <= broadcast_rows else paths
+        words = tokenize(text)
+        met = prompts.withColumn("_last_token", F.get(words, F.size(words) - 1)).join(paths, "_last_token", "left")
+        output = F.coalesce(F.array_join("_path", " "), F.lit(""))
+        return met.select(*prompts.columns, (F.substring_index(output, stop, 1) if stop else output).alias("output"))
+
+    def infill(self, prompts: DataFrame, max_new: int = 50) -> DataFrame:
+        """prompts with ``output``: the model sees what precedes the gap."""
+        return self.generate(prompts, max_new, text="prefix")
+
+
+def perplexity(model: TargetModel, docs: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
+    """keys, ppl = exp(-mean log-probability) of docs (keys, text); 100 for empty texts, 1e6 where there is nothing to average."""
+    rows = docs.select(*keys, "text", (F.length(F.coalesce("text", F.lit(""))) == 0).alias("_empty"))
+    by = (*keys, "_empty")
+    means = model.token_logprobs(rows, keys=by, outer=True).groupBy(*by).agg(F.avg("lp").alias("m"))
+    return means.select(*keys, F.when(F.col("_empty"), F.lit(100.0)).when(F.col("m").isNull(), F.lit(1e6)).otherwise(F.exp(-F.col("m"))).alias("ppl"))
 
 
 def chunked_positions(docs: DataFrame, width: int = 2048) -> DataFrame:
@@ -134,6 +173,29 @@ def embed(text: str | Column, width: int = 64) -> Column:
     return counts(text)
 
 
+class FeatureModel(Protocol):
+    """What the stability attack measures outputs with: an embedding and a perplexity."""
+
+    def embed(self, text: Column) -> Column:
+        """An array of doubles for each text."""
+
+    def perplexity(self, docs: DataFrame, keys: tuple) -> DataFrame:
+        """keys, ppl of docs (keys, text)."""
+
+
+class CountFeatures:
+    """The built-in feature model: hashed token counts, and the perplexity of a target model."""
+
+    def __init__(self, scorer: TargetModel, width: int = 64) -> None:
+        self.scorer, self.width = scorer, width
+
+    def embed(self, text: Column) -> Column:
+        return embed(text, self.width)
+
+    def perplexity(self, docs: DataFrame, keys: tuple) -> DataFrame:
+        return perplexity(self.scorer, docs, keys)
+
+
 def lagged(tokens: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
     """The previous token of each row of (keys, pos, token)."""
     return tokens.withColumn("prev", F.lag("token").over(Window.partitionBy(*keys).orderBy("pos")))

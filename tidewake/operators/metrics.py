@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 NAMES = ("roc auc", "TPR @ 1% FPR", "TPR @ 0.1% FPR")
 RATES = (0.01, 0.001)
 
@@ -14,9 +16,17 @@ def roc_counts(scored: DataFrame) -> DataFrame:
     """score, tp, fp: cumulative counts at each distinct score from the highest down.
 
     Scores are first counted by value, then cumulated in two levels (ranges of the order-preserving
-    score quantum, then scores), so no task needs all scores of a large table.
+    score quantum, then scores), so no task needs all scores of a large table. The counts by score are
+    written, so that what makes the scores runs once.
     """
-    by = scored.groupBy("score").agg(F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg"))
+    return _cumulated(written(_by_score(scored), "roc-scores"))
+
+
+def _by_score(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("score").agg(F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg"))
+
+
+def _cumulated(by: DataFrame) -> DataFrame:
     lo_hi = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     band = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * 4096), F.lit(0))
     banded = by.crossJoin(F.broadcast(lo_hi)).withColumn("band", band)  # one row
@@ -30,8 +40,9 @@ def roc_counts(scored: DataFrame) -> DataFrame:
 
 def roc_curve(scored: DataFrame) -> DataFrame:
     """fpr, tpr, score of each vertex; (0, 0) has a null score."""
-    counts = roc_counts(scored)
-    totals = scored.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    by = written(_by_score(scored), "roc-scores")
+    counts = _cumulated(by)
+    totals = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     points = counts.crossJoin(F.broadcast(totals)).select(F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr"), "score")
     origin = scored.sparkSession.createDataFrame([(0.0, 0.0, None)], "fpr double, tpr double, score double")
     return origin.unionByName(points)
@@ -39,8 +50,9 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 
 def metrics(scored: DataFrame) -> DataFrame:
     """metric, value: the three metrics; all null if a score is null or NaN or a class is missing."""
-    counts = roc_counts(scored.filter("score is not null and not isnan(score)"))
-    state = scored.agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
+    by = written(_by_score(scored), "roc-scores")
+    counts = _cumulated(by.filter("score is not null and not isnan(score)"))
+    state = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
     # a vertex's trapezoid needs only its own counts: (neg) * (tp before + tp) / 2
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double") / 2
     points = counts.crossJoin(F.broadcast(state))
@@ -58,3 +70,12 @@ def metrics(scored: DataFrame) -> DataFrame:
         values.append(F.when(sound, F.when(rf.isNull(), lt).otherwise(lt + F.try_divide((rt - lt) * (F.lit(x) - lf), rf - lf))))
     rows = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in zip(NAMES, values, strict=True)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def cross_entropy(scored: DataFrame, least: float = 0.0) -> DataFrame:
+    """loss, accuracy of probabilities of class 1: mean of -ln P(label), and the share of rows whose likelier class
+    (0 for equal ones) is the label. least: a floor under P(label); with 0 the loss is infinite where it is 0."""
+    right = F.when(F.col("label") == 1, F.col("score")).otherwise(1 - F.col("score"))
+    loss = F.when(F.greatest(right, F.lit(least)) > 0, -F.log(F.greatest(right, F.lit(least)))).otherwise(F.lit(float("inf")))
+    hit = ((F.col("score") > 0.5).cast("int") == F.col("label")).cast("double")
+    return scored.agg(F.avg(loss).alias("loss"), F.avg(hit).alias("accuracy"))

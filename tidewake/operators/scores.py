@@ -5,13 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .lm import TOKEN, NGramLM
+from .lm import TOKEN, TargetModel
 
 LOSS_TOKENS, MIN_K_TOKENS, SWAP_TOKENS = 2048, 2048, 4096
 K = 0.3
@@ -20,55 +18,72 @@ NEAR, FAR = 30, 5
 SWAP_RATIO, MUTANTS = 0.3, 5
 
 
+#: A text's row while its tokens are scored; ids may repeat.
+ROW = ("_row", "blob_id", "label")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """ROW and text."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), "blob_id", "label", "text")
+
+
 def mean_logprob(lps: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
     return lps.groupBy(*keys).agg(F.avg("lp").alias("score"))
 
 
-def _ranked(lps: DataFrame, keys: tuple) -> DataFrame:
-    whole = Window.partitionBy(*keys)
-    return lps.withColumn("n", F.count("*").over(whole)).withColumn("low", F.row_number().over(whole.orderBy("lp")))
+def _sorted(lps: DataFrame, keys: tuple) -> DataFrame:
+    """keys, l: the log-probabilities of each text in ascending order. Attacks read 2,048 or 4,096 tokens of a text at most,
+    and the tokens of a text come from one partition, so arrays are bounded and are all that moves."""
+    return lps.groupBy(*keys).agg(F.sort_array(F.collect_list("lp")).alias("l"))
+
+
+def _mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
 
 
 def min_k(lps: DataFrame, k: float = K, keys: tuple = ("blob_id",)) -> DataFrame:
-    """Mean of the max(1, int(n * k)) lowest log-probabilities."""
-    take = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(k))))
-    return _ranked(lps, keys).filter(F.col("low") <= take).groupBy(*keys).agg(F.avg("lp").alias("score"))
+    """Mean of the max(1, int(n * k)) lowest log-probabilities; null without any."""
+    take = F.greatest(F.lit(1), F.floor(F.size("l") * F.lit(float(k)))).cast("int")
+    return _sorted(lps, keys).select(*keys, _mean(F.slice("l", F.lit(1), take)).alias("score"))
+
+
+def ranks(lps: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
+    """keys, low, lp: the rank of every log-probability within its text, the lowest first."""
+    return _sorted(lps, keys).select(*keys, F.posexplode("l").alias("low", "lp")).withColumn("low", F.col("low") + 1)
 
 
 def polarized_distance(lps: DataFrame, near: int = NEAR, far: int = FAR, keys: tuple = ("blob_id",)) -> DataFrame:
     """Mean of the ``far`` highest minus mean of the ``near`` lowest; both shrink in proportion where they would overlap."""
-    n = F.col("n")
+    n = F.size("l")
     f, m = F.greatest(F.lit(1), F.least(F.lit(far), n)), F.greatest(F.lit(1), F.least(F.lit(near), n))
     shrink = n.cast("double") / (f + m)
-    m2 = F.when(f + m > n, F.greatest(F.lit(1), F.floor(m * shrink))).otherwise(m)
-    f2 = F.when(f + m > n, F.greatest(F.lit(1), F.floor(f * shrink))).otherwise(f)
-    ranked = _ranked(lps, keys)
-    high = F.avg(F.when(F.col("n") - F.col("low") < f2, F.col("lp")))
-    low = F.avg(F.when(F.col("low") <= m2, F.col("lp")))
-    return ranked.groupBy(*keys).agg((high - low).alias("score"))
+    m2 = F.when(f + m > n, F.greatest(F.lit(1), F.floor(m * shrink))).otherwise(m).cast("int")
+    f2 = F.when(f + m > n, F.greatest(F.lit(1), F.floor(f * shrink))).otherwise(f).cast("int")
+    high = _mean(F.slice("l", F.greatest(n - f2 + 1, F.lit(1)), f2))
+    return _sorted(lps, keys).select(*keys, (high - _mean(F.slice("l", F.lit(1), m2))).alias("score"))
 
 
 def swap_tokens(docs: DataFrame, seed: int = 42, ratio: float = SWAP_RATIO, mutants: int = MUTANTS) -> DataFrame:
     """docs with variant 0 (the text) and 1 .. mutants: int(ratio * n) swaps of random distinct places, one after another.
 
-    A swap changes what the next one finds, so the text is changed in place, in Arrow batches; the
-    draws come from a generator seeded by (seed, blob_id, variant).
+    A swap changes what the next one finds, so the tokens are changed in place, in Arrow batches. Swap k
+    draws from md5(seed|swap|blob_id|variant|k): its first place from the first eight digits modulo n, the
+    second, among the others, from the next eight modulo n - 1.
     """
 
     @F.pandas_udf("string")
     def swapped(text: pd.Series, blob: pd.Series, variant: pd.Series) -> pd.Series:
         out = []
         for t, b, v in zip(text, blob, variant, strict=True):
+            if v == 0:
+                out.append(t)
+                continue
             tokens = _TOKENS.findall(t or "")
             n = len(tokens)
-            m = int(ratio * n)
-            if v == 0 or not m:
-                out.append(t if v == 0 else " ".join(tokens))
-                continue
-            r = np.random.default_rng(int(hashlib.md5(f"{seed}|swap|{b}|{v}".encode()).hexdigest()[:16], 16))
-            first, second = r.integers(0, n, m), r.integers(0, n - 1, m)
-            second += second >= first
-            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+            for k in range(int(ratio * n)):
+                key = hashlib.md5(f"{seed}|swap|{b}|{v}|{k}".encode()).hexdigest()
+                i, j = int(key[:8], 16) % n, int(key[8:16], 16) % (n - 1)
+                j += j >= i
                 tokens[i], tokens[j] = tokens[j], tokens[i]
             out.append(" ".join(tokens))
         return pd.Series(out, dtype=object)
@@ -77,30 +92,28 @@ def swap_tokens(docs: DataFrame, seed: int = 42, ratio: float = SWAP_RATIO, muta
     return rows.withColumn("text", swapped("text", F.coalesce("blob_id", F.lit("")), "variant"))
 
 
-def combine_mutants(distances: DataFrame) -> DataFrame:
+def combine_mutants(distances: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
     """score = distance of variant 0 minus the mean over mutants (0 without any)."""
     own = F.max(F.when(F.col("variant") == 0, F.col("score")))
     rest = F.avg(F.when(F.col("variant") > 0, F.col("score")))
-    return distances.groupBy("blob_id").agg(F.when(F.count_if(F.col("variant") > 0) == 0, F.lit(0.0)).otherwise(own - rest).alias("score"))
+    return distances.groupBy(*keys).agg(F.when(F.count_if(F.col("variant") > 0) == 0, F.lit(0.0)).otherwise(own - rest).alias("score"))
 
 
-def _all(docs: DataFrame, scored: DataFrame, default=None) -> DataFrame:
-    """A row for every document; undefined scores are null, or the default."""
-    out = docs.select("blob_id", "label").join(scored, "blob_id", "left")
-    return out if default is None else out.fillna(default, ["score"])
+def _scores(scored: DataFrame) -> DataFrame:
+    return scored.select("blob_id", "label", "score")
 
 
-def loss_attack(model: NGramLM, docs: DataFrame) -> DataFrame:
-    return _all(docs, mean_logprob(model.token_logprobs(docs, LOSS_TOKENS)))
+def loss_attack(model: TargetModel, docs: DataFrame) -> DataFrame:
+    """blob_id, label, score of every row; null where nothing can be scored."""
+    return _scores(mean_logprob(model.token_logprobs(rows_of(docs), LOSS_TOKENS, ROW, outer=True), ROW))
 
 
-def min_k_attack(model: NGramLM, docs: DataFrame) -> DataFrame:
-    return _all(docs, min_k(model.token_logprobs(docs, MIN_K_TOKENS)))
+def min_k_attack(model: TargetModel, docs: DataFrame, k: float = K) -> DataFrame:
+    return _scores(min_k(model.token_logprobs(rows_of(docs), MIN_K_TOKENS, ROW, outer=True), k, ROW))
 
 
-def swap_attack(model: NGramLM, docs: DataFrame, seed: int = 42) -> DataFrame:
-    keys = ("blob_id", "variant")
-    variants = swap_tokens(docs.select("blob_id", "text"), seed)
-    lps = model.token_logprobs(variants, SWAP_TOKENS, keys)
-    distances = variants.select(*keys).join(polarized_distance(lps, keys=keys), list(keys), "left").fillna(0.0, ["score"])
-    return _all(docs, combine_mutants(distances))
+def swap_attack(model: TargetModel, docs: DataFrame, seed: int = 42) -> DataFrame:
+    """Texts without scored tokens have distance 0."""
+    keys = (*ROW, "variant")
+    lps = model.token_logprobs(swap_tokens(rows_of(docs), seed), SWAP_TOKENS, keys, outer=True)
+    return _scores(combine_mutants(polarized_distance(lps, keys=keys).fillna(0.0, ["score"]), ROW))
