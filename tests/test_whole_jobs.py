@@ -9,7 +9,7 @@ from tidewake.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["agg_sim_stats_all", "agg_ppl_stats_all", "adv_features_all"])
+@pytest.mark.parametrize("name", ["agg_sim_stats", "agg_ppl_stats", "adv_features"])
 def test_all_events(spark, name):
     sql = catalog.ORACLE_SQL[name].replace("FROM events", f"FROM '{SF}/events.parquet'")
     want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}

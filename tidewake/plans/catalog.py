@@ -1,19 +1,18 @@
 """Registered queries over the test tables, and the SQL that must give the same rows.
 
-Members are documents of even id. Code operators run on ``pages.html`` and on the inline samples below,
-which the SQL repeats as VALUES.
+Members are documents of even id. The queries of code elements and perturbations are in ``code``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import data, elements, learned, lm, metrics, perturb, registry, report, scores
+from ..operators import data, learned, lm, metrics, perturb, registry, report, scores
 from ..sources import files
+from ..sources.scratch import scratch_path
+from ..streaming.acquire import acquire
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -33,14 +32,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root}/tidewake-{uuid.uuid4().hex}"
-
-
 # --- samples
 
 SAMPLES = "samples AS (SELECT text, CAST(doc_id AS VARCHAR) AS blob_id, CAST(1 - doc_id % 2 AS INTEGER) AS label FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0)"
@@ -135,13 +126,33 @@ query("filter_fetch_ok", "SELECT blob_id FROM (VALUES ('a', 'x', NULL), ('b', NU
 )
 
 
-@query("fetch_content")
+@query("fetch_content", "SELECT * FROM (VALUES ('a', 'latin-1', 'é', NULL), ('b', NULL, NULL, 404), ('c', NULL, NULL, 429), (NULL, NULL, NULL, NULL)) v(blob_id, src_encoding, content, status_code)")
 def _fetch(s, d):
     replies = {"a": (200, "é".encode("latin-1")), "b": (404, b""), "c": (429, b"")}
     rows = s.createDataFrame([("a", "latin-1"), ("b", None), ("c", None), (None, None)], "blob_id string, src_encoding string")
     return files.fetch_content(rows, replies.__getitem__, retries=1, wait=0.0)
 
 
+@query("src_first_parquet", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1")
+def _first_file(s, d):
+    folder = scratch_path(s, "catalog")
+    for name, rest in (("b", 0), ("a", 1)):
+        table(s, d, "documents").filter(F.col("doc_id") % 2 == rest).select("doc_id").write.parquet(f"{folder}/{name}.parquet")
+    return files.read_collection(s, folder)
+
+
+def _streamed(s, d, name: str, schema: str, keep) -> DataFrame:
+    """Everything that keep leaves of a table (a file or a folder, hence the pattern), acquired as a stream."""
+    out = scratch_path(s, "catalog")
+    acquire(s, f"{d}/{name}.parque?", schema, 1 << 40, keep, out, scratch_path(s, "catalog"))
+    return s.read.parquet(f"{out}/*")
+
+
+query("src_hub_stream_seen", "SELECT page_id FROM pages WHERE url LIKE '%.py' OR url LIKE '%/en/%'")(
+    lambda s, d: _streamed(s, d, "pages", "page_id bigint, url string", lambda rows: rows.filter(F.col("url").rlike(r"\.py$|/en/")).select("page_id"))
+)
+query("src_hub_stream_unseen", "SELECT doc_id FROM documents WHERE lang = 'en'")(lambda s, d: _streamed(s, d, "documents", "doc_id bigint, lang string", lambda rows: rows.filter("lang = 'en'").select("doc_id")))
+
 # --- scalar functions
 
 _WORDS = [("hello world", "hallo wrld"), ("kitten", "sitting"), (" same ", "same"), ("", ""), ("", "abc"), ("ñandú", "nandu")]
@@ -176,8 +187,8 @@ _r = lambda df: df.withColumn("score", F.round("score", 6))
 
 query("lm_token_logprobs", f"WITH {_LM} SELECT blob_id, CAST(pos AS INTEGER) AS pos, token, round(lp, 6) AS lp FROM lp")(lambda s, d: model(s, d).token_logprobs(samples(s, d)).select("blob_id", "pos", "token", F.round("lp", 6).alias("lp")))
 query("win_prev_token", f"WITH {_LM} SELECT blob_id, CAST(pos AS INTEGER) AS pos, prev, token FROM pos")(lambda s, d: lm.positions(samples(s, d)))
-query("lm_truncate", f"WITH {_LM} SELECT blob_id, array_to_string(t[1:16], ' ') AS head, array_to_string(t[greatest(1, len(t) - 15):], ' ') AS tail FROM tok")(
-    lambda s, d: samples(s, d).select("blob_id", F.array_join(lm.truncate(lm.tokenize("text"), 16), " ").alias("head"), F.array_join(lm.truncate(lm.tokenize("text"), 16, keep_end=True), " ").alias("tail"))
+query("lm_truncate", f"WITH {_LM} SELECT blob_id, array_to_string(t[1:{scores.LOSS_TOKENS}], ' ') AS head, array_to_string(t[greatest(1, len(t) - {learned.PROMPT_TOKENS - 1}):], ' ') AS tail FROM tok")(
+    lambda s, d: samples(s, d).select("blob_id", F.array_join(lm.truncate(lm.tokenize("text"), scores.LOSS_TOKENS), " ").alias("head"), F.array_join(lm.truncate(lm.tokenize("text"), learned.PROMPT_TOKENS, keep_end=True), " ").alias("tail"))
 )
 query("lookup_token_logprob", f"WITH {_LM} SELECT prev, token, round(ln((coalesce(c2, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + 0.1::DOUBLE * v)), 6) AS lp FROM (SELECT DISTINCT prev, token FROM pos) LEFT JOIN c2 USING (prev, token) LEFT JOIN c1 USING (prev), v")(
     lambda s, d: model(s, d).pair_logprobs(lm.positions(samples(s, d))).select("prev", "token", F.round("lp", 6).alias("lp"))
@@ -186,11 +197,26 @@ query("agg_mean_logprob", f"WITH {_LOSS} {_SCORED}")(lambda s, d: _r(scores.loss
 query("attack_loss", f"WITH {_LOSS} {_SCORED}")(QUERIES["agg_mean_logprob"])
 query("agg_min_k", f"WITH {_MKP} {_SCORED}")(lambda s, d: _r(scores.min_k_attack(model(s, d), samples(s, d))))
 query("attack_mkp", f"WITH {_MKP} {_SCORED}")(QUERIES["agg_min_k"])
-query("win_rank_logprob", f"WITH {_CUT} SELECT blob_id, CAST(low AS INTEGER) AS low, round(lp, 6) AS lp FROM rk WHERE low <= 5")(lambda s, d: scores._ranked(model(s, d).token_logprobs(samples(s, d), 2048), ("blob_id",)).filter("low <= 5").select("blob_id", "low", F.round("lp", 6).alias("lp")))
+query("win_rank_logprob", f"WITH {_CUT} SELECT blob_id, CAST(low AS INTEGER) AS low, round(lp, 6) AS lp FROM rk")(lambda s, d: scores.ranks(model(s, d).token_logprobs(samples(s, d), 2048)).select("blob_id", "low", F.round("lp", 6).alias("lp")))
 query("agg_polarized_distance", f"WITH {_PD} SELECT blob_id, round(score, 6) AS score FROM x")(lambda s, d: _r(scores.polarized_distance(model(s, d).token_logprobs(samples(s, d), 2048))))
 query("win_token_chunks", f"WITH {_LM} SELECT blob_id, CAST(floor(pos / 64) AS INTEGER) AS chunk, count(*) AS scored FROM pos WHERE pos % 64 <> 0 GROUP BY ALL")(lambda s, d: lm.chunked_positions(samples(s, d), 64).groupBy("blob_id", "chunk").agg(F.count("*").alias("scored")))
-query("token_swap")(lambda s, d: scores.swap_tokens(samples(s, d).select("blob_id", "text")).select("blob_id", "variant", F.sha1("text").alias("h")))
-query("attack_pac")(lambda s, d: scores.swap_attack(model(s, d), samples(s, d)))
+# a swap of places i and j as a list ['i', 'j'], applied one after another to the list of tokens
+_DRAWN = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+_VARIANTS = f"""vt AS (SELECT blob_id, label, CAST(v AS INTEGER) AS variant, CAST(floor(len(t) * 0.3::DOUBLE) AS BIGINT) AS m, t FROM tok, (SELECT unnest(generate_series(1, 5)) AS v)),
+dr AS (SELECT blob_id, variant, k, {_DRAWN.format(1)} % n AS i, {_DRAWN.format(9)} % (n - 1) AS j FROM (SELECT blob_id, variant, k, n, md5('42|swap|' || blob_id || '|' || variant || '|' || k) AS h FROM (SELECT blob_id, variant, len(t) AS n, unnest(generate_series(0, m - 1)) AS k FROM vt WHERE m > 0))),
+ds AS (SELECT blob_id, variant, list([CAST(least(i, j2) AS VARCHAR), CAST(greatest(i, j2) AS VARCHAR)] ORDER BY k) AS ds FROM (SELECT *, CASE WHEN j >= i THEN j + 1 ELSE j END AS j2 FROM dr) GROUP BY ALL),
+sx AS (SELECT vt.blob_id, vt.label, vt.variant, array_to_string(CASE WHEN ds IS NULL THEN t ELSE list_reduce(list_concat([t], ds), lambda a, x: list_concat(list_concat(list_concat(a[1:x[1]::BIGINT], [a[x[2]::BIGINT + 1]]), list_concat(a[x[1]::BIGINT + 2:x[2]::BIGINT], [a[x[1]::BIGINT + 1]])), a[x[2]::BIGINT + 2:])) END, ' ') AS text
+  FROM vt LEFT JOIN ds USING (blob_id, variant) UNION ALL SELECT blob_id, label, 0, text FROM samples)"""
+query("token_swap", f"WITH {_LM}, {_VARIANTS} SELECT blob_id, variant, sha1(text) AS h FROM sx")(lambda s, d: scores.swap_tokens(samples(s, d).select("blob_id", "text")).select("blob_id", "variant", F.sha1("text").alias("h")))
+_PAC = f"""{_LM}, {_VARIANTS},
+sp AS (SELECT blob_id, variant, t[i] AS prev, t[i + 1] AS token FROM (SELECT blob_id, variant, t, unnest(generate_series(1, len(t) - 1)) AS i FROM (SELECT blob_id, variant, regexp_extract_all(text, '[^ \\t-\\r]+')[1:4096] AS t FROM sx))),
+sl AS (SELECT blob_id, variant, ln((coalesce(c2, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + 0.1::DOUBLE * v)) AS lp FROM sp LEFT JOIN c2 USING (prev, token) LEFT JOIN c1 USING (prev), v),
+sr AS (SELECT *, row_number() OVER (PARTITION BY blob_id, variant ORDER BY lp) AS low, count(*) OVER (PARTITION BY blob_id, variant) AS n FROM sl),
+sw AS (SELECT *, least(5, n) AS f, least(30, n) AS m FROM sr),
+sz AS (SELECT *, CASE WHEN f + m > n THEN greatest(1, floor(m * (n::DOUBLE / (f + m)))) ELSE m END AS m2, CASE WHEN f + m > n THEN greatest(1, floor(f * (n::DOUBLE / (f + m)))) ELSE f END AS f2 FROM sw),
+sd AS (SELECT blob_id, variant, avg(CASE WHEN n - low < f2 THEN lp END) - avg(CASE WHEN low <= m2 THEN lp END) AS score FROM sz GROUP BY blob_id, variant),
+sa AS (SELECT sx.blob_id, sx.label, sx.variant, coalesce(score, 0.0) AS score FROM sx LEFT JOIN sd USING (blob_id, variant))"""
+query("attack_pac", f"WITH {_PAC} SELECT blob_id, label, round(max(CASE WHEN variant = 0 THEN score END) - avg(CASE WHEN variant > 0 THEN score END), 6) AS score FROM sa GROUP BY blob_id, label")(lambda s, d: _r(scores.swap_attack(model(s, d), samples(s, d))))
 query("agg_pac", "WITH v AS (SELECT user_id, CAST(event_id % 6 AS INTEGER) AS variant, avg(value) AS score FROM events GROUP BY ALL) SELECT CAST(user_id AS VARCHAR) AS blob_id, round(CASE WHEN count(*) FILTER (variant > 0) = 0 THEN 0.0 ELSE max(CASE WHEN variant = 0 THEN score END) - avg(CASE WHEN variant > 0 THEN score END) END, 6) AS score FROM v GROUP BY user_id")(
     lambda s, d: _r(scores.combine_mutants(table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("blob_id"), (F.col("event_id") % 6).cast("int").alias("variant")).agg(F.avg("value").alias("score"))))
 )
@@ -198,7 +224,10 @@ query("ppl_text", f"WITH {_LM}, m AS (SELECT blob_id, avg(lp) AS m FROM lp GROUP
     lambda s, d: lm.perplexity(model(s, d), samples(s, d)).select("blob_id", F.round(F.log("ppl"), 6).alias("log_ppl"))
 )
 query("lm_successors", f"WITH {_LM} SELECT prev, token FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY c2 DESC, token) AS r FROM c2) WHERE r = 1")(lambda s, d: model(s, d).successors())
-query("lm_generate")(lambda s, d: model(s, d).generate(samples(s, d).select("blob_id", "text"), 50).select("blob_id", "output"))
+_PATHS = """su AS (SELECT prev, token FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY c2 DESC, token) AS r FROM c2) WHERE r = 1),
+walk(start_token, step, here, path) AS (SELECT prev, 1, token, token FROM su UNION ALL SELECT start_token, step + 1, su.token, path || ' ' || su.token FROM walk JOIN su ON su.prev = walk.here WHERE step < 50),
+paths AS (SELECT start_token, arg_max(path, step) AS path FROM walk GROUP BY start_token)"""
+query("lm_generate", f"WITH RECURSIVE {_LM}, {_PATHS} SELECT blob_id, coalesce(path, '') AS output FROM tok LEFT JOIN paths ON start_token = t[-1]")(lambda s, d: model(s, d).generate(samples(s, d).select("blob_id", "text"), 50).select("blob_id", "output"))
 
 # --- evaluation
 
@@ -232,7 +261,7 @@ query("metrics_undefined", "SELECT * FROM (VALUES ('roc auc', NULL::DOUBLE), ('T
 
 @query("src_predictions_csv", f"SELECT CAST(event_id AS VARCHAR) AS blob_id, label, score FROM (SELECT event_id, round(value, 1) AS score, CAST(user_id % 2 AS INTEGER) AS label FROM events)")
 def _predictions(s, d):
-    path = scratch(s)
+    path = scratch_path(s, "catalog")
     files.write_csv(table(s, d, "events").select(F.col("event_id").cast("string").alias("blob_id"), (F.col("user_id") % 2).cast("int").alias("label"), F.round("value", 1).alias("score")), path)
     return files.read_predictions(s, path)
 
@@ -256,14 +285,10 @@ def runs(s) -> DataFrame:
 
 @query("src_metrics_csv", f"WITH {_RUNS_SQL} SELECT run_folder, metric, raw AS value FROM last")
 def _run_folders(s, d):
-    root = scratch(s)
+    root = scratch_path(s, "catalog")
     for folder in sorted({r[0] for r in _RUNS}):
-        part = runs(s).filter(F.col("run_folder") == folder).orderBy("row_idx").select("metric", "value").coalesce(1)
-        part.write.option("header", True).csv(f"{root}/{folder}/metrics.csv")
-    raw = s.read.schema(files.METRICS).csv(f"{root}/*/metrics.csv", header=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.csv/", 1)
-    rows = raw.select(folder.alias("run_folder"), F.monotonically_increasing_id().alias("row_idx"), "metric", "value")
-    return report.last_metrics(rows)
+        files.write_small_csv(runs(s).filter(F.col("run_folder") == folder).orderBy("row_idx").select("metric", "value"), f"{root}/{folder}/metrics.csv")
+    return report.last_metrics(files.read_runs(s, root))
 
 
 query("src_run_folders", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder FROM runs")(lambda s, d: _run_folders(s, d).select("run_folder").distinct())
@@ -273,137 +298,54 @@ query("split_attack_and_id", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder, CASE
 query("union_metric_columns", f"WITH {_RUNS_SQL} SELECT attack_name, run_folder, max(CASE WHEN metric = 'TPR @ 1% FPR' THEN value END) AS \"TPR @ 1% FPR\", max(CASE WHEN metric = 'roc auc' THEN value END) AS \"roc auc\" FROM uni GROUP BY ALL")(lambda s, d: report.unify_wide(runs(s)))
 query("agg_attack_mean", f"WITH {_RUNS_SQL} SELECT metric, attack_name, round(avg(value), 9) AS mean FROM uni WHERE value IS NOT NULL GROUP BY ALL")(lambda s, d: report.attack_means(runs(s)).withColumn("mean", F.round("mean", 9)))
 query("pred_not_numeric", f"WITH {_RUNS_SQL} SELECT run_folder, metric, value FROM uni WHERE value IS NOT NULL")(lambda s, d: report.unify_long(runs(s)).filter("value is not null").select("run_folder", "metric", "value"))
-query("sink_dashboard")(lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s))),)], "page string"))
-
-# --- code elements
-
-CODE = [
-    (1, '"""Top doc."""\nimport os\n\n# a note\nclass Foo(Base):\n    def run(self, x):\n        y = x + 1  # inline\n        return "text"\n'),
-    (2, "def outer(\n    a,\n    b=2,\n):\n    z: int = a\n    w = q = 3\n    s = 'one' + \"two\"\n    return z\n"),
-    (3, "class A:\n    pass\nclass B(A):\n    '''inner\n    lines'''\n    k = ''\n#\nn = n = 4\n"),
-    (4, ""),
-    (5, "def (\nclass\n"),
-    (6, "x = 1\nif x == 2:\n    print('deux', \"zwei\")\n"),
-]
-_CODE_SQL = "code(code_id, code) AS (VALUES " + ", ".join("({}, '{}')".format(i, c.replace("'", "''")) for i, c in CODE) + ")"
-_ID = "[a-zA-Z_][a-zA-Z0-9_]*"
-_RE2 = {"comments": ("\\s*#(.*)", 1), "function_names": (f"def\\s+({_ID})\\s*\\(([\\s\\S]*?)\\)", 1), "class_names": (f"class\\s+({_ID})\\s*(?:\\(([\\s\\S]*?)\\))?", 1), "variable_names": (f"({_ID})(?:\\s*:\\s*[^=]*?)?\\s*=", 1)}
-
-
-def code(s) -> DataFrame:
-    return s.createDataFrame(CODE, "code_id bigint, text string").withColumn("blob_id", F.col("code_id").cast("string"))
-
-
-def _values(level: str, source: str, ident: str, text: str) -> str:
-    pattern, group = _RE2[level]
-    return f"SELECT CAST({ident} AS VARCHAR) AS blob_id, CAST(i - 1 AS INTEGER) AS ord, v[i] AS value, TRUE AS exact FROM (SELECT {ident}, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT {ident}, regexp_extract_all({text}, '{pattern}', {group}) AS v FROM {source}))"
-
-
-def _quoted(marks: tuple, body: str, source: str, ident: str, text: str) -> str:
-    both = "|".join(f"{m}{body}{m}" for m in marks).replace("'", "''")
-    n = len(marks[0])
-    return f"SELECT CAST({ident} AS VARCHAR) AS blob_id, CAST(i - 1 AS INTEGER) AS ord, substr(v[i], {n + 1}, length(v[i]) - {2 * n}) AS value, TRUE AS exact FROM (SELECT {ident}, v, unnest(generate_series(1, len(v))) AS i FROM (SELECT {ident}, regexp_extract_all({text}, '{both}') AS v FROM {source}))"
-
-
-def _extract(level: str, pages: bool):
-    def run(s, d):
-        rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text")) if pages else code(s)
-        found = rows.select("blob_id", "text", F.posexplode(elements.elements_of(level, F.col("text"))).alias("ord", "e"))
-        same = F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start")) == F.col("e.value")
-        return found.select("blob_id", "ord", F.col("e.value").alias("value"), same.alias("exact"))
-
-    return run
-
-
-for _name, _level in (("ext_comments", "comments"), ("ext_functions", "function_names"), ("ext_classes", "class_names"), ("ext_variables", "variable_names")):
-    query(_name, f"WITH {_CODE_SQL} " + _values(_level, "code", "code_id", "code"))(_extract(_level, False))
-query("ext_docstrings", f"WITH {_CODE_SQL} " + _quoted(('"""', "'''"), "[\\s\\S]*?", "code", "code_id", "code"))(_extract("docstrings", False))
-query("ext_strings", f"WITH {_CODE_SQL} " + _quoted(('"', "'"), ".+?", "code", "code_id", "code"))(_extract("strings", False))
-query("ext_variables_pages", _values("variable_names", "pages", "page_id", "html"))(_extract("variable_names", True))
-query("ext_strings_pages", _quoted(('"', "'"), ".+?", "pages", "page_id", "html"))(_extract("strings", True))
-_VARS = f"v AS ({_values('variable_names', 'pages', 'page_id', 'html')})"
-
-
-def page_variables(s, d) -> DataFrame:
-    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text"))
-    return elements.extract(rows).filter("level = 'variable_names'")
-
-
-query("cap_elements", f"WITH {_VARS} SELECT blob_id, ord, value FROM (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY md5('42|cap|' || blob_id || '|variable_names|' || ord), ord) AS r FROM v) WHERE r <= 20")(lambda s, d: elements.cap(page_variables(s, d)).select("blob_id", "ord", "value"))
-query("pred_short_element", f"WITH {_VARS} SELECT blob_id, ord FROM v WHERE length(trim(value)) >= 2")(lambda s, d: page_variables(s, d).filter(elements.long_enough()).select("blob_id", "ord"))
-
-
-@query("fim_prompt")
-def _fim(s, d):
-    rows = table(s, d, "pages").select(F.col("page_id").cast("string").alias("blob_id"), F.col("html").alias("text"))
-    return elements.prompts(rows, elements.cap(page_variables(s, d))).select("blob_id", "ord", "prompt")
-
-
-@query("win_char_context", f"WITH {_CODE_SQL}, hit AS (SELECT code_id, code, strpos(code, 'return') - 1 AS a FROM code WHERE strpos(code, 'return') > 0) SELECT CAST(code_id AS VARCHAR) AS blob_id, substr(code, 1, a) AS prefix, substr(code, a + 7, 3000) AS suffix, '<file_sep><fim_prefix>' || substr(code, 1, a) || '<fim_suffix>' || substr(code, a + 7, 3000) || '<fim_middle>' AS prompt FROM hit")
-def _context(s, d):
-    at = code(s).withColumn("start", F.locate("return", "text") - 1).filter("start >= 0").withColumn("end", F.col("start") + 6)
-    return elements.prompts(code(s).select("blob_id", "text"), at.select("blob_id", "start", "end")).select("blob_id", "prefix", "suffix", "prompt")
-
-
-_CUTS = [("p<fim_middle> abc: d", "class_names", None), ("p<fim_middle>name (x", "function_names", None), ("p<fim_middle>v = 1", "variable_names", None), ("p<fim_middle>it's", "strings", "'"), ("q<fim_middle>one\ntwo", "comments", None), ("none<file_sep>", "strings", '"')]
-query("infill_truncate", "SELECT * FROM (VALUES ('abc'), ('name'), ('v'), ('it'), ('one'), ('none')) t(cut)")(lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select(elements.cut_infill(F.col("o"), elements.stops()).alias("cut")))
-query("stop_strings", "SELECT * FROM (VALUES ('class_names', ':|('), ('function_names', '('), ('variable_names', '='), ('strings', ''''), ('comments', chr(10)), ('strings', '\"')) t(level, stops)")(
-    lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select("level", F.array_join(elements.stops(), "|").alias("stops"))
-)
-query("too_long_guard", r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) + 50 > 16000 AS too_long FROM documents")(
-    lambda s, d: table(s, d, "documents").select("doc_id", elements.too_long(F.col("text")).alias("too_long"))
+_BARS = """ba AS (SELECT metric, attack_name, avg(value) AS v, dense_rank() OVER (ORDER BY metric) - 1 AS k, row_number() OVER (PARTITION BY metric ORDER BY attack_name) - 1 AS i FROM uni WHERE value IS NOT NULL GROUP BY metric, attack_name),
+bx AS (SELECT *, 260 * greatest(0.0, least(1.0, v)) AS tall FROM ba),
+ch AS (SELECT k, '<text x="20" y="' || (k * 360 + 24) || '" font-size="16">' || metric || '</text>' || string_agg('<rect x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 310 - tall) || '" width="70" height="' || format('{:.1f}', tall) || '" fill="#4c78a8"/><text x="' || (40 + i * 110) || '" y="' || (k * 360 + 328) || '">' || attack_name || '</text><text x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 304 - tall) || '">' || format('{:.4f}', v) || '</text>', '' ORDER BY i) AS part FROM bx GROUP BY k, metric)"""
+query("sink_dashboard", f"""WITH {_RUNS_SQL}, {_BARS} SELECT '<!doctype html><meta charset=''utf-8''><title>metrics</title><svg xmlns="http://www.w3.org/2000/svg" width="900" height="' || greatest(360 * count(*), 500) || '" font-family="sans-serif" font-size="12">' || string_agg(part, '' ORDER BY k) || '</svg>' AS page FROM ch""")(
+    lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s))),)], "page string")
 )
-_HITS = [("class_names", "Foo", " foo "), ("function_names", "run", "runs"), ("strings", "hello world", "hallo wrld"), ("comments", "kitten", "sitting"), ("docstrings", "abc", "too_many_tokens"), ("variable_names", "x1", None)]
-query("hit_exact", "SELECT * FROM (VALUES ('class_names', 1), ('function_names', 0), ('variable_names', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
-query("hit_fuzzy", "SELECT * FROM (VALUES ('strings', 1), ('comments', 0), ('docstrings', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(~F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
-query("agg_hit_ratio", "SELECT CAST(user_id AS VARCHAR) AS blob_id, coalesce(avg(CASE WHEN event_id % 2 = 0 THEN (event_id % 3 = 0)::INT END), 0.0) AS strings_hits, count(CASE WHEN event_id % 2 = 0 THEN 1 END)::DOUBLE AS strings_total, coalesce(avg(CASE WHEN event_id % 2 = 1 THEN (event_id % 3 = 0)::INT END), 0.0) AS comments_hits, count(CASE WHEN event_id % 2 = 1 THEN 1 END)::DOUBLE AS comments_total FROM events GROUP BY user_id")(
-    lambda s, d: (lambda e: elements.features(e.select("blob_id").distinct(), e).select("blob_id", "strings_hits", "strings_total", "comments_hits", "comments_total"))(
-        table(s, d, "events").select(F.col("user_id").cast("string").alias("blob_id"), F.when(F.col("event_id") % 2 == 0, "strings").otherwise("comments").alias("level"), (F.col("event_id") % 3 == 0).cast("int").alias("hit"))
-    )
-)
-query("trawic_features")(lambda s, d: elements.features(samples(s, d), elements.infill_hits(model(s, d), samples(s, d).select("blob_id", "text"))))
-query("attack_trawic")(lambda s, d: registry.run_attack("trawic", samples(s, d), model=model(s, d)))
 
-# --- perturbations and stability
+# --- files of a run
+
 
-_LINES = f"WITH {_CODE_SQL}, n AS (SELECT CAST(code_id AS VARCHAR) AS blob_id, code, len(string_split(code, chr(10))) - CASE WHEN code = '' OR ends_with(code, chr(10)) THEN 1 ELSE 0 END AS n FROM code)"
-_GROWTH = {1: 2, 2: 2, 3: 1, 4: 1, 7: 1, 8: 1, 9: 2, 10: 2, 11: 2}
+def _ran(s, d) -> tuple[str, DataFrame]:
+    """A run folder of the loss attack over the samples of two tokens or more, and its summary."""
+    folder = scratch_path(s, "catalog")
+    rows = samples(s, d).filter(F.size(lm.tokenize("text")) > 1)
+    return folder, registry.run("loss", rows, folder, model=model(s, d))
 
 
-@query("perturb_line_growth", _LINES + " SELECT blob_id, CAST(variant AS INTEGER) AS variant, CAST(n + g AS INTEGER) AS lines FROM n, (VALUES " + ", ".join(f"({k}, {g})" for k, g in _GROWTH.items()) + ") g(variant, g) WHERE n > 0")
-def _growth(s, d):
-    rows = perturb.variants(code(s).select("blob_id", "text"), "text").filter(F.col("variant").isin(*_GROWTH) & (F.col("text") != ""))
-    return rows.select("blob_id", F.col("variant").cast("int").alias("variant"), F.size(tx.py_splitlines("code")).alias("lines"))
+_RAN = _SPLIT.replace("FROM documents WHERE", r"FROM documents WHERE len(regexp_extract_all(text, '[^ \t-\r]+')) > 1 AND")
+_RUN_LM = f"{_LM}, x AS (SELECT blob_id, avg(lp) AS score FROM lp WHERE pos < 2048 GROUP BY blob_id)".replace("samples AS", "every AS", 1).replace("FROM samples)", "FROM every)", 1)
+_RUN = f"{_RAN}, {_RUN_LM}"
+_TESTED = "SELECT x.score, split.label FROM split JOIN x USING (blob_id) WHERE split = 'test'"
+query("sink_predictions", f"WITH {_RUN} SELECT blob_id, split.label, round(x.score, 6) AS score FROM split JOIN x USING (blob_id) WHERE split = 'test'")(lambda s, d: _r(files.read_predictions(s, f"{_ran(s, d)[0]}/predictions.csv")))
+query("sink_metrics", f"WITH {_RUN}, {_ROC % _TESTED} {_METRICS}")(lambda s, d: s.read.schema("metric string, value double").csv(f"{_ran(s, d)[0]}/metrics.csv", header=True).withColumn("value", F.round("value", 6)))
+query(
+    "sink_logs",
+    f"WITH {_RUN}, {_ROC % _TESTED}, me AS ({_METRICS}) SELECT * FROM (VALUES ('attack', 'loss'), ('sample_fraction', '1.0'), ('train_test_split', '0.8'), ('seed', '42')) v(item, value) UNION ALL SELECT split || ' members', CAST(sum(label) AS VARCHAR) FROM split GROUP BY split UNION ALL SELECT split || ' others', CAST(sum(1 - label) AS VARCHAR) FROM split GROUP BY split UNION ALL SELECT metric, CASE WHEN value IS NULL THEN NULL ELSE 'defined' END FROM me",
+)(lambda s, d: _ran(s, d)[1].select("item", F.when(F.col("item").isin(*metrics.NAMES) & F.col("value").isNotNull(), F.lit("defined")).otherwise(F.col("value")).alias("value")))
+query("sink_parquet", "SELECT page_id, url FROM pages")(lambda s, d: s.read.parquet(files.write_parquet(table(s, d, "pages").select("page_id", "url"), scratch_path(s, "catalog"), "pages")))
 
+# --- stability
 
-for _k, _f in perturb.VARIANTS.items():
-    query(_k)(lambda s, d, f=_f: code(s).select("blob_id", f(F.col("text")).alias("code")))
-query("false_loop_while", _LINES + ", l AS (SELECT *, string_split(code, chr(10))[1:n] AS l, CAST('0x' || substr(md5('42|p10|' || blob_id), 1, 8) AS BIGINT) % (n + 1) AS k, CAST('0x' || substr(md5('42|p10c|' || blob_id), 1, 8) AS BIGINT) % 2 AS c FROM n) SELECT blob_id, array_to_string(list_concat(list_concat(l[1:k], [CASE WHEN c = 0 THEN 'while False:' ELSE 'while \"key\" != \"key\":' END, '    pass']), l[k + 1:]), chr(10)) AS code FROM l")(QUERIES["false_loop_while"])
 _U = "CAST('0x' || substr(md5('42|prefix|' || blob_id), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE"
 query("prefix_split", f"WITH {SAMPLES}, a AS (SELECT blob_id, text, CAST(floor(length(text) * (0.4::DOUBLE + 0.2::DOUBLE * ({_U}))) AS BIGINT) AS k FROM samples) SELECT blob_id, sha1(substr(text, 1, k)) AS prefix, sha1(substr(text, k + 1)) AS gt FROM a")(lambda s, d: perturb.prefix_split(samples(s, d)).select("blob_id", F.sha1("prefix").alias("prefix"), F.sha1("gt").alias("gt")))
-_SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events WHERE event_id < 960)"
-
-
-def all_event_sims(s, d) -> DataFrame:
-    return table(s, d, "events").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
+_SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events)"
 
 
 def event_sims(s, d) -> DataFrame:
-    return all_event_sims(s, d).filter(F.col("blob_id").cast("bigint") < 80)
+    """Groups of twelve events; what the last group's missing variants leave undefined is null."""
+    return table(s, d, "events").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
 
 
 query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
-query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, round(avg((r.ppl - b.ppl) / b.ppl), 6) AS m, round(stddev_pop((r.ppl - b.ppl) / b.ppl), 6) AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 WHERE r.variant > 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
-query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, round(sum(sim), 6) AS sims FROM r GROUP BY blob_id")(
+query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, CASE WHEN count(*) = 12 THEN round(avg((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS m, CASE WHEN count(*) = 12 THEN round(stddev_pop((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
+query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, CASE WHEN count(*) = 12 THEN round(sum(sim), 6) END AS sims FROM r GROUP BY blob_id")(
     lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
 )
-
-# The same over all events; what the last group's missing variants leave undefined is null.
-_ALL_SIMS = "r AS (SELECT CAST(event_id // 12 AS VARCHAR) AS blob_id, event_id % 12 AS variant, value / 1000 AS sim, 1 + value AS ppl FROM events)"
-query("agg_sim_stats_all", f"WITH {_ALL_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
-query("agg_ppl_stats_all", f"WITH {_ALL_SIMS} SELECT r.blob_id, CASE WHEN count(*) = 12 THEN round(avg((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS m, CASE WHEN count(*) = 12 THEN round(stddev_pop((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
-query("adv_features_all", f"WITH {_ALL_SIMS} SELECT blob_id, 27 AS n, CASE WHEN count(*) = 12 THEN round(sum(sim), 6) END AS sims FROM r GROUP BY blob_id")(
-    lambda s, d: learned.feature_vectors(all_event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
+query("mlp_eval", "SELECT round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) AS loss, round(avg((CASE WHEN (p > 0.5) = (y = 1) THEN 1 ELSE 0 END)::DOUBLE), 6) AS accuracy FROM (SELECT 1 / (1 + exp((value - 100) / 50)) AS p, CAST(user_id % 2 AS INTEGER) AS y FROM events)")(
+    lambda s, d: metrics.cross_entropy(table(s, d, "events").select((1 / (1 + F.exp((F.col("value") - 100) / 50))).alias("score"), (F.col("user_id") % 2).cast("int").alias("label"))).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 )
 query("standard_scaler", "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END, 6) AS std FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) GROUP BY i")(
     lambda s, d: learned.scaler(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))).select("i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
