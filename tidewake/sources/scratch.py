@@ -20,20 +20,19 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _local(master: str) -> bool:
-    return master == "local" or master.startswith("local[")
-
-
-def _set_dir(spark: SparkSession) -> str | None:
-    found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return found.get() if found.isDefined() else None
+def needs_shared_folder(master: str) -> bool:
+    """Whether executors run outside the driver, so that no folder of the driver's machine will do."""
+    return master != "local" and not master.startswith("local[")
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder; a temporary one on a local master where none is set, and an error on any other."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _set_dir(spark)
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = set_dir.get() if set_dir.isDefined() else None
     if not found:
-        if not _local(master := spark.sparkContext.master):
+        if needs_shared_folder(master := spark.sparkContext.master):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="tidewake-")
         spark.sparkContext.setCheckpointDir(found)
