@@ -1,45 +1,39 @@
-"""Shared plumbing: written intermediates, size-checked broadcasts, Arrow text batches."""
+"""Shared plumbing: size-checked broadcasts, Arrow text batches, repeated rows; intermediates are written by ``sources.scratch``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few fixed-width columns is broadcast (under 64 MB as a hash table).
-BROADCAST_ROWS = 500_000
+from ..sources.scratch import discard, measured, scratch_path, scratch_root, written
 
+checkpoint_dir, materialize = scratch_root, written
+__all__ = ["ascii_lower", "broadcast_if_small", "checkpoint_dir", "discard", "fresh", "groups_by_size", "materialize", "measured", "repeated", "scratch_path", "utf8"]
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = set_dir.get() if set_dir.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+#: Rows up to which a table of a few fixed-width columns is broadcast (under 32 MB as a hash table).
+BROADCAST_ROWS = 200_000
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting (tables that were just written have been); larger tables keep the shuffled join."""
+    known = measured(df)
+    return F.broadcast(df) if (known["rows"] if known else df.limit(limit + 1).count()) <= limit else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; larger tables keep the shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def repeated(df: DataFrame, copies: str, part: int = 1024) -> DataFrame:
+    """Each row ``copies`` times, numbered from 0 in the column ``copy``. Copies are made in parts,
+    so that no array is longer than ``part`` or the number of parts."""
+    n = F.col(copies).cast("bigint")
+    (at,) = fresh(df, "copy_part")
+    parts = df.withColumn(at, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / part))))
+    inner = F.sequence(F.col(at) * part, F.least(F.col(at) * part + part - 1, n - 1))
+    return parts.withColumn("copy", F.explode(inner)).drop(at)
 
 
-def ascii_lower(col):
+def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
