@@ -4,8 +4,9 @@ Candidates come from patterns: the four base kinds, and further kinds that are o
 personal. Four labelers vote on each candidate (for, against or nothing): its format, a gazetteer,
 the words before it, and its borders. Expectation-maximisation over the counts of vote patterns
 estimates how often each labeler is right; with the resulting soft labels a naive Bayes classifier
-over features of the span (kind, length, context, borders) is trained. Base spans always stay; the
-classifier decides which further candidates, apart from base spans, are added.
+over features of the span (kind, length, context, borders) is trained. Both need only the counts of
+the cells of votes and features, a table that its alphabet bounds, collected by one job. Base spans
+always stay; the classifier decides which further candidates, apart from base spans, are added.
 
 Patterns are those of the contract in forms that need no backtracking into runs (possessive, with a
 guard against starting inside a run), so long runs take linear time. Matches are found by marking:
@@ -33,10 +34,10 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"\b(?:token|secret|password|passwd|pwd|api_?key)\s{0,4}[=:]\s{0,4}\x22?[A-Za-z0-9_./+-]{16,512}",
+    "secret": r"(?i)\b(?:token|secret|password|passwd|pwd|api_?key)\s*+[=:]\s*+\x22?[A-Z0-9_./+-]{16,}+",
     "localphone": r"(?<![0-9+().-])(?<!\+[0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "hiddenmail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,64}+|\.[A-Za-z0-9-]{1,64}+)+",
+    "hiddenmail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,64}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,64}+|\.[A-Za-z0-9-]{1,64}+)++",
 }
 #: What a text must contain before its pattern is tried.
 NEEDS = {"email": "@", "phone": "+"}
@@ -53,6 +54,8 @@ GAZETTEER = {
     "hiddenmail": (r"(?i)(com|org|net|edu)$", r"(?i)(invalid|test)$"),
 }
 ROUNDS = 12
+#: Chances of each vote for what is personal data (1) and what is not (0), before the first round.
+_START = {1: {"+": 0.6, "-": 0.1, "0": 0.3}, 0: {"+": 0.2, "-": 0.4, "0": 0.4}}
 _ROW = "struct<s:int,e:int,m:string,l:string,r:string>"
 _CANDIDATE = "struct<k:int,s:int,e:int,cell:string>"
 #: Rows that a fold gathers at a time, and code points of the pieces that texts are cut from.
@@ -142,56 +145,55 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.expr(f"concat(base, {_apart('base', 'more')})").alias("found"))
 
 
-def reliabilities(cells: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict]:
-    """Prior of y = 1, and P(vote | y) of each labeler, by EM over (cell, n)."""
-    votes = [F.substring("cell", i + 2, 1) for i in range(4)]
-    prior, p = 0.5, {(i, v, y): {1: {"+": 0.6, "-": 0.1, "0": 0.3}, 0: {"+": 0.2, "-": 0.4, "0": 0.4}}[y][v] for i in range(4) for v in "+-0" for y in (0, 1)}
-    for _ in range(rounds):
-        soft = posterior(votes, prior, p)
-        sums = [F.sum(F.col("n") * soft).alias("y"), F.sum("n").alias("n")]
-        sums += [F.sum(F.when(votes[i] == v, F.col("n") * (soft if y else 1 - soft)).otherwise(0.0)).alias(f"c{i}{'pmz'['+-0'.index(v)]}{y}") for i in range(4) for v in "+-0" for y in (0, 1)]
-        r = cells.agg(*sums).first()
-        if not r["n"]:
-            break
-        prior = (r["y"] + 1) / (r["n"] + 2)
-        for i in range(4):
-            for y in (0, 1):
-                total = sum(r[f"c{i}{c}{y}"] for c in "pmz")
-                for v, c in zip("+-0", "pmz", strict=True):
-                    p[i, v, y] = (r[f"c{i}{c}{y}"] + 1) / (total + 3)
-    return prior, p
+def _posterior(votes: str, prior: float, p: dict) -> float:
+    """P(y = 1), given the votes of the four labelers."""
+    odds = math.log(prior / (1 - prior)) + sum(math.log(p[i, v, 1] / p[i, v, 0]) for i, v in enumerate(votes))
+    return 1 / (1 + math.exp(-odds))
 
 
-def posterior(votes: list, prior: float, p: dict):
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for i, vote in enumerate(votes):
-        for v in "+-0":
-            odds = odds + F.when(vote == v, F.lit(math.log(p[i, v, 1] / p[i, v, 0]))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+def reliabilities(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[float, dict]:
+    """Prior of y = 1, and P(vote | y) of each labeler, by EM over the counts of the vote patterns."""
+    prior, p = 0.5, {(i, v, y): _START[y][v] for i in range(4) for v in "+-0" for y in (0, 1)}
+    n = sum(patterns.values())
+    for _ in range(rounds if n else 0):
+        soft = {x: k * _posterior(x, prior, p) for x, k in patterns.items()}
+        mass = {1: soft, 0: {x: k - soft[x] for x, k in patterns.items()}}
+        prior = (sum(soft.values()) + 1) / (n + 2)
+        p = {(i, v, y): (sum(m for x, m in mass[y].items() if x[i] == v) + 1) / (sum(mass[y].values()) + 3) for i, v, y in p}
+    return prior, p
 
 
 #: Positions in a cell of the features: kind, context, borders, length, share of digits.
-FEATURES = (1, 4, 5, 6, 7)
+FEATURES = (0, 3, 4, 5, 6)
+
+
+def classify(cells: dict[str, int]) -> list[str]:
+    """The cells that a naive Bayes classifier, trained on the soft labels of EM, takes for personal data."""
+    cells = dict(sorted(cells.items()))  # sums are the same for any order of the rows
+    patterns: dict[str, int] = {}
+    for c, k in cells.items():
+        patterns[c[1:5]] = patterns.get(c[1:5], 0) + k
+    prior, p = reliabilities(patterns)
+    label = {x: _posterior(x, prior, p) for x in patterns}
+    n, yes = sum(cells.values()), sum(k * label[c[1:5]] for c, k in cells.items())
+    weight: dict[tuple[int, str], float] = {}
+    for at in FEATURES:
+        held: dict[str, list[float]] = {}
+        for c, k in cells.items():
+            one = held.setdefault(c[at], [0.0, 0])
+            one[0] += k * label[c[1:5]]
+            one[1] += k
+        for f, (y, k) in held.items():
+            weight[at, f] = math.log((y + 1) / (yes + len(held))) - math.log((k - y + 1) / (n - yes + len(held)))
+    bias = math.log((yes + 1) / (n - yes + 1))
+    return [c for c in cells if bias + sum(weight[at, c[at]] for at in FEATURES) >= 0]
 
 
 def accepted(found: DataFrame) -> list[str]:
-    """The cells whose candidates the trained classifier takes for personal data."""
-    cells = materialize(found.select(F.explode("found.cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")), "pii-cells")
-    prior, p = reliabilities(cells)
-    votes = [F.substring("cell", i + 2, 1) for i in range(4)]
-    soft = cells.withColumn("y", posterior(votes, prior, p) * F.col("n"))
-    total = soft.agg(F.sum("y").alias("y"), F.sum("n").alias("n")).first()
-    if not total["n"]:
-        return []
-    bias = math.log((total["y"] + 1) / (total["n"] - total["y"] + 1))
-    odds = F.lit(bias)
-    for at in FEATURES:
-        held = soft.groupBy(F.substring("cell", at, 1).alias("f")).agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()  # one character: a few rows
-        m = len(held)
-        for r in held:
-            weight = math.log((r["y"] + 1) / (total["y"] + m)) - math.log((r["n"] - r["y"] + 1) / (total["n"] - total["y"] + m))
-            odds = odds + F.when(F.substring("cell", at, 1) == r["f"], F.lit(weight)).otherwise(0.0)
-    return [r["cell"] for r in cells.filter(odds >= 0).select("cell").collect()]  # at most the number of cells, which the alphabet bounds
+    """The cells whose candidates are taken for personal data. Their number is bounded by the alphabet of
+    cells (8 kinds, 3 * 3 * 2 votes, 10 lengths, 10 shares of digits), so one small job counts them."""
+    counts = found.select(F.explode("found.cell").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    return classify({r["cell"]: r["n"] for r in counts.collect()})
 
 
 def spans(docs: DataFrame, keep: list[str]) -> DataFrame:
