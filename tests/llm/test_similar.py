@@ -43,7 +43,7 @@ def test_near_copies_against_brute_force(spark):
     texts = corpus()
     rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(3)
     expected = kept_by_brute_force(texts)
-    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == expected
+    assert {r["doc_id"] for r in similar.keep_one(rows).collect()} == expected
     assert {r["doc_id"] for r in simhash.report(rows).collect() if r["component_id"] == r["doc_id"]} > expected
     least = {}
     for r in similar.similar(rows, limit=3).collect():
@@ -54,4 +54,4 @@ def test_near_copies_against_brute_force(spark):
 def test_repeated_ids(spark):
     a, b = "one two three four five six", "quite another text of some few words"
     rows = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "en", "s", 1), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1)], DOCS)
-    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect()) == [(1, a), (2, b), (3, "x")]
+    assert sorted((r["doc_id"], r["text"]) for r in similar.keep_one(rows).collect()) == [(1, a), (2, b), (3, "x")]

@@ -15,9 +15,12 @@ fingerprints do not meet in one task: their members are re-keyed by the 65 words
 the fingerprint, where two fingerprints within 2 bits share a word, all sharers are within 2 bits of
 each other, and a word has at most 65 of them.
 
+Nodes are fingerprints, so rows of one id with other texts do not join what their texts do not.
+
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other;
 fewer than three words form one shingle; rows with a null doc_id are fingerprinted and link, and a
-component without any id has component_id null; repeated rows stay repeated; ids are below 2 ** 62.
+component without any id has component_id null; repeated rows stay repeated, and a repeated id is one
+of each component that its rows are in; ids are of any type that can be ordered and keep it.
 """
 
 from __future__ import annotations
@@ -29,16 +32,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_if_small, fresh, materialize, utf8
+from .common import broadcast_if_small, materialize, utf8
 from .components import components
-from .similar import row_name, similar
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LIMIT = 2048
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-_NO_ID = 1 << 62
 _CHUNK = 65536
 
 
@@ -68,7 +70,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out = np.array([fingerprint(t) for t in utf8(batch.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id bigint, fp bigint")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
 @functools.cache
@@ -171,35 +174,15 @@ def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, fp, component_id of each row."""
     fps = materialize(fingerprints(docs), "sim-fp")
-    no_id = F.lit(_NO_ID) + F.shiftrightunsigned("fp", 2)
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).withColumn("node", F.coalesce("node", no_id)), "sim-nodes")
-    roots = components(links(nodes, limit))
-    named = nodes.join(broadcast_if_small(roots), "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    named = materialize(named.select("fp", F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id")), "sim-roots")
-    return fps.join(named, "fp")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "sim-nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), limit)).withColumnRenamed("node", "fp")
+    linked = materialize(nodes.join(broadcast_if_small(roots), "fp"), "sim-linked")
+    named = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "sim-components")
+    named = materialize(linked.join(broadcast_if_small(named), "root").select("fp", "component_id", F.lit(True).alias("linked")), "sim-named")
+    ids = nodes.join(broadcast_if_small(named), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return fps.join(materialize(ids, "sim-roots"), "fp")
 
 
 def report(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without all but one row of each component of ``similar``: that of its smallest id stays.
-
-    Rows without an id, which no decision can name, stay; of equal rows (id and text), one stays.
-    """
-    rows = materialize(similar(docs).filter("doc_id is not null"), "near-named")
-    least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
-    names = rows.groupBy("doc_id", "rid", "root").agg(F.count("*").alias("n"))
-    found = names.join(least, "root").select("rid", "n", (F.col("least.rid") != F.col("rid")).alias("drop"))
-    found = materialize(found.filter("drop or n > 1"), "near-found")
-    (rid,) = fresh(docs, "rid")
-    kept = docs.withColumn(rid, row_name())
-    kept = kept.join(broadcast_if_small(found.filter("drop").select(F.col("rid").alias(rid))), rid, "left_anti")
-    again = found.filter("not drop").select(F.col("rid").alias(rid))
-    if not again.limit(1).count():
-        return kept.select(*docs.columns)
-    again = broadcast_if_small(again)
-    once = kept.join(again, rid, "left_semi").dropDuplicates([rid])
-    return kept.join(again, rid, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
