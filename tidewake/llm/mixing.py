@@ -15,8 +15,9 @@ buckets of the permutation, so no task sees a whole source.
 
 Defined cases: tokens are runs of ``[^\\x20\\x09-\\x0D]``; null texts have none; a null source is a
 source of its own; sources without tokens have weight zero and are not drawn; documents without
-tokens are drawn where their place falls within the quota; repeated rows are drawn as they are; an
-empty table gives an empty schedule; other columns are ignored.
+tokens are drawn where their place falls within the quota; repeated rows (also those without an id) are
+counted before the running sums and drawn as often as they are; an empty table gives an empty schedule;
+ids keep their type; other columns are ignored by ``schedule`` and pass through ``mixture``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import fresh, materialize, repeated
 
 ENTROPY = 0.95
 MAX_REPEATS = 3.0
@@ -77,14 +78,15 @@ def exponent(shares: DataFrame, budget: int, entropy: float = ENTROPY, max_repea
     return max(by_entropy, by_repeats)
 
 
-def schedule(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, source, epoch, block, position and weight of each drawn document, a row for each draw."""
-    sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), token_count(F.col("text").cast("string")).alias("tokens"))
-    sized = materialize(sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-sized")
-    totals = materialize(sized.groupBy("key").agg(F.sum("tokens").alias("total"), F.count("*").alias("rows")).filter("total > 0"), "mix-totals")
+def schedule(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX_REPEATS, budget: float = BUDGET, block_tokens: int = BLOCK_TOKENS, keep: tuple = ()) -> DataFrame:
+    """doc_id, source, epoch, block, position, weight and the kept columns of each drawn document, a row for each draw."""
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), token_count(F.col("text").cast("string")).alias("tokens"), *keep)
+    sized = sized.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    sized = materialize(sized.groupBy("key", "doc_id", "source", "tokens", *keep).agg(F.count("*").alias("copies")), "mix-sized")
+    totals = materialize(sized.groupBy("key").agg(F.sum(F.col("tokens") * F.col("copies")).alias("total"), F.sum("copies").alias("rows")).filter("total > 0"), "mix-totals")
     all_ = totals.agg(F.sum("total").alias("t"), F.sum("rows").alias("n")).first()
     if not all_["t"]:
-        return sized.filter("false").select("doc_id", "source", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("position"), F.lit(0.0).alias("weight"))
+        return sized.filter("false").select("doc_id", "source", F.lit(0).alias("epoch"), F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("position"), F.lit(0.0).alias("weight"), *keep)
     spend = int(all_["t"] * budget)
     shares = totals.select("key", F.col("total").alias("tokens"), (F.col("total") / F.lit(float(all_["t"]))).alias("p"))
     a = exponent(shares, spend, entropy, max_repeats)
@@ -96,18 +98,32 @@ def schedule(docs: DataFrame, entropy: float = ENTROPY, max_repeats: float = MAX
 
     passes = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("quota") / F.col("total")) - 1).cast("int")))
     drawn = sized.join(quota.filter("quota > 0"), "key").withColumn("epoch", passes)
-    drawn = drawn.withColumn("place", _order("p", "epoch", "doc_id", "tokens")).withColumn("bucket", F.substring("place", 1, digits))
-    sums = drawn.groupBy("key", "epoch", "bucket").agg(F.sum("tokens").alias("inside"))
+    drawn = drawn.withColumn("place", _order("p", "epoch", "doc_id", "tokens")).withColumn("bucket", F.substring("place", 1, digits)).withColumn("mass", F.col("tokens") * F.col("copies"))
+    sums = drawn.groupBy("key", "epoch", "bucket").agg(F.sum("mass").alias("inside"))
     before = Window.partitionBy("key", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0))).drop("inside")
-    inside = Window.partitionBy("key", "epoch", "bucket").orderBy("place", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(sums, ["key", "epoch", "bucket"])
-    start = F.col("epoch") * F.col("total") + F.col("before") + F.col("inner")
-    drawn = drawn.withColumn("start", start).filter("start < quota")
+    inside = Window.partitionBy("key", "epoch", "bucket").orderBy("place", "doc_id", "tokens", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    drawn = drawn.withColumn("inner", F.coalesce(F.sum("mass").over(inside), F.lit(0))).join(sums, ["key", "epoch", "bucket"])
+    first = F.col("epoch") * F.col("total") + F.col("before") + F.col("inner")
+    drawn = repeated(drawn.withColumn("first", first).filter("first < quota"), "copies")
+    drawn = drawn.withColumn("start", F.col("first") + F.col("copy") * F.col("tokens")).filter("start < quota")
     block = F.floor(F.col("start").cast("double") / F.col("quota") * F.lit(blocks))
-    drawn = drawn.select("doc_id", "source", "epoch", block.alias("block"), _order("b", "epoch", "doc_id", "tokens").alias("place"), "weight", "tokens")
-    by = Window.partitionBy("block").orderBy("place", "doc_id", "epoch", "tokens", "source")
-    return drawn.withColumn("position", F.row_number().over(by)).select("doc_id", "source", "epoch", "block", "position", "weight")
+    drawn = drawn.select("doc_id", "source", "epoch", block.alias("block"), _order("b", "epoch", "doc_id", "tokens").alias("place"), "weight", "tokens", *keep)
+    by = Window.partitionBy("block").orderBy("place", "doc_id", "epoch", "tokens", "source", *keep)
+    return drawn.withColumn("position", F.row_number().over(by)).select("doc_id", "source", "epoch", "block", "position", "weight", *keep)
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The training set: all columns of docs, and epoch, block, position and weight, a row for each draw.
+
+    The schedule is made without the texts, which join it at the end by the name of their row (a hash of
+    all columns); rows that are equal in all columns share a name, and one of them is repeated.
+    """
+    name, epoch, block, position, weight = fresh(docs, "row_name", "epoch", "block", "position", "weight")
+    rows = docs.withColumn(name, F.md5(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})))
+    plan = materialize(schedule(rows, keep=(name,), **options), "mix-plan")
+    plan = plan.select(name, F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("position").alias(position), F.col("weight").alias(weight))
+    return plan.join(rows.dropDuplicates([name]), name).select(*docs.columns, epoch, block, position, weight)
 
 
 ORACLE = r"""
