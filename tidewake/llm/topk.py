@@ -5,9 +5,9 @@ the end that favours the query's sign. Reading goes on in growing depths; what h
 candidate gives a lower bound (unread components at the list's worst end) and an upper bound (unread
 components at the list's current position). When few candidates can still reach the k-th best lower
 bound, reading stops and the survivors' scores are resolved; ties survive, so the result is exact.
-The bounds of all queries of a block are advanced together as matrix products; the k-th best so far
-carries over from shard to shard within a task. Queries travel in blocks of bounded size, of which
-the driver and a task hold one at a time.
+The bounds of TOGETHER queries are advanced at a time as matrix products, each depth adding what is
+newly read; the k-th best so far carries over from shard to shard within a task. Queries travel in
+blocks of bounded size, of which the driver and a task hold one at a time.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id
 take no part; vectors of different lengths are compared as if padded by zeros; rows with the query's
@@ -26,7 +26,9 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 BLOCK = 4096
-SHARD = 4096
+SHARD = 2048
+#: Queries whose bounds are advanced at a time: with SHARD candidates, matrices of 8 MB.
+TOGETHER = 512
 _EXACT = 2.0**52
 
 
@@ -48,9 +50,10 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 
 def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray, few: float = 0.02):
-    """The k best of this shard for each query, as (query index, candidate index, score).
+    """The k best of this shard for each query, as (query index, candidate index, score), and how deep the lists were read.
 
-    x: candidates (ids ascending); floor: scores below which a query's candidates cannot qualify.
+    x: candidates (ids ascending); floor: scores below which a query's candidates cannot qualify. What is
+    read of the lists at a depth is added to what was read before.
     """
     m, width = x.shape
     own = ids[:, None] == q_ids[None, :]
@@ -59,30 +62,32 @@ def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(m)[:, None], 0)
     up, down = np.maximum(q, 0).T, np.minimum(q, 0).T  # lists read from the top, and from the bottom
-    depth = max(k, m // 16)
+    top, bottom = ranked[0][:, None] * down, ranked[-1][:, None] * up  # the worst that an unread component can add
+    seen, before, depth = np.zeros((m, len(q))), 0, min(m, max(k, m // 16))
     while True:
-        depth = min(depth, m)
         high, low = rank < depth, rank >= m - depth
-        seen = (x * high) @ up + (x * low) @ down
-        least = seen + ~high @ (ranked[-1][:, None] * up) + ~low @ (ranked[0][:, None] * down)
-        most = seen + ~high @ (ranked[depth - 1][:, None] * up) + ~low @ (ranked[m - depth][:, None] * down)
-        least[own] = -np.inf
-        most[own] = -np.inf
+        seen += (x * (high & (rank >= before))) @ up
+        seen += (x * (low & (rank < m - before))) @ down
+        high, low = (~high).astype(float), (~low).astype(float)
         if m > k:
+            least = seen + high @ bottom + low @ top
+            least[own] = -np.inf
             floor = np.maximum(floor, np.partition(least, m - k, axis=0)[m - k])
+            del least
+        most = seen + high @ (ranked[depth - 1][:, None] * up) + low @ (ranked[m - depth][:, None] * down)
         open_ = (most >= floor) & ~own
         if depth == m or open_.mean() <= few:
             break
-        depth *= 2
+        before, depth = depth, min(m, 2 * depth)
     at, who = np.nonzero(open_)
     scores = np.concatenate([np.einsum("ij,ij->i", x[at[i : i + 65536]], q[who[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.zeros(0)])
     best = np.lexsort((at, -scores, who))
     who, at, scores = who[best], at[best], scores[best]
     place = np.arange(len(who)) - np.searchsorted(who, who)
-    return who[place < k], at[place < k], scores[place < k]
+    return who[place < k], at[place < k], scores[place < k], depth
 
 
-def _exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor):
+def _exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int):
     """For components so large that doubles would round: whole-number scores, saturated to long."""
     out: list[tuple[int, int, int]] = []
     rows = [[int(v) for v in r] for r in x]
@@ -120,8 +125,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
                     q[i, : len(v)] = v
                 ids = ids[order]
                 sure = width * max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(q).max(initial=0)) < _EXACT
-                for who, at, score in zip(*(nra if sure else _exact)(x, ids, q, q_ids, k, floor), strict=True):
-                    best[who].append((-int(score), int(ids[at])))
+                for lo in range(0, len(q), TOGETHER):
+                    mine = slice(lo, lo + TOGETHER)
+                    found = nra(x, ids, q[mine], q_ids[mine], k, floor[mine])[:3] if sure else _exact(x, ids, q[mine], q_ids[mine], k)
+                    for who, at, score in zip(*found, strict=True):
+                        best[lo + who].append((-int(score), int(ids[at])))
                 for i, b in enumerate(best):
                     if len(b) > k:
                         best[i] = b = sorted(b)[:k]
