@@ -3,13 +3,14 @@
 Two hashed n-gram models (words and word pairs in ``BUCKETS`` buckets, add-one smoothing) are counted
 over all documents: one of the target texts (documents labelled of good quality), one of the raw
 corpus. A document's importance is the log ratio of its n-grams under the two; adding Gumbel noise
-drawn from its id and keeping the k largest sums samples documents without replacement in
-proportion to importance. The k-th largest sum is found by narrowing histograms, not by a sort.
+drawn from its id, its text and the number of its copy, and keeping the k largest sums samples rows
+without replacement in proportion to importance. The k-th largest sum is found by narrowing histograms, not by a sort.
 
 Defined cases: null and empty texts have no n-grams and importance zero; null labels and labels
 without a document count for nothing; a document that several labels disagree on is a target;
-repeated rows are counted and scored as they are; exact ties with the k-th sum stay, so more than k
-rows can; an empty table gives an empty result; other columns are ignored.
+repeated rows are counted and scored as they are, each with noise of its own; ids may be null, repeat and
+be of any type; exact ties with the k-th sum stay, so more than k rows can; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
-from .common import broadcast_if_small, groups_by_size, materialize, utf8
+from .common import broadcast_if_small, groups_by_size, materialize, repeated, utf8
 
 BUCKETS = 1 << 14
 KEEP = 0.8
@@ -64,7 +66,7 @@ def model(docs: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, log_weight of each row."""
+    """doc_id, text_hash, log_weight of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def weigh(batches):
@@ -73,9 +75,10 @@ def score(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             for lo, hi in groups_by_size(texts, _CHUNK):
                 doc, bucket = _grams(texts[lo:hi])
                 out.append(np.bincount(doc, weights=sent.value[bucket], minlength=hi - lo))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "text_hash", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(weigh, "doc_id bigint, log_weight double")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("text_hash", T.StringType()), T.StructField("log_weight", T.DoubleType())])
+    return docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(weigh, schema)
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, few: int = 4096) -> float | None:
@@ -100,13 +103,15 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, few: int =
 
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, log_weight and noisy (with Gumbel noise) of the rows that the sample keeps."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(True).alias("target")).filter("doc_id is not null").distinct()
     marked = rows.join(broadcast_if_small(good), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    scored = score(rows, model(marked))
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
+    scored = score(rows, model(marked)).groupBy("doc_id", "text_hash", "log_weight").agg(F.count("*").alias("copies"))
+    scored = repeated(scored, "copies")  # each row its own noise, by the number of the copy
+    key = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash", F.col("copy").cast("string")))
+    bits = F.conv(F.substring(key, 1, 13), 16, 10).cast("double")
     noise = -F.log(-F.log((bits + 0.5) / F.lit(2.0**52)))
-    scored = materialize(scored.withColumn("noisy", F.col("log_weight") + noise), "resample-scores")
+    scored = materialize(scored.select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("noisy")), "resample-scores")
     k = math.ceil(keep * scored.count())
     least = kth_largest(scored, "noisy", k)
     return scored.filter(F.col("noisy") >= F.lit(least)) if least is not None else scored.filter("false")
