@@ -47,11 +47,11 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                     for k, v in (("n_words", n), ("hash", x - (1 << 64) if x >> 63 else x), ("words", key), ("item_id", item)):
                         out[k].append(v)
             yield pa.RecordBatch.from_pydict(
-                {k: pa.array(out[k], t) for k, t in (("n_words", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item_id", pa.int64()))}
+                {k: pa.array(out[k], t) for k, t in (("n_words", pa.int32()), ("hash", pa.int64()), ("words", pa.binary()), ("item_id", pa.string()))}
             )
 
-    schema = "n_words int, hash bigint, words binary, item_id bigint"
-    ids = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    schema = "n_words int, hash bigint, words binary, item_id string"
+    ids = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return ids.mapInArrow(cut, schema).distinct()
 
 
@@ -124,9 +124,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
     """
     names = dict(zip(("n_words", "n_hit", "items", "words_hit", "spans"), fresh(docs, "n_words", "n_hit", "items", "words_hit", "spans"), strict=True))
     span = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
-    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.LongType()), "words_hit": span, "spans": span}
+    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "words_hit": span, "spans": span}
     arrow_span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    arrow_kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.int64()), "words_hit": arrow_span, "spans": arrow_span}
+    arrow_kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "words_hit": arrow_span, "spans": arrow_span}
     base, out = docs.columns, docs
     blocks, step = _blocks(benchmark, size, block), 0
     rows = next(blocks)
@@ -175,13 +175,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out, at = mark(docs.select("doc_id", "text"), benchmark, size, keep_text=False)
-    items = F.array_sort(F.transform(at["items"], lambda x: x.cast("string")))
     return out.select(
         "doc_id",
         F.col(at["n_words"]).alias("n_words"),
         F.col(at["n_hit"]).alias("n_hit"),
         F.size(at["items"]).cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", at["items"]), 256).alias("items_sha256"),
         (F.col(at["n_hit"]) > 0).alias("contaminated"),
     )
 

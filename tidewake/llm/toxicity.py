@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels
 from .common import broadcast_if_small, groups_by_size, utf8
@@ -276,22 +277,23 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """Train on at most ``sample`` labelled documents of each class that are not held out, chosen by a hash of the id."""
-    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    """Train on at most ``sample`` labelled documents of each class that are not held out, chosen by a hash of the id;
+    of an id that repeats with other texts the smallest text is used."""
+    ids = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     ids = ids.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for label in (0, 1):
         part = ids.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.join(F.broadcast(chosen), "doc_id").distinct().limit(4 * sample).collect()  # ids seldom repeat with other texts
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text of an id: at most 2 * sample rows
     found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in found)
     return train([t.encode() for _, t, _ in found], [x for _, _, x in found])
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
     """docs' doc_id and score."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if net is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -301,7 +303,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.scores(utf8(batch.column("text"))), pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(scan, "doc_id bigint, score double")
+    return rows.mapInArrow(scan, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
