@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -5,6 +6,23 @@ import pytest
 from tidewake.llm import suffixes
 
 
+def brute_force(texts: list[bytes], length: int = suffixes.LENGTH) -> list[tuple[int, int, int, str]]:
+    """n_bytes, n_removed, n_spans and kept_sha256 of each text by definition, for tests."""
+    seen: dict[bytes, int] = {}
+    for t in texts:
+        for i in range(len(t) - length + 1):
+            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
+    out = []
+    for t in texts:
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        runs = len([1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])])
+        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
 def corpus(seed=1):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9)))
@@ -21,7 +39,7 @@ def corpus(seed=1):
 def test_against_brute_force(spark, batches):
     rows = corpus(batches)
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), batches=batches).collect()}
-    want = suffixes.brute_force([(t or "").encode() for _, t in rows])
+    want = brute_force([(t or "").encode() for _, t in rows])
     assert got == {i: w for (i, _), w in zip(rows, want, strict=True)}
 
 
@@ -45,3 +63,28 @@ def test_null_ids_repeats_and_clashing_columns(spark):
 
 def test_empty(spark):
     assert suffixes.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_grow_geometrically_and_are_kept(spark, tmp_path):
+    r = random.Random(2)
+    batches = [[(r.randrange(400),) for _ in range(n)] for n in (100, 100, 100, 300, 20, 20)]
+    index = suffixes.LogIndex()
+    for b in batches[:4]:
+        index.add(spark.createDataFrame(b, "key long"))
+    index.save(str(tmp_path / "index"))
+    loaded = suffixes.LogIndex.load(spark, str(tmp_path / "index"))
+    for i in (index, loaded):
+        for b in batches[4:]:
+            i.add(spark.createDataFrame(b, "key long"))
+        sizes = [suffixes.measured(x)["rows"] for x in i.levels]
+        assert sizes[0] == max(sizes) and len(sizes) <= 4
+    every = [k for b in batches for (k,) in b]
+    assert {x["key"] for x in index.repeated().collect()} == {k for k in every if every.count(k) > 1}
+    late = {k for b in batches[4:] for (k,) in b}
+    assert {x["key"] for x in loaded.repeated().collect()} == {k for k in late if every.count(k) > 1}
+
+
+def test_text_ids_and_clashing_names(spark):
+    text = "".join(random.Random(5).choice("abcdef ") for _ in range(300))
+    out = suffixes.report(spark.createDataFrame([("a-1", text), ("b-2", text)], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [("a-1", 300), ("b-2", 300)]

@@ -3,35 +3,38 @@
 A byte goes if a ``length``-byte string that covers it also starts anywhere else in the corpus.
 
 Index. Suffixes are sampled at content-defined anchors: the anchor of a window of ``length`` bytes is
-the (leftmost) smallest hash of its ``GRAM``-byte strings, so equal windows have equal anchors, and a
-suffix array over anchors finds every match of ``length`` bytes or more. A level of the family is
-such a sparse suffix array, sorted by the digest of the suffix at the anchor, with counts. Documents
-arrive in batches: a batch's array is merge-scanned (a sort-merge join) against each existing level,
-which gives the anchors that repeat, and is then put in as the smallest level; levels of equal size
-merge, so a corpus of b batches has at most log2(b) + 1 levels and an entry is rewritten as often.
+the (leftmost) smallest hash of its ``GRAM``-byte strings, so equal windows have equal anchors, and the
+anchors' strings find every match of ``length`` bytes or more. In place of the suffixes themselves a
+level of the family holds the 64-bit hash of each anchor's string, sorted, with its count: sorted byte
+suffixes of 200 bytes would be two and a half times the corpus (the README has the figures). Documents
+arrive in batches: a batch's level is merge-scanned (a sort-merge join) against each existing one, which
+gives the anchors that repeat, and is then put in as the smallest; a level merges with one that has no
+more than twice its entries, so levels grow geometrically. ``save`` and ``load`` keep a family.
 
 Resolution. The run of windows that share an anchor is a segment. Repeated anchors whose whole
 segment repeats are done: all their bytes go. Where segments of one anchor differ (the borders of a
-match), their windows are compared one by one through a 64-bit digest; a segment that repeats as a
-whole takes part in that through one representative. So copies are never expanded into pairs.
-
-Rows are named by a hash of id and text, so identical rows share decisions. Defined cases: null texts
-are empty; texts under ``length`` bytes keep everything; matches never cross documents; identical
-rows are copies of each other like any others; ids may be null or repeat; other columns are ignored.
+match), their windows are compared one by one through a 128-bit digest; a segment that repeats as a
+whole takes part in that through one representative. So copies are never expanded into pairs. A segment
+or block goes if its anchor's hash and the 64-bit digest of all its bytes are both another's.
+
+Rows are named by a hash of id and text, so identical rows share decisions; a second hash shows whether
+two different rows share a name, and then other names are given. Defined cases: null texts are empty;
+texts under ``length`` bytes keep everything; matches never cross documents; identical rows are copies
+of each other like any others; ids may be null, repeat and be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.scratch import file_system
 from . import kernels
-from .common import broadcast_if_small, groups_by_size, materialize, utf8
+from .common import broadcast_if_small, discard, groups_by_size, materialize, measured, utf8
 
 LENGTH = 200
 GRAM = 48
@@ -111,9 +114,15 @@ def segments(texts: list[bytes], length: int = LENGTH):
 
 
 def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and rid, a name that only rows of equal id and text share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ids = F.col("doc_id").cast("bigint")
-    return docs.select(ids.alias("doc_id"), text.alias("text"), F.xxhash64(ids, text, F.col("text").isNull()).alias("rid"))
+    rows = docs.select("doc_id", text.alias("text"), F.col("text").isNull().alias("missing"))
+    for salt in range(8):
+        named = rows.withColumn("rid", F.xxhash64(F.lit(salt), "doc_id", "text", "missing"))
+        other = F.xxhash64("text", "doc_id", "missing", F.lit(salt))
+        if not named.groupBy("rid").agg((F.min(other) != F.max(other)).alias("clash")).filter("clash").limit(1).count():
+            return named.drop("missing")
+    raise RuntimeError("rows cannot be named apart")  # eight independent clashes
 
 
 def entries(named: DataFrame) -> DataFrame:
@@ -135,30 +144,53 @@ def entries(named: DataFrame) -> DataFrame:
 
 
 class LogIndex:
-    """A logarithmic family of sparse suffix arrays: levels of (key, n) sorted by key, with their sizes in batches."""
+    """A logarithmic family of levels of (key, n), each sorted by key, the largest first."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[DataFrame] = []
         self.matches: list[DataFrame] = []
+        self.old: list[DataFrame] = []
+
+    def _merge(self) -> None:
+        while len(self.levels) > 1 and measured(self.levels[-2])["rows"] <= 2 * measured(self.levels[-1])["rows"]:
+            b, a = self.levels.pop(), self.levels.pop()
+            merged = a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n"))
+            self.levels.append(materialize(merged.sortWithinPartitions("key"), "level"))
+            self.old += [a, b]  # earlier matches still read them
 
     def add(self, suffixes: DataFrame) -> None:
         """Merge-scan a batch of entries against all levels, keep the keys that repeat, and put it in as a level."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-            merged = a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n"))
-            self.levels.append((2 * n, materialize(merged.sortWithinPartitions("key"), "level")))
+        self._merge()
         level = materialize(suffixes.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"), "level")
         self.matches.append(level.filter("n > 1").select("key"))
-        self.matches += [level.join(old.hint("merge"), "key", "left_semi").select("key") for _, old in self.levels]
-        self.levels.append((1, level))
+        self.matches += [level.join(old.hint("merge"), "key", "left_semi").select("key") for old in self.levels]
+        self.levels.append(level)
 
     def repeated(self) -> DataFrame:
-        """The keys that occur more than once among all that was added."""
+        """The keys that occur more than once among all that was added, and not only among what was loaded."""
         out = self.matches[0]
         for m in self.matches[1:]:
             out = out.unionByName(m)
         return out.distinct()
 
+    def save(self, folder: str) -> None:
+        for i, level in enumerate(self.levels):
+            level.write.mode("overwrite").parquet(f"{folder}/level-{i:02d}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LogIndex:
+        """The family that ``save`` wrote, to be extended by further batches."""
+        out, i = cls(), 0
+        fs, _ = file_system(spark, folder)
+        while fs.exists(file_system(spark, f"{folder}/level-{i:02d}")[1]):
+            out.levels.append(materialize(spark.read.parquet(f"{folder}/level-{i:02d}"), "level"))
+            i += 1
+        return out
+
+    def discard(self) -> None:
+        """Delete the levels of a family that is no longer read."""
+        discard(*self.levels, *self.old)
+
 
 def classify(rows: DataFrame, outer: str, whole: str, ids: list[str], tag: str) -> DataFrame:
     """ids, goes, asks of rows that share ``outer`` with another: goes, if another row is the same as a whole; asks,
@@ -175,7 +207,7 @@ def classify(rows: DataFrame, outer: str, whole: str, ids: list[str], tag: str)
 def _ask(named: DataFrame, asking: DataFrame, code, rows_of, schema: str, tag: str) -> DataFrame:
     """What rows_of makes of each (text, segments, codes asked) of the rows that ask."""
     asked = materialize(asking.groupBy("rid").agg(F.collect_list(code).alias("codes")), f"{tag}-asking")
-    names = [x.split()[0] for x in schema.split(", ")]
+    names, kinds = [x.split()[0] for x in schema.split(", ")], [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
     def expand(batches):
         for batch in batches:
@@ -185,7 +217,7 @@ def _ask(named: DataFrame, asking: DataFrame, code, rows_of, schema: str, tag: s
                 for i, found in zip(range(lo, hi), segments(texts[lo:hi]), strict=True):
                     out += rows_of(rid[i], texts[i], [x.tolist() for x in found], codes[i])
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = named.select("rid", "text").join(broadcast_if_small(asked, 200_000), "rid").select("rid", "text", "codes")
     return materialize(rows.mapInArrow(expand, schema), tag)
@@ -219,11 +251,11 @@ def _blocks(rid: int, text: bytes, found, segs: list[int]):
 
 def _windows(rid: int, text: bytes, found, codes: list[int]):
     """Rows (h, rid, start) of the windows of the blocks asked for."""
-    one = xxhash.xxh3_64_intdigest
+    one = xxhash.xxh3_128_digest
     for code in codes:
         p, _, near, far = _offsets(found, code)
         for start in range(p - far, p - near + 1):
-            yield _signed(one(text[start : start + LENGTH])), rid, start
+            yield one(text[start : start + LENGTH]), rid, start
 
 
 def marks(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
@@ -235,17 +267,23 @@ def marks(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, DataFrame
         index.add(every.filter(F.col("batch") == b))
     keys = materialize(index.repeated(), "repeated")
     again = materialize(every.drop("batch").join(broadcast_if_small(keys), "key", "left_semi"), "again")
+    index.discard()
+    discard(every, keys)
     by_segment = classify(again, "key", "whole", ["rid", "seg"], "segments")
+    discard(again)
     blocks = _ask(named, by_segment.filter("asks"), "seg", _blocks, "core bigint, whole bigint, rid bigint, code bigint", "blocks")
     by_block = classify(blocks, "core", "whole", ["rid", "code"], "blocks")
-    spread = _ask(named, by_block.filter("asks"), "code", _windows, "h bigint, rid bigint, start bigint", "windows")
+    discard(blocks)
+    spread = _ask(named, by_block.filter("asks"), "code", _windows, "h binary, rid bigint, start bigint", "windows")
     shared = materialize(spread.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "shared")
     starts = spread.join(broadcast_if_small(shared), "h", "left_semi").select("rid", "start").distinct()
     none = F.lit(None).cast("bigint")
     both = by_segment.filter("goes").select("rid", F.col("seg").cast("bigint").alias("seg"), none.alias("code"), none.alias("start"))
     both = both.unionByName(by_block.filter("goes").select("rid", none.alias("seg"), "code", none.alias("start")))
     both = both.unionByName(starts.select("rid", none.alias("seg"), none.alias("code"), "start"))
-    return named, materialize(both.groupBy("rid").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("seg", "code", "start")]), "marks")
+    out = materialize(both.groupBy("rid").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("seg", "code", "start")]), "marks")
+    discard(spread, shared, by_segment, by_block)
+    return named, out
 
 
 def covered(found, segs: list[int], codes: list[int], starts: list[int]) -> list[tuple[int, int]]:
@@ -284,7 +322,8 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                     spans.append([{"s": a, "e": b} for a, b in gone])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc_id", "n_bytes", "kept", "spans"])
 
-    schema = "doc_id bigint, n_bytes bigint, kept binary, spans array<struct<s: bigint, e: bigint>>"
+    rest = T._parse_datatype_string("n_bytes bigint, kept binary, spans array<struct<s: bigint, e: bigint>>")
+    schema = T.StructType([named.schema["doc_id"], *rest.fields])
     rids = broadcast_if_small(found.select("rid"))
     touched = named.join(rids, "rid", "left_semi").join(found, "rid").select("doc_id", "text", "segs", "codes", "starts").mapInArrow(cut, schema)
     whole = named.join(rids, "rid", "left_anti").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.encode("text", "utf-8").alias("kept"), F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("spans"))
@@ -294,20 +333,3 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     out = remove_repeats(docs, batches)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans and kept_sha256 of each text by definition, for tests."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for i in range(len(t) - length + 1):
-            seen[t[i : i + length]] = seen.get(t[i : i + length], 0) + 1
-    out = []
-    for t in texts:
-        gone = bytearray(len(t))
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = b"\1" * length
-        runs = len([1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])])
-        out.append((len(t), sum(gone), runs, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
-    return out
