@@ -16,6 +16,7 @@ through, and the operator's own columns take names that clash with none of them.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import fresh, groups_by_size, materialize, utf8
+from .common import discard, fresh, groups_by_size, materialize, measured, utf8
 
 WINDOW = 10
 BLOCK = 500_000
@@ -107,13 +108,11 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, size: int, block: int):
-    """Bounded lists of windows, one after the other; at least one, perhaps empty."""
+def _blocks(benchmark: DataFrame, size: int, block: int) -> tuple[int, Iterator[list]]:
+    """The number of blocks (at least one) and the blocks, bounded lists of windows, each collected when it is asked for."""
     grouped = materialize(windows(benchmark, size).groupBy("n_words", "hash", "words").agg(F.collect_set("item_id").alias("items")), "decon-windows")
-    parts = max(1, -(-grouped.count() // block))
-    for k in range(parts):
-        part = grouped if parts == 1 else grouped.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)
-        yield part.collect()
+    parts = max(1, -(-measured(grouped)["rows"] // block))
+    return parts, ((grouped if parts == 1 else grouped.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)).collect() for k in range(parts))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK, cut: bool = False, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
@@ -128,11 +127,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
     arrow_span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     arrow_kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "words_hit": arrow_span, "spans": arrow_span}
     base, out = docs.columns, docs
-    blocks, step = _blocks(benchmark, size, block), 0
-    rows = next(blocks)
-    while rows is not None:
-        later = next(blocks, None)
-        last, first = later is None, step == 0
+    parts, blocks = _blocks(benchmark, size, block)
+    for step, rows in enumerate(blocks):
+        last, first = step == parts - 1, step == 0
         known = out.sparkSession.sparkContext.broadcast(WindowSet(rows))
         keep = [c for c in base if keep_text or not last or c != "text"]
         schema = T.StructType([*(f for f in out.schema.fields if f.name in keep), *(T.StructField(names[k], t) for k, t in kinds.items())])
@@ -164,11 +161,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int =
                         columns[keep.index("text")] = pa.array([b.decode() if v else None for v, b in zip(was.is_valid().to_pylist(), new_text, strict=True)], was.type)
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.array(made[k], t) for k, t in arrow_kinds.items())], names=[*keep, *names.values()])
 
-        out = out.mapInArrow(pass_over, schema)
+        before, out = out, out.mapInArrow(pass_over, schema)
         if not last:
             out = materialize(out, "decon-pass")  # so that a task holds one block at a time
             known.destroy()
-        rows, step = later, step + 1
+            if not first:
+                discard(before)
     return out, names
 
 
