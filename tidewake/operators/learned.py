@@ -73,14 +73,20 @@ class BagOfWords:
         self.model = LogisticRegression(regParam=1.0 / max(1, self.n), elasticNetParam=0.0, standardization=False, maxIter=1000, featuresCol="features", labelCol="label").fit(rows)
         return self
 
+    def _coefficients(self) -> DataFrame:
+        """idx, coef: at most TERMS rows."""
+        return self.vocab.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(self.model.coefficients.toArray())], "idx int, coef double")
+
     def score(self, docs: DataFrame) -> DataFrame:
-        rows = _vectors(docs, tfidf(ngram_counts(docs), self.vocab, self.n), max(1, self.size))
-        return self.model.transform(rows).select("blob_id", "label", vector_to_array("probability")[1].alias("score"))
+        """Probabilities as sums of weights times coefficients, without vectors."""
+        weights = tfidf(ngram_counts(docs), self.vocab, self.n).join(F.broadcast(self._coefficients()), "idx")  # capped by TERMS
+        sums = weights.groupBy("blob_id").agg(F.sum(F.col("w") * F.col("coef")).alias("z"))
+        odds = F.coalesce("z", F.lit(0.0)) + F.lit(float(self.model.intercept))
+        return docs.select("blob_id", "label").join(sums, "blob_id", "left").select("blob_id", "label", (1 / (1 + F.exp(-odds))).alias("score"))
 
     def top_features(self, n: int = TOP) -> DataFrame:
         """term, coef, side: the n largest and the n smallest coefficients."""
-        spark = self.vocab.sparkSession
-        coef = spark.createDataFrame([(i, float(c)) for i, c in enumerate(self.model.coefficients.toArray())], "idx int, coef double").join(self.vocab, "idx")
+        coef = self._coefficients().join(self.vocab, "idx")
         high = coef.orderBy(F.desc("coef"), "term").limit(n).select("term", "coef", F.lit("member").alias("side"))
         return high.unionByName(coef.orderBy("coef", "term").limit(n).select("term", "coef", F.lit("other").alias("side")))
 
