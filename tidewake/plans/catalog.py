@@ -339,7 +339,7 @@ def event_sims(s, d) -> DataFrame:
     return table(s, d, "events").select(F.floor(F.col("event_id") / 12).cast("string").alias("blob_id"), F.lit(0).alias("label"), (F.col("event_id") % 12).cast("int").alias("variant"), (F.col("value") / 1000).alias("sim"), (1 + F.col("value")).alias("ppl"))
 
 
-query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 6) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 6).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
+query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 9) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 9).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
 query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, CASE WHEN count(*) = 12 THEN round(avg((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS m, CASE WHEN count(*) = 12 THEN round(stddev_pop((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
 query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, CASE WHEN count(*) = 12 THEN round(sum(sim), 6) END AS sims FROM r GROUP BY blob_id")(
     lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
