@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -16,7 +16,7 @@ from . import elements, perturb
 from .data import val_split
 from .lm import CountFeatures, FeatureModel, TargetModel, tokenize
 from ..functions.text import cosine
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path, written
 
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
@@ -108,7 +108,10 @@ class ElementHits:
         return VectorAssembler(inputCols=self.columns, outputCol="features").transform(docs.select("blob_id", "label").join(found, "blob_id"))
 
     def fit(self, docs: DataFrame) -> ElementHits:
-        self.model = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", impurity="gini", seed=self.seed, featuresCol="features", labelCol="label").fit(self.features(docs))
+        forest = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", impurity="gini", seed=self.seed, featuresCol="features", labelCol="label").fit(self.features(docs))
+        path = scratch_path(docs.sparkSession, "forest")  # a stored model has no training summary, whose session cannot be sent to executors
+        forest.write().overwrite().save(path)
+        self.model = RandomForestClassificationModel.load(path)
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
