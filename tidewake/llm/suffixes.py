@@ -40,7 +40,8 @@ LENGTH = 200
 GRAM = 48
 BLOCK = 16
 BATCHES = 4
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17  # bytes hashed at a time
+_ROWS = 1 << 16  # rows handed on at a time
 _CODE = 64  # codes of blocks: segment * _CODE + block
 _POSITION = np.uint64((1 << 22) - 1)
 
@@ -209,15 +210,22 @@ def _ask(named: DataFrame, asking: DataFrame, code, rows_of, schema: str, tag: s
     asked = materialize(asking.groupBy("rid").agg(F.collect_list(code).alias("codes")), f"{tag}-asking")
     names, kinds = [x.split()[0] for x in schema.split(", ")], [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
+    def batch_of(out):
+        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
     def expand(batches):
         for batch in batches:
             texts, rid, codes = utf8(batch.column("text")), batch.column("rid").to_pylist(), batch.column("codes").to_pylist()
             for lo, hi in groups_by_size(texts, _CHUNK):
                 out = []
                 for i, found in zip(range(lo, hi), segments(texts[lo:hi]), strict=True):
-                    out += rows_of(rid[i], texts[i], [x.tolist() for x in found], codes[i])
-                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                    for row in rows_of(rid[i], texts[i], [x.tolist() for x in found], codes[i]):
+                        out.append(row)
+                        if len(out) == _ROWS:
+                            yield batch_of(out)
+                            out = []
+                yield batch_of(out)
 
     rows = named.select("rid", "text").join(broadcast_if_small(asked, 200_000), "rid").select("rid", "text", "codes")
     return materialize(rows.mapInArrow(expand, schema), tag)
