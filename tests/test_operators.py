@@ -321,7 +321,7 @@ def test_token_swap(spark):
 def test_attacks_run(spark):
     docs = spark.createDataFrame([(f"def f{i}(a):\n    v{i} = a + {i}  # {'alpha' if i % 2 else 'beta'} note\n    return v{i}\n", str(i), i % 2) for i in range(60)], "text string, blob_id string, label int")
     model = lm.NGramLM(docs.filter("label = 1"))
-    for key in ("bow", "pac"):
+    for key in ("bow", "pac", "trawic"):
         out = registry.run_attack(key, docs, model=model).collect()
         assert len(out) == 12 and all(r["score"] is not None for r in out)
     assert {r["metric"]: r["value"] for r in registry.evaluate("bow", docs).collect()}["roc auc"] == 1.0
