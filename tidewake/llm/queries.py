@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, mixing, pii, resample, simhash, suffixes, topk, toxicity, urlfilter
+from . import chat, decontaminate, mixing, pii, resample, rowpattern, simhash, suffixes, topk, toxicity, urlfilter
 
 
 def _t(spark, sf_dir, name):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_simhash_golay": lambda s, d: simhash.report(_t(s, d, "documents")),
     "op9_suffix_dedup": lambda s, d: suffixes.report(_t(s, d, "documents")),
     "op10_pii": lambda s, d: pii.report(_t(s, d, "documents")),
+    "op11_row_pattern": lambda s, d: rowpattern.report(_t(s, d, "clicks")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -31,4 +32,5 @@ ORACLE_SQL = {
     "op4_temperature_mixing": mixing.ORACLE,
     "op5_url_filter": urlfilter.ORACLE,
     "op7_exact_topk": topk.ORACLE,
+    "op11_row_pattern": rowpattern.ORACLE,
 }
