@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, mixing, pii, resample, rowpattern, simhash, suffixes, topk, toxicity, urlfilter
+from . import audit, chat, decontaminate, mixing, pii, resample, rowpattern, simhash, suffixes, topk, toxicity, urlfilter
 
 
 def _t(spark, sf_dir, name):
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_suffix_dedup": lambda s, d: suffixes.report(_t(s, d, "documents")),
     "op10_pii": lambda s, d: pii.report(_t(s, d, "documents")),
     "op11_row_pattern": lambda s, d: rowpattern.report(_t(s, d, "clicks")),
+    "op12_filter_audit": lambda s, d: audit.audit(_t(s, d, "documents"), _t(s, d, "labels")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op5_url_filter": urlfilter.ORACLE,
     "op7_exact_topk": topk.ORACLE,
     "op11_row_pattern": rowpattern.ORACLE,
+    "op12_filter_audit": audit.ORACLE,
 }
