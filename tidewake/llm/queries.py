@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import audit, chat, decontaminate, mixing, pii, resample, rowpattern, simhash, suffixes, topk, toxicity, urlfilter
+from . import audit, chat, decontaminate, exact, mixing, pii, resample, rowpattern, simhash, suffixes, topk, toxicity, urlfilter
 
 
 def _t(spark, sf_dir, name):
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_pii": lambda s, d: pii.report(_t(s, d, "documents")),
     "op11_row_pattern": lambda s, d: rowpattern.report(_t(s, d, "clicks")),
     "op12_filter_audit": lambda s, d: audit.audit(_t(s, d, "documents"), _t(s, d, "labels")),
+    "op13_exact_dedup": lambda s, d: exact.report(_t(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -35,4 +36,5 @@ ORACLE_SQL = {
     "op7_exact_topk": topk.ORACLE,
     "op11_row_pattern": rowpattern.ORACLE,
     "op12_filter_audit": audit.ORACLE,
+    "op13_exact_dedup": exact.ORACLE,
 }
