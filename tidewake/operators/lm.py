@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import written
+from . import fill
 
 ALPHA = 0.1
 TOKEN = r"[^ \t-\r]+"
@@ -88,8 +89,9 @@ class NGramLM:
     The counts are written once, when the model is made. Without any token all log-probabilities are null.
     """
 
-    def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT) -> None:
-        self.hot, self._paths = hot, {}
+    def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, temperature: float = fill.TEMPERATURE, top_p: float = fill.TOP_P, seed: int = 42) -> None:
+        self.hot, self._paths, self._nucleus = hot, {}, None
+        self.temperature, self.top_p, self.seed = temperature, top_p, seed
         pairs = written(positions(docs).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
         contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
         v = docs.select(F.explode(tokenize("text")).alias("token")).agg(F.count_distinct("token")).first()[0]
@@ -145,9 +147,15 @@ class NGramLM:
         output = F.coalesce(F.array_join("_path", " "), F.lit(""))
         return met.select(*prompts.columns, (F.substring_index(output, stop, 1) if stop else output).alias("output"))
 
+    def nucleus(self) -> DataFrame:
+        """The successors that sampling draws from, written once."""
+        if self._nucleus is None:
+            self._nucleus = written(fill.nucleus(self.bigrams, self.temperature, self.top_p), "lm-nucleus", bytes=fill._bytes("prev", "token"))
+        return self._nucleus
+
     def infill(self, prompts: DataFrame, max_new: int = 50) -> DataFrame:
-        """prompts with ``output``: the model sees what precedes the gap."""
-        return self.generate(prompts, max_new, text="prefix")
+        """prompts with ``output``: the best path from the prefix to the suffix, else a sampled continuation of the prefix."""
+        return fill.fill(prompts, self.bigrams, self.nucleus(), tokenize, max_new, self.seed)
 
 
 def perplexity(model: TargetModel, docs: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import elements, perturb, registry
-from .catalog import _LM, _PATHS, model, query, samples, table
+from ..operators import elements, fill, perturb, registry
+from .catalog import _LM, model, query, samples, table
 
 CODE = [
     (1, '"""Top doc."""\nimport os\n\n# a note\nclass Foo(Base):\n    def run(self, x):\n        y = x + 1  # inline\n        return "text"\n'),
@@ -126,8 +126,33 @@ query("agg_hit_ratio", "SELECT CAST(user_id AS VARCHAR) AS blob_id, coalesce(avg
 )
 # rows of the programme for the longest common subsequence; what stands left of a cell counts through the running maximum
 _LCS = "list_reduce(list_concat([[0 for y in range(length({1}) + 1)]], [[unicode(x)] for x in string_split({0}, '')]), lambda r, x: list_concat([0], [list_max([greatest(r[k + 1], r[k] + CASE WHEN unicode(substr({1}, k::INT, 1)) = x[1] THEN 1 ELSE 0 END) for k in range(1, j + 1)]) for j in range(1, length({1}) + 1)]))[-1]"
-_INFILLED = f"""{_LM}, {_PATHS}, src AS (SELECT blob_id, text FROM samples), {_CHOSEN},
-op AS (SELECT pr.*, prompt || coalesce(path, '') AS o, coalesce(len(regexp_extract_all(prompt, '[^ \\t-\\r]+')), 0) + 50 > 16000 AS long FROM pr LEFT JOIN paths ON paths.start_token = regexp_extract_all(pr.prefix, '[^ \\t-\\r]+')[-1])"""
+def _lattice_sql() -> str:
+    """SQL: fb (a, b, output), the best paths between the distinct ends of gp (a, b)."""
+    best = f"row_number() OVER (PARTITION BY {{}} ORDER BY cost, token) AS r"
+    parts = [
+        f"co AS (SELECT prev, token, CAST(round(-{fill.COST} * ln((c2 + 0.1::DOUBLE) / (c1 + 0.1::DOUBLE * v))) AS BIGINT) AS cost FROM c2 JOIN c1 USING (prev), v)",
+        f"st AS (SELECT prev, token, cost FROM (SELECT *, {best.format('prev')} FROM co) WHERE r <= {fill.BEAM})",
+        "f0 AS (SELECT DISTINCT a, a AS token, 0::BIGINT AS cost, CAST([] AS VARCHAR[]) AS path FROM gp WHERE a IS NOT NULL AND b IS NOT NULL)",
+    ]
+    for n in range(1, fill.LENGTH + 1):
+        grown = f"SELECT f.a, st.token, min({{'cost': f.cost + st.cost, 'path': list_append(f.path, st.token)}}) AS x FROM f{n - 1} f JOIN st ON st.prev = f.token GROUP BY ALL"
+        parts.append(f"f{n} AS (SELECT a, token, cost, path FROM (SELECT *, {best.format('a')} FROM (SELECT a, token, x.cost AS cost, x.path AS path FROM ({grown}))) WHERE r <= {fill.BEAM})")
+    closed = " UNION ALL ".join(f"SELECT a, b, {{'mean': min(x).total / {n + 1}::DOUBLE, 'n': {n}, 'path': min(x).path}} AS y FROM (SELECT e.a, e.b, {{'total': f.cost + co.cost, 'path': f.path}} AS x FROM (SELECT DISTINCT a, b FROM gp) e JOIN f{n} f ON f.a = e.a JOIN co ON co.prev = f.token AND co.token = e.b) GROUP BY ALL" for n in range(1, fill.LENGTH + 1))
+    return ", ".join([*parts, f"fb AS (SELECT a, b, array_to_string(min(y).path, ' ') AS output FROM ({closed}) GROUP BY ALL)"])
+
+
+_NUCLEUS = f"""nw AS (SELECT prev, token, CAST(floor({fill.WEIGHT}::DOUBLE * pow(c2::DOUBLE / max(c2) OVER (PARTITION BY prev), {1 / fill.TEMPERATURE}::DOUBLE)) AS BIGINT) AS w FROM c2),
+nh AS (SELECT *, sum(w) OVER (PARTITION BY prev ORDER BY w DESC, token ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY prev) AS total FROM nw WHERE w > 0),
+nk AS (SELECT prev, token, hi - w AS lo, hi, max(hi) OVER (PARTITION BY prev) AS mass FROM nh WHERE hi - w < {fill.TOP_P}::DOUBLE * total)"""
+_INFILLED = f"""{_LM}, src AS (SELECT blob_id, text FROM samples), {_CHOSEN},
+gp AS (SELECT *, regexp_extract_all(prefix, '[^ \\t-\\r]+')[-1] AS a, regexp_extract_all(suffix, '[^ \\t-\\r]+')[1] AS b FROM pr), {_lattice_sql()}, {_NUCLEUS},
+gx AS (SELECT gp.*, fb.output AS filled FROM gp LEFT JOIN fb USING (a, b)),
+wk(blob_id, level, ord, step, here, out) AS (SELECT blob_id, level, ord, 0, a, '' FROM gx WHERE filled IS NULL UNION ALL
+  SELECT * FROM (SELECT w.blob_id, w.level, w.ord, w.step + 1, nk.token, w.out || CASE WHEN w.step > 0 THEN ' ' ELSE '' END || nk.token FROM
+    (SELECT *, CAST('0x' || substr(md5('42|infill|' || blob_id || '|' || level || '|' || ord || '|' || step), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM wk WHERE step < {elements.NEW_TOKENS}) w
+    JOIN nk ON nk.prev = w.here AND nk.lo <= floor(w.u * nk.mass) AND floor(w.u * nk.mass) < nk.hi)),
+sm AS (SELECT blob_id, level, ord, arg_max(out, step) AS drawn FROM wk GROUP BY ALL),
+op AS (SELECT gx.*, prompt || coalesce(filled, drawn, '') AS o, coalesce(len(regexp_extract_all(prompt, '[^ \\t-\\r]+')), 0) + 50 > 16000 AS long FROM gx LEFT JOIN sm USING (blob_id, level, ord))"""
 _TRAWIC = f"""{_INFILLED},
 bd AS (SELECT *, substr(o, strpos(o, '<fim_middle>') + 12) AS body, list_concat(CASE level WHEN 'class_names' THEN [':', '('] WHEN 'function_names' THEN ['('] WHEN 'variable_names' THEN ['='] WHEN 'comments' THEN [chr(10)] ELSE [quote_char] END, ['<|endoftext|>', '<file_sep>']) AS ends FROM op),
 ct AS (SELECT *, {_strip("substr(body, 1, coalesce(list_min([strpos(body, e) for e in ends if strpos(body, e) > 0]) - 1, length(body)))")} AS cut, {_strip("value")} AS want FROM bd),
