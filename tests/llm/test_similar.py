@@ -55,3 +55,11 @@ def test_repeated_ids(spark):
     a, b = "one two three four five six", "quite another text of some few words"
     rows = spark.createDataFrame([(1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "en", "s", 1), (3, "x", "en", "s", 1), (3, "x", "en", "s", 1)], DOCS)
     assert sorted((r["doc_id"], r["text"]) for r in similar.keep_one(rows).collect()) == [(1, a), (2, b), (3, "x")]
+
+
+def test_equal_rows_leave_the_smallest(spark):
+    """Rows equal in id and text differ elsewhere; columns named as the operator's own stay as they are."""
+    rows = spark.createDataFrame([(1, "a b c", z, r, {"k": z}) for z, r in (("y", 2), ("x", 9), ("x", 3))], "doc_id long, text string, root string, node int, rid map<string,string>").repartition(3)
+    (kept,) = similar.keep_one(rows).collect()
+    assert kept.asDict() == {"doc_id": 1, "text": "a b c", "root": "x", "node": 3, "rid": {"k": "x"}}
+    assert similar.keep_one(rows.filter("false")).count() == 0

@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import BROADCAST_ROWS, broadcast_if_small, discard, fresh, groups_by_size, materialize, measured, utf8
 from .components import components
@@ -280,11 +279,10 @@ def similar(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     about = F.broadcast(about) if measured(nodes)["rows"] <= BROADCAST_ROWS // 2 else about
     nodes = nodes.select("node", "rid")
     tried = hashed = _hashed(single)
-    by = Window.partitionBy("key")
-    entries = single.select("node", F.explode("prefix").alias("key")).withColumn("a", F.min("node").over(by)).withColumn("b", F.max("node").over(by)).filter("a < b").select("key", "node")
-    entries = materialize(entries, "near-entries")
-    large = entries.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > limit).select("key", F.ceil(F.col("c") / limit).cast("int").alias("c"))
-    large = materialize(large, "near-large")
+    entries = single.select("node", F.explode("prefix").alias("key"))
+    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "near-shared")  # a node has a key once
+    entries = materialize(entries.join(broadcast_if_small(shared).select("key"), "key", "left_semi"), "near-entries")
+    large = materialize(shared.filter(F.col("c") > limit).select("key", F.ceil(F.col("c") / limit).cast("int").alias("c")), "near-large")
     roots = None
     for share, every in ((FIRST, False), (1, False), (1, True)):
         if roots is None:
@@ -301,14 +299,14 @@ def similar(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             more = materialize(_confirmed(_narrowed(pairs, single), rows, nodes), "near-edges")
             known = more if roots is None else more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = materialize(components(known), "near-roots")
-    discard(entries, large)
+    discard(entries, large, shared)
     return found.select("doc_id", "rid", "node").join(broadcast_if_small(roots), "node", "left").select("doc_id", "rid", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but one row of each component of ``similar``: that of its smallest id stays.
 
-    Rows without an id, which no decision can name, stay; of equal rows (id and text), one stays.
+    Rows without an id, which no decision can name, stay; of rows equal in id and text the smallest, as JSON, stays.
     """
     rows = materialize(similar(docs).filter("doc_id is not null"), "near-named")
     least = rows.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
@@ -322,5 +320,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return kept.select(*docs.columns)
     again = found.filter("not drop").select(F.col("rid").alias(rid))
     again = broadcast_if_small(again)
-    once = kept.join(again, rid, "left_semi").dropDuplicates([rid])
-    return kept.join(again, rid, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(again, rid, "left_semi").groupBy(rid).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.join(again, rid, "left_anti").select(*docs.columns).union(once.select("row.*"))
