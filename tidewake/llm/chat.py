@@ -36,7 +36,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
         "conv_id", F.col("turn").cast("bigint").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))
+    turns = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")))
     people = turns.select("conv", F.col("role").alias("speaker")).distinct()
     rows = turns.join(people, "conv")
     own, name = F.col("role") == F.col("speaker"), F.col("role")
@@ -65,7 +65,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '-') AS conv, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), '-') AS conv, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 r AS (SELECT conv_id, conv, speaker, turn, role, text, role = speaker AS own,
         CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(replace(replace(replace(replace(role, '%', '%25'), '<', '%3C'), '|', '%7C'), '>', '%3E'), chr(13), '%0D'), chr(10), '%0A') || '|>' || chr(10) END AS head
       FROM t JOIN (SELECT DISTINCT conv, role AS speaker FROM t) USING (conv)),

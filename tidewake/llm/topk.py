@@ -10,9 +10,10 @@ newly read; the k-th best so far carries over from shard to shard within a task.
 blocks of bounded size, of which the driver and a task hold one at a time.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id
-take no part; vectors of different lengths are compared as if padded by zeros; rows with the query's
-own id are never its candidates; identical (id, vector) rows count once; with fewer than k
-candidates all are returned; scores beyond the range of long saturate.
+take no part; vectors of different lengths are compared as if padded by zeros; every row is a row of its
+own: a query is no candidate of itself, but rows that repeat its id, or its id and vector, are, and
+each of several query rows of one id has its ranks; with fewer than k candidates all are returned;
+scores beyond the range of long saturate.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ _EXACT = 2.0**52
 
 
 def quantize(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, vec (array of floor(scale * x)) of the rows that take part, without repeats."""
+    """vec_id, vec (array of floor(scale * x)) and row, a number of its own, of the rows that take part; to be written before it is read twice."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = embeddings.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(~bad)
-    return kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vec")).distinct()
+    return kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vec"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
@@ -49,14 +50,14 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, floor: np.ndarray, few: float = 0.02):
+def nra(x: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, floor: np.ndarray, few: float = 0.02):
     """The k best of this shard for each query, as (query index, candidate index, score), and how deep the lists were read.
 
-    x: candidates (ids ascending); floor: scores below which a query's candidates cannot qualify. What is
+    x: candidates (ids ascending); rows, q_rows: the numbers of the rows, as a query is no candidate of its own; floor: scores below which a query's candidates cannot qualify. What is
     read of the lists at a depth is added to what was read before.
     """
     m, width = x.shape
-    own = ids[:, None] == q_ids[None, :]
+    own = rows[:, None] == q_rows[None, :]
     order = np.argsort(-x, axis=0, kind="stable")
     ranked = np.take_along_axis(x, order, 0)
     rank = np.empty_like(order)
@@ -87,13 +88,13 @@ def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int
     return who[place < k], at[place < k], scores[place < k], depth
 
 
-def _exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int):
+def _exact(x: np.ndarray, rows: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int):
     """For components so large that doubles would round: whole-number scores, saturated to long."""
     out: list[tuple[int, int, int]] = []
-    rows = [[int(v) for v in r] for r in x]
+    whole = [[int(v) for v in r] for r in x]
     for j, query in enumerate(q):
         w = [int(v) for v in query]
-        scored = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(r, w, strict=True)))), i) for i, r in enumerate(rows) if ids[i] != q_ids[j]))[:k]
+        scored = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(r, w, strict=True)))), i) for i, r in enumerate(whole) if rows[i] != q_rows[j]))[:k]
         out += [(j, i, -s) for s, i in scored]
     who, at, s = zip(*out, strict=True) if out else ((), (), ())
     return np.array(who, dtype=np.int64), np.array(at, dtype=np.int64), np.array(s, dtype=object)
@@ -106,28 +107,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
     total = queries.count()
     parts = max(1, -(-total // block))
     for p in range(parts):
-        mine = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(parts)) == p)
-        held = sorted((r["vec_id"], list(r["vec"])) for r in mine.collect())
-        sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], dtype=np.int64), [h[1] for h in held]))
+        mine = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == p)
+        held = sorted((r["vec_id"], r["row"], list(r["vec"])) for r in mine.collect())
+        sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], dtype=np.int64), np.array([h[1] for h in held], dtype=np.int64), [h[2] for h in held]))
 
         def scan(batches, sent=sent):
-            q_ids, lists = sent.value
+            q_ids, q_rows, lists = sent.value
             if not len(q_ids):
                 return
             best: list[list[tuple]] = [[] for _ in q_ids]
             floor = np.full(len(q_ids), -np.inf)
 
-            def settle(ids, vecs):
+            def settle(ids, numbers, vecs):
                 width = max([1, *map(len, lists), *np.diff(vecs.offsets.to_numpy()).tolist()])
-                order = np.argsort(ids, kind="stable")
+                order = np.lexsort((numbers, ids))
                 x, q = _matrix(vecs, width)[order], np.zeros((len(lists), width))
                 for i, v in enumerate(lists):
                     q[i, : len(v)] = v
-                ids = ids[order]
+                ids, numbers = ids[order], numbers[order]
                 sure = width * max(1.0, np.abs(x).max(initial=0)) * max(1.0, np.abs(q).max(initial=0)) < _EXACT
                 for lo in range(0, len(q), TOGETHER):
                     mine = slice(lo, lo + TOGETHER)
-                    found = nra(x, ids, q[mine], q_ids[mine], k, floor[mine])[:3] if sure else _exact(x, ids, q[mine], q_ids[mine], k)
+                    found = nra(x, numbers, q[mine], q_rows[mine], k, floor[mine])[:3] if sure else _exact(x, numbers, q[mine], q_rows[mine], k)
                     for who, at, score in zip(*found, strict=True):
                         best[lo + who].append((-int(score), int(ids[at])))
                 for i, b in enumerate(best):
@@ -136,18 +137,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
                     if len(b) == k:
                         floor[i] = max(floor[i], -max(b)[0])
 
-            ids, vecs, held_rows = [], [], 0
+            ids, numbers, vecs, held_rows = [], [], [], 0
             for batch in batches:
                 for at in range(0, batch.num_rows, shard):
                     part = batch.slice(at, shard)
                     ids.append(part.column("vec_id").to_numpy(zero_copy_only=False))
+                    numbers.append(part.column("row").to_numpy(zero_copy_only=False))
                     vecs.append(pa.array(part.column("vec").to_pylist(), pa.list_(pa.float64())))
                     held_rows += part.num_rows
                     if held_rows >= shard:
-                        settle(np.concatenate(ids), pa.concat_arrays(vecs))
-                        ids, vecs, held_rows = [], [], 0
+                        settle(np.concatenate(ids), np.concatenate(numbers), pa.concat_arrays(vecs))
+                        ids, numbers, vecs, held_rows = [], [], [], 0
             if held_rows:
-                settle(np.concatenate(ids), pa.concat_arrays(vecs))
+                settle(np.concatenate(ids), np.concatenate(numbers), pa.concat_arrays(vecs))
             rows = [(i, int(q_ids[i]), v, -s) for i, b in enumerate(best) for s, v in sorted(b)[:k]]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["q", "query_id", "vec_id", "score"])
@@ -169,10 +171,10 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
 
 ORACLE = """
-WITH v AS (SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+s AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, CAST(list_sum([q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
