@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, lm
+from tidewake.operators import fill, lm, metrics
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
 
@@ -75,3 +75,13 @@ def test_infill_reads_both_sides_and_falls_back(spark):
     prompts = spark.createDataFrame([(i % 7, "strings", i, p, s) for i, p, s in rows], "blob_id int, level string, ord int, prefix string, suffix string")
     got = {r["ord"]: r["output"] for r in model.infill(prompts, 3).collect()}
     assert got == {0: "blue", 1: "blue", 2: "two", 3: "", 4: "", 5: "", 6: "", 7: "blue"}
+
+
+def test_ranges_of_scores_are_even(spark):
+    """One far score leaves the ranges even; counts over many ranges are those over one."""
+    by = metrics.written(spark.range(200_000).select(F.when(F.col("id") == 7, 1e9).otherwise(F.pow(F.lit(1.0001), "id")).alias("score"), (F.col("id") % 3).alias("pos"), (F.col("id") % 2).alias("neg")), "t")
+    sizes = [r["count"] for r in metrics.bands(by, 200_000, 10_000).groupBy("band").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 2 * 10_000 and sum(sizes) == 200_000
+    few = by.filter("score < 1.3")
+    few = metrics.written(few, "t")
+    assert sorted(metrics._cumulated(few, size=100).collect()) == sorted(metrics._cumulated(few).collect())

@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import written
+from ..sources.scratch import measured, written
 
 NAMES = ("roc auc", "TPR @ 1% FPR", "TPR @ 0.1% FPR")
 RATES = (0.01, 0.001)
+#: Distinct scores of a range, about, and ranges at most.
+BAND, BANDS = 65_536, 4096
 
 
 def roc_counts(scored: DataFrame) -> DataFrame:
     """score, tp, fp: cumulative counts at each distinct score from the highest down.
 
-    Scores are first counted by value, then cumulated in two levels (ranges of the order-preserving
-    score quantum, then scores), so no task needs all scores of a large table. The counts by score are
-    written, so that what makes the scores runs once.
+    Scores are first counted by value, then cumulated in two levels (ranges of scores, then scores),
+    so no task needs all scores of a large table. The counts by score are written, so that what makes the
+    scores runs once.
     """
     return _cumulated(written(_by_score(scored), "roc-scores"))
 
@@ -26,12 +28,23 @@ def _by_score(scored: DataFrame) -> DataFrame:
     return scored.groupBy("score").agg(F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg"))
 
 
-def _cumulated(by: DataFrame) -> DataFrame:
-    lo_hi = by.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    band = F.coalesce(F.floor(F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo")) * 4096), F.lit(0))
-    banded = by.crossJoin(F.broadcast(lo_hi)).withColumn("band", band)  # one row
+def bands(by: DataFrame, rows: int, size: int = BAND) -> DataFrame:
+    """by with ``band``: ranges of about ``size`` distinct scores each, the highest scores first.
+
+    Spark's range partitioner draws the borders from a sample of the scores, so ranges are even however
+    scores are spread; the numbers of the ranges are written, as a partition's number holds for one run only.
+    """
+    n = max(1, min(BANDS, -(-rows // size)))
+    if n == 1:
+        return by.withColumn("band", F.lit(0))
+    return written(by.repartitionByRange(n, F.desc("score")).withColumn("band", F.spark_partition_id()), "roc-bands")
+
+
+def _cumulated(by: DataFrame, keep: str = "true", size: int = BAND) -> DataFrame:
+    """by: the written counts by score; keep: which scores take part."""
+    banded = bands(by.filter(keep), measured(by)["rows"], size)
     sums = banded.groupBy("band").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4097 rows
+    above = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # at most BANDS rows
     sums = sums.select("band", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("an"))
     inner = Window.partitionBy("band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     out = banded.withColumn("tp", F.sum("pos").over(inner)).withColumn("fp", F.sum("neg").over(inner)).join(F.broadcast(sums), "band")
@@ -51,7 +64,7 @@ def roc_curve(scored: DataFrame) -> DataFrame:
 def metrics(scored: DataFrame) -> DataFrame:
     """metric, value: the three metrics; all null if a score is null or NaN or a class is missing."""
     by = written(_by_score(scored), "roc-scores")
-    counts = _cumulated(by.filter("score is not null and not isnan(score)"))
+    counts = _cumulated(by, "score is not null and not isnan(score)")
     state = by.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("bad"))
     # a vertex's trapezoid needs only its own counts: (neg) * (tp before + tp) / 2
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double") / 2
