@@ -5,13 +5,13 @@ Members are documents of even id. The queries of code elements and perturbations
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import data, learned, lm, metrics, perturb, registry, report, scores
 from ..sources import files
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from ..streaming.acquire import acquire
 
 QUERIES: dict = {}
@@ -86,51 +86,70 @@ query("anti_duplicates", f"WITH {SAMPLES} SELECT blob_id FROM samples WHERE labe
     lambda s, d: data.without_seen(data.samples(collection(s, d, 0), 0), members(s, d)).select("blob_id")
 )
 
-# --- acquisition, on inline rows
+# --- acquisition: pages as the files of nested rows of ten, some of them null; documents with flags made of their ids
 
-_ACQ = [
-    (1, [("a1", "Python", None, "x/a.txt"), ("a2", "C", None, "x/b.c"), None]),
-    (2, [("a3", None, "PYTHON", None), ("a4", None, None, "y/Main.PY"), ("a5", "Go", "python", "z.py.bak")]),
-    (3, None),
-    (4, []),
-]
-_FILE = "struct<blob_id:string,language:string,lang:string,path:string>"
-_ACQ_SQL = "f(row_id, blob_id, language, lang, path) AS (VALUES (1, 'a1', 'Python', NULL, 'x/a.txt'), (1, 'a2', 'C', NULL, 'x/b.c'), (2, 'a3', NULL, 'PYTHON', NULL), (2, 'a4', NULL, NULL, 'y/Main.PY'), (2, 'a5', 'Go', 'python', 'z.py.bak'))"
+_FILES_SQL = """f AS (SELECT CAST(page_id AS VARCHAR) AS blob_id, CASE page_id % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'C' WHEN 2 THEN 'python' END AS language, CASE WHEN page_id % 6 = 3 THEN 'PYTHON' END AS lang,
+  CASE WHEN page_id % 11 > 0 THEN url || CASE page_id % 5 WHEN 0 THEN '.Py' WHEN 1 THEN '.py.bak' ELSE '' END END AS path FROM pages WHERE page_id % 7 <> 0)"""
 
 
-def acquired(spark) -> DataFrame:
-    return spark.createDataFrame(_ACQ, f"row_id bigint, files array<{_FILE}>")
+def acquired(s, d) -> DataFrame:
+    """Nested rows: files of ten pages each; a null entry for every seventh page, and a row without files."""
+    i, url = F.col("page_id"), F.col("url")
+    path = F.when(i % 11 > 0, F.concat(url, F.when(i % 5 == 0, ".Py").when(i % 5 == 1, ".py.bak").otherwise("")))
+    language = F.when(i % 4 == 0, "Python").when(i % 4 == 1, "C").when(i % 4 == 2, "python")
+    file = F.struct(i.cast("string").alias("blob_id"), language.alias("language"), F.when(i % 6 == 3, "PYTHON").alias("lang"), path.alias("path"))
+    # collect_list leaves nulls out, so an entry travels in a struct of its own
+    held = table(s, d, "pages").groupBy(F.floor(i / 10).alias("row_id")).agg(F.collect_list(F.struct(F.when(i % 7 != 0, file).alias("f"))).alias("held"))
+    rows = held.select("row_id", F.transform("held", lambda x: x["f"]).alias("files"))
+    return rows.unionByName(rows.limit(1).select(F.lit(-1).cast("bigint").alias("row_id"), F.lit(None).cast(rows.schema["files"].dataType).alias("files")))
 
 
-query("explode_files", f"WITH {_ACQ_SQL} SELECT blob_id, language, lang, path FROM f")(lambda s, d: files.explode_files(acquired(s)))
+query("explode_files", f"WITH {_FILES_SQL} SELECT * FROM f")(lambda s, d: files.explode_files(acquired(s, d)))
 
 
-@query("filter_python_file", f"WITH {_ACQ_SQL} SELECT blob_id FROM f WHERE lower(coalesce(language, lang, '')) = 'python' OR lower(coalesce(path, '')) LIKE '%.py'")
+@query("filter_python_file", f"WITH {_FILES_SQL} SELECT blob_id FROM f WHERE lower(coalesce(language, lang, '')) = 'python' OR lower(coalesce(path, '')) LIKE '%.py'")
 def _python_files(s, d):
-    rows = files.explode_files(acquired(s))
+    rows = files.explode_files(acquired(s, d))
     return rows.filter(files.is_python_file(rows)).select("blob_id")
 
 
-_FLAGS = [(i, e, n) for i, (e, n) in enumerate((e, n) for e in (True, False, None) for n in (True, False, None))]
-_FLAGS_SQL = "flags(id, e, n) AS (VALUES " + ", ".join(f"({i}, {'NULL' if e is None else e}, {'NULL' if n is None else n})" for i, e, n in _FLAGS) + ")"
+def _tri(col) -> Column:
+    return F.when(col % 3 == 0, True).when(col % 3 == 1, False)
 
 
-@query("filter_non_duplicates", f"WITH {_FLAGS_SQL} SELECT CAST(id AS BIGINT) AS id FROM flags WHERE NOT coalesce(CAST(e AS BOOLEAN), FALSE) AND NOT coalesce(CAST(n AS BOOLEAN), FALSE)")
+@query("filter_non_duplicates", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND (doc_id // 3) % 3 <> 0")
 def _non_duplicates(s, d):
-    rows = s.createDataFrame(_FLAGS, "id bigint, exact_duplicates_stackv2 boolean, near_duplicates_stackv2 boolean")
-    return rows.filter(files.not_duplicate(rows)).select("id")
+    i = F.col("doc_id")
+    rows = table(s, d, "documents").select("doc_id", _tri(i).alias("exact_duplicates_stackv2"), _tri(F.floor(i / 3)).alias("near_duplicates_stackv2"))
+    return rows.filter(files.not_duplicate(rows)).select("doc_id")
 
 
-query("filter_fetch_ok", "SELECT blob_id FROM (VALUES ('a', 'x', NULL), ('b', NULL, 404), ('c', NULL, NULL), ('d', '', NULL)) v(blob_id, content, status_code) WHERE status_code IS NULL AND content IS NOT NULL")(
-    lambda s, d: files.fetch_ok(s.createDataFrame([("a", "x", None), ("b", None, 404), ("c", None, None), ("d", "", None)], "blob_id string, content string, status_code int")).select("blob_id")
+query("filter_fetch_ok", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 5 <> 0")(
+    lambda s, d: files.fetch_ok(table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("content"), F.when(F.col("doc_id") % 4 == 0, "HTTP 404").alias("status_code"))).select("doc_id")
 )
 
 
-@query("fetch_content", "SELECT * FROM (VALUES ('a', 'latin-1', 'é', NULL), ('b', NULL, NULL, 404), ('c', NULL, NULL, 429), (NULL, NULL, NULL, NULL)) v(blob_id, src_encoding, content, status_code)")
+@query(
+    "fetch_content",
+    """SELECT CASE WHEN page_id % 9 > 0 THEN CAST(page_id AS VARCHAR) END AS blob_id, CASE WHEN page_id % 9 > 0 AND page_id % 4 IN (0, 3) THEN 'é' || page_id END AS content,
+CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 4 = 1 THEN 'HTTP 404' WHEN page_id % 4 = 2 THEN 'no route to ' || page_id END AS status_code FROM pages""",
+)
 def _fetch(s, d):
-    replies = {"a": (200, "é".encode("latin-1")), "b": (404, b""), "c": (429, b"")}
-    rows = s.createDataFrame([("a", "latin-1"), ("b", None), ("c", None), (None, None)], "blob_id string, src_encoding string")
-    return files.fetch_content(rows, replies.__getitem__, retries=1, wait=0.0)
+    """Every page's id asked for; the server knows a half, and is busy the first two times for a quarter."""
+    state = scratch_path(s, "catalog")
+
+    def get(blob: str) -> tuple[int, bytes]:
+        n = int(blob)
+        if n % 4 == 2:
+            raise OSError(f"no route to {n}")
+        return (404, b"") if n % 4 == 1 else (200, f"é{n}".encode("latin-1"))
+
+    def busy(blob: str) -> tuple[int, bytes]:
+        return (429, b"") if int(blob) % 4 == 3 else get(blob)
+
+    rows = table(s, d, "pages").select(F.when(F.col("page_id") % 9 > 0, F.col("page_id").cast("string")).alias("blob_id"), F.lit("latin-1").alias("src_encoding"))
+    files.fetch_content(rows, busy, state, wait=0.0, rounds=2)
+    return files.fetch_content(rows, get, state, wait=0.0).select("blob_id", "content", "status_code")
 
 
 @query("src_first_parquet", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1")
@@ -155,15 +174,18 @@ query("src_hub_stream_unseen", "SELECT doc_id FROM documents WHERE lang = 'en'")
 
 # --- scalar functions
 
-_WORDS = [("hello world", "hallo wrld"), ("kitten", "sitting"), (" same ", "same"), ("", ""), ("", "abc"), ("ñandú", "nandu")]
 query("py_strip", "SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS stripped FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", tx.py_strip("text").alias("stripped")))
 query("py_splitlines", "SELECT doc_id, CAST(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS INTEGER) AS lines FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C]') AS l FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(tx.py_splitlines("text")).alias("lines")))
 query("sha1_hex", "SELECT doc_id, sha1(text) AS h FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.sha1("text").alias("h")))
 query("slice_len_find", "SELECT doc_id, substr(text, 6, 10) AS part, CAST(length(text) AS INTEGER) AS n, CAST(strpos(text, ' ') - 1 AS INTEGER) AS at FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", tx.py_slice("text", F.lit(5), F.lit(15)).alias("part"), F.length("text").alias("n"), tx.find_from("text", " ", 0).alias("at"))
 )
-query("fuzz_ratio", "SELECT * FROM (VALUES ('hello world', 'hallo wrld', 86), ('kitten', 'sitting', 62), (' same ', 'same', 100), ('', '', 100), ('', 'abc', 0), ('ñandú', 'nandu', 60)) v(a, b, ratio)")(
-    lambda s, d: s.createDataFrame(_WORDS, "a string, b string").select("a", "b", tx.fuzz_ratio("a", "b").alias("ratio"))
+# rows of the programme for the longest common subsequence; what stands left of a cell counts through the running maximum
+LCS = "list_reduce(list_concat([[0 for y in range(length({1}) + 1)]], [[unicode(x)] for x in string_split({0}, '')]), lambda r, x: list_concat([0], [list_max([greatest(r[k + 1], r[k] + CASE WHEN unicode(substr({1}, k::INT, 1)) = x[1] THEN 1 ELSE 0 END) for k in range(1, j + 1)]) for j in range(1, length({1}) + 1)]))[-1]"
+_SPACES = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
+_SHORT = f"t AS (SELECT doc_id, regexp_replace(substr(text, 1, 24), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS x, regexp_replace(substr(text, 2 + doc_id % 9, 24), '^{_SPACES}+|{_SPACES}+$', '', 'g') AS y FROM documents)"
+query("fuzz_ratio", f"WITH {_SHORT} SELECT doc_id, CASE WHEN x = '' AND y = '' THEN 100 WHEN x = '' OR y = '' THEN 0 ELSE CAST(round(200.0::DOUBLE * {LCS.format('x', 'y')} / (length(x) + length(y))) AS INTEGER) END AS ratio FROM t")(
+    lambda s, d: table(s, d, "documents").select("doc_id", tx.fuzz_ratio(F.substring("text", 1, 24), F.substring(F.col("text"), (2 + F.col("doc_id") % 9).cast("int"), F.lit(24))).alias("ratio"))
 )
 query("cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity([x::DOUBLE for x in a.embedding], [x::DOUBLE for x in b.embedding]), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(
     lambda s, d: (lambda e: e.select(F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x")).join(e.select(F.col("vec_id").alias("b"), F.col("embedding").cast("array<double>").alias("y")), F.col("b") == F.col("a") + 1).select("a", "b", F.round(tx.cosine("x", "y"), 6).alias("cos")))(table(s, d, "embeddings"))
@@ -270,39 +292,41 @@ query("recompute_metrics", f"WITH {_ROC % _EVENTS} {_METRICS}")(lambda s, d: _m(
 
 # --- runs
 
-_RUNS = [
-    ("loss_1", 0, "roc auc", "0.5"), ("loss_1", 1, "TPR @ 1% FPR", "n/a"), ("loss_2", 0, "roc auc", "0.7"), ("loss_2", 1, "roc auc", "0.9"),
-    ("bow_a_b", 0, "roc auc", "0.99"), ("bow_a_b", 1, None, "1"), ("bow", 0, "TPR @ 1% FPR", "0.25"),
-]
-_RUNS_SQL = "runs(run_folder, row_idx, metric, value) AS (VALUES " + ", ".join(f"('{a}', {b}, {'NULL' if c is None else repr(c)}, '{v}')" for a, b, c, v in _RUNS) + """),
+_RUNS_SQL = """runs AS (SELECT event_type || CASE user_id % 3 WHEN 0 THEN '' WHEN 1 THEN '_1' ELSE '_a_b' END AS run_folder, CAST(event_id % 5 AS BIGINT) AS row_idx,
+  CASE event_id % 5 WHEN 0 THEN 'roc auc' WHEN 1 THEN 'TPR @ 1% FPR' WHEN 2 THEN 'roc auc' WHEN 4 THEN 'TPR @ 0.1% FPR' END AS metric, CASE WHEN event_id % 5 = 4 AND user_id % 3 = 1 THEN 'n/a' ELSE '0.' || CAST(1000 + count(*) % 1000 AS VARCHAR) END AS value FROM events GROUP BY event_type, user_id % 3, event_id % 5),
 last AS (SELECT run_folder, metric, arg_max(value, row_idx) AS raw FROM runs WHERE metric IS NOT NULL GROUP BY ALL),
 uni AS (SELECT run_folder, string_split(run_folder, '_')[1] AS attack_name, metric, try_cast(raw AS DOUBLE) AS value FROM last)"""
 
 
-def runs(s) -> DataFrame:
-    return s.createDataFrame(_RUNS, "run_folder string, row_idx bigint, metric string, value string")
+def runs(s, d) -> DataFrame:
+    """Metrics of fifteen runs counted from the events: five rows each, with a repeated metric, a null one and a value that is no number."""
+    k, u = (F.col("event_id") % 5).cast("bigint"), F.col("user_id") % 3
+    counts = table(s, d, "events").groupBy("event_type", u.alias("u"), k.alias("row_idx")).agg(F.count("*").alias("n"))
+    metric = F.when(F.col("row_idx").isin(0, 2), "roc auc").when(F.col("row_idx") == 1, "TPR @ 1% FPR").when(F.col("row_idx") == 4, "TPR @ 0.1% FPR")
+    value = F.when((F.col("row_idx") == 4) & (F.col("u") == 1), "n/a").otherwise(F.concat(F.lit("0."), (1000 + F.col("n") % 1000).cast("string")))
+    return counts.select(F.concat("event_type", F.when(F.col("u") == 0, "").when(F.col("u") == 1, "_1").otherwise("_a_b")).alias("run_folder"), "row_idx", metric.alias("metric"), value.alias("value"))
 
 
 @query("src_metrics_csv", f"WITH {_RUNS_SQL} SELECT run_folder, metric, raw AS value FROM last")
 def _run_folders(s, d):
-    root = scratch_path(s, "catalog")
-    for folder in sorted({r[0] for r in _RUNS}):
-        files.write_small_csv(runs(s).filter(F.col("run_folder") == folder).orderBy("row_idx").select("metric", "value"), f"{root}/{folder}/metrics.csv")
+    root, rows = scratch_path(s, "catalog"), written(runs(s, d), "catalog")
+    for (folder,) in rows.select("run_folder").distinct().collect():  # three for each kind of event
+        files.write_small_csv(rows.filter(F.col("run_folder") == folder).orderBy("row_idx").select("metric", "value"), f"{root}/{folder}/metrics.csv")
     return report.last_metrics(files.read_runs(s, root))
 
 
 query("src_run_folders", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder FROM runs")(lambda s, d: _run_folders(s, d).select("run_folder").distinct())
 query("split_attack_and_id", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder, CASE WHEN strpos(run_folder, '_') > 0 THEN substr(run_folder, 1, strpos(run_folder, '_') - 1) ELSE run_folder END AS attack, CASE WHEN strpos(run_folder, '_') > 0 THEN substr(run_folder, strpos(run_folder, '_') + 1) ELSE '' END AS id FROM runs")(
-    lambda s, d: runs(s).select("run_folder", *[c.alias(n) for c, n in zip(report.split_run(F.col("run_folder")), ("attack", "id"), strict=True)]).distinct()
+    lambda s, d: runs(s, d).select("run_folder", *[c.alias(n) for c, n in zip(report.split_run(F.col("run_folder")), ("attack", "id"), strict=True)]).distinct()
 )
-query("union_metric_columns", f"WITH {_RUNS_SQL} SELECT attack_name, run_folder, max(CASE WHEN metric = 'TPR @ 1% FPR' THEN value END) AS \"TPR @ 1% FPR\", max(CASE WHEN metric = 'roc auc' THEN value END) AS \"roc auc\" FROM uni GROUP BY ALL")(lambda s, d: report.unify_wide(runs(s)))
-query("agg_attack_mean", f"WITH {_RUNS_SQL} SELECT metric, attack_name, round(avg(value), 9) AS mean FROM uni WHERE value IS NOT NULL GROUP BY ALL")(lambda s, d: report.attack_means(runs(s)).withColumn("mean", F.round("mean", 9)))
-query("pred_not_numeric", f"WITH {_RUNS_SQL} SELECT run_folder, metric, value FROM uni WHERE value IS NOT NULL")(lambda s, d: report.unify_long(runs(s)).filter("value is not null").select("run_folder", "metric", "value"))
+query("union_metric_columns", f"WITH {_RUNS_SQL} SELECT attack_name, run_folder, max(CASE WHEN metric = 'TPR @ 1% FPR' THEN value END) AS \"TPR @ 1% FPR\", max(CASE WHEN metric = 'TPR @ 0.1% FPR' THEN value END) AS \"TPR @ 0.1% FPR\", max(CASE WHEN metric = 'roc auc' THEN value END) AS \"roc auc\" FROM uni GROUP BY ALL")(lambda s, d: report.unify_wide(runs(s, d)))
+query("agg_attack_mean", f"WITH {_RUNS_SQL} SELECT metric, attack_name, round(avg(value), 9) AS mean FROM uni WHERE value IS NOT NULL GROUP BY ALL")(lambda s, d: report.attack_means(runs(s, d)).withColumn("mean", F.round("mean", 9)))
+query("pred_not_numeric", f"WITH {_RUNS_SQL} SELECT run_folder, metric, value FROM uni WHERE value IS NOT NULL")(lambda s, d: report.unify_long(runs(s, d)).filter("value is not null").select("run_folder", "metric", "value"))
 _BARS = """ba AS (SELECT metric, attack_name, avg(value) AS v, dense_rank() OVER (ORDER BY metric) - 1 AS k, row_number() OVER (PARTITION BY metric ORDER BY attack_name) - 1 AS i FROM uni WHERE value IS NOT NULL GROUP BY metric, attack_name),
 bx AS (SELECT *, 260 * greatest(0.0, least(1.0, v)) AS tall FROM ba),
 ch AS (SELECT k, '<text x="20" y="' || (k * 360 + 24) || '" font-size="16">' || metric || '</text>' || string_agg('<rect x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 310 - tall) || '" width="70" height="' || format('{:.1f}', tall) || '" fill="#4c78a8"/><text x="' || (40 + i * 110) || '" y="' || (k * 360 + 328) || '">' || attack_name || '</text><text x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 304 - tall) || '">' || format('{:.4f}', v) || '</text>', '' ORDER BY i) AS part FROM bx GROUP BY k, metric)"""
 query("sink_dashboard", f"""WITH {_RUNS_SQL}, {_BARS} SELECT '<!doctype html><meta charset=''utf-8''><title>metrics</title><svg xmlns="http://www.w3.org/2000/svg" width="900" height="' || greatest(360 * count(*), 500) || '" font-family="sans-serif" font-size="12">' || string_agg(part, '' ORDER BY k) || '</svg>' AS page FROM ch""")(
-    lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s))),)], "page string")
+    lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s, d))),)], "page string")
 )
 
 # --- files of a run

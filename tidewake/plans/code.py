@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import elements, fill, perturb, registry
-from .catalog import _LM, model, query, samples, table
+from .catalog import _LM, LCS, model, query, samples, table
 
 CODE = [
     (1, '"""Top doc."""\nimport os\n\n# a note\nclass Foo(Base):\n    def run(self, x):\n        y = x + 1  # inline\n        return "text"\n'),
@@ -102,30 +102,53 @@ query("pred_short_element", f"WITH {_SOURCES}, {_ELEMENTS} SELECT blob_id, level
 query("fim_prompt", f"WITH {_SOURCES}, {_CHOSEN} SELECT blob_id, level, ord, prompt FROM pr")(lambda s, d: elements.infills(all_code(s, d)).select("blob_id", "level", "ord", "prompt"))
 
 
-@query("win_char_context", f"WITH {_CODE_SQL}, hit AS (SELECT code_id, code, strpos(code, 'return') - 1 AS a FROM code WHERE strpos(code, 'return') > 0) SELECT CAST(code_id AS VARCHAR) AS blob_id, substr(code, 1, a) AS prefix, substr(code, a + 7, 3000) AS suffix, '<file_sep><fim_prefix>' || substr(code, 1, a) || '<fim_suffix>' || substr(code, a + 7, 3000) || '<fim_middle>' AS prompt FROM hit")
+@query("win_char_context", "WITH hit AS (SELECT doc_id, text, strpos(text, 'the') - 1 AS a FROM documents WHERE strpos(text, 'the') > 0), cx AS (SELECT doc_id, a, substr(text, greatest(0, a - 3000) + 1, a - greatest(0, a - 3000)) AS prefix, substr(text, a + 4, 3000) AS suffix FROM hit) SELECT CAST(doc_id AS VARCHAR) AS blob_id, prefix, suffix, CASE WHEN a <= 3000 THEN '<file_sep>' ELSE '' END || '<fim_prefix>' || prefix || '<fim_suffix>' || suffix || '<fim_middle>' AS prompt FROM cx")
 def _context(s, d):
-    at = code(s).withColumn("start", F.locate("return", "text") - 1).filter("start >= 0").withColumn("end", F.col("start") + 6)
+    at = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("blob_id"), "text", (F.locate("the", "text") - 1).alias("start")).filter("start >= 0").withColumn("end", F.col("start") + 3)
     return elements.prompts(at).select("blob_id", "prefix", "suffix", "prompt")
 
 
-_CUTS = [("p<fim_middle> abc: d", "class_names", None), ("p<fim_middle>name (x", "function_names", None), ("p<fim_middle>v = 1", "variable_names", None), ("p<fim_middle>it's", "strings", "'"), ("q<fim_middle>one\ntwo", "comments", None), ("none<file_sep>", "strings", '"')]
-query("infill_truncate", "SELECT * FROM (VALUES ('abc'), ('name'), ('v'), ('it'), ('one'), ('none')) t(cut)")(lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select(elements.cut_infill(F.col("o"), elements.stops()).alias("cut")))
-query("stop_strings", "SELECT * FROM (VALUES ('class_names', ':|('), ('function_names', '('), ('variable_names', '='), ('strings', ''''), ('comments', chr(10)), ('strings', '\"')) t(level, stops)")(
-    lambda s, d: s.createDataFrame(_CUTS, "o string, level string, quote_char string").select("level", F.array_join(elements.stops(), "|").alias("stops"))
+_OUTPUTS_SQL = "o AS (SELECT doc_id, ['class_names', 'function_names', 'variable_names', 'comments', 'strings', 'docstrings'][doc_id % 6 + 1] AS level, CASE WHEN doc_id % 6 > 3 THEN CASE WHEN doc_id % 5 < 3 THEN chr(34) ELSE chr(39) END END AS quote_char, CASE WHEN doc_id % 7 > 0 THEN 'p<fim_middle>' ELSE '' END || CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', ' (') WHEN 1 THEN replace(text, 'e', chr(34)) WHEN 2 THEN replace(text, 'n', '=') ELSE text || '<file_sep>x' END AS o FROM documents)"
+
+
+def outputs(s, d) -> DataFrame:
+    """doc_id, level, quote_char, o: documents as the outputs of infills of all levels, with stop strings put in."""
+    i, text = F.col("doc_id"), F.col("text")
+    levels = F.array(*[F.lit(x) for x in ("class_names", "function_names", "variable_names", "comments", "strings", "docstrings")])
+    put = lambda a, b: F.replace(text, F.lit(a), F.lit(b))
+    body = F.when(i % 4 == 0, put(" ", " (")).when(i % 4 == 1, put("e", '"')).when(i % 4 == 2, put("n", "=")).otherwise(F.concat(text, F.lit("<file_sep>x")))
+    quote = F.when(i % 6 > 3, F.when(i % 5 < 3, '"').otherwise("'"))
+    return table(s, d, "documents").select("doc_id", F.get(levels, (i % 6).cast("int")).alias("level"), quote.alias("quote_char"), F.concat(F.when(i % 7 > 0, "p<fim_middle>").otherwise(""), body).alias("o"))
+
+
+_ENDS_SQL = "CASE level WHEN 'class_names' THEN [':', '('] WHEN 'function_names' THEN ['('] WHEN 'variable_names' THEN ['='] WHEN 'comments' THEN [chr(10)] ELSE [quote_char] END"
+_CUT_SQL = _strip("substr(body, 1, coalesce(list_min([strpos(body, e) for e in ends if strpos(body, e) > 0]) - 1, length(body)))")
+query("infill_truncate", f"WITH {_OUTPUTS_SQL}, b AS (SELECT doc_id, CASE WHEN strpos(o, '<fim_middle>') > 0 THEN substr(o, strpos(o, '<fim_middle>') + 12) ELSE o END AS body, list_concat({_ENDS_SQL}, ['<|endoftext|>', '<file_sep>']) AS ends FROM o) SELECT doc_id, {_CUT_SQL} AS cut FROM b")(
+    lambda s, d: outputs(s, d).select("doc_id", elements.cut_infill(F.col("o"), elements.stops()).alias("cut"))
 )
+query("stop_strings", f"WITH {_OUTPUTS_SQL} SELECT doc_id, level, array_to_string({_ENDS_SQL}, '|') AS stops FROM o")(lambda s, d: outputs(s, d).select("doc_id", "level", F.array_join(elements.stops(), "|").alias("stops")))
 query("too_long_guard", r"SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0) + 50 > 16000 AS too_long FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", elements.too_long(F.col("text")).alias("too_long"))
 )
-_HITS = [("class_names", "Foo", " foo "), ("function_names", "run", "runs"), ("strings", "hello world", "hallo wrld"), ("comments", "kitten", "sitting"), ("docstrings", "abc", "too_many_tokens"), ("variable_names", "x1", None)]
-query("hit_exact", "SELECT * FROM (VALUES ('class_names', 1), ('function_names', 0), ('variable_names', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
-query("hit_fuzzy", "SELECT * FROM (VALUES ('strings', 1), ('comments', 0), ('docstrings', 0)) t(level, hit)")(lambda s, d: s.createDataFrame(_HITS, "level string, value string, found string").filter(~F.col("level").isin(*elements.EXACT)).select("level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit")))
+# a text against itself: in capitals, without its last letters, moved on, too long to ask for, or not generated at all
+_HIT_SQL = "h AS (SELECT doc_id, level, substr(text, 1, 30) AS value, CASE doc_id % 5 WHEN 0 THEN ' ' || upper(substr(text, 1, 30)) WHEN 1 THEN substr(text, 1, 26) WHEN 2 THEN substr(text, 7, 30) WHEN 3 THEN 'too_many_tokens' END AS found FROM o JOIN documents USING (doc_id))"
+_NAMES = "('class_names', 'function_names', 'variable_names')"
+
+
+def _infilled(s, d, exact: bool) -> DataFrame:
+    i, text = F.col("doc_id"), F.col("text")
+    found = F.when(i % 5 == 0, F.concat(F.lit(" "), F.upper(F.substring(text, 1, 30)))).when(i % 5 == 1, F.substring(text, 1, 26)).when(i % 5 == 2, F.substring(text, 7, 30)).when(i % 5 == 3, elements.TOO_LONG)
+    rows = outputs(s, d).select("doc_id", "level").join(table(s, d, "documents"), "doc_id").select("doc_id", "level", F.substring(text, 1, 30).alias("value"), found.alias("found"))
+    return rows.filter(F.col("level").isin(*elements.EXACT) == exact).select("doc_id", "level", elements.hit(F.col("level"), F.col("value"), F.col("found")).alias("hit"))
+
+
+query("hit_exact", f"WITH {_OUTPUTS_SQL}, {_HIT_SQL} SELECT doc_id, level, CASE WHEN found IS NULL OR found = 'too_many_tokens' THEN 0 ELSE (upper({_strip('value')}) = upper({_strip('found')}))::INT END AS hit FROM h WHERE level IN {_NAMES}")(lambda s, d: _infilled(s, d, True))
+query("hit_fuzzy", f"WITH {_OUTPUTS_SQL}, {_HIT_SQL}, x AS (SELECT doc_id, level, found, {_strip('value')} AS a, {_strip('found')} AS b FROM h WHERE level NOT IN {_NAMES}) SELECT doc_id, level, CASE WHEN found IS NULL OR found = 'too_many_tokens' THEN 0 WHEN a = '' AND b = '' THEN 1 WHEN a = '' OR b = '' THEN 0 ELSE (round(200.0::DOUBLE * {LCS.format('a', 'b')} / (length(a) + length(b))) >= 80)::INT END AS hit FROM x")(lambda s, d: _infilled(s, d, False))
 query("agg_hit_ratio", "SELECT CAST(user_id AS VARCHAR) AS blob_id, coalesce(avg(CASE WHEN event_id % 2 = 0 THEN (event_id % 3 = 0)::INT END), 0.0) AS strings_hits, count(CASE WHEN event_id % 2 = 0 THEN 1 END)::DOUBLE AS strings_total, coalesce(avg(CASE WHEN event_id % 2 = 1 THEN (event_id % 3 = 0)::INT END), 0.0) AS comments_hits, count(CASE WHEN event_id % 2 = 1 THEN 1 END)::DOUBLE AS comments_total FROM events GROUP BY user_id")(
     lambda s, d: (lambda e: elements.features(e.select("blob_id").distinct(), e).select("blob_id", "strings_hits", "strings_total", "comments_hits", "comments_total"))(
         table(s, d, "events").select(F.col("user_id").cast("string").alias("blob_id"), F.when(F.col("event_id") % 2 == 0, "strings").otherwise("comments").alias("level"), (F.col("event_id") % 3 == 0).cast("int").alias("hit"))
     )
 )
-# rows of the programme for the longest common subsequence; what stands left of a cell counts through the running maximum
-_LCS = "list_reduce(list_concat([[0 for y in range(length({1}) + 1)]], [[unicode(x)] for x in string_split({0}, '')]), lambda r, x: list_concat([0], [list_max([greatest(r[k + 1], r[k] + CASE WHEN unicode(substr({1}, k::INT, 1)) = x[1] THEN 1 ELSE 0 END) for k in range(1, j + 1)]) for j in range(1, length({1}) + 1)]))[-1]"
 def _lattice_sql() -> str:
     """SQL: fb (a, b, output), the best paths between the distinct ends of gp (a, b)."""
     best = f"row_number() OVER (PARTITION BY {{}} ORDER BY cost, token) AS r"
@@ -158,7 +181,7 @@ bd AS (SELECT *, substr(o, strpos(o, '<fim_middle>') + 12) AS body, list_concat(
 ct AS (SELECT *, {_strip("substr(body, 1, coalesce(list_min([strpos(body, e) for e in ends if strpos(body, e) > 0]) - 1, length(body)))")} AS cut, {_strip("value")} AS want FROM bd),
 hi AS (SELECT blob_id, level, CASE WHEN long THEN 0 WHEN level IN ('class_names', 'function_names', 'variable_names') THEN (upper(want) = upper(cut))::INT
   WHEN want = '' AND cut = '' THEN 1 WHEN round(200.0::DOUBLE * least(length(want), length(cut)) / (length(want) + length(cut))) < 80 THEN 0
-  ELSE (round(200.0::DOUBLE * {_LCS.format("want", "cut")} / (length(want) + length(cut))) >= 80)::INT END AS hit FROM ct)"""
+  ELSE (round(200.0::DOUBLE * {LCS.format("want", "cut")} / (length(want) + length(cut))) >= 80)::INT END AS hit FROM ct)"""
 query("trawic_features", f"WITH RECURSIVE {_TRAWIC} SELECT blob_id, " + ", ".join(f"coalesce(avg(hit) FILTER (level = '{x}'), 0.0::DOUBLE) AS {x}_hits, count(hit) FILTER (level = '{x}')::DOUBLE AS {x}_total" for x in elements.FEATURE_ORDER) + " FROM samples LEFT JOIN hi USING (blob_id) GROUP BY blob_id")(
     lambda s, d: elements.features(samples(s, d), elements.infill_hits(model(s, d), samples(s, d).select("blob_id", "text")))
 )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nonblank
-from .scratch import file_system
+from .scratch import file_system, scratch_path
 
 PREDICTIONS = "blob_id string, label int, score double"
 METRICS = "metric string, value string"
@@ -86,36 +86,62 @@ def take_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def fetch_content(df: DataFrame, get: Callable[[str], tuple[int, bytes]], retries: int = 5, wait: float = 10.0) -> DataFrame:
-    """Add content and status_code by calling ``get(blob_id) -> (status, body)`` once per row, in bounded batches.
-
-    200 gives the body in src_encoding (else UTF-8), bad bytes replaced; 429 waits and tries again, at
-    most ``retries`` times; any other status or an exception is kept as status_code; no id gives neither.
-    """
+def _asked(df: DataFrame, get: Callable[[str], tuple[int, bytes]]) -> DataFrame:
+    """df with content, status_code and whether to ask again, from one call of ``get`` a row, in bounded batches."""
 
     def one(blob, encoding):
         if not blob:
-            return None, None
-        for _ in range(retries + 1):
-            try:
-                status, body = get(blob)
-            except Exception:
-                return None, -1
+            return None, None, False
+        try:
+            status, body = get(blob)
             if status == 200:
-                return body.decode(encoding or "utf-8", errors="replace"), None
-            if status != 429:
-                return None, status
-            time.sleep(wait)
-        return None, 429
+                return body.decode(encoding or "utf-8", errors="replace"), None, False
+            return None, None if status == 429 else f"HTTP {status}", status == 429
+        except Exception as problem:
+            return None, str(problem), False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             codes = pdf["src_encoding"] if "src_encoding" in pdf else [None] * len(pdf)
             got = [one(b, e if isinstance(e, str) else None) for b, e in zip(pdf["blob_id"], codes, strict=True)]
-            yield pdf.assign(content=[g[0] for g in got], status_code=pd.array([g[1] for g in got], dtype="Int32"))
+            text = lambda i: pd.Series([g[i] for g in got], dtype=object, index=pdf.index)  # noqa: B023, E731
+            yield pdf.assign(content=text(0), status_code=text(1), again=[g[2] for g in got])
+
+    kept = [f for f in df.schema.fields if f.name not in ("content", "status_code", "again")]
+    more = [T.StructField("content", T.StringType()), T.StructField("status_code", T.StringType()), T.StructField("again", T.BooleanType())]
+    return df.select(*[f.name for f in kept]).mapInPandas(run, T.StructType([*kept, *more]))
 
-    schema = T.StructType([f for f in df.schema.fields if f.name not in ("content", "status_code")])
-    return df.select(*schema.names).mapInPandas(run, T.StructType([*schema.fields, T.StructField("content", T.StringType()), T.StructField("status_code", T.IntegerType())]))
+
+def fetch_content(df: DataFrame, get: Callable[[str], tuple[int, bytes]], folder: str | None = None, wait: float = 10.0, rounds: int | None = None) -> DataFrame:
+    """Add content and status_code by calling ``get(blob_id) -> (status, body)`` for each row.
+
+    200 gives the body in src_encoding (else UTF-8), bad bytes replaced; 429 is asked again, ``wait``
+    seconds later, without end; any other status is kept as ``HTTP n``, an exception as its text; no id
+    gives neither. Each round of asking is a job whose outcome is written to ``folder``, and the next asks
+    only for what is still open. A run on the folder of an earlier one goes on where that ended. rounds: how
+    many to run at most; what is then still open has neither content nor status.
+    """
+    spark = df.sparkSession
+    folder = folder or scratch_path(spark, "fetched")
+    fs, _ = file_system(spark, folder)
+    path = lambda n: f"{folder}/round-{n:05d}"
+    done = 0
+    while fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path(done)}/_SUCCESS")):
+        done += 1
+    ran = 0
+    while rounds is None or ran < rounds:
+        open_ = spark.read.parquet(path(done - 1)).filter("again") if done else df
+        if done and open_.isEmpty():
+            break
+        if done:
+            time.sleep(wait)
+        _asked(open_, get).write.mode("overwrite").parquet(path(done))
+        done, ran = done + 1, ran + 1
+    if not done:
+        raise ValueError("nothing was asked: rounds is 0 and the folder is empty")
+    last = spark.read.parquet(path(done - 1))
+    every = last if done == 1 else spark.read.parquet(*[path(n) for n in range(done - 1)]).filter("not again").unionByName(last)
+    return every.drop("again")
 
 
 def write_parquet(df: DataFrame, folder: str, stem: str) -> str:
