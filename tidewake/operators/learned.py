@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import elements, perturb
+from . import elements, logistic, perturb
 from .data import val_split
 from .lm import CountFeatures, FeatureModel, TargetModel, tokenize
 from ..functions.text import cosine
-from ..sources.scratch import scratch_path, written
+from ..sources.scratch import discard, scratch_path, written
 
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
@@ -47,15 +46,6 @@ def tfidf(counts: DataFrame, vocab: DataFrame, n_docs: int) -> DataFrame:
     return rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("blob_id"))))
 
 
-def _vectors(docs: DataFrame, weights: DataFrame, size: int) -> DataFrame:
-    @F.udf(VectorUDT())
-    def sparse(pairs):
-        return SparseVector(size, sorted((r["idx"], r["w"]) for r in pairs or []))
-
-    held = weights.groupBy("blob_id").agg(F.collect_list(F.struct("idx", "w")).alias("pairs"))
-    return docs.join(held, "blob_id", "left").withColumn("features", sparse("pairs")).drop("pairs")
-
-
 class BagOfWords:
     """TF-IDF with logistic regression; the model-free reference for all other attacks."""
 
@@ -65,23 +55,25 @@ class BagOfWords:
         pass
 
     def fit(self, docs: DataFrame) -> BagOfWords:
-        counts = ngram_counts(docs)
+        counts = written(ngram_counts(docs), "bow-counts")
         self.n = docs.count()
         self.vocab = docs.sparkSession.createDataFrame(vocabulary(counts).collect(), "term string, cf long, df long, idx int")  # capped by TERMS
         self.size = self.vocab.count()
-        rows = _vectors(docs, tfidf(counts, self.vocab, self.n), max(1, self.size))
-        self.model = LogisticRegression(regParam=1.0 / max(1, self.n), elasticNetParam=0.0, standardization=False, maxIter=1000, featuresCol="features", labelCol="label").fit(rows)
+        rows = written(logistic.sparse_rows(docs, tfidf(counts, self.vocab, self.n)), "bow-rows")
+        theta = logistic.fit(rows, self.size)
+        self.coefficients, self.intercept = theta[:-1], float(theta[-1])
+        discard(counts, rows)
         return self
 
     def _coefficients(self) -> DataFrame:
         """idx, coef: at most TERMS rows."""
-        return self.vocab.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(self.model.coefficients.toArray())], "idx int, coef double")
+        return self.vocab.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(self.coefficients)], "idx int, coef double")
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Probabilities as sums of weights times coefficients, without vectors."""
         weights = tfidf(ngram_counts(docs), self.vocab, self.n).join(F.broadcast(self._coefficients()), "idx")  # capped by TERMS
         sums = weights.groupBy("blob_id").agg(F.sum(F.col("w") * F.col("coef")).alias("z"))
-        odds = F.coalesce("z", F.lit(0.0)) + F.lit(float(self.model.intercept))
+        odds = F.coalesce("z", F.lit(0.0)) + F.lit(self.intercept)
         return docs.select("blob_id", "label").join(sums, "blob_id", "left").select("blob_id", "label", (1 / (1 + F.exp(-odds))).alias("score"))
 
     def top_features(self, n: int = TOP) -> DataFrame:
