@@ -4,9 +4,10 @@ import itertools
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, lm, metrics
+from tidewake.operators import fill, lm, measures, metrics
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
 
@@ -85,3 +86,71 @@ def test_ranges_of_scores_are_even(spark):
     few = by.filter("score < 1.3")
     few = metrics.written(few, "t")
     assert sorted(metrics._cumulated(few, size=100).collect()) == sorted(metrics._cumulated(few).collect())
+
+
+def plain_kneser_ney(texts, d=0.75):
+    three = Counter((u, v, w) for t in texts for u, v, w in zip(["", "", *t.split()], ["", *t.split()], t.split(), strict=False))
+    two = Counter((v, w) for _, v, w in three)
+    one = Counter(w for _, w in two)
+
+    def level(counts, history, token, lower):
+        own = {k[-1]: n for k, n in counts.items() if k[:-1] == history}
+        total = sum(own.values())
+        return (max(own.get(token, 0) - d, 0) + d * len(own) * lower) / total if own else lower
+
+    def p(u, v, w):
+        total = sum(one.values())
+        p1 = max(one.get(w, 0) - d, 0) / total + d * len(one) / total / (len(one) + 1)
+        return level(three, (u, v), w, level(two, (v,), w, p1))
+
+    return p, [*one, "unseen"]
+
+
+def test_kneser_ney_sums_to_one_and_equals_the_definition(spark):
+    p, words = plain_kneser_ney(TEXTS)
+    histories = [("", ""), ("", "a"), ("a", "b"), ("b", "c"), ("zz", "b"), ("zz", "zz"), ("c", "zz")]
+    model = measures.KneserNey(docs_of(spark, TEXTS))
+    rows = model.logprobs(spark.createDataFrame([(*h, w) for h in histories for w in words], "u string, v string, w string")).collect()
+    sums = defaultdict(float)
+    for r in rows:
+        assert abs(math.exp(r["lp"]) - p(r["u"], r["v"], r["w"])) < 1e-12
+        sums[r["u"], r["v"]] += math.exp(r["lp"])
+    assert len(sums) == len(histories) and all(abs(x - 1) < 1e-9 for x in sums.values())
+    long = " ".join(["a b"] * 700)
+    docs = spark.createDataFrame([("0", "a b c"), ("1", ""), ("2", None), ("3", "one"), ("4", long), ("5", "  ")], "blob_id string, text string")
+    got = {r["blob_id"]: r["ppl"] for r in model.perplexity(docs).collect()}
+    assert abs(math.log(got["0"]) + (math.log(p("", "a", "b")) + math.log(p("a", "b", "c"))) / 2) < 1e-9
+    assert (got["1"], got["2"], got["3"], got["5"]) == (100.0, 100.0, 1e6, 1e6)
+    tail = long.split()[-1024:]
+    lps = [math.log(p(tail[i - 2] if i > 1 else "", tail[i - 1], tail[i])) for i in range(1, 1024)]
+    assert abs(math.log(got["4"]) + sum(lps) / 1023) < 1e-9
+    assert {r["ppl"] for r in measures.KneserNey(docs.filter("false")).perplexity(docs.filter("blob_id = 0")).collect()} == {1.0}
+
+
+def test_word_vectors_against_numpy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    matrix, vocab = measures.cooccurrences(docs, 600)
+    dense = np.zeros((len(vocab),) * 2)
+    for r in matrix.collect():
+        dense[r["i"], r["j"]] = r["x"]
+    assert (dense == dense.T).all() or np.abs(dense - dense.T).max() < 1e-12
+    value, vector = measures.decompose(matrix, len(vocab), 16)
+    want = np.linalg.svd(dense, compute_uv=False)[:16]
+    assert np.abs(value / want - 1).max() < 0.01
+    counts, at = Counter(), {w: i for i, w in enumerate(vocab)}
+    for (text,) in docs.select("text").collect():
+        t = [w.lower() for w in lm._TOKENS.findall(text or "")]
+        for d in (1, 2):
+            for a, b in zip(t, t[d:], strict=False):
+                if a in at and b in at:
+                    counts[at[a], at[b]] += 1
+                    counts[at[b], at[a]] += 1
+    rows = Counter()
+    for (i, _), n in counts.items():
+        rows[i] += n
+    total = sum(rows.values())
+    (i, j), n = counts.most_common(40)[-1]
+    assert abs(dense[i, j] - max(0, math.log(n * total / rows[i] / rows[j]))) < 1e-9
+    vectors = measures.WordVectors(docs, rank=8, terms=600)
+    one, two, none, both = (np.array(r["e"]) for r in spark.createDataFrame([(vocab[5],), (vocab[9].upper(),), ("q0q0",), (f"{vocab[5]} q0q0 {vocab[9]}",)], "t string").coalesce(1).select(vectors.embed(F.col("t")).alias("e")).collect())
+    assert np.allclose(both, (one + two) / 2, atol=1e-5) and not none.any() and one.any()

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from . import elements, logistic, perturb
 from .data import val_split
-from .lm import CountFeatures, FeatureModel, TargetModel, tokenize
+from .lm import FeatureModel, TargetModel, tokenize
+from .measures import TrainedFeatures
 from ..functions.text import cosine
 from ..sources.scratch import discard, scratch_path, written
 
@@ -210,9 +211,11 @@ class Stability:
 
     def __init__(self, model: TargetModel, seed: int = SEED, features: FeatureModel | None = None, limit: int = 20_000, **options) -> None:
         self.lm, self.seed, self.limit = model, seed, limit
-        self.measure = features or CountFeatures(model)
+        self.measure = features
 
     def fit(self, docs: DataFrame) -> Stability:
+        if self.measure is None:  # trained on these texts, apart from the target model
+            self.measure = TrainedFeatures(docs)
         rows = written(stability_features(self.lm, self.measure, docs, self.seed).withColumn("text", F.lit("")), "stability-fit")
         parts = val_split(rows, 0.5, self.seed)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import data, learned, lm, metrics, perturb, registry, report, scores
+from ..operators import data, learned, lm, measures, metrics, perturb, registry, report, scores
 from ..sources import files
 from ..sources.scratch import scratch_path, written
 from ..streaming.acquire import acquire
@@ -245,6 +245,20 @@ query("agg_pac", "WITH v AS (SELECT user_id, CAST(event_id % 6 AS INTEGER) AS va
 query("ppl_text", f"WITH {_LM}, m AS (SELECT blob_id, avg(lp) AS m FROM lp GROUP BY blob_id) SELECT s.blob_id, round(ln(CASE WHEN m IS NULL THEN 1e6::DOUBLE ELSE exp(-m) END), 6) AS log_ppl FROM samples s LEFT JOIN m USING (blob_id)")(
     lambda s, d: lm.perplexity(model(s, d), samples(s, d)).select("blob_id", F.round(F.log("ppl"), 6).alias("log_ppl"))
 )
+_KN = """kt AS (SELECT list_concat(['', ''], regexp_extract_all(text, '[^ \\t-\\r]+')) AS t FROM conversations),
+k3 AS (SELECT t[i] AS u, t[i + 1] AS v, t[i + 2] AS w, count(*) AS n FROM (SELECT t, unnest(generate_series(1, len(t) - 2)) AS i FROM kt) GROUP BY ALL),
+k2 AS (SELECT v, w, count(*) AS n FROM k3 GROUP BY ALL), k1 AS (SELECT w, count(*) AS n FROM k2 GROUP BY ALL),
+a3 AS (SELECT u, v, sum(n)::DOUBLE AS total, 0.75::DOUBLE * count(*) / sum(n)::DOUBLE AS r3 FROM k3 GROUP BY ALL), a2 AS (SELECT v, sum(n)::DOUBLE AS total, 0.75::DOUBLE * count(*) / sum(n)::DOUBLE AS r2 FROM k2 GROUP BY ALL),
+a1 AS (SELECT sum(n)::DOUBLE AS total, 0.75::DOUBLE * count(*) / sum(n)::DOUBLE / (count(*) + 1) AS unknown FROM k1),
+dt AS (SELECT doc_id, text, list_concat(['', ''], CASE WHEN length(text) > 1024 THEN t[greatest(1, len(t) - 1023):] ELSE t END) AS t FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS t FROM documents)),
+dp AS (SELECT doc_id, t[i] AS u, t[i + 1] AS v, t[i + 2] AS w FROM (SELECT doc_id, t, unnest(generate_series(2, len(t) - 2)) AS i FROM dt)),
+dl AS (SELECT doc_id, ln(coalesce(greatest(k3.n - 0.75::DOUBLE, 0) / a3.total, 0) + coalesce(a3.r3, 1) * (coalesce(greatest(k2.n - 0.75::DOUBLE, 0) / a2.total, 0) + coalesce(a2.r2, 1) * (coalesce(greatest(k1.n - 0.75::DOUBLE, 0) / a1.total, 0) + a1.unknown))) AS lp
+  FROM dp LEFT JOIN k3 USING (u, v, w) LEFT JOIN a3 USING (u, v) LEFT JOIN k2 USING (v, w) LEFT JOIN a2 USING (v) LEFT JOIN k1 USING (w), a1),
+dm AS (SELECT doc_id, avg(lp) AS m FROM dl GROUP BY doc_id)"""
+query("src_feature_models", f"WITH {_KN} SELECT doc_id, round(ln(CASE WHEN text = '' THEN 100.0::DOUBLE WHEN m IS NULL THEN 1e6::DOUBLE ELSE exp(-m) END), 6) AS log_ppl FROM dt LEFT JOIN dm USING (doc_id)")(
+    lambda s, d: measures.KneserNey(table(s, d, "conversations")).perplexity(table(s, d, "documents"), ("doc_id",)).select("doc_id", F.round(F.log("ppl"), 6).alias("log_ppl"))
+)
+query("embed_text")(lambda s, d: table(s, d, "documents").select("doc_id", measures.WordVectors(table(s, d, "conversations")).embed(F.col("text")).alias("embedding")))
 query("lm_successors", f"WITH {_LM} SELECT prev, token FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY c2 DESC, token) AS r FROM c2) WHERE r = 1")(lambda s, d: model(s, d).successors())
 _PATHS = """su AS (SELECT prev, token FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY c2 DESC, token) AS r FROM c2) WHERE r = 1),
 walk(start_token, step, here, path) AS (SELECT prev, 1, token, token FROM su UNION ALL SELECT start_token, step + 1, su.token, path || ' ' || su.token FROM walk JOIN su ON su.prev = walk.here WHERE step < 50),
@@ -374,7 +388,7 @@ query("mlp_eval", "SELECT round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)),
 query("standard_scaler", "SELECT CAST(i - 1 AS INTEGER) AS i, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) = 0 THEN 1.0 ELSE stddev_pop(x) END, 6) AS std FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)) GROUP BY i")(
     lambda s, d: learned.scaler(table(s, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))).select("i", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 )
-query("attack_miaadv")(lambda s, d: registry.run_attack("miaadv", samples(s, d), model=model(s, d)))
+query("attack_miaadv")(lambda s, d: registry.run_attack("miaadv", samples(s, d), model=model(s, d), features=measures.TrainedFeatures(table(s, d, "conversations"))))
 
 # --- bag of words
 
