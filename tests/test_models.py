@@ -5,9 +5,10 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, lm, measures, metrics
+from tidewake.operators import fill, lm, measures, metrics, subword
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
 
@@ -154,3 +155,51 @@ def test_word_vectors_against_numpy(spark):
     vectors = measures.WordVectors(docs, rank=8, terms=600)
     one, two, none, both = (np.array(r["e"]) for r in spark.createDataFrame([(vocab[5],), (vocab[9].upper(),), ("q0q0",), (f"{vocab[5]} q0q0 {vocab[9]}",)], "t string").coalesce(1).select(vectors.embed(F.col("t")).alias("e")).collect())
     assert np.allclose(both, (one + two) / 2, atol=1e-5) and not none.any() and one.any()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
+def test_subwords_round_trip_and_cut(spark, name):
+    own = subword.Subword(f"/opt/tokenizers/{name}")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(2)
+    rows = docs.select("text", own.ids(F.col("text")).alias("ids")).select("text", "ids", own.text(F.col("ids")).alias("back"), own.count(F.col("text")).alias("n"), own.truncate(F.col("text"), 20).alias("head"), own.truncate(F.col("text"), 20, keep_end=True).alias("tail")).collect()
+    exact = not name.startswith("piece")  # which writes runs of blanks as one
+    coder = subword._coder(own.path)
+    for r in rows:
+        assert r["back"] == r["text"] if exact else r["back"].split() == r["text"].split()
+        assert r["n"] == len(r["ids"]) and list(r["ids"]) == coder.encode(r["text"])
+        if r["n"] <= 20:
+            assert r["head"] == r["tail"] == r["text"]
+        else:
+            assert (r["head"], r["tail"]) == (coder.decode(list(r["ids"][:20])), coder.decode(list(r["ids"][-20:])))
+    (none,) = spark.range(1).select(own.ids(F.lit(None).cast("string")).alias("a"), own.truncate(F.lit(None).cast("string"), 3).alias("b"), own.text(F.array().cast("array<int>")).alias("c")).collect()
+    assert (list(none["a"]), none["b"], none["c"]) == ([], None, "")
+
+
+def test_two_vocabulary_files_agree_and_special_strings_are_text(spark):
+    texts = ["The quick<|endoftext|> fox's  1234 caf\u00e9\n\n end", "def f(x):\n    return x  # ok"]
+    a, b = (subword._coder(f"/opt/tokenizers/byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+    for t in texts:
+        assert a.encode(t) == b.encode(t) and 50256 not in a.encode(t)
+    assert a.decode([*a.encode("x"), 50256]) == "x"
+    with pytest.raises(ValueError):
+        subword._coder("/opt/tokenizers/README.md")
+
+
+def test_a_model_of_subwords(spark):
+    own = subword.Subword("/opt/tokenizers/byte_bpe_50k.json")
+    docs = docs_of(spark, ["print(value) and print(other)", "print(value) or none"])
+    model = lm.NGramLM(docs, cut=own.tokens, joined=own.joined)
+    plain = lm.NGramLM(docs)
+    counts = [m.token_logprobs(docs).count() for m in (model, plain)]
+    assert counts[0] > counts[1] and counts[0] == sum(len(subword._coder(own.path).encode(r["text"])) - 1 for r in docs.collect())
+    (out,) = model.generate(spark.createDataFrame([("0", "x print")], "blob_id string, text string"), 3).collect()
+    assert out["output"] == "(value)"
+    (gap,) = model.infill(spark.createDataFrame([("0", "strings", 0, "print(", ") and")], "blob_id string, level string, ord int, prefix string, suffix string"), 4).collect()
+    assert gap["output"] == "value"
+
+
+def test_lookups_beyond_the_broadcast_are_the_same(spark):
+    docs = docs_of(spark, TEXTS)
+    want = sorted(map(tuple, lm.NGramLM(docs).token_logprobs(docs, outer=True).collect()), key=repr)
+    for hot in (0, 1, 3):
+        assert sorted(map(tuple, lm.NGramLM(docs, hot=hot).token_logprobs(docs, outer=True).collect()), key=repr) == want

@@ -55,7 +55,7 @@ def nucleus(pairs: DataFrame, temperature: float = TEMPERATURE, top_p: float = T
     return kept.select("prev", "token", (F.col("hi") - F.col("w")).alias("lo"), "hi", F.max("hi").over(by).alias("mass"))
 
 
-def sampled(starts: DataFrame, table: DataFrame, max_new: int, seed: int, keys: tuple) -> DataFrame:
+def sampled(starts: DataFrame, table: DataFrame, max_new: int, seed: int, keys: tuple, joined=None) -> DataFrame:
     """_row, output: up to max_new draws from ``nucleus`` that follow the token ``_here`` of starts (_row, keys, _here).
 
     Draw k of a row reads md5(seed|infill|keys|k). A row whose last token has no successor ends.
@@ -75,7 +75,7 @@ def sampled(starts: DataFrame, table: DataFrame, max_new: int, seed: int, keys:
             held = rows
             if not measured(rows)["live"]:
                 break
-    return rows.select("_row", F.array_join("_out", " ").alias("output"))
+    return rows.select("_row", (joined(F.col("_out")) if joined else F.array_join("_out", " ")).alias("output"))
 
 
 def costs(bigrams: DataFrame) -> DataFrame:
@@ -111,10 +111,10 @@ def lattice(ends: DataFrame, bigrams: DataFrame, length: int = LENGTH, beam: int
     return out
 
 
-def fill(prompts: DataFrame, bigrams: DataFrame, table: DataFrame, tokens, max_new: int, seed: int, length: int = LENGTH, beam: int = BEAM) -> DataFrame:
+def fill(prompts: DataFrame, bigrams: DataFrame, table: DataFrame, tokens, max_new: int, seed: int, length: int = LENGTH, beam: int = BEAM, joined=None) -> DataFrame:
     """prompts (prefix, suffix) with ``output``; draws are keyed by those of blob_id, level and ord that prompts have.
 
-    table: what ``nucleus`` made. tokens: the column function that cuts a text into tokens.
+    table: what ``nucleus`` made. tokens, joined: the column functions that cut a text into tokens and join them.
     """
     keys = tuple(c for c in ("blob_id", "level", "ord") if c in prompts.columns)
     rows = written(prompts.withColumn("_row", F.monotonically_increasing_id()), "fill-prompts")
@@ -122,7 +122,7 @@ def fill(prompts: DataFrame, bigrams: DataFrame, table: DataFrame, tokens, max_n
     gaps = written(rows.select("_row", *keys, F.get(before, F.size(before) - 1).alias("a"), F.get(after, F.lit(0)).alias("b")), "fill-gaps")
     paths = lattice(gaps.filter("a is not null and b is not null"), bigrams, length, beam)
     paths = _sent(paths) if measured(paths) else paths
-    met = written(gaps.join(paths, ["a", "b"], "left").select("_row", *keys, F.col("a").alias("_here"), F.array_join("path", " ").alias("output")), "fill-met")
-    drawn = sampled(met.filter("output is null"), table, max_new, seed, keys)
+    met = written(gaps.join(paths, ["a", "b"], "left").select("_row", *keys, F.col("a").alias("_here"), F.when(F.col("path").isNotNull(), joined(F.col("path")) if joined else F.array_join("path", " ")).alias("output")), "fill-met")
+    drawn = sampled(met.filter("output is null"), table, max_new, seed, keys, joined)
     outputs = written(met.filter("output is not null").select("_row", "output").unionByName(drawn), "fill-outputs")
     return rows.join(outputs, "_row").select(*prompts.columns, "output")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -56,9 +57,13 @@ def truncate(tokens: str | Column, limit: int, keep_end: bool = False) -> Column
     return F.slice(c, F.greatest(F.size(c) - limit + 1, F.lit(1)), limit) if keep_end else F.slice(c, 1, limit)
 
 
-def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
+def words_joined(tokens: str | Column) -> Column:
+    return F.array_join(F.col(tokens) if isinstance(tokens, str) else tokens, " ")
+
+
+def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False, cut: Callable[[Column], Column] = tokenize) -> DataFrame:
     """keys, pos, prev, token of every token but the first; with outer also a row of nulls for a text of fewer than two."""
-    t = tokenize("text")
+    t = cut(F.col("text"))
     if max_tokens:
         t = truncate(t, max_tokens)
     pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(i.alias("pos"), F.get("t", i - 1).alias("prev"), F.get("t", i).alias("token")))
@@ -69,32 +74,39 @@ def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("bl
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, weight: str, hot: int) -> DataFrame:
-    """rows with the value of table (unique keys), null where it has none, without a shuffle of frequent keys.
+    """rows with the value of table (unique keys), null where it has none, in one pass over rows.
 
     A table of at most ``hot`` rows is broadcast. Of a larger one its ``hot`` rows of greatest weight
-    are, and only the rows that they do not settle meet the table in a shuffled join.
+    are, which settles the tokens that a shuffle would pile up; what is left meets the table in a shuffled
+    join, in which settled rows have a number of their own for a key, so they are spread and match nothing.
     """
     known = table.select(*keys, value)
     if table.limit(hot + 1).count() <= hot:
         return rows.join(F.broadcast(known), keys, "left")
-    top = written(table.orderBy(F.desc(weight), *keys).limit(hot).select(*keys, value), "lm-hot")
+    top = written(table.orderBy(F.desc(weight), *keys).limit(hot).select(*keys, F.col(value).alias("_hot")), "lm-hot")
     met = rows.join(F.broadcast(top), keys, "left")
-    settled = F.col(value).isNotNull() | F.greatest(*[F.col(k).isNull().cast("int") for k in [*keys, keys[0]]]).cast("boolean")
-    return met.filter(settled).unionByName(met.filter(~settled).drop(value).join(known, keys, "left"))
+    settled = F.col("_hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in [*keys, keys[0]]])
+    # a token holds no blank, so a key that begins with one is in no table
+    met = met.withColumn("_key", F.when(settled, F.concat(F.lit(" "), F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)).cast("string"))).otherwise(F.col(keys[0])))
+    rest = known.withColumnRenamed(keys[0], "_key")
+    found = met.join(rest, ["_key", *keys[1:]], "left")
+    return found.select(*rows.columns, F.coalesce("_hot", value).alias(value))
 
 
 class NGramLM:
     """Bigram model with additive smoothing: ln((c(prev, token) + ALPHA) / (c(prev) + ALPHA * V)).
 
     The counts are written once, when the model is made. Without any token all log-probabilities are null.
+    cut and joined: how texts become tokens and tokens texts; runs of non-blanks here, ``subword`` has others.
     """
 
-    def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, temperature: float = fill.TEMPERATURE, top_p: float = fill.TOP_P, seed: int = 42) -> None:
+    def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, temperature: float = fill.TEMPERATURE, top_p: float = fill.TOP_P, seed: int = 42, cut: Callable[[Column], Column] = tokenize, joined: Callable[[Column], Column] = words_joined) -> None:
+        self.cut, self.joined = cut, joined
         self.hot, self._paths, self._nucleus = hot, {}, None
         self.temperature, self.top_p, self.seed = temperature, top_p, seed
-        pairs = written(positions(docs).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
+        pairs = written(positions(docs, cut=cut).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
         contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
-        v = docs.select(F.explode(tokenize("text")).alias("token")).agg(F.count_distinct("token")).first()[0]
+        v = docs.select(F.explode(cut(F.col("text"))).alias("token")).agg(F.count_distinct("token")).first()[0]
         a, lp = F.lit(float(alpha)), lambda c2, c1: F.log(F.try_divide(c2 + F.lit(float(alpha)), c1 + F.lit(float(alpha * v))))
         self.contexts = written(contexts.select("prev", "c1", lp(F.lit(0), F.col("c1")).alias("unseen")), "lm-contexts")
         self.bigrams = written(pairs.join(self.contexts, "prev").select("prev", "token", "c2", lp(F.col("c2"), F.col("c1")).alias("seen")), "lm-bigrams")
@@ -108,7 +120,7 @@ class NGramLM:
 
     def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
         """keys, pos, token, lp; tokens stay in the partitions of their texts while the counts are few enough to be sent there."""
-        return self.scored(positions(docs, max_tokens, keys, outer)).select(*keys, "pos", "token", "lp")
+        return self.scored(positions(docs, max_tokens, keys, outer, self.cut)).select(*keys, "pos", "token", "lp")
 
     def pair_logprobs(self, at: DataFrame) -> DataFrame:
         """prev, token, lp of each distinct pair."""
@@ -142,9 +154,9 @@ class NGramLM:
         """
         paths = self.paths(max_new).select(F.col("prev").alias("_last_token"), F.col("path").alias("_path"))
         paths = F.broadcast(paths) if paths.limit(broadcast_rows + 1).count() <= broadcast_rows else paths
-        words = tokenize(text)
+        words = self.cut(F.col(text))
         met = prompts.withColumn("_last_token", F.get(words, F.size(words) - 1)).join(paths, "_last_token", "left")
-        output = F.coalesce(F.array_join("_path", " "), F.lit(""))
+        output = F.coalesce(self.joined(F.col("_path")), F.lit(""))
         return met.select(*prompts.columns, (F.substring_index(output, stop, 1) if stop else output).alias("output"))
 
     def nucleus(self) -> DataFrame:
@@ -155,7 +167,7 @@ class NGramLM:
 
     def infill(self, prompts: DataFrame, max_new: int = 50) -> DataFrame:
         """prompts with ``output``: the best path from the prefix to the suffix, else a sampled continuation of the prefix."""
-        return fill.fill(prompts, self.bigrams, self.nucleus(), tokenize, max_new, self.seed)
+        return fill.fill(prompts, self.bigrams, self.nucleus(), self.cut, max_new, self.seed, joined=self.joined)
 
 
 def perplexity(model: TargetModel, docs: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:

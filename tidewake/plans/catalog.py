@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import data, learned, lm, measures, metrics, perturb, registry, report, scores
+from ..operators import data, learned, lm, measures, metrics, perturb, registry, report, scores, subword
 from ..sources import files
 from ..sources.scratch import scratch_path, written
 from ..streaming.acquire import acquire
@@ -212,6 +212,23 @@ query("win_prev_token", f"WITH {_LM} SELECT blob_id, CAST(pos AS INTEGER) AS pos
 query("lm_truncate", f"WITH {_LM} SELECT blob_id, array_to_string(t[1:{scores.LOSS_TOKENS}], ' ') AS head, array_to_string(t[greatest(1, len(t) - {learned.PROMPT_TOKENS - 1}):], ' ') AS tail FROM tok")(
     lambda s, d: samples(s, d).select("blob_id", F.array_join(lm.truncate(lm.tokenize("text"), scores.LOSS_TOKENS), " ").alias("head"), F.array_join(lm.truncate(lm.tokenize("text"), learned.PROMPT_TOKENS, keep_end=True), " ").alias("tail"))
 )
+#: A public tokenizer's file.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("lm_truncate_subword")
+def _truncated(s, d):
+    """Tokens of each document, and its head and tail of as many as the attacks read."""
+    own, text = subword.Subword(TOKENIZER), F.col("text")
+    return samples(s, d).select("blob_id", own.count(text).alias("tokens"), own.truncate(text, scores.LOSS_TOKENS).alias("head"), own.truncate(text, learned.PROMPT_TOKENS, keep_end=True).alias("tail"))
+
+
+@query("attack_loss_subword")
+def _loss_subword(s, d):
+    own = subword.Subword(TOKENIZER)
+    return _r(scores.loss_attack(lm.NGramLM(members(s, d), cut=own.tokens, joined=own.joined), samples(s, d)))
+
+
 query("lookup_token_logprob", f"WITH {_LM} SELECT prev, token, round(ln((coalesce(c2, 0) + 0.1::DOUBLE) / (coalesce(c1, 0) + 0.1::DOUBLE * v)), 6) AS lp FROM (SELECT DISTINCT prev, token FROM pos) LEFT JOIN c2 USING (prev, token) LEFT JOIN c1 USING (prev), v")(
     lambda s, d: model(s, d).pair_logprobs(lm.positions(samples(s, d))).select("prev", "token", F.round("lp", 6).alias("lp"))
 )
