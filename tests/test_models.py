@@ -2,13 +2,15 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, lm, measures, metrics, subword
+from tidewake.operators import fill, learned, lm, measures, metrics, served, subword
+from tidewake.sources import files
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
 
@@ -203,3 +205,63 @@ def test_lookups_beyond_the_broadcast_are_the_same(spark):
     want = sorted(map(tuple, lm.NGramLM(docs).token_logprobs(docs, outer=True).collect()), key=repr)
     for hot in (0, 1, 3):
         assert sorted(map(tuple, lm.NGramLM(docs, hot=hot).token_logprobs(docs, outer=True).collect()), key=repr) == want
+
+
+def test_fetching_asks_again_without_end_and_goes_on(spark, tmp_path):
+    """A blob is busy ten times, then there, over three runs on one folder; what was answered is not asked again."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def get(blob):
+        with open(asked / blob, "a+") as log:
+            log.write("x")
+            log.flush()
+            n = log.tell()
+        if blob == "err":
+            raise ValueError("no such host")
+        return (429, b"") if blob == "busy" and n <= 10 else (200, f"é {blob}".encode("latin-1")) if blob != "gone" else (404, b"")
+
+    rows = spark.createDataFrame([("busy", "latin-1", 1), ("ok", "latin-1", 2), ("gone", None, 3), ("err", "utf-8", 4), (None, None, 5), ("", None, 6)], "blob_id string, src_encoding string, n int")
+    folder = str(tmp_path / "state")
+    first = {r["n"]: r for r in files.fetch_content(rows, get, folder, wait=0.0, rounds=3).collect()}
+    assert (first[1]["content"], first[1]["status_code"], first[2]["content"]) == (None, None, "é ok")
+    files.fetch_content(rows, get, folder, wait=0.0, rounds=4)
+    last = {r["n"]: (r["content"], r["status_code"]) for r in files.fetch_content(rows, get, folder, wait=0.0).collect()}
+    assert last == {1: ("é busy", None), 2: ("é ok", None), 3: (None, "HTTP 404"), 4: (None, "no such host"), 5: (None, None), 6: (None, None)}
+    assert {p.name: len(p.read_text()) for p in asked.iterdir()} == {"busy": 11, "ok": 1, "gone": 1, "err": 1}
+    assert {r["n"] for r in files.fetch_ok(files.fetch_content(rows, get, folder)).collect()} == {1, 2}
+
+
+def test_a_model_that_needs_a_resource_says_so_early(spark, monkeypatch):
+    docs = docs_of(spark, ["a b"])
+    with pytest.raises(RuntimeError, match="spark.executor.resource.gpu.amount is not set"):
+        served.ServedModel(object, resources={"gpu": 1}).token_logprobs(docs)
+    spark.conf.set("spark.executor.resource.gpu.amount", "2")
+    try:
+        profile = served._profile(spark, {"gpu": 0.5})
+        assert profile.taskResources["gpu"].amount == 0.5 and profile.executorResources["gpu"].amount == 2
+        given = []
+        monkeypatch.setattr(type(docs), "mapInPandas", lambda self, func, schema, barrier=False, profile=None: given.append(profile))
+        served.ServedModel(object, resources={"gpu": 0.5}).generate(docs)
+        assert given[0].taskResources["gpu"].amount == 0.5
+    finally:
+        spark.conf.unset("spark.executor.resource.gpu.amount")
+    assert served._profile(spark, {}) is None
+
+
+def test_bag_of_words_finds_a_planted_signal(spark):
+    """Members hold one of forty rare words more often than others do: held-out members rank above others."""
+    rng = random.Random(11)
+    common, rare = [f"word{i}" for i in range(300)], [f"rare{i}" for i in range(40)]
+
+    def text(member):
+        return " ".join(rng.choices(common, k=40) + rng.choices(rare, k=3 if member else 0) + rng.choices(common, k=10))
+
+    rows = [(text(i % 2), str(i), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, blob_id string, label int")
+    bow = learned.BagOfWords().fit(docs.filter("blob_id < '7'"))
+    held = docs.filter("blob_id >= '7'")
+    auc = metrics.metrics(bow.score(held)).filter("metric = 'roc auc'").first()["value"]
+    assert auc > 0.85
+    top = bow.top_features(20).filter("side = 'member'").collect()
+    assert sum("rare" in r["term"] for r in top) >= 15

@@ -445,7 +445,8 @@ def test_sources(spark, tmp_path):
     wide = report.unify_wide(files.read_runs(spark, str(tmp_path / "runs"))).collect()
     assert {(r["attack_name"], r["run_folder"], r["roc auc"]) for r in wide} == {("loss", "loss_1", 0.5), ("bow", "bow_x_y", 0.9)}
     page = report.dashboard(report.attack_means(files.read_runs(spark, str(tmp_path / "runs"))))
-    assert "roc auc" in page and page.count("<rect") == 2
+    assert "roc auc" in page and page.count("<rect") == 2 and page.count('type="checkbox"') == 2
+    assert page.count('<g class="a0">') == page.count('<g class="a1">') == 1 and "show(this, 'a1')" in page
 
 
 def test_stream(spark, tmp_path):

@@ -73,6 +73,12 @@ def positions(docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("bl
     return rows.filter(F.size("t") > 1).select(*keys, F.inline(pairs))
 
 
+def _pairs_of(docs: DataFrame, cut: Callable[[Column], Column]) -> DataFrame:
+    """prev, token of neighbours; of a text of one token, that token and null."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.struct(F.get("t", i - 1).alias("prev"), F.get("t", i).alias("token")))
+    return docs.select(cut(F.col("text")).alias("t")).filter(F.size("t") > 0).select(F.inline(pairs))
+
+
 def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, weight: str, hot: int) -> DataFrame:
     """rows with the value of table (unique keys), null where it has none, in one pass over rows.
 
@@ -104,9 +110,11 @@ class NGramLM:
         self.cut, self.joined = cut, joined
         self.hot, self._paths, self._nucleus = hot, {}, None
         self.temperature, self.top_p, self.seed = temperature, top_p, seed
-        pairs = written(positions(docs, cut=cut).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
+        # a text of one token counts for the vocabulary only; it is a pair without a second token
+        met = written(_pairs_of(docs, cut).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
+        v = met.select(F.explode(F.array("prev", "token")).alias("token")).agg(F.count_distinct("token")).first()[0]
+        pairs = met.filter("token is not null")
         contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
-        v = docs.select(F.explode(cut(F.col("text"))).alias("token")).agg(F.count_distinct("token")).first()[0]
         a, lp = F.lit(float(alpha)), lambda c2, c1: F.log(F.try_divide(c2 + F.lit(float(alpha)), c1 + F.lit(float(alpha * v))))
         self.contexts = written(contexts.select("prev", "c1", lp(F.lit(0), F.col("c1")).alias("unseen")), "lm-contexts")
         self.bigrams = written(pairs.join(self.contexts, "prev").select("prev", "token", "c2", lp(F.col("c2"), F.col("c1")).alias("seen")), "lm-bigrams")

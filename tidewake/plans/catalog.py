@@ -233,9 +233,7 @@ query("lookup_token_logprob", f"WITH {_LM} SELECT prev, token, round(ln((coalesc
     lambda s, d: model(s, d).pair_logprobs(lm.positions(samples(s, d))).select("prev", "token", F.round("lp", 6).alias("lp"))
 )
 query("agg_mean_logprob", f"WITH {_LOSS} {_SCORED}")(lambda s, d: _r(scores.loss_attack(model(s, d), samples(s, d))))
-query("attack_loss", f"WITH {_LOSS} {_SCORED}")(QUERIES["agg_mean_logprob"])
 query("agg_min_k", f"WITH {_MKP} {_SCORED}")(lambda s, d: _r(scores.min_k_attack(model(s, d), samples(s, d))))
-query("attack_mkp", f"WITH {_MKP} {_SCORED}")(QUERIES["agg_min_k"])
 query("win_rank_logprob", f"WITH {_CUT} SELECT blob_id, CAST(low AS INTEGER) AS low, round(lp, 6) AS lp FROM rk")(lambda s, d: scores.ranks(model(s, d).token_logprobs(samples(s, d), 2048)).select("blob_id", "low", F.round("lp", 6).alias("lp")))
 query("agg_polarized_distance", f"WITH {_PD} SELECT blob_id, round(score, 6) AS score FROM x")(lambda s, d: _r(scores.polarized_distance(model(s, d).token_logprobs(samples(s, d), 2048))))
 query("win_token_chunks", f"WITH {_LM} SELECT blob_id, CAST(floor(pos / 64) AS INTEGER) AS chunk, count(*) AS scored FROM pos WHERE pos % 64 <> 0 GROUP BY ALL")(lambda s, d: lm.chunked_positions(samples(s, d), 64).groupBy("blob_id", "chunk").agg(F.count("*").alias("scored")))
@@ -353,10 +351,12 @@ query("split_attack_and_id", f"WITH {_RUNS_SQL} SELECT DISTINCT run_folder, CASE
 query("union_metric_columns", f"WITH {_RUNS_SQL} SELECT attack_name, run_folder, max(CASE WHEN metric = 'TPR @ 1% FPR' THEN value END) AS \"TPR @ 1% FPR\", max(CASE WHEN metric = 'TPR @ 0.1% FPR' THEN value END) AS \"TPR @ 0.1% FPR\", max(CASE WHEN metric = 'roc auc' THEN value END) AS \"roc auc\" FROM uni GROUP BY ALL")(lambda s, d: report.unify_wide(runs(s, d)))
 query("agg_attack_mean", f"WITH {_RUNS_SQL} SELECT metric, attack_name, round(avg(value), 9) AS mean FROM uni WHERE value IS NOT NULL GROUP BY ALL")(lambda s, d: report.attack_means(runs(s, d)).withColumn("mean", F.round("mean", 9)))
 query("pred_not_numeric", f"WITH {_RUNS_SQL} SELECT run_folder, metric, value FROM uni WHERE value IS NOT NULL")(lambda s, d: report.unify_long(runs(s, d)).filter("value is not null").select("run_folder", "metric", "value"))
-_BARS = """ba AS (SELECT metric, attack_name, avg(value) AS v, dense_rank() OVER (ORDER BY metric) - 1 AS k, row_number() OVER (PARTITION BY metric ORDER BY attack_name) - 1 AS i FROM uni WHERE value IS NOT NULL GROUP BY metric, attack_name),
+_BARS = """ba AS (SELECT metric, attack_name, avg(value) AS v, dense_rank() OVER (ORDER BY metric) - 1 AS k, dense_rank() OVER (ORDER BY attack_name) - 1 AS i FROM uni WHERE value IS NOT NULL GROUP BY metric, attack_name),
 bx AS (SELECT *, 260 * greatest(0.0, least(1.0, v)) AS tall FROM ba),
-ch AS (SELECT k, '<text x="20" y="' || (k * 360 + 24) || '" font-size="16">' || metric || '</text>' || string_agg('<rect x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 310 - tall) || '" width="70" height="' || format('{:.1f}', tall) || '" fill="#4c78a8"/><text x="' || (40 + i * 110) || '" y="' || (k * 360 + 328) || '">' || attack_name || '</text><text x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 304 - tall) || '">' || format('{:.4f}', v) || '</text>', '' ORDER BY i) AS part FROM bx GROUP BY k, metric)"""
-query("sink_dashboard", f"""WITH {_RUNS_SQL}, {_BARS} SELECT '<!doctype html><meta charset=''utf-8''><title>metrics</title><svg xmlns="http://www.w3.org/2000/svg" width="900" height="' || greatest(360 * count(*), 500) || '" font-family="sans-serif" font-size="12">' || string_agg(part, '' ORDER BY k) || '</svg>' AS page FROM ch""")(
+le AS (SELECT string_agg('<label><input type="checkbox" checked onchange="show(this, ' || chr(39) || 'a' || i || chr(39) || ')">' || attack_name || '</label> ', '' ORDER BY i) AS legend FROM (SELECT DISTINCT i, attack_name FROM ba)),
+ch AS (SELECT k, '<text x="20" y="' || (k * 360 + 24) || '" font-size="16">' || metric || '</text>' || string_agg('<g class="a' || i || '"><rect x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 310 - tall) || '" width="70" height="' || format('{:.1f}', tall) || '" fill="#4c78a8"/><text x="' || (40 + i * 110) || '" y="' || (k * 360 + 328) || '">' || attack_name || '</text><text x="' || (40 + i * 110) || '" y="' || format('{:.1f}', k * 360 + 304 - tall) || '">' || format('{:.4f}', v) || '</text></g>', '' ORDER BY i) AS part FROM bx GROUP BY k, metric)"""
+_HEAD = report.HEAD.replace("'", "''")
+query("sink_dashboard", f"""WITH {_RUNS_SQL}, {_BARS} SELECT '{_HEAD}' || max(legend) || '</p><svg xmlns="http://www.w3.org/2000/svg" width="' || (SELECT greatest(900, 80 + 110 * (max(i) + 1)) FROM ba) || '" height="' || greatest(360 * count(*), 500) || '" font-family="sans-serif" font-size="12">' || string_agg(part, '' ORDER BY k) || '</svg>' AS page FROM ch, le""")(
     lambda s, d: s.createDataFrame([(report.dashboard(report.attack_means(runs(s, d))),)], "page string")
 )
 
@@ -374,6 +374,9 @@ _RAN = _SPLIT.replace("FROM documents WHERE", r"FROM documents WHERE len(regexp_
 _RUN_LM = f"{_LM}, x AS (SELECT blob_id, avg(lp) AS score FROM lp WHERE pos < 2048 GROUP BY blob_id)".replace("samples AS", "every AS", 1).replace("FROM samples)", "FROM every)", 1)
 _RUN = f"{_RAN}, {_RUN_LM}"
 _TESTED = "SELECT x.score, split.label FROM split JOIN x USING (blob_id) WHERE split = 'test'"
+_HELD = "SELECT blob_id, split.label, round(x.score, 6) AS score FROM split LEFT JOIN x USING (blob_id) WHERE split = 'test'"
+query("attack_loss", f"WITH {_SPLIT}, {_RUN_LM} {_HELD}")(lambda s, d: _r(registry.run_attack("loss", samples(s, d), model=model(s, d))))
+query("attack_mkp", f"WITH {_SPLIT}, {_MKP.replace('samples AS', 'every AS', 1).replace('FROM samples)', 'FROM every)', 1)} {_HELD}")(lambda s, d: _r(registry.run_attack("mkp", samples(s, d), model=model(s, d))))
 query("sink_predictions", f"WITH {_RUN} SELECT blob_id, split.label, round(x.score, 6) AS score FROM split JOIN x USING (blob_id) WHERE split = 'test'")(lambda s, d: _r(files.read_predictions(s, f"{_ran(s, d)[0]}/predictions.csv")))
 query("sink_metrics", f"WITH {_RUN}, {_ROC % _TESTED} {_METRICS}")(lambda s, d: s.read.schema("metric string, value double").csv(f"{_ran(s, d)[0]}/metrics.csv", header=True).withColumn("value", F.round("value", 6)))
 query(
@@ -396,8 +399,12 @@ def event_sims(s, d) -> DataFrame:
 
 query("agg_sim_stats", f"WITH {_SIMS} SELECT blob_id, round(avg(sim), 9) AS m, round(stddev_pop(sim), 6) AS s FROM r GROUP BY blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(12)), 9).alias("m"), F.round(F.get("features", F.lit(13)), 6).alias("s")))
 query("agg_ppl_stats", f"WITH {_SIMS} SELECT r.blob_id, CASE WHEN count(*) = 12 THEN round(avg((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS m, CASE WHEN count(*) = 12 THEN round(stddev_pop((r.ppl - b.ppl) / b.ppl) FILTER (r.variant > 0), 6) END AS s FROM r JOIN r b ON r.blob_id = b.blob_id AND b.variant = 0 GROUP BY r.blob_id")(lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.round(F.get("features", F.lit(25)), 6).alias("m"), F.round(F.get("features", F.lit(26)), 6).alias("s")))
-query("adv_features", f"WITH {_SIMS} SELECT blob_id, 27 AS n, CASE WHEN count(*) = 12 THEN round(sum(sim), 6) END AS sims FROM r GROUP BY blob_id")(
-    lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.size("features").alias("n"), F.round(F.aggregate(F.slice("features", 1, 12), F.lit(0.0), lambda a, x: a + x), 6).alias("sims"))
+_WIDE = ", ".join([f"max(sim) FILTER (variant = {i}) AS s{i}, max(ppl) FILTER (variant = {i}) AS p{i}" for i in range(12)])
+_RELATIVE = "[" + ", ".join(f"(p{i} - p0) / p0" for i in range(1, 12)) + "]"
+_FEATURES = f"""{_SIMS}, wi AS (SELECT blob_id, count(*) AS n, avg(sim) AS sm, stddev_pop(sim) AS ss, {_WIDE} FROM r GROUP BY blob_id), re AS (SELECT *, {_RELATIVE} AS rel FROM wi),
+fe AS (SELECT blob_id, list_concat(list_concat([{", ".join(f"s{i}" for i in range(12))}, sm, ss], rel), [CASE WHEN n = 12 THEN list_avg(rel) END, CASE WHEN n = 12 THEN list_stddev_pop(rel) END]) AS f FROM re)"""
+query("adv_features", f"WITH {_FEATURES} SELECT blob_id, CAST(i AS INTEGER) AS i, CASE WHEN i < 13 THEN round(f[i + 1], 9) ELSE round(f[i + 1], 6) END AS x FROM (SELECT blob_id, f, unnest(range(0, len(f))) AS i FROM fe)")(
+    lambda s, d: learned.feature_vectors(event_sims(s, d)).select("blob_id", F.posexplode("features").alias("i", "x")).withColumn("x", F.when(F.col("i") < 13, F.round("x", 9)).otherwise(F.round("x", 6)))
 )
 query("mlp_eval", "SELECT round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) AS loss, round(avg((CASE WHEN (p > 0.5) = (y = 1) THEN 1 ELSE 0 END)::DOUBLE), 6) AS accuracy FROM (SELECT 1 / (1 + exp((value - 100) / 50)) AS p, CAST(user_id % 2 AS INTEGER) AS y FROM events)")(
     lambda s, d: metrics.cross_entropy(table(s, d, "events").select((1 / (1 + F.exp((F.col("value") - 100) / 50))).alias("score"), (F.col("user_id") % 2).cast("int").alias("label"))).select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))

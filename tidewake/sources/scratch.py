@@ -7,6 +7,7 @@ threads of the driver, may do without: a temporary folder is then made. What is
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -73,3 +74,10 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         fs, at = file_system(df.sparkSession, df._scratch_path)
         fs.delete(at, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and plans of finished jobs: its cleaner learns from the driver's
+    garbage collection that nothing holds them any more. For loops of many jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
