@@ -265,3 +265,19 @@ def test_bag_of_words_finds_a_planted_signal(spark):
     assert auc > 0.85
     top = bow.top_features(20).filter("side = 'member'").collect()
     assert sum("rare" in r["term"] for r in top) >= 15
+
+
+def test_perceptron_is_the_same_on_any_number_of_workers(spark):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((230, 5))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    rows = [(i, x[i].tolist(), int(y[i]), "fit" if i < 180 else "val") for i in range(230)]
+    frame = lm.written(spark.createDataFrame(rows, "id long, features array<double>, label int, split string"), "t")
+    mean, std = x[:180].mean(0), x[:180].std(0)
+    z = (x - mean) / std
+    plain = learned.Mlp(hidden=24, epochs=6).fit(z[:180], y[:180], (z[180:], y[180:]))
+    for workers in (1, 3):
+        net = learned.Mlp(hidden=24, epochs=6).fit_rows(frame, mean, std, workers)
+        assert max(np.abs(a - b).max() for a, b in zip([*net.w, *net.b], [*plain.w, *plain.b], strict=True)) < 1e-6
+        assert np.allclose(net.history, plain.history, atol=1e-6) and len(net.history) == 6
+    assert plain.history[-1][0] < plain.history[0][0]

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
+import secrets
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from multiprocessing.connection import Client, Listener
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -147,14 +155,82 @@ def scaler(rows: DataFrame) -> DataFrame:
     return long.groupBy("i").agg(F.avg("x").alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("std"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of each of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@contextmanager
+def _adding(task: BarrierTaskContext, key: bytes) -> Iterator[Callable[[list[np.ndarray]], list[np.ndarray]]]:
+    """A function that adds up a list of arrays over the tasks of a barrier stage, for all of them.
+
+    Parts go to the first task over its own connections, which the stage agrees on once; sums
+    are in the order of the tasks. If a task is lost, the others' connections end, and Spark starts the stage anew.
+    """
+    rank, hosts = task.partitionId(), [x.address.rpartition(":")[0] for x in task.getTaskInfos()]
+    server = Listener(("0.0.0.0", 0), backlog=len(hosts), authkey=key) if rank == 0 else None
+    port = int(task.allGather(str(server.address[1]) if server else "")[0])
+    if server:
+        met = [server.accept() for _ in hosts[1:]]
+        links = [c for _, c in sorted(((int(c.recv_bytes()), c) for c in met), key=lambda x: x[0])]
+    else:
+        links = [Client((hosts[0], port), authkey=key)]
+        links[0].send_bytes(str(rank).encode())
+
+    def together(parts: list[np.ndarray]) -> list[np.ndarray]:
+        total = np.concatenate([p.ravel() for p in parts]).astype(float)
+        if server:
+            for link in links:
+                total = total + np.frombuffer(link.recv_bytes())
+        else:
+            links[0].send_bytes(total.tobytes())
+            total = np.frombuffer(links[0].recv_bytes())
+        for link in links if server else ():
+            link.send_bytes(total.tobytes())
+        return [z.reshape(p.shape) for z, p in zip(np.split(total, np.cumsum([p.size for p in parts])[:-1]), parts, strict=True)]
+
+    try:
+        yield together
+    finally:
+        for x in [*links, *([server] if server else [])]:
+            x.close()
+
+
 class Mlp:
-    """27 -> 512 x 3 -> 2 with ReLU, dropout and Adam, in numpy; rate drops tenfold every ten epochs."""
+    """27 -> 512 x 3 -> 2 with ReLU, dropout and Adam, in numpy; rate drops tenfold every ten epochs.
 
-    def __init__(self, seed: int = SEED, hidden: int = 512, epochs: int = 25, batch: int = 32, rate: float = 1e-3, dropout: float = 0.1) -> None:
-        self.seed, self.hidden, self.epochs, self.batch, self.rate, self.dropout = seed, hidden, epochs, batch, rate, dropout
+    Batches and dropout follow from a row's number, the epoch and the seed, so the same rows give the same network
+    on any number of workers, up to the rounding of sums.
+    """
 
-    def fit(self, x: np.ndarray, y: np.ndarray, val: tuple[np.ndarray, np.ndarray] | None = None) -> Mlp:
-        """Train on (x, y); ``history`` holds evaluate(*val) after every epoch, which decides nothing."""
+    def __init__(self, seed: int = SEED, hidden: int = 512, epochs: int = 25, batch: int = 32, rate: float = 1e-3, dropout: float = 0.1, steps: int = 1000) -> None:
+        self.seed, self.hidden, self.epochs, self.batch, self.rate, self.dropout, self.steps = seed, hidden, epochs, batch, rate, dropout, steps
+
+    def _draw(self, ids: np.ndarray, epoch: int, unit: np.ndarray) -> np.ndarray:
+        key = _mixed(ids.astype(np.uint64)[:, None] + np.uint64((self.seed * 1_000_003 + epoch + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        return _mixed(key + unit.astype(np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93))
+
+    def _sums(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
+        """Sums over rows of the gradients of weights and offsets; keep: the rows' dropout factors of the three layers."""
+        layers = [x]
+        for i in range(3):
+            layers.append(np.maximum(layers[-1] @ self.w[i] + self.b[i], 0) * keep[:, i])
+        logit = layers[-1] @ self.w[3] + self.b[3]
+        p = np.exp(logit - logit.max(1, keepdims=True, initial=-np.inf))
+        d = p / p.sum(1, keepdims=True)
+        d[np.arange(len(y)), y] -= 1
+        gw, gb = [], []
+        for i in (3, 2, 1, 0):
+            gw.insert(0, layers[i].T @ d)
+            gb.insert(0, d.sum(0))
+            if i:
+                d = (d @ self.w[i].T) * (layers[i] > 0) * keep[:, i - 1]
+        return [*gw, *gb]
+
+    def _train(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, n: int, val: tuple[np.ndarray, np.ndarray] | None, together: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Mlp:
+        """Train on this worker's rows of n in all; together adds up a list of arrays over the workers."""
         self.history: list[tuple[float, float]] = []
         r = np.random.default_rng(self.seed)
         sizes = [x.shape[1], self.hidden, self.hidden, self.hidden, 2]
@@ -162,34 +238,64 @@ class Mlp:
         self.b = [np.zeros(b) for b in sizes[1:]]
         params = [*self.w, *self.b]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        steps, units = max(1, min(self.steps, -(-n // self.batch))), np.arange(3 * self.hidden) + 1
         for epoch in range(self.epochs):
-            order = r.permutation(len(x))
-            for lo in range(0, len(order), self.batch):
-                at = order[lo : lo + self.batch]
-                layers, masks = [x[at]], []
-                for i in range(3):
-                    mask = (r.random((len(at), self.hidden)) >= self.dropout) / (1 - self.dropout)
-                    masks.append(mask)
-                    layers.append(np.maximum(layers[-1] @ self.w[i] + self.b[i], 0) * mask)
-                logit = layers[-1] @ self.w[3] + self.b[3]
-                p = np.exp(logit - logit.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(at)), y[at]] -= 1
-                d, gw, gb = p / len(at), [], []
-                for i in (3, 2, 1, 0):
-                    gw.insert(0, layers[i].T @ d)
-                    gb.insert(0, d.sum(0))
-                    if i:
-                        d = (d @ self.w[i].T) * (layers[i] > 0) * masks[i - 1]
+            step_of = (self._draw(ids, epoch, np.zeros(1))[:, 0] % np.uint64(steps)).astype(int)
+            order = np.argsort(step_of, kind="stable")
+            cuts = np.searchsorted(step_of[order], np.arange(steps + 1))
+            for k in range(steps):
+                at = np.sort(order[cuts[k] : cuts[k + 1]])
+                drawn = self._draw(ids[at], epoch, units) >> np.uint64(11)
+                keep = (drawn >= np.uint64(int(self.dropout * 2**53))) / (1 - self.dropout)
+                *grads, count = together([*self._sums(x[at], y[at], keep.reshape(-1, 3, self.hidden)), np.array([float(len(at))])])
+                if not count[0]:
+                    continue
                 t += 1
-                for k, (q, g) in enumerate(zip(params, [*gw, *gb], strict=True)):
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    q -= self.rate * 0.1 ** (epoch // 10) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-            if val is not None and len(val[0]):
-                self.history.append(self.evaluate(*val))
+                for i, (q, g) in enumerate(zip(params, grads, strict=True)):
+                    g = g / count[0]
+                    m[i] += 0.1 * (g - m[i])
+                    v[i] += 0.001 * (g * g - v[i])
+                    q -= self.rate * 0.1 ** (epoch // 10) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            if val is not None:
+                loss, right, count = together([np.array([z]) for z in self._judge(*val)])
+                if count[0]:
+                    self.history.append((float(loss[0] / count[0]), float(right[0] / count[0])))
+        return self
+
+    def fit(self, x: np.ndarray, y: np.ndarray, val: tuple[np.ndarray, np.ndarray] | None = None) -> Mlp:
+        """Train on (x, y) here; ``history`` holds evaluate(*val) after every epoch, which decides nothing."""
+        return self._train(x, y, np.arange(len(x)), len(x), val, lambda parts: parts)
+
+    def fit_rows(self, rows: DataFrame, mean: np.ndarray, std: np.ndarray, workers: int) -> Mlp:
+        """Train on written rows (id, features, label, split: fit or val) where they are: a barrier stage of ``workers``
+        tasks, each with its part of the rows, that add up their gradients at every step. The driver gets the network."""
+        n, net, key = rows.filter("split = 'fit'").count(), self, secrets.token_bytes(16)
+
+        def work(batches):
+            task = BarrierTaskContext.get()
+
+            table = pa.Table.from_batches(list(batches), schema)
+            order = np.argsort(table.column("id").to_numpy(), kind="stable")
+            x = (np.array(table.column("features").to_pylist(), dtype=float).reshape(-1, len(mean))[order] - mean) / std
+            ids, y = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order].astype(int)
+            fit = np.array(table.column("split").to_pylist(), dtype=object)[order] == "fit"
+            with _adding(task, key) as together:
+                net._train(x[fit], y[fit], ids[fit], n, (x[~fit], y[~fit]), together)
+            if task.partitionId() == 0:
+                yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps((net.w, net.b, net.history))], pa.binary())})
+
+        schema = pa.schema([("id", pa.int64()), ("features", pa.list_(pa.float64())), ("label", pa.int32()), ("split", pa.string())])
+        dealt = rows.select(F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label"), F.col("split").cast("string").alias("split"))
+        self.w, self.b, self.history = pickle.loads(dealt.repartition(workers).mapInArrow(work, "net binary", barrier=True).collect()[0]["net"])
         return self
 
+    def _judge(self, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+        """Sum of the cross-entropies, rows whose likelier class is the label, and rows."""
+        p = self.predict(x)
+        right = np.where(y == 1, p, 1 - p)
+        with np.errstate(divide="ignore"):
+            return float(-np.log(right).sum()), float(((p > 0.5) == (y == 1)).sum()), float(len(y))
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         for i in range(3):
             x = np.maximum(x @ self.w[i] + self.b[i], 0)
@@ -198,34 +304,29 @@ class Mlp:
 
     def evaluate(self, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         """Mean cross-entropy and accuracy."""
-        p = self.predict(x)
-        right = np.where(y == 1, p, 1 - p)
-        with np.errstate(divide="ignore"):
-            return float(-np.log(right).mean()), float(((p > 0.5) == (y == 1)).mean())
+        loss, right, n = self._judge(x, y)
+        return loss / n, right / n
 
 
 class Stability:
-    """The perceptron over stability features; it trains on half of at most ``limit`` rows of each half of the training split."""
+    """The perceptron over stability features; it trains on half of the training split, judged on the other half after every epoch."""
 
     requires_model = True
 
-    def __init__(self, model: TargetModel, seed: int = SEED, features: FeatureModel | None = None, limit: int = 20_000, **options) -> None:
-        self.lm, self.seed, self.limit = model, seed, limit
+    def __init__(self, model: TargetModel, seed: int = SEED, features: FeatureModel | None = None, workers: int = 4, **options) -> None:
+        self.lm, self.seed, self.workers = model, seed, workers
         self.measure = features
 
     def fit(self, docs: DataFrame) -> Stability:
         if self.measure is None:  # trained on these texts, apart from the target model
             self.measure = TrainedFeatures(docs)
         rows = written(stability_features(self.lm, self.measure, docs, self.seed).withColumn("text", F.lit("")), "stability-fit")
-        parts = val_split(rows, 0.5, self.seed)
-
-        def half(name: str) -> tuple[np.ndarray, np.ndarray]:
-            held = parts.filter(F.col("split") == name).orderBy(F.xxhash64("blob_id"), "blob_id").limit(self.limit).select("features", "label").collect()
-            return np.array([r["features"] for r in held], dtype=float).reshape(len(held), -1), np.array([r["label"] for r in held])
-
-        (x, y), (x_val, y_val) = half("fit"), half("val")
-        self.mean, self.std = x.mean(0), np.where(x.std(0) == 0, 1.0, x.std(0))
-        self.net = Mlp(self.seed).fit((x - self.mean) / self.std, y, ((x_val - self.mean) / self.std, y_val) if len(x_val) else None)
+        parts = written(val_split(rows, 0.5, self.seed).withColumn("id", F.monotonically_increasing_id()), "stability-parts")
+        stats = scaler(parts.filter("split = 'fit'")).orderBy("i").collect()  # one row a feature
+        self.mean, self.std = np.array([r["mean"] for r in stats]), np.array([r["std"] for r in stats])
+        workers = max(1, min(self.workers, docs.sparkSession.sparkContext.defaultParallelism))
+        self.net = Mlp(self.seed).fit_rows(parts, self.mean, self.std, workers)
+        discard(rows, parts)
         return self
 
     def score(self, docs: DataFrame) -> DataFrame:
