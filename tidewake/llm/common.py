@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, measured, scratch_path, scratch_root, written
+from ..sources.scratch import discard, measured, scratch_path, scratch_root, settle, written
 
 checkpoint_dir, materialize = scratch_root, written
-__all__ = ["ascii_lower", "broadcast_if_small", "checkpoint_dir", "discard", "fresh", "groups_by_size", "materialize", "measured", "repeated", "scratch_path", "utf8"]
+__all__ = ["ascii_lower", "broadcast_if_small", "checkpoint_dir", "discard", "fresh", "groups_by_size", "materialize", "measured", "repeated", "scratch_path", "settle", "utf8"]
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (under 32 MB as a hash table).
 BROADCAST_ROWS = 200_000

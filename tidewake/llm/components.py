@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, measured
+from .common import discard, materialize, measured, settle
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         same = measured(after) == measured(now)
         discard(now, large)
         now = after
+        settle(edges.sparkSession)
         if same:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, broadcast_if_small, discard, fresh, groups_by_size, materialize, measured, utf8
+from .common import BROADCAST_ROWS, broadcast_if_small, discard, fresh, groups_by_size, materialize, measured, settle, utf8
 from .components import components
 from .kernels import rolling, words
 from .simhash import links
@@ -299,6 +299,7 @@ def similar(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             more = materialize(_confirmed(_narrowed(pairs, single), rows, nodes), "near-edges")
             known = more if roots is None else more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = materialize(components(known), "near-roots")
+        settle(docs.sparkSession)
     discard(entries, large, shared)
     return found.select("doc_id", "rid", "node").join(broadcast_if_small(roots), "node", "left").select("doc_id", "rid", F.coalesce("root", "node").alias("root"))
 

@@ -16,6 +16,10 @@ without labelled documents of both classes the score is 0; other columns are ign
 
 from __future__ import annotations
 
+import pickle
+from concurrent.futures import ProcessPoolExecutor
+from multiprocessing import get_context
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +39,7 @@ EPOCHS, BATCH, RATE = 7, 32, 0.02
 #: Parts of the training texts for cross-fitting; the share of the rate at which embeddings move with SAMPLE toxic texts.
 FOLDS, MOVE = 5, 0.1
 _CHUNK = 1 << 20
-_CACHE = 200_000
+_CACHE = 1 << 16
 _SHUT = 30.0  # update gate of padding: the state stays
 
 
@@ -310,7 +314,8 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
     """Train on at most ``sample`` labelled documents of each class that are not held out, chosen by a hash of the id;
-    of an id that repeats with other texts the smallest text is used."""
+    of an id that repeats with other texts the smallest text is used. The sample is trained on in one task; the driver
+    gets the parameters."""
     ids = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     ids = ids.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -318,9 +323,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net | None:
         part = ids.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one text of an id: at most 2 * sample rows
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in found)
-    return train([t.encode() for _, t, _ in found], [x for _, _, x in found])
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text of an id: at most 2 * sample rows
+
+    def learn(table: pa.Table) -> pa.Table:
+        held = sorted((r["doc_id"], r["text"], r["toxic"]) for r in table.to_pylist())
+        with ProcessPoolExecutor(1, mp_context=get_context("fork")) as child:  # whose memory goes back as it ends
+            net = child.submit(train, [t.encode() for _, t, _ in held], [x for *_, x in held]).result()
+        return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    trained = found.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "net binary").collect()
+    return pickle.loads(trained[0]["net"]) if trained else None
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
