@@ -74,6 +74,18 @@ def test_decontamination(spark, block, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in rows} == dict(enumerate(want))
 
 
+def test_decontamination_splits_hot_windows(spark, monkeypatch):
+    """A line of all items, gathered in parts, and blocks bounded by bytes, give the same items."""
+    line = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(str(i), f"{line} item {i}" if i % 3 else line) for i in range(60)], "item_id string, text string")
+    d = docs(spark, [f"x {line} y", f"{line} item 4", "nothing of it"])
+    want = sorted(map(tuple, decontaminate.report(d, bench).collect()))
+    monkeypatch.setattr(decontaminate, "ITEMS", 7)
+    monkeypatch.setattr(decontaminate, "BYTES", 900)
+    assert sorted(map(tuple, decontaminate.report(d, bench).collect())) == want
+    assert [r[3] for r in want] == [60, 60, 0]
+
+
 def test_decontamination_removal_and_edges(spark):
     bench = frame(spark, [(1, "one two three")], "item_id long, text string")
     d = docs(spark, ["a One, two three b", "clean text", None]).withColumnRenamed("n_chars", "n_hit")

@@ -15,11 +15,17 @@ __all__ = ["ascii_lower", "broadcast_if_small", "checkpoint_dir", "discard", "fr
 
 #: Rows up to which a table of a few fixed-width columns is broadcast (under 32 MB as a hash table).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting (tables that were just written have been); larger tables keep the shuffled join."""
+    """Hint a broadcast only after counting (tables that were just written have been); larger tables keep the shuffled join.
+
+    Where a table with rows of any length was written with the measure ``bytes``, these are bounded too.
+    """
     known = measured(df)
+    if known and (known.get("bytes") or 0) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df) if (known["rows"] if known else df.limit(limit + 1).count()) <= limit else df
 
 

@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z) and cut into words; a window is ``size`` consecutive words of a
 benchmark item, or the whole of an item with fewer. Training token windows are hashed and probed
 in the set; every hit is verified against the window's own words. Windows travel in blocks of at
-most ``block`` windows: each block is one more pass over the documents, written before the next one
+most about ``block`` windows and 64 MB: each block is one more pass over the documents, written before the next one
 starts, so a benchmark of any size is matched exactly with bounded broadcasts, one at a time, and no
 document is shuffled.
 
@@ -28,7 +28,8 @@ from . import kernels
 from .common import discard, fresh, groups_by_size, materialize, measured, utf8
 
 WINDOW = 10
-BLOCK = 500_000
+#: Windows, and bytes of windows with their items, of a block; items in one row of a window.
+BLOCK, BYTES, ITEMS = 500_000, 64 << 20, 10_000
 _CHUNK = 2 << 20
 
 
@@ -63,7 +64,8 @@ class WindowSet:
         self.items: dict[bytes, tuple] = {}
         hashes = defaultdict(set)
         for r in rows:
-            self.items[bytes(r["words"])] = tuple(r["items"])
+            key = bytes(r["words"])
+            self.items[key] = (*self.items.get(key, ()), *r["items"])
             hashes[r["n_words"]].add(r["hash"])
         self.by_size = {n: kernels.HashSet(np.array(sorted(h), dtype=np.int64).view(np.uint64)) for n, h in hashes.items()}
 
@@ -109,10 +111,20 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blocks(benchmark: DataFrame, size: int, block: int) -> tuple[int, Iterator[list]]:
-    """The number of blocks (at least one) and the blocks, bounded lists of windows, each collected when it is asked for."""
-    grouped = materialize(windows(benchmark, size).groupBy("n_words", "hash", "words").agg(F.collect_set("item_id").alias("items")), "decon-windows")
-    parts = max(1, -(-measured(grouped)["rows"] // block))
-    return parts, ((grouped if parts == 1 else grouped.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == k)).collect() for k in range(parts))
+    """The number of blocks (at least one) and the blocks, lists of windows bounded by rows and by bytes, each collected when it is asked for.
+
+    The items of a window are gathered in as many rows as it takes to have about ``ITEMS`` in one, so a line that very
+    many items share stays in no task, and in no block, as a whole.
+    """
+    found = materialize(windows(benchmark, size), "decon-cut")
+    most = found.groupBy("n_words", "hash", "words").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    share = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-most // ITEMS)))).alias("share")
+    grouped = found.groupBy("n_words", "hash", "words", share).agg(F.collect_set("item_id").alias("items"))
+    weight = F.sum(F.octet_length("words") + F.octet_length(F.array_join("items", ",")) + 64)
+    grouped = materialize(grouped, "decon-windows", bytes=weight)
+    discard(found)
+    parts = max(1, -(-measured(grouped)["rows"] // block), -(-(measured(grouped)["bytes"] or 0) // BYTES))
+    return parts, ((grouped if parts == 1 else grouped.filter(F.pmod(F.xxhash64("words", "share"), F.lit(parts)) == k)).collect() for k in range(parts))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK, cut: bool = False, keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:

@@ -207,7 +207,7 @@ def classify(rows: DataFrame, outer: str, whole: str, ids: list[str], tag: str)
 
 def _ask(named: DataFrame, asking: DataFrame, code, rows_of, schema: str, tag: str) -> DataFrame:
     """What rows_of makes of each (text, segments, codes asked) of the rows that ask."""
-    asked = materialize(asking.groupBy("rid").agg(F.collect_list(code).alias("codes")), f"{tag}-asking")
+    asked = materialize(asking.groupBy("rid").agg(F.collect_list(code).alias("codes")), f"{tag}-asking", bytes=F.sum(8 * F.size("codes") + 40))
     names, kinds = [x.split()[0] for x in schema.split(", ")], [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
     def batch_of(out):
