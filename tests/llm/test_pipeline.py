@@ -33,4 +33,4 @@ def test_stages(spark):
 
 
 def test_registry():
-    assert set(queries.ORACLE_SQL) < set(queries.QUERIES) and len(queries.QUERIES) == 11
+    assert set(queries.ORACLE_SQL) < set(queries.QUERIES) and len(queries.QUERIES) == 14
