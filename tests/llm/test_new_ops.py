@@ -115,6 +115,13 @@ def test_times_do_not_depend_on_the_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_last_row_of_a_match_opens_the_next(spark):
+    """After a match the search goes on at its last row, in the same segment and over the border of a bucket."""
+    minute = lambda k: START + dt.timedelta(minutes=k)
+    rows = [(i, minute(7 * i), 1, k, v, None) for i, (k, v) in enumerate([("click", 1.0), ("view", 5.0), ("click", 4.0), ("click", 6.0), ("view", 6.0), ("view", 6.0), ("click", 9.0)])]
+    assert found(rowpattern.match(spark.createDataFrame(rows, CLICKS))) == [(1, 1, 0, 4, 5, 2200, "AUDUP"), (1, 2, 4, 5, 2, 1200, "AP")]
+
+
 def plain_audit(docs, labels):
     first, masks = {}, []
     for i, t, *_ in docs:
