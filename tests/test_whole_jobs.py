@@ -18,6 +18,16 @@ def test_all_events(spark, name):
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-6) for k in got for a, b in zip(got[k], want[k], strict=True))
 
 
+@pytest.mark.parametrize("name", ["attack_loss"])
+def test_untrained_attacks_score_every_sample(spark, name):
+    """Not the held-out split alone."""
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{SF}/documents.parquet'")
+    want = {(r[0], r[1]): r[2] for r in duckdb.sql(catalog.ORACLE_SQL[name]).fetchall()}
+    got = {(r[0], r[1]): r[2] for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert len(got) == catalog.samples(spark, SF).count() and got.keys() == want.keys()
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-6) for k in got for a, b in [(got[k], want[k])])
+
+
 def test_infills_of_several_words(spark):
     known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
     hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()
