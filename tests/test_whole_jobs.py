@@ -18,7 +18,7 @@ def test_all_events(spark, name):
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-6) for k in got for a, b in zip(got[k], want[k], strict=True))
 
 
-@pytest.mark.parametrize("name", ["attack_loss"])
+@pytest.mark.parametrize("name", ["attack_loss", "attack_mkp"])
 def test_untrained_attacks_score_every_sample(spark, name):
     """Not the held-out split alone."""
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{SF}/documents.parquet'")
