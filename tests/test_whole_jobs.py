@@ -28,6 +28,14 @@ def test_untrained_attacks_score_every_sample(spark, name):
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-6) for k in got for a, b in [(got[k], want[k])])
 
 
+@pytest.mark.parametrize("name", ["stratified_split", "agg_label_counts", "val_split"])
+def test_splits_do_not_shuffle_texts_by_label(spark, name):
+    """What has a row for each label is broadcast; a shuffle by label would give half of all texts to one task."""
+    assert "SortMergeJoin" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{SF}/documents.parquet'")
+    assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == sorted(duckdb.sql(catalog.ORACLE_SQL[name]).fetchall())
+
+
 def test_infills_of_several_words(spark):
     known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
     hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()

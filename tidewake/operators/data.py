@@ -32,16 +32,21 @@ def samples(df: DataFrame, label: int, content: str = "content", ident: str | No
 
 def take_per_group(df: DataFrame, group: str, key: Column, quota: DataFrame) -> DataFrame:
     """The ``n`` rows of smallest key of each group; quota: (group, n). Ties of the whole key are broken by blob_id and text."""
-    keyed = df.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, DIGITS))
+    met, edge = _at_the_cut(df.withColumn("_k", key), group, quota)
+    return met.filter(F.col("_b") < F.col("_cut")).select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def _at_the_cut(keyed: DataFrame, group: str, quota: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keyed (with ``_k``) with the prefix ``_b`` of the key and that at which its group is cut, ``_cut``; and the rows of
+    that prefix that are still taken. Groups are few (labels), so what has a row for each is broadcast and no text is shuffled by its group."""
+    keyed = keyed.withColumn("_b", F.substring("_k", 1, DIGITS))
     sizes = keyed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(quota, group)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(quota), group)
     cut = sizes.filter("_before < n").groupBy(group).agg(F.max("_b").alias("_cut"), F.max("_before").alias("_below"), F.first("n").alias("_quota"))
-    met = keyed.join(cut, group)  # one row per group: adaptive execution broadcasts it by its size
-    whole = met.filter(F.col("_b") < F.col("_cut")).select(*df.columns)
+    met = keyed.join(F.broadcast(cut), group)
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_k", "blob_id", "text"))
-    edge = met.filter(F.col("_b") == F.col("_cut")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_quota") - F.col("_below")).select(*df.columns)
-    return whole.unionByName(edge)
+    return met, met.filter(F.col("_b") == F.col("_cut")).withColumn("_r", rank).filter(F.col("_r") <= F.col("_quota") - F.col("_below"))
 
 
 def sample_exact(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -85,10 +90,10 @@ def val_split(df: DataFrame, test: float = 0.5, seed: int = 42) -> DataFrame:
 
 def _split(df: DataFrame, quota: DataFrame, key: Column, one: str, other: str) -> DataFrame:
     keyed = df.withColumn("_k", key)
-    first = take_per_group(keyed, "label", F.col("_k"), quota)
-    edge = first.groupBy("label").agg(F.max(F.struct("_k", "blob_id", "text")).alias("_edge"))  # all before it are in
+    _, last = _at_the_cut(keyed, "label", quota)  # the last row that is in has the prefix of the cut
+    edge = last.groupBy("label").agg(F.max(F.struct("_k", "blob_id", "text")).alias("_edge"))  # all before it are in
     here = F.struct("_k", "blob_id", "text")
-    marked = keyed.join(edge, "label", "left")  # one row per label
+    marked = keyed.join(F.broadcast(edge), "label", "left")
     return marked.select(*df.columns, F.when(here <= F.col("_edge"), one).otherwise(other).alias("split"))
 
 
