@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, learned, lm, measures, metrics, served, subword
+from tidewake.operators import fill, learned, lm, logistic, measures, metrics, served, subword
 from tidewake.sources import files
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
@@ -207,6 +207,17 @@ def test_lookups_beyond_the_broadcast_are_the_same(spark):
         assert sorted(map(tuple, lm.NGramLM(docs, hot=hot).token_logprobs(docs, outer=True).collect()), key=repr) == want
 
 
+def test_a_fit_is_one_job(spark):
+    """Logistic regression takes as many sums as steps, not as many jobs; parts without rows take part too."""
+    rows = spark.createDataFrame([(float(i % 2), [0, 1 + i % 2], [0.6, 0.8]) for i in range(40)] + [(1.0, None, None)], "label double, idx array<int>, w array<double>")
+    spark.sparkContext.setJobGroup("logistic-fit", "a fit")
+    theta = logistic.fit(rows, 3, workers=3)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("logistic-fit")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(theta) == 4 and theta[2] > 1 > -1 > theta[1] and len(jobs) <= 3
+    assert np.allclose(theta, logistic.fit(rows, 3, workers=1), atol=1e-3)
+
+
 def test_fetching_asks_again_without_end_and_goes_on(spark, tmp_path):
     """A blob is busy ten times, then there, over three runs on one folder; what was answered is not asked again."""
     asked = tmp_path / "asked"

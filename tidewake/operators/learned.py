@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import pickle
 import secrets
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from multiprocessing.connection import Client, Listener
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,6 +21,7 @@ from . import elements, logistic, perturb
 from .data import val_split
 from .lm import FeatureModel, TargetModel, tokenize
 from .measures import TrainedFeatures
+from .together import adding
 from ..functions.text import cosine
 from ..sources.scratch import discard, scratch_path, written
 
@@ -162,42 +161,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@contextmanager
-def _adding(task: BarrierTaskContext, key: bytes) -> Iterator[Callable[[list[np.ndarray]], list[np.ndarray]]]:
-    """A function that adds up a list of arrays over the tasks of a barrier stage, for all of them.
-
-    Parts go to the first task over its own connections, which the stage agrees on once; sums
-    are in the order of the tasks. If a task is lost, the others' connections end, and Spark starts the stage anew.
-    """
-    rank, hosts = task.partitionId(), [x.address.rpartition(":")[0] for x in task.getTaskInfos()]
-    server = Listener(("0.0.0.0", 0), backlog=len(hosts), authkey=key) if rank == 0 else None
-    port = int(task.allGather(str(server.address[1]) if server else "")[0])
-    if server:
-        met = [server.accept() for _ in hosts[1:]]
-        links = [c for _, c in sorted(((int(c.recv_bytes()), c) for c in met), key=lambda x: x[0])]
-    else:
-        links = [Client((hosts[0], port), authkey=key)]
-        links[0].send_bytes(str(rank).encode())
-
-    def together(parts: list[np.ndarray]) -> list[np.ndarray]:
-        total = np.concatenate([p.ravel() for p in parts]).astype(float)
-        if server:
-            for link in links:
-                total = total + np.frombuffer(link.recv_bytes())
-        else:
-            links[0].send_bytes(total.tobytes())
-            total = np.frombuffer(links[0].recv_bytes())
-        for link in links if server else ():
-            link.send_bytes(total.tobytes())
-        return [z.reshape(p.shape) for z, p in zip(np.split(total, np.cumsum([p.size for p in parts])[:-1]), parts, strict=True)]
-
-    try:
-        yield together
-    finally:
-        for x in [*links, *([server] if server else [])]:
-            x.close()
-
-
 class Mlp:
     """27 -> 512 x 3 -> 2 with ReLU, dropout and Adam, in numpy; rate drops tenfold every ten epochs.
 
@@ -279,7 +242,7 @@ class Mlp:
             x = (np.array(table.column("features").to_pylist(), dtype=float).reshape(-1, len(mean))[order] - mean) / std
             ids, y = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order].astype(int)
             fit = np.array(table.column("split").to_pylist(), dtype=object)[order] == "fit"
-            with _adding(task, key) as together:
+            with adding(task, key) as together:
                 net._train(x[fit], y[fit], ids[fit], n, (x[~fit], y[~fit]), together)
             if task.partitionId() == 0:
                 yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps((net.w, net.b, net.history))], pa.binary())})

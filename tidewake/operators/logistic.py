@@ -1,20 +1,27 @@
-"""Logistic regression over sparse rows by L-BFGS: the rows stay where they are, a step is one job.
+"""Logistic regression over sparse rows by L-BFGS, in one barrier stage.
 
-A job sends the coefficients to the rows (one array, as long as the vocabulary), adds up the gradient within
-each partition, and sums the parts by coefficient. The driver holds vectors of the vocabulary's length only.
+Each task keeps its part of the rows in files of its own machine and adds up their gradient, chunk by chunk; a
+step is one sum over the tasks, not a job. The first task chooses the coefficients and hands them to the others.
+The driver gets the result; vectors of the vocabulary's length are all that travels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import secrets
+import tempfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Steps whose differences L-BFGS keeps.
-MEMORY = 10
+from .together import adding
+
+#: Steps whose differences L-BFGS keeps; weights that a gradient reads at a time.
+MEMORY, CHUNK = 10, 1_000_000
 
 
 def sparse_rows(docs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -23,43 +30,77 @@ def sparse_rows(docs: DataFrame, weights: DataFrame) -> DataFrame:
     return docs.select("blob_id", "label").join(held, "blob_id", "left").select(F.col("label").cast("double").alias("label"), F.col("terms.idx").alias("idx"), F.col("terms.w").alias("w"))
 
 
-def loss_and_gradient(rows: DataFrame, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """The sum of the losses of rows (label, idx, w) at theta (coefficients, then the intercept), and its gradient."""
-    sent = rows.sparkSession.sparkContext.broadcast(theta)
+class _Part:
+    """A task's rows (label, idx, w): the weights in two files of a folder, the rest in memory."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], folder: str) -> None:
+        labels, sizes = [], []
+        idx, w = Path(folder, "idx"), Path(folder, "w")
+        with open(idx, "wb") as f, open(w, "wb") as g:
+            for batch in batches:
+                labels.append(batch.column("label").to_numpy(zero_copy_only=False))
+                lists, values = batch.column("idx"), batch.column("w")
+                sizes.append(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                f.write(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+                g.write(values.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes())
+        self.label = np.concatenate([np.zeros(0), *labels])
+        self.ends = np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))
+        n = int(self.ends[-1])
+        self.idx = np.memmap(idx, np.int32, "r", shape=(n,)) if n else np.zeros(0, np.int32)
+        self.w = np.memmap(w, float, "r", shape=(n,)) if n else np.zeros(0)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, grad, loss = sent.value, np.zeros(len(theta)), 0.0
-        for batch in batches:
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            lists, values = batch.column("idx"), batch.column("w")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            idx, w = (x.flatten().to_numpy(zero_copy_only=False) for x in (lists, values))
-            row = np.repeat(np.arange(len(label)), sizes)
-            z = np.bincount(row, weights=w * at[idx], minlength=len(label)) + at[-1]
+    def loss_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of the losses at theta (coefficients, then the intercept), and its gradient."""
+        loss, grad, low = 0.0, np.zeros(len(theta)), 0
+        while low < len(self.label):
+            high = max(low + 1, min(int(np.searchsorted(self.ends, self.ends[low] + CHUNK, side="right")) - 1, low + CHUNK))
+            a, b, label = int(self.ends[low]), int(self.ends[high]), self.label[low:high]
+            idx, w, row = self.idx[a:b], self.w[a:b], np.repeat(np.arange(high - low), np.diff(self.ends[low : high + 1]))
+            z = np.bincount(row, weights=w * theta[idx], minlength=high - low) + theta[-1]
             loss += float(np.logaddexp(0, z).sum() - (label * z).sum())
             rest = 1 / (1 + np.exp(-z)) - label
-            grad[:-1] += np.bincount(idx, weights=w * rest[row], minlength=len(at) - 1)
+            grad[:-1] += np.bincount(idx, weights=w * rest[row], minlength=len(theta) - 1)
             grad[-1] += rest.sum()
-        found = np.flatnonzero(grad)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(grad[found], loss))], names=["i", "g"])
+            low = high
+        return loss, grad
 
-    sums = rows.mapInArrow(part, "i bigint, g double").groupBy("i").agg(F.sum("g").alias("g")).toArrow()  # as many rows as coefficients
-    sent.destroy()
-    i, g = sums.column("i").to_numpy(), sums.column("g").to_numpy()
-    out = np.zeros(len(theta))
-    out[i[i >= 0]] = g[i >= 0]
-    return float(g[i < 0].sum()), out
 
-
-def fit(rows: DataFrame, size: int, l2: float = 1.0, tolerance: float = 1e-4, steps: int = 200) -> np.ndarray:
+def fit(rows: DataFrame, size: int, l2: float = 1.0, tolerance: float = 1e-4, steps: int = 200, workers: int | None = None) -> np.ndarray:
     """Coefficients and, last, the intercept: the least of the sum of the losses + l2 / 2 |coefficients| ^ 2, to a
-    gradient of at most ``tolerance``. rows (label, idx, w) are read once a step, so they should be written."""
+    gradient of at most ``tolerance``. rows (label, idx, w) are read once, by ``workers`` tasks that run at the same
+    time (by default half of the cores)."""
+    workers, key = workers or max(1, rows.sparkSession.sparkContext.defaultParallelism // 2), secrets.token_bytes(16)
     weight = np.append(np.full(size, l2), 0.0)
 
-    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, grad = loss_and_gradient(rows, x)
-        return loss + float(weight @ (x * x)) / 2, grad + weight * x
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = BarrierTaskContext.get()
+        with tempfile.TemporaryDirectory(prefix="logistic-") as folder:
+            part, first = _Part(batches, folder), task.partitionId() == 0
+            with adding(task, key) as together:
+
+                def at(x: np.ndarray | None) -> tuple[float, np.ndarray] | None:
+                    """Loss and gradient over all tasks at the first task's x; None when it has ended."""
+                    go, theta = together([np.array([float(x is not None)]), np.zeros(size + 1) if x is None else x])
+                    if not go[0]:
+                        return None
+                    own, grad = part.loss_and_gradient(theta)
+                    loss, grad = together([np.array([own]), grad])
+                    return float(loss[0]) + float(weight @ (theta * theta)) / 2, grad + weight * theta
+
+                if first:
+                    found = least(at, size, tolerance, steps)
+                    at(None)
+                    yield pa.RecordBatch.from_pydict({"theta": pa.array(found)})
+                else:
+                    while at(None):
+                        pass
+
+    theta = rows.select("label", "idx", "w").repartition(workers).mapInArrow(work, "theta double", barrier=True).toArrow()
+    return theta.column("theta").to_numpy()
+
 
+def least(at: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, tolerance: float, steps: int) -> np.ndarray:
+    """Where a function, which at gives with its gradient, of size + 1 variables is least, by L-BFGS from zero."""
     x = np.zeros(size + 1)
     value, grad = at(x)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
