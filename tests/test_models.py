@@ -207,6 +207,18 @@ def test_lookups_beyond_the_broadcast_are_the_same(spark):
         assert sorted(map(tuple, lm.NGramLM(docs, hot=hot).token_logprobs(docs, outer=True).collect()), key=repr) == want
 
 
+def test_sub_words_are_cut_once(spark):
+    """A text is encoded once for its number of tokens, its head and its tail, and once for what a filter leaves of its tokens."""
+    own, text = subword.Subword("/opt/tokenizers/byte_bpe_50k.json"), F.col("text")
+    docs = docs_of(spark, ["one two three four five six", "", None, "caf\u00e9 au lait"])
+    evals = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in line]
+    got = docs.select("blob_id", own.summary(text, 3, 2).alias("x")).select("blob_id", "x.*")
+    want = docs.select("blob_id", own.count(text).alias("tokens"), own.truncate(text, 3).alias("head"), own.truncate(text, 2, keep_end=True).alias("tail"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    for df, use in ((got, "summed("), (lm.positions(docs, cut=own.tokens), "encode(")):
+        assert len(evals(df)) == 1 and evals(df)[0].count(use) == 1
+
+
 def test_a_fit_is_one_job(spark):
     """Logistic regression takes as many sums as steps, not as many jobs; parts without rows take part too."""
     rows = spark.createDataFrame([(float(i % 2), [0, 1 + i % 2], [0.6, 0.8]) for i in range(40)] + [(1.0, None, None)], "label double, idx array<int>, w array<double>")

@@ -63,7 +63,7 @@ class Subword:
             coder = _coder(path)
             return pd.Series([coder.encode(t) if t else [] for t in texts], dtype=object)
 
-        return encode(text)
+        return encode.asNondeterministic()(text)  # else a filter on the tokens encodes the text again
 
     def count(self, text: Column) -> Column:
         return F.size(self.ids(text))
@@ -93,6 +93,20 @@ class Subword:
 
         return cut(text)
 
+    def summary(self, text: Column, head: int, tail: int) -> Column:
+        """tokens (their number), head and tail (as ``truncate`` has them) of a text that is encoded once."""
+        path = self.path
+
+        @F.pandas_udf("tokens int, head string, tail string")
+        def summed(texts: pd.Series) -> pd.DataFrame:
+            coder, out = _coder(path), []
+            for t in texts:
+                ids = coder.encode(t) if t else []
+                out.append((len(ids), t if len(ids) <= head else coder.decode(ids[:head]), t if len(ids) <= tail else coder.decode(ids[-tail:])))
+            return pd.DataFrame(out, columns=["tokens", "head", "tail"])
+
+        return summed.asNondeterministic()(text)  # else each use of a field may encode the text again
+
     def tokens(self, text: Column) -> Column:
         """The tokens as words, for models that count words (``NGramLM(cut=..., joined=...)``)."""
         return F.transform(self.ids(text), lambda i: F.concat(F.lit(MARK), i.cast("string")))
