@@ -1,9 +1,14 @@
 """Registered jobs over whole tables, and infills of full length."""
 
+import random
+import re
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from tidewake.operators import elements, lm
+from tidewake.operators import elements, lm, packed
 from tidewake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +41,38 @@ def test_splits_do_not_shuffle_texts_by_label(spark, name):
     assert sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) == sorted(duckdb.sql(catalog.ORACLE_SQL[name]).fetchall())
 
 
+def _moved(df) -> tuple[str, list[str]]:
+    """The plan, and what its shuffles are dealt by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan, re.findall(r"(?<!Reused)Exchange hashpartitioning\((.*?), \d+\)", plan)
+
+
+@pytest.mark.parametrize("name", ["lm_token_logprobs", "attack_loss", "agg_min_k", "agg_polarized_distance", "win_rank_logprob", "ppl_text", "attack_pac"])
+def test_scores_shuffle_no_tokens(spark, name):
+    """Texts go to blocks, and blocks ask parts of the counts; a token is no row of a shuffle, and has no key of its own there."""
+    _, keys = _moved(catalog.QUERIES[name](spark, SF))
+    assert keys and not any("token" in k or "prev" in k or "_key" in k for k in keys), keys
+
+
+@pytest.mark.parametrize("hot", [0, 5, 100_000])
+def test_counts_of_blocks_and_parts(spark, hot, monkeypatch):
+    """Many blocks and parts, repeated rows, null and empty texts, and texts cut short."""
+    monkeypatch.setattr(packed, "BLOCK", 50)
+    monkeypatch.setattr(packed, "PART", 100)
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abcdefghij") + r.choice("xyz") for _ in range(r.randrange(60))) for _ in range(60)] + ["", None, "one", "a  b\ta b"]
+    rows = [(str(i), t) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "blob_id string, text string")
+    known = [(t or "").split() for _, t in rows if t != texts[0]]
+    c2 = Counter(p for t in known for p in zip(t, t[1:], strict=False))
+    c1 = Counter(a for t in known for a in t[:-1])
+    counts = packed.Counts(docs.filter(F.col("text").isNull() | (F.col("text") != texts[0])), lm.tokenize, hot)
+    assert counts.parts > 5 and counts.vocabulary == len({w for t in known for w in t})
+    for most in (None, 7):
+        want = sorted((b, [c2[p] for p in zip(t, t[1:], strict=False)], [c1[a] for a in t[:-1]]) for b, t in ((b, (t or "").split()[:most]) for b, t in rows))
+        assert sorted((x["blob_id"], x["c2"], x["c1"]) for x in counts.of_texts(docs, most, ("blob_id",)).collect()) == want
+
+
 def test_infills_of_several_words(spark):
     known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
     hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()

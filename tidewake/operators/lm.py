@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from functools import cached_property
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import written
-from . import fill
+from . import fill, packed
 
 ALPHA = 0.1
 TOKEN = r"[^ \t-\r]+"
@@ -79,60 +80,62 @@ def _pairs_of(docs: DataFrame, cut: Callable[[Column], Column]) -> DataFrame:
     return docs.select(cut(F.col("text")).alias("t")).filter(F.size("t") > 0).select(F.inline(pairs))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], value: str, weight: str, hot: int) -> DataFrame:
-    """rows with the value of table (unique keys), null where it has none, in one pass over rows.
-
-    A table of at most ``hot`` rows is broadcast. Of a larger one its ``hot`` rows of greatest weight
-    are, which settles the tokens that a shuffle would pile up; what is left meets the table in a shuffled
-    join, in which settled rows have a number of their own for a key, so they are spread and match nothing.
-    """
-    known = table.select(*keys, value)
-    if table.limit(hot + 1).count() <= hot:
-        return rows.join(F.broadcast(known), keys, "left")
-    top = written(table.orderBy(F.desc(weight), *keys).limit(hot).select(*keys, F.col(value).alias("_hot")), "lm-hot")
-    met = rows.join(F.broadcast(top), keys, "left")
-    settled = F.col("_hot").isNotNull() | F.greatest(*[F.col(k).isNull() for k in [*keys, keys[0]]])
-    # a token holds no blank, so a key that begins with one is in no table
-    met = met.withColumn("_key", F.when(settled, F.concat(F.lit(" "), F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000)).cast("string"))).otherwise(F.col(keys[0])))
-    rest = known.withColumnRenamed(keys[0], "_key")
-    found = met.join(rest, ["_key", *keys[1:]], "left")
-    return found.select(*rows.columns, F.coalesce("_hot", value).alias(value))
-
-
 class NGramLM:
     """Bigram model with additive smoothing: ln((c(prev, token) + ALPHA) / (c(prev) + ALPHA * V)).
 
-    The counts are written once, when the model is made. Without any token all log-probabilities are null.
+    Counts are written once, when they are first asked for. Without any token all log-probabilities are null.
     cut and joined: how texts become tokens and tokens texts; runs of non-blanks here, ``subword`` has others.
     """
 
     def __init__(self, docs: DataFrame, alpha: float = ALPHA, hot: int = HOT, temperature: float = fill.TEMPERATURE, top_p: float = fill.TOP_P, seed: int = 42, cut: Callable[[Column], Column] = tokenize, joined: Callable[[Column], Column] = words_joined) -> None:
-        self.cut, self.joined = cut, joined
+        self.cut, self.joined, self.docs, self.alpha = cut, joined, docs, float(alpha)
         self.hot, self._paths, self._nucleus = hot, {}, None
         self.temperature, self.top_p, self.seed = temperature, top_p, seed
+
+    @cached_property
+    def counts(self) -> packed.Counts:
+        """The counts by hash, for the tokens of texts."""
+        return packed.Counts(self.docs, self.cut, self.hot)
+
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        """prev, token, c2, c1, seen (the log-probability), for what generates."""
         # a text of one token counts for the vocabulary only; it is a pair without a second token
-        met = written(_pairs_of(docs, cut).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
-        v = met.select(F.explode(F.array("prev", "token")).alias("token")).agg(F.count_distinct("token")).first()[0]
+        met = written(_pairs_of(self.docs, self.cut).groupBy("prev", "token").agg(F.count("*").alias("c2")), "lm-pairs")
+        self._known = met.select(F.explode(F.array("prev", "token")).alias("token")).agg(F.count_distinct("token")).first()[0]
         pairs = met.filter("token is not null")
         contexts = pairs.groupBy("prev").agg(F.sum("c2").alias("c1"))
-        a, lp = F.lit(float(alpha)), lambda c2, c1: F.log(F.try_divide(c2 + F.lit(float(alpha)), c1 + F.lit(float(alpha * v))))
-        self.contexts = written(contexts.select("prev", "c1", lp(F.lit(0), F.col("c1")).alias("unseen")), "lm-contexts")
-        self.bigrams = written(pairs.join(self.contexts, "prev").select("prev", "token", "c2", lp(F.col("c2"), F.col("c1")).alias("seen")), "lm-bigrams")
-        self.nothing = F.log(F.try_divide(a, F.lit(float(alpha * v))))
+        seen = self._lp(F.col("c2"), F.col("c1"), self._known).alias("seen")
+        return written(pairs.join(contexts, "prev").select("prev", "token", "c2", "c1", seen), "lm-bigrams")
 
-    def scored(self, at: DataFrame) -> DataFrame:
-        """at (with prev and token) with lp."""
-        met = _looked_up(at, self.bigrams, ["prev", "token"], "seen", "c2", self.hot)
-        met = _looked_up(met, self.contexts, ["prev"], "unseen", "c1", self.hot)
-        return met.withColumn("lp", F.when(F.col("token").isNotNull(), F.coalesce("seen", "unseen", self.nothing))).drop("seen", "unseen")
+    def _lp(self, c2: Column, c1: Column, vocabulary: int) -> Column:
+        return F.log(F.try_divide(c2 + F.lit(self.alpha), c1 + F.lit(self.alpha * vocabulary)))
+
+    def _scored(self) -> Column:
+        """The log-probabilities by the arrays c2 and c1."""
+        return F.zip_with("c2", "c1", lambda c2, c1: self._lp(c2, c1, self.counts.vocabulary))
+
+    def logprob_lists(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """keys, lps of each row of docs (keys, text), or of the rows that spread makes of them where they are scored: the log-probabilities of its tokens but the first, in order."""
+        met = self.counts.of_texts(docs, max_tokens, keys, spread)
+        return met.select(*keys, self._scored().alias("lps"))
 
     def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:
-        """keys, pos, token, lp; tokens stay in the partitions of their texts while the counts are few enough to be sent there."""
-        return self.scored(positions(docs, max_tokens, keys, outer, self.cut)).select(*keys, "pos", "token", "lp")
+        """keys, pos, token, lp; texts and counts move in packed rows, tokens are rows only in the result."""
+        met = self.counts.of_texts(docs, max_tokens, (*dict.fromkeys([*keys, "text"]),))
+        t = F.slice(self.cut(F.col("text")), F.lit(2), F.greatest(F.size("c2"), F.lit(0)))
+        rows = met.select(*keys, "c2", "c1", t.alias("_t"))
+        at = F.arrays_zip(F.sequence(F.lit(1), F.size("c2")).alias("pos"), F.col("_t").alias("token"), self._scored().alias("lp"))
+        if outer:
+            return rows.select(*keys, F.inline_outer(F.when(F.size("c2") > 0, at)))
+        return rows.filter(F.size("c2") > 0).select(*keys, F.inline(at))
 
     def pair_logprobs(self, at: DataFrame) -> DataFrame:
         """prev, token, lp of each distinct pair."""
-        return self.scored(at.select("prev", "token").distinct()).select("prev", "token", "lp")
+        rows = at.select("prev", "token").distinct().join(self.bigrams.select("prev", "token", "c2"), ["prev", "token"], "left")
+        rows = rows.join(self.bigrams.groupBy("prev").agg(F.first("c1").alias("c1")), "prev", "left")
+        lp = self._lp(F.coalesce("c2", F.lit(0)), F.coalesce("c1", F.lit(0)), self._known)
+        return rows.select("prev", "token", F.when(F.col("token").isNotNull(), lp).alias("lp"))
 
     def successors(self) -> DataFrame:
         """prev, token: the most frequent successor (ties: the smaller token)."""
@@ -178,11 +181,22 @@ class NGramLM:
         return fill.fill(prompts, self.bigrams, self.nucleus(), self.cut, max_new, self.seed, joined=self.joined)
 
 
+def _mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def mean_logprobs(model: TargetModel, docs: DataFrame, max_tokens: int | None, keys: tuple) -> DataFrame:
+    """keys, score: the mean of the log-probabilities of each row of docs (keys, text), null without any."""
+    if hasattr(model, "logprob_lists"):
+        return model.logprob_lists(docs, max_tokens, keys).select(*keys, _mean(F.col("lps")).alias("score"))
+    return model.token_logprobs(docs, max_tokens, keys, outer=True).groupBy(*keys).agg(F.avg("lp").alias("score"))
+
+
 def perplexity(model: TargetModel, docs: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
     """keys, ppl = exp(-mean log-probability) of docs (keys, text); 100 for empty texts, 1e6 where there is nothing to average."""
     rows = docs.select(*keys, "text", (F.length(F.coalesce("text", F.lit(""))) == 0).alias("_empty"))
     by = (*keys, "_empty")
-    means = model.token_logprobs(rows, keys=by, outer=True).groupBy(*by).agg(F.avg("lp").alias("m"))
+    means = mean_logprobs(model, rows, None, by).withColumnRenamed("score", "m")
     return means.select(*keys, F.when(F.col("_empty"), F.lit(100.0)).when(F.col("m").isNull(), F.lit(1e6)).otherwise(F.exp(-F.col("m"))).alias("ppl"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lm import TOKEN, TargetModel
+from .lm import TOKEN, TargetModel, _mean, mean_logprobs
 
 LOSS_TOKENS, MIN_K_TOKENS, SWAP_TOKENS = 2048, 2048, 4096
 K = 0.3
@@ -27,18 +28,18 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("_row"), "blob_id", "label", "text")
 
 
-def mean_logprob(lps: DataFrame, keys: tuple = ("blob_id",)) -> DataFrame:
-    return lps.groupBy(*keys).agg(F.avg("lp").alias("score"))
-
-
 def _sorted(lps: DataFrame, keys: tuple) -> DataFrame:
-    """keys, l: the log-probabilities of each text in ascending order. Attacks read 2,048 or 4,096 tokens of a text at most,
-    and the tokens of a text come from one partition, so arrays are bounded and are all that moves."""
+    """keys, l of rows (keys, lp), or rows (keys, l) as they are. Attacks read 2,048 or 4,096 tokens of a text at most, so arrays are bounded."""
+    if "l" in lps.columns:
+        return lps
     return lps.groupBy(*keys).agg(F.sort_array(F.collect_list("lp")).alias("l"))
 
 
-def _mean(values: Column) -> Column:
-    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+def lists(model: TargetModel, docs: DataFrame, max_tokens: int, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """keys, l: the log-probabilities of each row that spread makes of docs (keys, text), in ascending order; keys name a row."""
+    if hasattr(model, "logprob_lists"):
+        return model.logprob_lists(docs, max_tokens, keys, spread).select(*keys, F.sort_array("lps").alias("l"))
+    return _sorted(model.token_logprobs(spread(docs), max_tokens, keys, outer=True), keys)
 
 
 def min_k(lps: DataFrame, k: float = K, keys: tuple = ("blob_id",)) -> DataFrame:
@@ -105,15 +106,15 @@ def _scores(scored: DataFrame) -> DataFrame:
 
 def loss_attack(model: TargetModel, docs: DataFrame) -> DataFrame:
     """blob_id, label, score of every row; null where nothing can be scored."""
-    return _scores(mean_logprob(model.token_logprobs(rows_of(docs), LOSS_TOKENS, ROW, outer=True), ROW))
+    return _scores(mean_logprobs(model, rows_of(docs), LOSS_TOKENS, ROW))
 
 
 def min_k_attack(model: TargetModel, docs: DataFrame, k: float = K) -> DataFrame:
-    return _scores(min_k(model.token_logprobs(rows_of(docs), MIN_K_TOKENS, ROW, outer=True), k, ROW))
+    return _scores(min_k(lists(model, rows_of(docs), MIN_K_TOKENS, ROW), k, ROW))
 
 
 def swap_attack(model: TargetModel, docs: DataFrame, seed: int = 42) -> DataFrame:
     """Texts without scored tokens have distance 0."""
     keys = (*ROW, "variant")
-    lps = model.token_logprobs(swap_tokens(rows_of(docs), seed), SWAP_TOKENS, keys, outer=True)
+    lps = lists(model, rows_of(docs), SWAP_TOKENS, keys, lambda rows: swap_tokens(rows, seed))
     return _scores(combine_mutants(polarized_distance(lps, keys=keys).fillna(0.0, ["score"]), ROW))
