@@ -73,6 +73,12 @@ def test_counts_of_blocks_and_parts(spark, hot, monkeypatch):
         assert sorted((x["blob_id"], x["c2"], x["c1"]) for x in counts.of_texts(docs, most, ("blob_id",)).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["win_ngrams", "tfidf"])
+def test_terms_are_counted_where_their_texts_are(spark, name):
+    _, keys = _moved(catalog.QUERIES[name](spark, SF))
+    assert keys and not any("blob_id" in k and "term" in k for k in keys), keys
+
+
 def test_infills_of_several_words(spark):
     known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
     hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()

@@ -27,6 +27,7 @@ from ..sources.scratch import discard, scratch_path, written
 
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
+DEALT = 1 << 22
 SEED = 42
 
 
@@ -34,9 +35,12 @@ SEED = 42
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """blob_id, term, tf of lower-cased words of two or more characters, and of pairs of them."""
+    """blob_id, term, tf of lower-cased words of two or more characters, and of pairs of them.
+
+    Texts are shuffled by id, in partitions of about DEALT characters, and not their terms, of which there are two a word."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    rows = docs.select("blob_id", words.alias("w"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // DEALT)
+    rows = docs.select("blob_id", "text").repartition(parts, "blob_id").select("blob_id", words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return rows.select("blob_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("blob_id", "term").agg(F.count("*").alias("tf"))
 
