@@ -1,5 +1,7 @@
 """Registered jobs over whole tables, and infills of full length."""
 
+import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -8,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import elements, lm, packed
+from tidewake.operators import elements, fill, lm, packed
 from tidewake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +85,25 @@ def test_infills_of_several_words(spark):
     known = spark.createDataFrame([("k", "# alpha beta gamma delta\n")], "blob_id string, text string")
     hits = elements.infill_hits(lm.NGramLM(known), known).filter("level = 'comments'").collect()
     assert [r["hit"] for r in hits] == [1]
+
+
+def test_draws_wait_for_tokens_that_are_not_common(spark, monkeypatch):
+    """With next to nothing broadcast, draws are those of the definition, and the table of successors is not shuffled."""
+    monkeypatch.setattr(fill, "BYTES", 1500)
+    monkeypatch.setattr(fill, "COMMON", 3)
+    r = random.Random(3)
+    pairs = sorted({(a, b): r.randrange(1, 5) for a in "abcdefgh" for b in r.sample("abcdefghz", 3)}.items())
+    table = lm.written(fill.nucleus(spark.createDataFrame([(a, b, n) for (a, b), n in pairs], "prev string, token string, c2 long"), 1.0, 1.0), "t", bytes=fill._bytes("prev", "token"))
+    ranges = {}
+    for x in table.collect():
+        ranges.setdefault(x["prev"], []).append((x["lo"], x["hi"], x["mass"], x["token"]))
+    starts = spark.range(200).select(F.col("id").alias("_row"), F.col("id").alias("blob_id"), F.element_at(F.array(*map(F.lit, "abcdefghzq")), (F.col("id") % 10 + 1).cast("int")).alias("_here"))
+    got = {x["_row"]: x["output"].split() for x in fill.sampled(starts, table, 12, 42, ("blob_id",)).collect()}
+    for i in range(200):
+        here, want = "abcdefghzq"[i % 10], []
+        while len(want) < 12 and here in ranges:
+            u = int(hashlib.md5(f"42|infill|{i}|{len(want)}".encode()).hexdigest()[:8], 16) / 2**32
+            (here,) = [t for lo, hi, mass, t in ranges[here] if lo <= math.floor(u * mass) < hi]
+            want.append(here)
+        assert got[i] == want
+    assert len(got) == 200
