@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import elements, fill, lm, packed
+from tidewake.operators import elements, fill, learned, lm, packed
 from tidewake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -87,6 +87,14 @@ def test_infills_of_several_words(spark):
     assert [r["hit"] for r in hits] == [1]
 
 
+def test_hit_features_are_made_once(spark):
+    """The forest reads its rows at every level: they are written, with nothing left to compute but the vector."""
+    known = spark.createDataFrame([("k", "# alpha beta gamma delta\n", 1), ("l", "x = 'one two'\n", 0)], "blob_id string, text string, label int")
+    rows = learned.ElementHits(lm.NGramLM(known)).features(known)
+    plan, keys = _moved(rows)
+    assert not keys and "Join" not in plan and "Generate" not in plan and rows.count() == 2
+
+
 def test_draws_wait_for_tokens_that_are_not_common(spark, monkeypatch):
     """With next to nothing broadcast, draws are those of the definition, and the table of successors is not shuffled."""
     monkeypatch.setattr(fill, "BYTES", 1500)

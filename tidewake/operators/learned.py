@@ -108,8 +108,11 @@ class ElementHits:
         self.lm, self.seed = model, seed
 
     def features(self, docs: DataFrame) -> DataFrame:
-        found = elements.features(docs, elements.infill_hits(self.lm, docs.select("blob_id", "text"), self.seed))
-        return VectorAssembler(inputCols=self.columns, outputCol="features").transform(docs.select("blob_id", "label").join(found, "blob_id"))
+        """Written once: the forest reads its rows at every level of its trees."""
+        own = written(docs.select("blob_id", "label"), "hits-docs")
+        found = elements.features(own, elements.infill_hits(self.lm, docs.select("blob_id", "text"), self.seed))
+        rows = written(own.join(found, "blob_id"), "hits-features")
+        return VectorAssembler(inputCols=self.columns, outputCol="features").transform(rows)
 
     def fit(self, docs: DataFrame) -> ElementHits:
         forest = RandomForestClassifier(numTrees=100, maxDepth=20, featureSubsetStrategy="sqrt", impurity="gini", seed=self.seed, featuresCol="features", labelCol="label").fit(self.features(docs))
