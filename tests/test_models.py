@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import fill, learned, lm, logistic, measures, metrics, served, subword
+from tidewake.operators import fill, learned, lm, logistic, measures, metrics, packed, served, subword
 from tidewake.sources import files
 
 TEXTS = ["a b c a b d a b c e", "b c b c d e a c", "d a d b", "e c a b c", "f", "g f g"]
@@ -304,3 +305,17 @@ def test_perceptron_is_the_same_on_any_number_of_workers(spark):
         assert max(np.abs(a - b).max() for a, b in zip([*net.w, *net.b], [*plain.w, *plain.b], strict=True)) < 1e-6
         assert np.allclose(net.history, plain.history, atol=1e-6) and len(net.history) == 6
     assert plain.history[-1][0] < plain.history[0][0]
+
+
+def test_perplexities_shuffle_no_tokens(spark, monkeypatch):
+    """Texts go to blocks, which ask parts of the values; many blocks and parts give what one does."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randrange(40))) for _ in range(30)] + ["", None, "one", "a"]
+    model, docs = measures.KneserNey(docs_of(spark, TEXTS)), docs_of(spark, texts)
+    want = {x["blob_id"]: x["ppl"] for x in model.perplexity(docs).collect()}
+    for name, size in (("VALUE_BLOCK", 4), ("VALUE_PART", 50), ("HELD", 7)):
+        monkeypatch.setattr(packed, name, size)
+    found = model.perplexity(docs)
+    assert not re.search(r"hashpartitioning\([^)]*\b[uvw]#", found._jdf.queryExecution().executedPlan().toString())
+    got = {x["blob_id"]: x["ppl"] for x in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 34 and all(abs(math.log(got[k] / want[k])) < 1e-9 for k in got)

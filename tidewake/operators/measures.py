@@ -4,6 +4,7 @@ word vectors of a factorised co-occurrence matrix for embeddings."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, written
+from ..sources.scratch import discard, settle, written
+from . import packed
 from .lm import tokenize
 
 # Tokens that an embedding and a perplexity read, and what stands for perplexities that are not defined.
@@ -20,15 +22,20 @@ EMPTY, UNDEFINED = 100.0, 1e6
 DISCOUNT = 0.75
 
 
+def _ending(cut: Callable[[Column], Column], longest: int | None) -> Column:
+    """The tokens of ``text``; of one of more than ``longest`` characters, the last that many."""
+    t = cut(F.col("text"))
+    if longest:
+        t = F.when(F.length("text") > longest, F.slice(t, F.greatest(F.size(t) - longest + 1, F.lit(1)), longest)).otherwise(t)
+    return t
+
+
 def triples(docs: DataFrame, keys: tuple = (), cut: Callable[[Column], Column] = tokenize, longest: int | None = None) -> DataFrame:
     """keys, pos, u, v, w: each token w after the two before it, which are empty ahead of the text.
 
     longest: of a text of more characters than that, the last that many tokens count.
     """
-    t = cut(F.col("text"))
-    if longest:
-        t = F.when(F.length("text") > longest, F.slice(t, F.greatest(F.size(t) - longest + 1, F.lit(1)), longest)).otherwise(t)
-    rows = docs.select(*keys, F.concat(F.array(F.lit(""), F.lit("")), t).alias("t")).filter(F.size("t") > 2)
+    rows = docs.select(*keys, F.concat(F.array(F.lit(""), F.lit("")), _ending(cut, longest)).alias("t")).filter(F.size("t") > 2)
     at = F.transform(F.sequence(F.lit(2), F.size("t") - 1), lambda i: F.struct((i - 2).alias("pos"), F.get("t", i - 2).alias("u"), F.get("t", i - 1).alias("v"), F.get("t", i).alias("w")))
     return rows.select(*keys, F.inline(at))
 
@@ -75,12 +82,30 @@ class KneserNey:
         """keys, ppl = exp(-mean log-probability of all tokens but the first); of texts of over ``longest``
         characters the last ``longest`` tokens count. An empty text has 100, a text of one token, or none, 1e6."""
         rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
-        seen = written(triples(rows, keys, self.cut, longest).filter("pos > 0").groupBy(*keys, "u", "v", "w").agg(F.count("*").alias("n")), "kn-seen")
-        scored = written(self.logprobs(seen), "kn-scored")
-        means = seen.join(scored, ["u", "v", "w"]).groupBy(*keys).agg((F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias("_mean"))
+        ends = F.transform(F.concat(F.array(F.lit(""), F.lit("")), _ending(self.cut, longest)), lambda w: F.xxhash64(w))
+        unknown = self.unknown
+
+        def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            or_else = lambda x, y: np.where(np.isnan(x), y, x)
+            p = or_else(a[2], 0.0) + or_else(b[1], 1.0) * or_else(a[0], unknown)
+            return np.log(or_else(a[4], 0.0) + or_else(b[3], 1.0) * p)
+
+        values = self.values
+        settle(docs.sparkSession)
+        sums = written(values.sums(rows, keys, ends, score), "kn-sums")
+        means = sums.groupBy(*keys).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("_mean"))
         out = rows.select(*keys, (F.length("text") == 0).alias("_empty")).join(means, list(keys), "left")
         return out.select(*keys, F.when(F.col("_empty"), F.lit(EMPTY)).when(F.col("_mean").isNull(), F.lit(UNDEFINED)).otherwise(F.exp(-F.col("_mean"))).alias("ppl"))
 
+    @cached_property
+    def values(self) -> packed.Values:
+        """What a probability is made of: p1 and r2 of tokens, p2 and r3 of pairs, p3 of threes."""
+        h = lambda c: F.xxhash64(c)
+        none, no = F.lit(None).cast("bigint"), F.lit(None).cast("double")
+        tokens = self.one.join(self.after2.withColumnRenamed("v", "w"), "w", "full_outer").select(h("w").alias("x"), none.alias("y"), none.alias("z"), F.col("p1").alias("a"), F.col("r2").alias("b"))
+        pairs = self.two.join(self.after3.select(F.col("u").alias("v"), F.col("v").alias("w"), "r3"), ["v", "w"], "full_outer").select(h("v"), h("w"), none, "p2", "r3")
+        return packed.Values(tokens.union(pairs).union(self.three.select(h("u"), h("v"), h("w"), "p3", no)))
+
 
 # --- word vectors
 

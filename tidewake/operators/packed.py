@@ -193,3 +193,98 @@ class Counts:
         met = asked.groupBy("part").cogroup(self.table.groupBy("part")).applyInArrow(answer, "part int, block bigint, n binary")
         counts = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("c2", "c1")]
         return dealt.groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(give, T.StructType([*dealt.select(*keep).schema, *counts]))
+
+
+#: Tokens of a block, characters of texts, and values, for each part of them, where tokens have values (``Values``).
+VALUE_BLOCK, VALUE_PART, HELD = 1 << 18, 1 << 22, 1 << 18
+
+
+def chained(*hashes: np.ndarray) -> np.ndarray:
+    """A hash of one, two or three tokens in a row."""
+    out = _mixed(hashes[0])
+    for h in hashes[1:]:
+        out = _mixed(out + h)
+    return out
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+class Values:
+    """Two numbers for each of many runs of tokens (h: ``chained``, a, b), looked up for all runs of texts by blocks and parts, as ``Counts`` does."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        """rows: x, y, z (hashes of a run's tokens; null beyond it), a, b."""
+
+        def name(batches):
+            for batch in batches:
+                x, y, z = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for c in "xyz")
+                n = 1 + sum(batch.column(c).is_valid().to_numpy(zero_copy_only=False).astype(int) for c in "yz")
+                h = np.select([n == 1, n == 2], [chained(x), chained(x, y)], chained(x, y, z)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("a"), batch.column("b")], names=["h", "a", "b"])
+
+        self.table = written(rows.select("x", "y", "z", "a", "b").mapInArrow(name, "h bigint, a double, b double"), "values")
+
+    def sums(self, docs: DataFrame, keys: tuple, own: Column, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """keys, s, n of each row of docs (keys, text): the sum of the scores of its tokens but
+        the first, and their number. own: the hashes of two empty tokens and the text's; score: of arrays a and b with a row each for a token, the one before, its pair, the pair before, and its three."""
+        size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        blocks, parts = max(1, size // (_WORD * VALUE_BLOCK)), int(max(1, size // VALUE_PART, self.table._scratch_measures["rows"] // HELD))
+        asks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("h", pa.list_(pa.int64()))])
+        replies = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("v", pa.binary())])
+
+        def runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Different keys, where those of tokens and pairs are, those of threes, the places of threes among tokens, and their rows."""
+            own = table.column("own").combine_chunks()
+            n = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes, row = own.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(hashes)) - (np.cumsum(n) - n)[row]
+            at = np.flatnonzero(pos >= 2)
+            three = at[pos[at] >= 3]
+            found = [chained(hashes[at]), chained(hashes[at - 1], hashes[at]), chained(hashes[three - 2], hashes[three - 1], hashes[three])]
+            different, which = np.unique(np.concatenate(found), return_inverse=True)
+            return different, which[: 2 * len(at)].reshape(2, -1), which[2 * len(at) :], np.searchsorted(at, three), row[three]
+
+        def dealt(different: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            part = different.view(np.int64) % parts
+            order = np.argsort(part, kind="stable")
+            ids, first = np.unique(part[order], return_index=True)
+            return list(zip(ids.tolist(), np.split(order, first[1:])[: len(ids)], strict=True))
+
+        def ask(table: pa.Table) -> pa.Table:
+            different, block = runs(table)[0], table.column("_block")[0].as_py()
+            rows = [(part, block, different[at].view(np.int64)) for part, at in dealt(different)]
+            return pa.Table.from_batches([_row(asks, rows)] if rows else [], asks)
+
+        def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+            have, out = _flat(table, "h"), []
+            order = np.argsort(have)
+            have, values = have[order], np.stack([_flat(table, "a")[order], _flat(table, "b")[order]]).astype(float)
+            for part, block, h in zip(*(asked.column(c) for c in ("part", "block", "h")), strict=True):
+                h = h.values.to_numpy()
+                got = np.full((2, len(h)), np.nan)
+                if len(have):
+                    at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+                    got = np.where(have[at] == h, values[:, at], np.nan)
+                out.append((part.as_py(), block.as_py(), pa.compress(got.tobytes(), "zstd", asbytes=True)))
+            return pa.Table.from_batches([_row(replies, out)] if out else [], replies)
+
+        def give(table: pa.Table, answers: pa.Table) -> pa.Table:
+            got = dict(zip(answers.column("part").to_pylist(), answers.column("v").to_pylist(), strict=True))
+            different, short, long, at, row = runs(table)
+            values = np.full((2, len(different)), np.nan)
+            for part, places in dealt(different):
+                values[:, places] = np.frombuffer(pa.decompress(got[part], 16 * len(places), "zstd", asbytes=True)).reshape(2, -1)
+            scored = np.zeros(0)
+            if len(row):
+                scored = score(*(np.stack([x[short[0][at]], x[short[0][at - 1]], x[short[1][at]], x[short[1][at - 1]], x[long]]) for x in values))
+            out = table.select(list(keys)).append_column("s", pa.array(np.bincount(row, weights=scored, minlength=table.num_rows).astype(float)))
+            return out.append_column("n", pa.array(np.bincount(row, minlength=table.num_rows).astype(np.int64)))
+
+        block = F.pmod(F.xxhash64(*keys, "text"), F.lit(blocks)).alias("_block")
+        texts = docs.select(*keys, "text", block).repartition("_block").select("_block", *keys, own.alias("own"))
+        asked = texts.select("_block", "own").groupBy("_block").applyInArrow(ask, "part int, block bigint, h array<bigint>")
+        held = self.table.withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+        met = asked.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(answer, "part int, block bigint, v binary")
+        return texts.groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(give, T.StructType([*docs.select(*keys).schema, T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())]))
