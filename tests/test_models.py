@@ -319,3 +319,29 @@ def test_perplexities_shuffle_no_tokens(spark, monkeypatch):
     assert not re.search(r"hashpartitioning\([^)]*\b[uvw]#", found._jdf.queryExecution().executedPlan().toString())
     got = {x["blob_id"]: x["ppl"] for x in found.collect()}
     assert got.keys() == want.keys() and len(got) == 34 and all(abs(math.log(got[k] / want[k])) < 1e-9 for k in got)
+
+
+def test_perceptron_of_few_rows_a_step_is_trained_by_one_task(spark):
+    """Which gives the network that several give when they add up their gradients."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((120, 5))
+    y = (x[:, 0] > 0).astype(int)
+    frame = lm.written(spark.createDataFrame([(i, x[i].tolist(), int(y[i]), "fit") for i in range(120)], "id long, features array<double>, label int, split string"), "t")
+    alone, several = (learned.Mlp(hidden=16, epochs=3, alone=n).fit_rows(frame, np.zeros(5), np.ones(5), 3) for n in (64, 0))
+    assert max(np.abs(a - b).max() for a, b in zip([*alone.w, *alone.b], [*several.w, *several.b], strict=True)) < 1e-9
+
+
+def test_equal_outputs_are_measured_once(spark):
+    asked = []
+
+    class Sizes:
+        def embed(self, text):
+            return F.array(F.length(text).cast("double"), F.lit(1.0))
+
+        def perplexity(self, docs, keys):
+            asked.append(docs.count())
+            return docs.select(*keys, (F.length("text") + 1.0).alias("ppl"))
+
+    docs = spark.createDataFrame([(f"value{i} = name{i} + 1\nprint(value{i})\n" * 3, str(i), i % 2) for i in range(12)], "text string, blob_id string, label int")
+    rows = learned.stability_features(lm.NGramLM(docs), Sizes(), docs).collect()
+    assert len(rows) == 12 and all(len(r["features"]) == 27 for r in rows) and asked[0] < 12 * 12

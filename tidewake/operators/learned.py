@@ -23,10 +23,14 @@ from .lm import FeatureModel, TargetModel, tokenize
 from .measures import TrainedFeatures
 from .together import adding
 from ..functions.text import cosine
-from ..sources.scratch import discard, scratch_path, written
+from ..sources.scratch import discard, measured, scratch_path, written
 
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
+#: Weights that a step of Adam changes at a time; rows of a step (27 numbers each) up to which one task trains faster than several add up half a million gradients.
+ADAM, ALONE = 1 << 14, 64
+#: Rows of two numbers that are broadcast at most.
+SMALL = 200_000
 DEALT = 1 << 22
 SEED = 42
 
@@ -131,15 +135,18 @@ class ElementHits:
 def stability_features(model: TargetModel, measure: FeatureModel, docs: DataFrame, seed: int = SEED) -> DataFrame:
     """blob_id, label and 27 features: similarities of twelve outputs to the truth with mean and deviation,
     relative perplexities of eleven outputs with mean and deviation. Outputs are written once and end before
-    a line end; each text is embedded once."""
+    a line end; each text is embedded once, and of equal outputs, which most variants of a text have, one is measured."""
     rows = perturb.variants(perturb.prefix_split(docs.select("blob_id", "label", "text"), seed), "prefix", seed)
     ends = tokenize("code")
     out = model.generate(rows.select("blob_id", "label", "variant", "gt", F.array_join(F.slice(ends, F.greatest(F.size(ends) - PROMPT_TOKENS + 1, F.lit(1)), PROMPT_TOKENS), " ").alias("text")), GEN_TOKENS, "\n")
     out = written(out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text")), "stability")
-    ppl = measure.perplexity(out, ("blob_id", "variant"))
+    named = F.xxhash64("text").alias("output")
+    different = written(out.select(named, "text").dropDuplicates(["output"]), "stability-outputs")
+    ppl = written(measure.perplexity(different, ("output",)), "stability-ppl")
+    ppl = F.broadcast(ppl) if measured(ppl)["rows"] <= SMALL else ppl
     truth = out.filter("variant = 0").select("blob_id", measure.embed(F.col("gt")).alias("truth"))
-    sims = out.withColumn("e", measure.embed(F.col("text"))).join(truth, "blob_id").select("blob_id", "label", "variant", cosine("e", "truth").alias("sim"))
-    return feature_vectors(sims.join(ppl, ["blob_id", "variant"]))
+    sims = out.withColumn("e", measure.embed(F.col("text"))).join(truth, "blob_id").select("blob_id", "label", "variant", named, cosine("e", "truth").alias("sim"))
+    return feature_vectors(sims.join(ppl, "output"))
 
 
 def feature_vectors(rows: DataFrame) -> DataFrame:
@@ -168,6 +175,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _adam(q: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, count: float, rate: float, t: int) -> None:
+    """One step of Adam in place, in pieces that stay in the processor's cache; g: the sum of count gradients."""
+    for at in range(0, len(q), ADAM):
+        x, y, z, d = q[at : at + ADAM], m[at : at + ADAM], v[at : at + ADAM], g[at : at + ADAM] / count
+        y += 0.1 * (d - y)
+        d *= d
+        d -= z
+        d *= 0.001
+        z += d
+        np.divide(z, 1 - 0.999**t, out=d)
+        np.sqrt(d, out=d)
+        d += 1e-8
+        np.divide(y, d, out=d)
+        d *= rate / (1 - 0.9**t)
+        x -= d
+
+
 class Mlp:
     """27 -> 512 x 3 -> 2 with ReLU, dropout and Adam, in numpy; rate drops tenfold every ten epochs.
 
@@ -175,7 +199,8 @@ class Mlp:
     on any number of workers, up to the rounding of sums.
     """
 
-    def __init__(self, seed: int = SEED, hidden: int = 512, epochs: int = 25, batch: int = 32, rate: float = 1e-3, dropout: float = 0.1, steps: int = 1000) -> None:
+    def __init__(self, seed: int = SEED, hidden: int = 512, epochs: int = 25, batch: int = 32, rate: float = 1e-3, dropout: float = 0.1, steps: int = 1000, alone: int = ALONE) -> None:
+        self.alone = alone
         self.seed, self.hidden, self.epochs, self.batch, self.rate, self.dropout, self.steps = seed, hidden, epochs, batch, rate, dropout, steps
 
     def _draw(self, ids: np.ndarray, epoch: int, unit: np.ndarray) -> np.ndarray:
@@ -207,7 +232,7 @@ class Mlp:
         self.w = [r.standard_normal((a, b)) * np.sqrt(2 / a) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b) for b in sizes[1:]]
         params = [*self.w, *self.b]
-        m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        moments, t = [(p.ravel(), np.zeros(p.size), np.zeros(p.size)) for p in params], 0
         steps, units = max(1, min(self.steps, -(-n // self.batch))), np.arange(3 * self.hidden) + 1
         for epoch in range(self.epochs):
             step_of = (self._draw(ids, epoch, np.zeros(1))[:, 0] % np.uint64(steps)).astype(int)
@@ -221,11 +246,8 @@ class Mlp:
                 if not count[0]:
                     continue
                 t += 1
-                for i, (q, g) in enumerate(zip(params, grads, strict=True)):
-                    g = g / count[0]
-                    m[i] += 0.1 * (g - m[i])
-                    v[i] += 0.001 * (g * g - v[i])
-                    q -= self.rate * 0.1 ** (epoch // 10) * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                for (q, m, v), g in zip(moments, grads, strict=True):
+                    _adam(q, m, v, np.ravel(g), count[0], self.rate * 0.1 ** (epoch // 10), t)
             if val is not None:
                 loss, right, count = together([np.array([z]) for z in self._judge(*val)])
                 if count[0]:
@@ -238,8 +260,11 @@ class Mlp:
 
     def fit_rows(self, rows: DataFrame, mean: np.ndarray, std: np.ndarray, workers: int) -> Mlp:
         """Train on written rows (id, features, label, split: fit or val) where they are: a barrier stage of ``workers``
-        tasks, each with its part of the rows, that add up their gradients at every step. The driver gets the network."""
+        tasks, each with its part of the rows, that add up their gradients at every step. The driver gets the network.
+
+        Up to ``ALONE`` rows a step, which bounds the rows as well, one task does it."""
         n, net, key = rows.filter("split = 'fit'").count(), self, secrets.token_bytes(16)
+        workers = 1 if n <= self.alone * self.steps else workers
 
         def work(batches):
             task = BarrierTaskContext.get()
