@@ -465,3 +465,11 @@ def test_registry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 3
+
+
+def test_names_are_drawn_once_a_text(spark):
+    """Not again for every line: the lines are looked through with a name that is bound outside."""
+    lines = F.array(F.lit("a = 1"), F.lit("bb = a"))
+    text = str(perturb._first_line(lines, F.lower(F.lit("BB"))))
+    assert text.lower().index("lower") < text.index("array_contains")
+    assert spark.range(1).select(perturb._first_line(lines, F.lower(F.lit("BB"))).alias("i"), perturb._first_line(lines, F.lit("c")).alias("n")).first()[:] == (1, None)
