@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -13,7 +13,9 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
+#: Entries up to which a table of powers is kept.
+_KEPT = 1 << 22
 
 
 def finish(h: np.ndarray) -> np.ndarray:
@@ -24,19 +26,19 @@ def finish(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i up to n."""
+    """BASE ** i and its inverse modulo 2 ** 64, for i up to n at least. One table is kept, the largest so far."""
+    global _POWERS
+    if len(_POWERS[0]) > n:
+        return _POWERS
     size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        inverse = pow(int(BASE), -1, 1 << 64)
-        both = []
-        for base in (int(BASE), inverse):
-            out = np.full(size + 1, base, dtype=np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        if size > 4 * SEGMENT:
-            return tuple(both)
-        _POWERS[size] = tuple(both)
-    return _POWERS[size]
+    both = []
+    for base in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+        out = np.full(size + 1, base, dtype=np.uint64)
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    if size <= _KEPT:
+        _POWERS = tuple(both)
+    return tuple(both)
 
 
 def _segment(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
