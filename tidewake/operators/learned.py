@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import secrets
 from collections.abc import Callable
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 
 from . import elements, logistic, perturb
 from .data import val_split
-from .lm import FeatureModel, TargetModel, tokenize
+from .lm import FeatureModel, TargetModel
 from .measures import TrainedFeatures
 from .together import adding
 from ..functions.text import cosine
@@ -28,7 +29,7 @@ from ..sources.scratch import discard, measured, scratch_path, written
 TERMS, TOP = 50_000, 40
 GEN_TOKENS, PROMPT_TOKENS = 50, 1024
 #: Weights that a step of Adam changes at a time; rows of a step (27 numbers each) up to which one task trains faster than several add up half a million gradients.
-ADAM, ALONE = 1 << 14, 64
+ADAM, ALONE = 1 << 13, 64
 #: Rows of two numbers that are broadcast at most.
 SMALL = 200_000
 DEALT = 1 << 22
@@ -136,15 +137,15 @@ def stability_features(model: TargetModel, measure: FeatureModel, docs: DataFram
     """blob_id, label and 27 features: similarities of twelve outputs to the truth with mean and deviation,
     relative perplexities of eleven outputs with mean and deviation. Outputs are written once and end before
     a line end; each text is embedded once, and of equal outputs, which most variants of a text have, one is measured."""
-    rows = perturb.variants(perturb.prefix_split(docs.select("blob_id", "label", "text"), seed), "prefix", seed)
-    ends = tokenize("code")
-    out = model.generate(rows.select("blob_id", "label", "variant", "gt", F.array_join(F.slice(ends, F.greatest(F.size(ends) - PROMPT_TOKENS + 1, F.lit(1)), PROMPT_TOKENS), " ").alias("text")), GEN_TOKENS, "\n")
-    out = written(out.select("blob_id", "label", "variant", "gt", F.col("output").alias("text")), "stability")
+    split = perturb.prefix_split(docs.select("blob_id", "label", "text"), seed)
+    rows = perturb.variants(split.select("blob_id", "label", "prefix"), "prefix", seed, PROMPT_TOKENS)
+    out = model.generate(rows.select("blob_id", "label", "variant", F.col("code").alias("text")), GEN_TOKENS, "\n")
+    out = written(out.select("blob_id", "label", "variant", F.col("output").alias("text")), "stability")
     named = F.xxhash64("text").alias("output")
     different = written(out.select(named, "text").dropDuplicates(["output"]), "stability-outputs")
     ppl = written(measure.perplexity(different, ("output",)), "stability-ppl")
     ppl = F.broadcast(ppl) if measured(ppl)["rows"] <= SMALL else ppl
-    truth = out.filter("variant = 0").select("blob_id", measure.embed(F.col("gt")).alias("truth"))
+    truth = split.select("blob_id", measure.embed(F.col("gt")).alias("truth"))
     sims = out.withColumn("e", measure.embed(F.col("text"))).join(truth, "blob_id").select("blob_id", "label", "variant", named, cosine("e", "truth").alias("sim"))
     return feature_vectors(sims.join(ppl, "output"))
 
@@ -177,18 +178,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _adam(q: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, count: float, rate: float, t: int) -> None:
     """One step of Adam in place, in pieces that stay in the processor's cache; g: the sum of count gradients."""
+    first, second, share, scale, pace = np.empty(min(ADAM, len(q))), np.empty(min(ADAM, len(q))), 1 / count, (1 - 0.999**t) ** -0.5, rate / (1 - 0.9**t)
     for at in range(0, len(q), ADAM):
-        x, y, z, d = q[at : at + ADAM], m[at : at + ADAM], v[at : at + ADAM], g[at : at + ADAM] / count
-        y += 0.1 * (d - y)
+        x, y, z = q[at : at + ADAM], m[at : at + ADAM], v[at : at + ADAM]
+        d, e = first[: len(x)], second[: len(x)]
+        np.multiply(g[at : at + ADAM], share, out=d)
+        np.subtract(d, y, out=e)
+        e *= 0.1
+        y += e
         d *= d
         d -= z
         d *= 0.001
         z += d
-        np.divide(z, 1 - 0.999**t, out=d)
-        np.sqrt(d, out=d)
+        np.sqrt(z, out=d)
+        d *= scale
         d += 1e-8
         np.divide(y, d, out=d)
-        d *= rate / (1 - 0.9**t)
+        d *= pace
         x -= d
 
 
@@ -218,7 +224,7 @@ class Mlp:
         d[np.arange(len(y)), y] -= 1
         gw, gb = [], []
         for i in (3, 2, 1, 0):
-            gw.insert(0, layers[i].T @ d)
+            gw.insert(0, np.matmul(layers[i].T, d, out=self.gw[i]))  # in place: new arrays of this size cost as much as the product
             gb.insert(0, d.sum(0))
             if i:
                 d = (d @ self.w[i].T) * (layers[i] > 0) * keep[:, i - 1]
@@ -231,7 +237,7 @@ class Mlp:
         sizes = [x.shape[1], self.hidden, self.hidden, self.hidden, 2]
         self.w = [r.standard_normal((a, b)) * np.sqrt(2 / a) for a, b in zip(sizes, sizes[1:], strict=False)]
         self.b = [np.zeros(b) for b in sizes[1:]]
-        params = [*self.w, *self.b]
+        params, self.gw = [*self.w, *self.b], [np.empty_like(w) for w in self.w]
         moments, t = [(p.ravel(), np.zeros(p.size), np.zeros(p.size)) for p in params], 0
         steps, units = max(1, min(self.steps, -(-n // self.batch))), np.arange(3 * self.hidden) + 1
         for epoch in range(self.epochs):
@@ -274,7 +280,7 @@ class Mlp:
             x = (np.array(table.column("features").to_pylist(), dtype=float).reshape(-1, len(mean))[order] - mean) / std
             ids, y = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order].astype(int)
             fit = np.array(table.column("split").to_pylist(), dtype=object)[order] == "fit"
-            with adding(task, key) as together:
+            with nullcontext(lambda parts: parts) if workers == 1 else adding(task, key) as together:
                 net._train(x[fit], y[fit], ids[fit], n, (x[~fit], y[~fit]), together)
             if task.partitionId() == 0:
                 yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps((net.w, net.b, net.history))], pa.binary())})
