@@ -14,15 +14,16 @@ from pyspark import BarrierTaskContext
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import elements, logistic, perturb
+from . import bag, elements, logistic, perturb
 from .data import val_split
 from .lm import FeatureModel, TargetModel
 from .measures import TrainedFeatures
 from .together import adding
+from ..functions.folds import bind
 from ..functions.text import cosine
 from ..sources.scratch import discard, measured, scratch_path, written
 
@@ -32,6 +33,8 @@ GEN_TOKENS, PROMPT_TOKENS = 50, 1024
 ADAM, ALONE = 1 << 13, 64
 #: Rows of two numbers that are broadcast at most.
 SMALL = 200_000
+#: Texts that are packed into a block of rows at a time.
+PACKED = 2000
 DEALT = 1 << 22
 SEED = 42
 
@@ -39,15 +42,21 @@ SEED = 42
 # --- bag of words
 
 
+def terms_of(text: Column) -> Column:
+    """The lower-cased words of two or more characters of a text, and the pairs of them."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    none = F.array().cast("array<string>")
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(none)
+    return F.coalesce(bind(words, lambda w: F.concat(w, pairs(w))), none)
+
+
 def ngram_counts(docs: DataFrame) -> DataFrame:
     """blob_id, term, tf of lower-cased words of two or more characters, and of pairs of them.
 
     Texts are shuffled by id, in partitions of about DEALT characters, and not their terms, of which there are two a word."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // DEALT)
-    rows = docs.select("blob_id", "text").repartition(parts, "blob_id").select("blob_id", words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return rows.select("blob_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("blob_id", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select("blob_id", "text").repartition(parts, "blob_id")
+    return rows.select("blob_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("blob_id", "term").agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, size: int = TERMS) -> DataFrame:
@@ -72,14 +81,31 @@ class BagOfWords:
         pass
 
     def fit(self, docs: DataFrame) -> BagOfWords:
-        counts = written(ngram_counts(docs), "bow-counts")
-        self.n = docs.count()
-        self.vocab = docs.sparkSession.createDataFrame(vocabulary(counts).collect(), "term string, cf long, df long, idx int")  # capped by TERMS
-        self.size = self.vocab.count()
-        rows = written(logistic.sparse_rows(docs, tfidf(counts, self.vocab, self.n)), "bow-rows")
-        theta = logistic.fit(rows, self.size)
+        self.n, characters = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        rows, again = bag.by_id(docs, terms_of)
+        top = bag.commonest(rows, TERMS, characters)
+        top = top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)  # at most TERMS rows
+        self.vocab = docs.sparkSession.createDataFrame(top.collect(), "term string, cf long, df long, idx int")
+        self.bags = bag.Bags(self.vocab, self.n)
+        sent = docs.sparkSession.sparkContext.broadcast(self.bags)
+
+        def pack(batches):
+            kind = pa.schema([("labels", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
+            for batch in batches:
+                for low in range(0, batch.num_rows, PACKED):
+                    part = batch.slice(low, PACKED)
+                    (labels, own), (row, idx, tf) = bag._flat(part.column("labels")), sent.value.rows(part.column("h"))
+                    nth = np.arange(len(own)) - np.searchsorted(own, own)
+                    for k in range(int(nth.max(initial=-1)) + 1):  # an id of several rows has as many, of the same terms
+                        which = np.flatnonzero(nth == k)
+                        chosen = np.isin(row, own[which])
+                        (y, sizes), data = logistic.packed(labels[which].astype(float), np.searchsorted(own[which], row[chosen]), idx[chosen], tf[chosen])
+                        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((y, sizes, data), kind, strict=True)], schema=kind)
+
+        blocks = rows.select("labels", bag.hashed().alias("h")).mapInArrow(pack, "labels array<double>, sizes array<int>, data binary")
+        theta = logistic.fit(blocks, len(self.bags.idf), weigh=self.bags.weights)
         self.coefficients, self.intercept = theta[:-1], float(theta[-1])
-        discard(counts, rows)
+        discard(again)
         return self
 
     def _coefficients(self) -> DataFrame:
@@ -87,11 +113,20 @@ class BagOfWords:
         return self.vocab.sparkSession.createDataFrame([(i, float(c)) for i, c in enumerate(self.coefficients)], "idx int, coef double")
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """Probabilities as sums of weights times coefficients, without vectors."""
-        weights = tfidf(ngram_counts(docs), self.vocab, self.n).join(F.broadcast(self._coefficients()), "idx")  # capped by TERMS
-        sums = weights.groupBy("blob_id").agg(F.sum(F.col("w") * F.col("coef")).alias("z"))
-        odds = F.coalesce("z", F.lit(0.0)) + F.lit(self.intercept)
-        return docs.select("blob_id", "label").join(sums, "blob_id", "left").select("blob_id", "label", (1 / (1 + F.exp(-odds))).alias("score"))
+        """Probabilities as sums of weights times coefficients, where the texts are."""
+        sent = docs.sparkSession.sparkContext.broadcast((self.bags, self.coefficients, self.intercept))
+
+        def judge(batches):
+            bags, coefficients, intercept = sent.value
+            for batch in batches:
+                row, idx, tf = bags.rows(batch.column("h"))
+                z = np.bincount(row, weights=bags.weights(row, idx, tf, batch.num_rows) * coefficients[idx], minlength=batch.num_rows) + intercept
+                yield pa.RecordBatch.from_arrays([batch.column("blob_id"), batch.column("labels"), pa.array(1 / (1 + np.exp(-z)))], names=["blob_id", "labels", "score"])
+
+        kinds = dict(docs.dtypes)
+        rows, _ = bag.by_id(docs, terms_of)
+        scored = rows.select("blob_id", "labels", bag.hashed().alias("h")).mapInArrow(judge, f"blob_id {kinds['blob_id']}, labels array<{kinds['label']}>, score double")
+        return scored.select("blob_id", F.explode("labels").alias("label"), "score")
 
     def top_features(self, n: int = TOP) -> DataFrame:
         """term, coef, side: the n largest and the n smallest coefficients."""

@@ -7,6 +7,7 @@ The driver gets the result; vectors of the vocabulary's length are all that trav
 
 from __future__ import annotations
 
+import pickle
 import secrets
 import tempfile
 from collections.abc import Callable, Iterator
@@ -30,6 +31,49 @@ def sparse_rows(docs: DataFrame, weights: DataFrame) -> DataFrame:
     return docs.select("blob_id", "label").join(held, "blob_id", "left").select(F.col("label").cast("double").alias("label"), F.col("terms.idx").alias("idx"), F.col("terms.w").alias("w"))
 
 
+def packed(labels: np.ndarray, row: np.ndarray, idx: np.ndarray, tf: np.ndarray) -> tuple[list, bytes]:
+    """labels and sizes of rows, and their idx and tf (in the order of rows and of idx) in few bytes."""
+    sizes = np.bincount(row, minlength=len(labels))
+    first = np.append(True, np.diff(row) != 0)[: len(row)]
+    step = np.where(first, idx, np.diff(idx, prepend=0))
+    least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    data = pickle.dumps((least(step), least(tf)))
+    return [labels, sizes], pa.compress(data, "zstd", asbytes=True) + len(data).to_bytes(8, "little")
+
+
+def unpacked(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, idx, tf of what packed has made."""
+    step, tf = pickle.loads(pa.decompress(data[:-8], int.from_bytes(data[-8:], "little"), "zstd"))
+    row, sums = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(step.astype(np.int64))
+    first = np.cumsum(sizes) - sizes
+    before = np.where(first > 0, sums[np.minimum(first, len(sums)) - 1], 0) if len(sums) else np.zeros(len(sizes), np.int64)
+    return row, sums - before[row], tf
+
+
+class _Blocks:
+    """A task's rows in packed blocks (labels, sizes, data), the data in a file of a folder; weigh: the weights of (row, idx, tf, rows)."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], folder: str, weigh: Callable) -> None:
+        self.path, self.weigh, self.blocks = Path(folder, "blocks"), weigh, []
+        with open(self.path, "wb") as f:
+            for batch in batches:
+                for labels, sizes, data in zip(*(batch.column(c) for c in ("labels", "sizes", "data")), strict=True):
+                    self.blocks.append((labels.values.to_numpy(), sizes.values.to_numpy().astype(np.int64), f.write(data.as_buffer())))
+
+    def loss_and_gradient(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, grad = 0.0, np.zeros(len(theta))
+        with open(self.path, "rb") as f:
+            for label, sizes, n in self.blocks:
+                row, idx, tf = unpacked(f.read(n), sizes)
+                w = self.weigh(row, idx, tf, len(label))
+                z = np.bincount(row, weights=w * theta[idx], minlength=len(label)) + theta[-1]
+                loss += float(np.logaddexp(0, z).sum() - (label * z).sum())
+                rest = 1 / (1 + np.exp(-z)) - label
+                grad[:-1] += np.bincount(idx, weights=w * rest[row], minlength=len(theta) - 1)
+                grad[-1] += rest.sum()
+        return loss, grad
+
+
 class _Part:
     """A task's rows (label, idx, w): the weights in two files of a folder, the rest in memory."""
 
@@ -65,17 +109,18 @@ class _Part:
         return loss, grad
 
 
-def fit(rows: DataFrame, size: int, l2: float = 1.0, tolerance: float = 1e-4, steps: int = 200, workers: int | None = None) -> np.ndarray:
+def fit(rows: DataFrame, size: int, l2: float = 1.0, tolerance: float = 1e-4, steps: int = 200, workers: int | None = None, weigh: Callable | None = None) -> np.ndarray:
     """Coefficients and, last, the intercept: the least of the sum of the losses + l2 / 2 |coefficients| ^ 2, to a
     gradient of at most ``tolerance``. rows (label, idx, w) are read once, by ``workers`` tasks that run at the same
-    time (by default half of the cores)."""
+    time (by default half of the cores). With weigh, rows (labels, sizes, data) are blocks of rows that packed has made, and weigh gives
+    their weights: a task keeps and reads them packed."""
     workers, key = workers or max(1, rows.sparkSession.sparkContext.defaultParallelism // 2), secrets.token_bytes(16)
     weight = np.append(np.full(size, l2), 0.0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = BarrierTaskContext.get()
         with tempfile.TemporaryDirectory(prefix="logistic-") as folder:
-            part, first = _Part(batches, folder), task.partitionId() == 0
+            part, first = _Blocks(batches, folder, weigh) if weigh else _Part(batches, folder), task.partitionId() == 0
             with adding(task, key) as together:
 
                 def at(x: np.ndarray | None) -> tuple[float, np.ndarray] | None:
@@ -95,7 +140,7 @@ def fit(rows: DataFrame, size: int, l2: float = 1.0, tolerance: float = 1e-4, st
                     while at(None):
                         pass
 
-    theta = rows.select("label", "idx", "w").repartition(workers).mapInArrow(work, "theta double", barrier=True).toArrow()
+    theta = rows.select(*(("labels", "sizes", "data") if weigh else ("label", "idx", "w"))).repartition(workers).mapInArrow(work, "theta double", barrier=True).toArrow()
     return theta.column("theta").to_numpy()
 
 
