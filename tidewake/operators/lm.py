@@ -115,9 +115,11 @@ class NGramLM:
         """The log-probabilities by the arrays c2 and c1."""
         return F.zip_with("c2", "c1", lambda c2, c1: self._lp(c2, c1, self.counts.vocabulary))
 
-    def logprob_lists(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-        """keys, lps of each row of docs (keys, text), or of the rows that spread makes of them where they are scored: the log-probabilities of its tokens but the first, in order."""
-        met = self.counts.of_texts(docs, max_tokens, keys, spread)
+    def logprob_lists(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] | None = None, orders: tuple | None = None) -> DataFrame:
+        """keys, lps of each row of docs (keys, text), or of the rows that spread, or orders, make of them where they are scored: the log-probabilities of its tokens but the first, in order."""
+        if orders and self.cut is tokenize:  # other tokens are not those of the text once it is in another order
+            spread = None
+        met = self.counts.of_texts(docs, max_tokens, keys, spread, orders if spread is None else None)
         return met.select(*keys, self._scored().alias("lps"))
 
     def token_logprobs(self, docs: DataFrame, max_tokens: int | None = None, keys: tuple = ("blob_id",), outer: bool = False) -> DataFrame:

@@ -4,12 +4,14 @@
 asks each part of the hashes for the counts of the keys that it holds, each once and in ascending order, in one array; the
 counts come back in that order, and the block, whose texts have not moved since, finds its keys anew. So a token
 is never a row of a shuffle. The commonest keys are broadcast, and nothing asks for them. Parts and blocks are
-bounded, and grow in number with the texts.
+bounded, and grow in number with the texts. Texts whose tokens are put in further orders are so in their blocks, and bits
+that are broadcast tell most of their pairs, which no text has, from those that have a count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from ..sources.scratch import settle, written
 
 #: Tokens of a block, characters of texts for each part of the hashes, and counts that are told apart when the commonest keys are chosen.
 BLOCK, PART, LEVELS = 1 << 20, 1 << 20, 10_000
+#: Bits that tell pairs without a count, at most, and those that are set at a time.
+FILTER, SLICE = 1 << 27, 1 << 22
 #: Characters of a token, about.
 _WORD = 6
 
@@ -87,6 +91,28 @@ def _row(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each key; other bits of the hash than those that choose a part."""
+    return (_mixed(keys) >> np.uint64(16)) % np.uint64(bits)
+
+
+def _reordered(table: pa.Table, by: str, orders: Callable[[int, object], list[np.ndarray]], name: str, longest: int | None) -> pa.Table:
+    """The rows of a block once for each order of their tokens, of which ``longest`` count; name: the order's number."""
+    own = table.column("own").combine_chunks()
+    ends, hashes = own.offsets.to_numpy(), own.values.to_numpy()
+    rows, numbers, lists, sizes = [], [], [], []
+    for i, key in enumerate(table.column(by).to_pylist()):
+        tokens = hashes[ends[i] : ends[i + 1]]
+        for k, places in enumerate(orders(len(tokens), key)):
+            rows.append(i)
+            numbers.append(k)
+            lists.append(tokens[places][:longest])
+            sizes.append(len(lists[-1]))
+    flat = pa.array(np.concatenate([np.zeros(0, np.int64), *lists]))
+    out = table.drop_columns(["own"]).take(pa.array(rows, pa.int64()))
+    return out.append_column(name, pa.array(numbers, pa.int32())).append_column("own", pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat))
+
+
 class Counts:
     """How often each pair of neighbouring tokens stands in docs (text), and each token with another after it; ``vocabulary``: different tokens.
 
@@ -140,12 +166,38 @@ class Counts:
         order = np.argsort(h)
         return h[order], n[order]
 
-    def of_texts(self, docs: DataFrame, max_tokens: int | None = None, keep: tuple | None = None, spread: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    @cached_property
+    def seen(self):
+        """Broadcast bits, at most FILTER, with one of them set for each pair: one whose bit is not set has no count."""
+        rows = self.table.filter(F.col("part") < self.parts).select("h")
+        bits = 1 << max(10, min(FILTER.bit_length() - 1, (16 * (rows.agg(F.sum(F.size("h"))).first()[0] or 0)).bit_length()))
+        width, kind = min(SLICE, bits), pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+
+        def mark(batches):
+            for batch in batches:
+                at = np.sort(_bits(batch.column("h").flatten().to_numpy().view(np.uint64), bits).astype(np.int64))
+                for k in range(bits // width):
+                    here = np.zeros(width, bool)
+                    here[at[np.searchsorted(at, k * width) : np.searchsorted(at, (k + 1) * width)] - k * width] = True
+                    yield _row(kind, [(k, pa.compress(np.packbits(here).tobytes(), "zstd", asbytes=True))])
+
+        def add(table: pa.Table) -> pa.Table:
+            out = np.zeros(width // 8, np.uint8)
+            for x in table.column("bits"):
+                out |= np.frombuffer(pa.decompress(x.as_buffer(), width // 8, "zstd"), np.uint8)
+            return pa.Table.from_batches([_row(kind, [(table.column("slice")[0].as_py(), out.tobytes())])])
+
+        made = rows.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(add, "slice int, bits binary")
+        found = {r["slice"]: r["bits"] for r in made.toLocalIterator()}  # FILTER bits at most
+        return self.spark.sparkContext.broadcast((bits, b"".join(found.get(k, bytes(width // 8)) for k in range(bits // width))))
+
+    def of_texts(self, docs: DataFrame, max_tokens: int | None = None, keep: tuple | None = None, spread: Callable[[DataFrame], DataFrame] | None = None, orders: tuple | None = None) -> DataFrame:
         """docs (its columns ``keep``, or all) with c2 and c1: arrays of the counts of each token's pair with the token before it, and of that token.
 
-        spread: makes further rows of docs, always the same, once docs are in their blocks.
+        spread: makes further rows of docs, always the same, once docs are in their blocks. orders: the same for rows that hold a text's tokens
+        in other orders: (a column, a new column, and a function of the number of tokens and the column's value that gives their places in each order).
         """
-        keep, parts, hot = list(keep or docs.columns), self.parts, self.hot
+        keep, parts, hot, seen = list(keep or docs.columns), self.parts, self.hot, self.seen if orders else None
         asks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("h", pa.list_(pa.int64()))])
         replies = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.binary())])
 
@@ -155,11 +207,23 @@ class Counts:
             yield 0, _pairs(own, last), hot.value[0]
             yield parts, own[:-1][~last[:-1]], hot.value[1]
 
+        def looked_up(keys: np.ndarray, common: tuple[np.ndarray, np.ndarray], offset: int) -> np.ndarray:
+            """What is known of keys without asking; -1 where it is nothing."""
+            have = _known(keys, common)
+            if seen and not offset:
+                bits, data = seen.value
+                at = _bits(keys, bits).astype(np.int64)
+                have[(have < 0) & (np.frombuffer(data, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 0)] = 0
+            return have
+
+        def whole(table: pa.Table) -> pa.Table:
+            return _reordered(table, orders[0], orders[2], orders[1], max_tokens) if orders else table
+
         def ask(table: pa.Table) -> pa.Table:
             block, rows = table.column("_block")[0].as_py(), []
-            for offset, keys, common in sought(table):
+            for offset, keys, common in sought(whole(table)):
                 keys = np.unique(keys)
-                wanted = keys[_known(keys, common) < 0]
+                wanted = keys[looked_up(keys, common, offset) < 0]
                 rows += [(part + offset, block, wanted[at].view(np.int64)) for part, at in _dealt(wanted, parts)]
             return pa.Table.from_batches([_row(asks, rows)] if rows else [], asks)
 
@@ -172,12 +236,12 @@ class Counts:
             return pa.Table.from_batches([_row(replies, out)] if out else [], replies)
 
         def give(table: pa.Table, answers: pa.Table) -> pa.Table:
-            got = dict(zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), strict=True))
+            got, table = dict(zip(answers.column("part").to_pylist(), answers.column("n").to_pylist(), strict=True)), whole(table)
             out, n = table.select(keep), _tokens(table)[2]
             ends = pa.array(np.cumsum([0, *np.maximum(n - 1, 0)]), pa.int32())
             for name, (offset, keys, common) in zip(("c2", "c1"), sought(table), strict=True):
                 keys, which = np.unique(keys, return_inverse=True)
-                have = _known(keys, common)
+                have = looked_up(keys, common, offset)
                 new = np.flatnonzero(have < 0)
                 for part, at in _dealt(keys[new], parts):
                     have[new[at]] = np.frombuffer(pa.decompress(got[part + offset], 8 * len(at), "zstd", asbytes=True), dtype=np.int64)
@@ -188,11 +252,12 @@ class Counts:
         columns = [*dict.fromkeys([*(c for c in keep if c in docs.columns), "text"])]
         block = F.pmod(F.xxhash64(*columns), F.lit(blocks)).alias("_block")
         dealt = docs.select(*columns, block).repartition("_block")
-        dealt = self._hashes(spread(dealt) if spread else dealt, max_tokens).select("_block", *keep, "own")
+        dealt = self._hashes(spread(dealt) if spread else dealt, None if orders else max_tokens).select("_block", *(c for c in keep if not orders or c != orders[1]), "own")
+        fields = {f.name: f for f in dealt.schema} | ({orders[1]: T.StructField(orders[1], T.IntegerType())} if orders else {})
         asked = dealt.groupBy("_block").applyInArrow(ask, "part int, block bigint, h array<bigint>")
         met = asked.groupBy("part").cogroup(self.table.groupBy("part")).applyInArrow(answer, "part int, block bigint, n binary")
         counts = [T.StructField(c, T.ArrayType(T.LongType())) for c in ("c2", "c1")]
-        return dealt.groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(give, T.StructType([*dealt.select(*keep).schema, *counts]))
+        return dealt.groupBy("_block").cogroup(met.groupBy("block")).applyInArrow(give, T.StructType([*(fields[c] for c in keep), *counts]))
 
 
 #: Tokens of a block, characters of texts, and values, for each part of them, where tokens have values (``Values``).

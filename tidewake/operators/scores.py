@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,10 @@ def _sorted(lps: DataFrame, keys: tuple) -> DataFrame:
     return lps.groupBy(*keys).agg(F.sort_array(F.collect_list("lp")).alias("l"))
 
 
-def lists(model: TargetModel, docs: DataFrame, max_tokens: int, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """keys, l: the log-probabilities of each row that spread makes of docs (keys, text), in ascending order; keys name a row."""
+def lists(model: TargetModel, docs: DataFrame, max_tokens: int, keys: tuple = ("blob_id",), spread: Callable[[DataFrame], DataFrame] = lambda rows: rows, orders: tuple | None = None) -> DataFrame:
+    """keys, l: the log-probabilities of each row that spread makes of docs (keys, text), in ascending order; keys name a row. orders: the same rows as orders of tokens, for models that score tokens by their hashes."""
     if hasattr(model, "logprob_lists"):
-        return model.logprob_lists(docs, max_tokens, keys, spread).select(*keys, F.sort_array("lps").alias("l"))
+        return model.logprob_lists(docs, max_tokens, keys, spread, **({"orders": orders} if orders else {})).select(*keys, F.sort_array("lps").alias("l"))
     return _sorted(model.token_logprobs(spread(docs), max_tokens, keys, outer=True), keys)
 
 
@@ -64,6 +65,17 @@ def polarized_distance(lps: DataFrame, near: int = NEAR, far: int = FAR, keys: t
     return _sorted(lps, keys).select(*keys, (high - _mean(F.slice("l", F.lit(1), m2))).alias("score"))
 
 
+def swap_order(n: int, blob: object, variant: int, seed: int, ratio: float) -> list[int]:
+    """The places of n tokens after the swaps of a variant."""
+    places = list(range(n))
+    for k in range(int(ratio * n) if variant else 0):
+        key = hashlib.md5(f"{seed}|swap|{blob}|{variant}|{k}".encode()).hexdigest()
+        i, j = int(key[:8], 16) % n, int(key[8:16], 16) % (n - 1)
+        j += j >= i
+        places[i], places[j] = places[j], places[i]
+    return places
+
+
 def swap_tokens(docs: DataFrame, seed: int = 42, ratio: float = SWAP_RATIO, mutants: int = MUTANTS) -> DataFrame:
     """docs with variant 0 (the text) and 1 .. mutants: int(ratio * n) swaps of random distinct places, one after another.
 
@@ -80,13 +92,7 @@ def swap_tokens(docs: DataFrame, seed: int = 42, ratio: float = SWAP_RATIO, muta
                 out.append(t)
                 continue
             tokens = _TOKENS.findall(t or "")
-            n = len(tokens)
-            for k in range(int(ratio * n)):
-                key = hashlib.md5(f"{seed}|swap|{b}|{v}|{k}".encode()).hexdigest()
-                i, j = int(key[:8], 16) % n, int(key[8:16], 16) % (n - 1)
-                j += j >= i
-                tokens[i], tokens[j] = tokens[j], tokens[i]
-            out.append(" ".join(tokens))
+            out.append(" ".join([tokens[i] for i in swap_order(len(tokens), b, v, seed, ratio)]))
         return pd.Series(out, dtype=object)
 
     rows = docs.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(mutants))))
@@ -116,5 +122,6 @@ def min_k_attack(model: TargetModel, docs: DataFrame, k: float = K) -> DataFrame
 def swap_attack(model: TargetModel, docs: DataFrame, seed: int = 42) -> DataFrame:
     """Texts without scored tokens have distance 0."""
     keys = (*ROW, "variant")
-    lps = lists(model, rows_of(docs), SWAP_TOKENS, keys, lambda rows: swap_tokens(rows, seed))
+    orders = lambda n, blob: [np.array(swap_order(n, "" if blob is None else blob, v, seed, SWAP_RATIO), dtype=np.int64) for v in range(MUTANTS + 1)]
+    lps = lists(model, rows_of(docs), SWAP_TOKENS, keys, lambda rows: swap_tokens(rows, seed), ("blob_id", "variant", orders))
     return _scores(combine_mutants(polarized_distance(lps, keys=keys).fillna(0.0, ["score"]), ROW))
